@@ -1 +1,174 @@
-"""To be filled."""
+"""Wire records, sensor envelope, sinks' input, interface selection."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from netobs.checks.common import udp_frames
+from netobs.checks.registry import PK, WIRE, query
+from netobs.operators.dedup import dedup_records
+from netobs.plans import derived as g
+from netobs.schemas import RECORDS
+from netobs.sources.frames import clamp_frames, select_ifaces
+from netobs.sources.sensor import sensor_context, union_sensors
+from netobs.sources.wire import (
+    format_wire,
+    parse_wire,
+    rejects,
+    split_observation,
+    to_typed,
+    wrap_observation,
+)
+
+KINDS = {"DNS": "view", "SYN": "click", "TLS": "purchase", "DHCP": "signup", "ARP": "error"}
+
+
+def typed_all(spark, sf) -> dict[str, DataFrame]:
+    lines = parse_wire(g.wire(spark, sf))
+    return {tag: to_typed(lines, tag) for tag in KINDS}
+
+
+@query(
+    "device_activity",
+    """, keyed AS (
+  SELECT seq, ts_s, dev, mac, CASE event_type WHEN 'view' THEN 'DNS' WHEN 'click' THEN 'SYN' WHEN 'purchase' THEN 'TLS'
+         WHEN 'signup' THEN 'DHCP' ELSE 'ARP' END AS tag,
+         CASE WHEN k % 2 = 0 THEN 'sensor-' || (dev % 3) END AS sensor_name, k % 10 = 9 AS routed,
+         CASE event_type WHEN 'view' THEN 'host' || k WHEN 'click' THEN CAST(dport AS VARCHAR)
+              WHEN 'purchase' THEN 'shop' || k ELSE '' END AS what FROM pk WHERE event_type <> 'error'),
+kept AS (
+  SELECT *, lag(ts_s) OVER (PARTITION BY tag, sensor_name, mac, what, routed ORDER BY seq) AS prev FROM keyed)
+SELECT tag, mac, count(*) AS records FROM kept WHERE prev IS NULL OR ts_s - prev >= 35 GROUP BY tag, mac""",
+)
+def _device_activity(spark, sf):
+    """Records per device and tag after deduplication."""
+    tables = typed_all(spark, sf)
+    parts = [
+        dedup_records(df, tag).select(F.lit(tag).alias("tag"), "mac")
+        for tag, df in tables.items()
+        if tag != "ARP"
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("tag", "mac").agg(F.count("*").alias("records"))
+
+
+@query(
+    "wire_parse",
+    """SELECT seq, split_part(record, '|', 1) AS tag, mac, CAST(k % 10 = 9 AS INTEGER) AS routed,
+       len(string_split(record, '|')) - 2 - CAST(k % 10 = 9 AS INTEGER) AS n_fields,
+       split_part(record, '|', 3) AS first_field FROM wire""",
+    WIRE,
+)
+def _wire_parse(spark, sf):
+    return parse_wire(g.wire(spark, sf)).select(
+        "seq", "tag", "mac", F.col("routed").cast("int"), F.size("fields").alias("n_fields"),
+        F.col("fields")[0].alias("first_field"),
+    )
+
+
+@query(
+    "obs_split",
+    """SELECT seq, CASE WHEN k % 2 = 0 THEN 'sensor-' || (dev % 3) END AS sensor_name,
+       CASE WHEN k % 2 = 0 THEN 'eno2' END AS iface,
+       CASE WHEN k % 4 = 0 THEN '0' WHEN k % 4 = 2 THEN '100/20' END AS vlan, record FROM wire""",
+    WIRE,
+)
+def _obs_split(spark, sf):
+    return split_observation(g.wire(spark, sf)).select("seq", "sensor_name", "iface", "vlan", "record")
+
+
+@query(
+    "obs_wrap",
+    """SELECT seq, 'OBS|sensor-athens-01|' || CASE WHEN k % 2 = 0 THEN 'eno2' ELSE 'unknown' END || '|'
+       || CASE WHEN k % 4 = 2 THEN '100/20' ELSE '0' END || '|' || record AS line FROM wire""",
+    WIRE,
+)
+def _obs_wrap(spark, sf):
+    df = split_observation(g.wire(spark, sf)).withColumn("line", F.col("record"))
+    return wrap_observation(df, "sensor-athens-01").select("seq", "line")
+
+
+@query("wire_format", "SELECT seq, record AS line FROM wire", WIRE)
+def _wire_format(spark, sf):
+    """Typed tables formatted again give the records they came from."""
+    parts = [format_wire(df, tag).select("seq", "line") for tag, df in typed_all(spark, sf).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+TYPED_SQL = {
+    "DNS": "'host' || k || '.example.com' AS query_domain",
+    "SYN": "64 AS ttl, 64240 AS \"window\", 7 AS wscale, 1460 AS mss, 'M*,S,T,N,W*' AS opts, dport AS dst_port",
+    "TLS": "dst_ip, 443 AS dst_port, 'shop' || k || '.example.com' AS sni, "
+    "'t13d0302h2_aaaaaaaaaaaa_bbbbbbbbbbbb' AS ja4, 'h2' AS alpn",
+    "DHCP": "'host-' || dev AS hostname, 'MSFT 5.0' AS vendor_class, '1,3,6,15' AS prl",
+}
+
+
+def _register_typed(tag: str) -> None:
+    sql = (
+        f"SELECT seq, mac, src_ip, {TYPED_SQL[tag]}, CAST(k % 10 = 9 AS INTEGER) AS routed "
+        f"FROM pk WHERE event_type = '{KINDS[tag]}'"
+    )
+
+    @query(f"typed_{tag.lower()}", sql)
+    def _typed(spark, sf):
+        df = to_typed(parse_wire(g.wire(spark, sf)), tag)
+        return df.drop("ts", "sensor_name", "iface", "vlan").withColumn("routed", F.col("routed").cast("int"))
+
+
+for _tag in TYPED_SQL:
+    _register_typed(_tag)
+
+
+@query(
+    "wire_rejects",
+    """SELECT seq, CASE k % 3 WHEN 0 THEN 'unknown tag' WHEN 1 THEN 'field count' ELSE 'bad value' END AS reason
+FROM pk WHERE k % 3 < 2 OR event_type = 'click'""",
+)
+def _wire_rejects(spark, sf):
+    """Damaged lines: an unknown tag, a missing field, a port that is no number."""
+    p = g.pk(spark, sf).join(g.wire(spark, sf).select("seq", "line"), "seq")
+    bare = F.regexp_replace(F.regexp_replace("line", r"\|routed$", ""), r"^OBS(\|[^|]*){3}\|", "")
+    port = F.concat(F.regexp_replace(bare, r"\|[^|]*$", ""), F.lit("|x"))
+    k = F.col("k")
+    line = (
+        F.when(k % 3 == 0, F.concat(F.lit("X"), bare))
+        .when(k % 3 == 1, F.regexp_replace(bare, r"\|[^|]*$", ""))
+        .otherwise(F.when(F.col("event_type") == "click", port).otherwise(bare))
+    )
+    return rejects(parse_wire(p.select("ts", "seq", line.alias("line")))).select("seq", "reason")
+
+
+@query(
+    "iface_select",
+    """SELECT 'eth' || (dev % 4) AS iface, count(*) AS frames, CAST(sum(42 + 10 + k) AS BIGINT) AS bytes
+FROM pk WHERE dev % 4 IN (0, 2) GROUP BY 1""",
+)
+def _iface_select(spark, sf):
+    p = g.pk(spark, sf)
+    frames = udp_frames(p, F.col("sport"), F.lit(9999), F.repeat(F.lit("ab"), F.col("k") + 10))
+    named = frames.join(p.select("seq", "dev"), "seq").withColumn(
+        "iface", F.concat(F.lit("eth"), (F.col("dev") % 4).cast("string"))
+    )
+    chosen = select_ifaces(clamp_frames(named), "eth0,eth2,any")
+    return chosen.groupBy("iface").agg(
+        F.count("*").alias("frames"), F.sum(F.length("data")).cast("bigint").alias("bytes")
+    )
+
+
+@query(
+    "sensor_union",
+    """SELECT CASE WHEN event_type = 'view' THEN 'sensor-a' ELSE 'sensor-b' END AS sensor_name, count(*) AS n
+FROM pk WHERE event_type IN ('view', 'click') GROUP BY 1""",
+)
+def _sensor_union(spark, sf):
+    tables = typed_all(spark, sf)
+    both = union_sensors(
+        [sensor_context(tables["DNS"], "sensor-a"), sensor_context(tables["SYN"], "sensor-b")]
+    )
+    return both.groupBy("sensor_name").agg(F.count("*").alias("n"))
+
+
+assert set(KINDS) <= set(RECORDS)

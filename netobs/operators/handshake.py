@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netobs.plans.slices import SLICE, first_rows, micros, ordered_scan, time_slices
+from netobs.plans.stage import shared
 
 SYN_TTL = 120
 SYN, SYNACK, FIN, RST = "SYN", "SYNACK", "FIN", "RST"
@@ -51,6 +52,7 @@ def tcp_handshake(
     width_us = (width or max(4 * ttl, 600)) * 1_000_000
     slim = [*keys, "ts", "seq", "kind", "forward", *carry]
     df = events.select(*slim).withColumn("_us", micros())
+    df = shared(df, *keys, F.floor(F.col("_us") / width_us))
     marks = df.where(F.col("kind").isin(SYN, SYNACK))
     opened = ordered_scan(
         marks, keys, ["_us", "seq"], ["_us", "kind"], lambda: OpenSyn(ttl_us), "_open", "boolean"

@@ -95,8 +95,8 @@ def judged(link_type: Column, is_outbound: Column, ip: Column, mac: Column) -> C
 def routed_flag(packets: DataFrame, claims: DataFrame | None, ttl: int = OWNER_TTL) -> DataFrame:
     """Add ``routed``: off-link source, or a sender that is not the recorded owner.
 
-    Only packets that can be judged take part in the as-of join; the rest keeps
-    its off-link flag and is not shuffled.
+    Packets that are not judged get a NULL key: they take no part in the match
+    and are spread evenly, and the packets are decoded once.
     """
     off = F.col("offlink_routed")
     if claims is None:
@@ -106,11 +106,10 @@ def routed_flag(packets: DataFrame, claims: DataFrame | None, ttl: int = OWNER_T
     )
     own = _own_keys(packets)
     asked = owner_asof(
-        packets.where(ask).withColumnRenamed("src_ip", "ip"),
+        packets.withColumn("ip", F.when(ask, F.col("src_ip"))),
         claims,
         keys=(*own, "ip"),
         mac="src_mac",
         ttl=ttl,
-        out="routed",
-    ).withColumnRenamed("ip", "src_ip")
-    return packets.where(~ask).withColumn("routed", off).unionByName(asked)
+    )
+    return asked.withColumn("routed", off | F.col("mismatch")).drop("ip", "mismatch")

@@ -61,13 +61,13 @@ def quic_reassemble(
 ) -> DataFrame:
     """Rows that complete a hello.
 
-    ``fragments`` has ``ts, seq, frags`` (``ARRAY<STRUCT<off, bytes>>``), one row
-    per packet.  A connection's state is at most 8 KiB, so the scan holds that
+    ``fragments`` has ``ts, seq, part, frags`` (``ARRAY<STRUCT<off, bytes>>``),
+    one row per packet; ``part`` is its place in the datagram.  A connection's state is at most 8 KiB, so the scan holds that
     and one batch whatever the number of packets.
     """
     slim = fragments.withColumn("_sec", F.unix_seconds("ts"))
     scanned = ordered_scan(
-        slim, keys, ["ts", "seq"], ["_sec", "frags"], lambda: HelloBuffer(idle), out, "binary"
+        slim, keys, ["ts", "seq", "part"], ["_sec", "frags"], lambda: HelloBuffer(idle), out, "binary"
     )
     return scanned.where(F.col(out).isNotNull()).drop("_sec", "frags")
 

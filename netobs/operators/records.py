@@ -29,7 +29,7 @@ from netobs.operators.filters import parse_mac
 from netobs.operators.flows import FLOW_BUDGET, FLOW_IDLE, app_flow_budget
 from netobs.operators.handshake import SYN_TTL, tcp_handshake
 from netobs.plans.slices import asof_within
-from netobs.plans.stage import stage
+from netobs.plans.stage import shared, stage
 from netobs.schemas import record_columns
 
 ENTROPY_ALERT = 4.2
@@ -246,13 +246,13 @@ def quic_failure_gate(
     return hit.where(F.col("_s").isNull()).drop("_s")
 
 
-def rec_quic(hellos: DataFrame, failed: Column | None = None) -> DataFrame:
+def rec_quic(hellos: DataFrame) -> DataFrame:
     """``encrypted`` records of Initials that gave no hello, behind the failure gate."""
-    bad = F.col("tls").isNull() if failed is None else failed
     keys = [*_own(hellos), "device_mac", "src_ip", "dst_ip", "dport"]
     slim = ["ts", "seq", "iface", "vlan", "routed", *keys]
+    both = shared(hellos.select(*slim, F.col("tls").isNotNull().alias("_ok")), "ts", "seq")
     gated = quic_failure_gate(
-        hellos.where(bad).select(*slim), hellos.where(F.col("tls").isNotNull()).select(*slim), keys
+        both.where(~F.col("_ok")).drop("_ok"), both.where("_ok").drop("_ok"), keys
     )
     rows = gated.withColumns(
         {

@@ -25,6 +25,8 @@ from netobs.operators.inspect import inspect_packets
 from netobs.operators.owner import arp_claims, ndp_claims, owner_asof, routed_flag
 from netobs.operators.reassembly import hello_records, quic_reassemble, stateful_packets
 from netobs.operators.vectors import Selection, vectors
+from netobs.plans.slices import first_rows
+from netobs.plans.stage import materialize, shared
 from netobs.schemas import record_columns
 from netobs.sources.frames import select_ifaces
 from netobs.sources.sensor import check_sensor, sensor_context
@@ -80,13 +82,19 @@ def _ndp_routed(ndp: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.withColumn("routed", F.col("offlink_routed") | F.col("mismatch")).drop("mismatch")
 
 
-def telemetry(frames: DataFrame, opts: Options, raw: bool = False) -> dict[str, DataFrame]:
+def telemetry(
+    frames: DataFrame, opts: Options, raw: bool = False, store: bool = False
+) -> dict[str, DataFrame]:
     """Record tables by tag; a table that is not used is never computed.
 
-    ``raw`` leaves all tables as extracted, before deduplication.
+    ``raw`` leaves all tables as extracted, before deduplication.  ``store``
+    writes the decoded packets once to the shared folder, partitioned by layer-3
+    protocol, so that many record tables do not decode the frames again.
     """
     sel = opts.selection
     pk = packets(frames, opts)
+    if store:
+        pk = materialize(pk, ("l3_proto",))
     ipk = pk.where(F.col("ip_version").isNotNull() & ~F.col("is_fragment"))
     out: dict[str, DataFrame] = {}
     claims = None
@@ -152,16 +160,13 @@ def quic_tables(udp: DataFrame, stateful: bool) -> tuple[DataFrame, DataFrame]:
         hellos = r.quic_hello(grams)
         return r.rec_quic_tls(hellos), r.rec_quic(hellos)
     own = ["sensor_name"] if "sensor_name" in udp.columns else []
-    parts = stateful_packets(grams)
-    done = hello_records(quic_reassemble(parts.where(F.col("frags").isNotNull()), [*own, "dcid"]))
-    failed = parts.where(F.col("frags").isNull())
     slim = ["ts", "seq", *own, "iface", "vlan", "routed", "device_mac", "src_ip", "dst_ip", "dport"]
+    parts = shared(stateful_packets(grams).select(*slim, "dcid", "part", "frags"), *own, "dcid", "ts")
+    done = hello_records(quic_reassemble(parts.where(F.col("frags").isNotNull()), [*own, "dcid"]))
+    done = first_rows(done, [*own, "ts", "seq"], ["part"])
     # one failure per datagram, and none when the datagram completed a hello
-    bad = (
-        failed.select(*slim).dropDuplicates([*own, "ts", "seq"])
-        .join(done.select(*own, "ts", "seq").distinct(), [*own, "ts", "seq"], "left_anti")
-        .select(*slim)
-    )
+    failed = parts.where(F.col("frags").isNull()).select(*slim).dropDuplicates([*own, "ts", "seq"])
+    bad = failed.join(done.select(*own, "ts", "seq"), [*own, "ts", "seq"], "left_anti")
     both = done.select(*slim, "tls").unionByName(bad.withColumn("tls", F.lit(None).cast("binary")))
     return r.rec_quic_tls(done), r.rec_quic(both)
 

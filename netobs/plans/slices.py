@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE, CONTEXT = "_slice", "_context"
+NULL_SALTS = 1024
 
 
 def seconds(ts: str = "ts") -> Column:
@@ -78,7 +79,8 @@ def asof_within(
     and ``sec`` (NULL when there is none).  A left row and a right row with the
     same ``(ts, seq)`` are ordered by ``tie_left_first``.  Age counts whole
     seconds.  Left rows are shuffled once and never copied; right rows are
-    copied into the next time slice and to every salt.
+    copied into the next time slice and to every salt.  Left rows with a NULL
+    key cannot match and are spread over many partitions.
     """
     width = width or max(max_age, 60)
     payload = [c for c in left.columns if c not in keys]
@@ -91,8 +93,11 @@ def asof_within(
     rt = time_slices(rt, seconds(), width, max_age).drop(CONTEXT).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
+    spread = F.when(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)), F.lit(NULL_SALTS)).otherwise(
+        F.lit(salts)
+    )
     lt = left.withColumn(SLICE, F.floor(seconds() / width)).withColumn(
-        "_salt", F.pmod(F.xxhash64("ts", "seq"), F.lit(salts)).cast("int")
+        "_salt", F.pmod(F.xxhash64("ts", "seq"), spread).cast("int")
     )
     both = (
         lt.withColumn("_side", F.lit(0 if tie_left_first else 1))

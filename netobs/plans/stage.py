@@ -10,9 +10,11 @@ rows that fail ``where`` produce nothing.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,3 +31,36 @@ def stage(
         *[c for c in df.columns if c not in gone],
         F.inline(row if where is None else F.when(where, row)),
     )
+
+
+def shared(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """One exchange that several branches of a plan read.
+
+    The columns come out of a generator, so no filter of a branch moves below
+    the exchange; the branches then have the same child and Spark reuses it.
+    What is upstream, decoding for instance, runs once.
+    """
+    return stage(df.repartition(*keys), {c: F.col(c) for c in df.columns})
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: the cluster's checkpoint folder.
+
+    Only when none is set, as in tests, a new local one is made.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="netobs-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/netobs-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors and lets the readers push filters
+    into the scan.
+    """
+    path = work_folder(df.sparkSession)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
