@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from netobs.checks.common import udp_frames
 from netobs.checks.registry import PK, WIRE, query
-from netobs.operators.dedup import dedup_records
+from netobs.operators.dedup import dedup_records, dedup_wire
 from netobs.plans import derived as g
 from netobs.schemas import RECORDS
 from netobs.sources.frames import clamp_frames, select_ifaces
@@ -45,13 +45,22 @@ SELECT tag, mac, count(*) AS records FROM kept WHERE prev IS NULL OR ts_s - prev
 )
 def _device_activity(spark, sf):
     """Records per device and tag after deduplication."""
-    tables = typed_all(spark, sf)
-    parts = [
-        dedup_records(df, tag).select(F.lit(tag).alias("tag"), "mac")
-        for tag, df in tables.items()
-        if tag != "ARP"
-    ]
-    return reduce(DataFrame.unionByName, parts).groupBy("tag", "mac").agg(F.count("*").alias("records"))
+    kept = dedup_wire(parse_wire(g.wire(spark, sf)).where(F.col("tag") != "ARP"))
+    return kept.groupBy("tag", "mac").agg(F.count("*").alias("records"))
+
+
+@query(
+    "typed_dedup",
+    """, keyed AS (
+  SELECT *, CASE WHEN k % 2 = 0 THEN 'sensor-' || (dev % 3) END AS sensor FROM pk WHERE event_type = 'purchase'),
+kept AS (
+  SELECT *, lag(ts_s) OVER (PARTITION BY sensor, dev, k ORDER BY seq) AS prev FROM keyed)
+SELECT seq, mac, 'shop' || k || '.example.com' AS sni FROM kept WHERE prev IS NULL OR ts_s - prev >= 35""",
+)
+def _typed_dedup(spark, sf):
+    """The record-table form of the same rule."""
+    tls = to_typed(parse_wire(g.wire(spark, sf)), "TLS")
+    return dedup_records(tls, "TLS").select("seq", "mac", "sni")
 
 
 @query(

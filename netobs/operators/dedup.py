@@ -13,6 +13,8 @@ from netobs.plans.slices import (
     seconds,
     time_slices,
 )
+from netobs.plans.stage import stage
+from netobs.schemas import record_columns
 
 DEFAULT_TTL = 35
 # Shortest refresh window of discovery records, in seconds.
@@ -124,3 +126,31 @@ def dedup_records(df: DataFrame, tag: str, ttl: int = DEFAULT_TTL, enabled: bool
     if tag in REFRESH_FLOORS:
         return dedup_refresh(df, keys, refresh_ttl(tag, ttl))
     return dedup_sliding(df, keys, ttl)
+
+
+def wire_signature() -> Column:
+    """Key fields of a parsed wire record as one text, by tag."""
+    out = F.lit(None).cast("string")
+    for tag, names in KEYS.items():
+        at = [record_columns(tag).index(n) for n in names]
+        out = F.when(
+            F.col("tag") == tag, F.concat_ws("|", *[F.get("fields", F.lit(i)) for i in at])
+        ).otherwise(out)
+    return out
+
+
+def dedup_wire(wire: DataFrame, ttl: int = DEFAULT_TTL) -> DataFrame:
+    """Suppress repeats among parsed wire records of all tags in one pass.
+
+    Tags with a sliding window share one shuffle; each discovery tag has its
+    fixed window.
+    """
+    rows = stage(wire.where(F.col("reject").isNull()), {"_sig": wire_signature()})
+    keys = ["sensor_name", "tag", "mac", "_sig", "_routed"]
+    rows = rows.withColumn("_routed", F.col("routed") & (F.col("tag") != "LLDP"))
+    fixed = F.col("tag").isin(*REFRESH_FLOORS)
+    out = dedup_sliding(rows.where(~fixed), keys, ttl)
+    for tag in REFRESH_FLOORS:
+        kept = dedup_refresh(rows.where(F.col("tag") == tag), keys, refresh_ttl(tag, ttl))
+        out = out.unionByName(kept)
+    return out.drop("_sig", "_routed")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netobs.plans.stage import stage
 from netobs.schemas import PLACEHOLDERS, RECORDS
 
 EVENT_MAX = 1023
@@ -24,15 +25,22 @@ def split_observation(df: DataFrame, line: str = "line") -> DataFrame:
 
     Lines without an envelope keep NULL in the three context columns.
     """
-    text = F.regexp_replace(F.col(line), "\r?\n$", "")
-    parts = F.split(text, "\\|", 5)
-    wrapped = text.startswith("OBS|") & (F.size(parts) == 5)
-    return df.select(
-        *[c for c in df.columns if c not in ("sensor_name", "iface", "vlan", "record")],
-        F.when(wrapped, parts[1]).alias("sensor_name"),
-        F.when(wrapped, parts[2]).alias("iface"),
-        F.when(wrapped, parts[3]).alias("vlan"),
-        F.when(wrapped, F.get(parts, F.lit(4))).otherwise(text).alias("record"),
+    text = F.rtrim(F.col(line), F.lit("\r\n"))
+    df = stage(
+        df.drop("sensor_name", "iface", "vlan", "record"),
+        {"_t": text, "_p": F.when(text.startswith("OBS|"), F.split(text, "\\|", 5))},
+    )
+    wrapped = F.size("_p") == 5
+    part = [F.when(wrapped, F.get("_p", F.lit(i))) for i in range(5)]
+    return stage(
+        df,
+        {
+            "sensor_name": part[1],
+            "iface": part[2],
+            "vlan": part[3],
+            "record": F.coalesce(part[4], F.col("_t")),
+        },
+        drop=("_t", "_p"),
     )
 
 
@@ -43,25 +51,24 @@ def parse_wire(df: DataFrame, line: str = "line") -> DataFrame:
     position: one value more than the tag defines, equal to ``routed``.
     ``reject`` names what is wrong with a line, NULL when it is well formed.
     """
-    obs = split_observation(df, line).withColumn("_f", F.split("record", "\\|"))
-    tag = F.col("_f")[0]
     width = F.create_map(
         *[x for t, cols in RECORDS.items() for x in (F.lit(t), F.lit(len(cols) + 2))]
     )
-    obs = obs.withColumn("_w", F.try_element_at(width, tag))
-    n = F.size("_f")
-    routed = (n == F.col("_w") + 1) & (F.element_at("_f", -1) == "routed")
-    reject = (
-        F.when(F.col("_w").isNull(), F.lit("unknown tag"))
-        .when((n != F.col("_w")) & ~routed, F.lit("field count"))
-    )
-    return obs.select(
-        *[c for c in obs.columns if c not in ("_f", "_w")],
-        tag.alias("tag"),
-        F.get("_f", F.lit(1)).alias("mac"),
-        F.slice("_f", F.lit(3), F.greatest(F.coalesce(F.col("_w"), n) - 2, F.lit(0))).alias("fields"),
-        F.coalesce(routed, F.lit(False)).alias("routed"),
-        reject.alias("reject"),
+    obs = stage(split_observation(df, line), {"_f": F.split("record", "\\|")})
+    obs = stage(obs, {"tag": F.col("_f")[0], "_w": F.try_element_at(width, F.col("_f")[0])})
+    n, w = F.size("_f"), F.col("_w")
+    routed = F.coalesce((n == w + 1) & (F.element_at("_f", -1) == "routed"), F.lit(False))
+    return stage(
+        obs,
+        {
+            "mac": F.get("_f", F.lit(1)),
+            "fields": F.slice("_f", F.lit(3), F.greatest(F.coalesce(w, n) - 2, F.lit(0))),
+            "routed": routed,
+            "reject": F.when(w.isNull(), F.lit("unknown tag")).when(
+                (n != w) & ~routed, F.lit("field count")
+            ),
+        },
+        drop=("_f", "_w"),
     )
 
 
