@@ -37,7 +37,7 @@ def _sanitize(spark, sf):
 ENTROPY_SQL = """, c AS (
   SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, '')) AS ch FROM clean) GROUP BY 1, 2),
 s AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY 1),
-e AS (SELECT c.doc_id, -sum((n / total) * log2(n / total)) AS ent FROM c JOIN s USING (doc_id) GROUP BY 1)
+e AS (SELECT c.doc_id, 0.0 - sum((n / total) * log2(n / total)) AS ent FROM c JOIN s USING (doc_id) GROUP BY 1)
 """
 
 
@@ -62,7 +62,7 @@ def _entropy_alert(spark, sf):
     """, w AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(t, ' ')) AS word FROM clean)
   WHERE word <> '' GROUP BY 1),
 c AS (SELECT word, ch, count(*) AS k FROM (SELECT word, unnest(string_split(word, '')) AS ch FROM w) GROUP BY 1, 2),
-e AS (SELECT word, -sum((k / length(word)) * log2(k / length(word))) AS ent FROM c GROUP BY 1)
+e AS (SELECT word, 0.0 - sum((k / length(word)) * log2(k / length(word))) AS ent FROM c GROUP BY 1)
 SELECT w.word, n, round(ent, 4) AS entropy FROM w JOIN e USING (word)""",
     CLEAN,
 )
@@ -300,15 +300,15 @@ def _quic_packet_number(spark, sf):
 
 
 HELLO_SQL = """, h AS (
-  SELECT seq, k, list_filter([4865 + seq % 3, 2570, 49195 - seq % 5, 4867], x -> x <> 2570) AS ciphers,
+  SELECT seq, k, list_filter([4865 + seq % 3, 2570, 49195 - seq % 5, 4867], lambda x: x <> 2570) AS ciphers,
     CASE WHEN k % 2 = 0 THEN [43] ELSE [] END || [10 + seq % 4, 51, 13] AS exts,
     CASE WHEN k % 4 <> 0 THEN 'shop' || k || '.example.com' END AS sni,
     CASE WHEN k % 3 <> 0 THEN 'h2' END AS alpn, k % 2 = 0 AS v13 FROM pulse),
 ja AS (
   SELECT *, 't' || CASE WHEN v13 THEN '13' ELSE '12' END || CASE WHEN sni IS NULL THEN 'i' ELSE 'd' END || '03'
     || lpad(CAST(len(exts) AS VARCHAR), 2, '0') || CASE WHEN alpn IS NULL THEN '00' ELSE 'h2' END || '_'
-    || substr(md5(array_to_string(list_transform(ciphers, x -> lower(printf('%04x', x))), ',')), 1, 12) || '_'
-    || substr(md5(array_to_string(list_transform(list_sort(exts), x -> lower(printf('%04x', x))), ',')), 1, 12) AS ja4
+    || substr(md5(array_to_string(list_transform(ciphers, lambda x: lower(printf('%04x', x))), ',')), 1, 12) || '_'
+    || substr(md5(array_to_string(list_transform(list_sort(exts), lambda x: lower(printf('%04x', x))), ',')), 1, 12) AS ja4
   FROM h)
 """
 
