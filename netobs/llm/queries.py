@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netobs.llm import langid, quality
+from netobs.llm import langid, naming, quality
 from netobs.llm.common import Scratch, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(fold("doc_id", 4) != 2), vocabulary("piece_bpe_32k.model"))
     return langid.identify(docs, model).select("doc_id", held_out(4), "lang_pred", "score")
+
+
+NORMAL = "translate(coalesce(text, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)), '')"
+
+
+@query(
+    "op7_exact_dedup",
+    f"""
+    WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS cp, sha256({NORMAL}) AS text_sha256 FROM documents)
+    SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
+           count(*) OVER (PARTITION BY text_sha256) AS group_size,
+           doc_id = first_value(doc_id) OVER w AS kept, text_sha256
+    FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY cp DESC, doc_id)
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are the same text but for white space, and which one stays."""
+    return naming.exact_dedup(table(spark, sf_dir, "documents")).drop("cp")
