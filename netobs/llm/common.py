@@ -66,7 +66,7 @@ class Scratch:
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Connected components of ``edges`` (a, b): rows (node, root), root the smallest node.
+    """Connected components of ``edges`` (a, b): rows (node, root) for all their nodes, root the smallest.
 
     Alternates two steps until nothing changes: every node tells its neighbours
     above it the smallest node it knows (large star), then neighbours below are
@@ -76,7 +76,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     links = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     now = scratch.save(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
-    turn = 0
+    turn, before = 0, None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -87,9 +87,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         turn += 1
         new = scratch.save(small.where("a <> b").distinct(), f"{name}{turn}")
-        same = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        then = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        after = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         scratch.drop(f"{name}{turn - 1}")
-        now = new
-        if same == then:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        now, same, before = new, before == after, after
+        if same:
+            roots = now.select("b").distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("b", "b"))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netobs.llm.common import Scratch
@@ -166,21 +166,21 @@ def learn(
     return LanguageModel(langs, prob, path)
 
 
-def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) per row; score is the posterior of the language under equal priors.
+def language(model: LanguageModel, text: Column) -> Column:
+    """Struct (lang_pred, score) of a text; score is the posterior of the language under equal priors.
 
     ``und`` with score 0 where the text is null or has no letter, and everywhere
     when no language was learned. Ties go to the language first by name. Each
-    Python worker keeps the scores of recent words (bounded), so a word that
-    returns costs a lookup.
+    task keeps the scores of recent words (bounded), so a word that returns costs
+    a lookup.
     """
     langs, prob, path = model.langs, model.prob, model.path
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         scores = np.empty((0, max(1, len(langs))))
-        for frame in frames:
-            words = [words_of(t) if langs else [] for t in frame["text"]]
+        for texts in columns:
+            words = [words_of(t) if langs else [] for t in texts]
             new = list({w for ws in words for w in ws if w not in known})
             if len(known) + len(new) > CACHED_WORDS:
                 known, scores = {}, scores[:0]
@@ -198,8 +198,12 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
                 best = int(total.argmax())
                 pred.append(langs[best])
                 post.append(float(1 / np.power(10.0, np.maximum(total - total[best], -300)).sum()))
-            yield pd.DataFrame({"k": frame["k"], "lang_pred": pred, "score": post})
+            yield pd.DataFrame({"lang_pred": pred, "score": post})
+
+    typed = F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
+    return typed.asNondeterministic()(text)  # evaluated once, not once per field
 
-    slim = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
-    return slim.mapInPandas(run, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
+
+def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lang_pred, score) for every row."""
+    return docs.select(key, language(model, F.col(text)).alias("l")).select(key, "l.lang_pred", "l.score")

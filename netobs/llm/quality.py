@@ -11,14 +11,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netobs.llm.common import Scratch
+from netobs.plans.stage import stage
 
 TRAINING_ROWS = 20_000  # bound of the labelled sample that trees and weights are fitted on
 TREES, DEPTH = 16, 3
@@ -61,6 +64,12 @@ def with_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), *[c.alias(f"stat_{name}") for name, c in statistics(F.col(text)).items()])
 
 
+def with_score(docs: DataFrame, model: "RuleModel", text: str = "text", score: str = "quality_score") -> DataFrame:
+    """``docs`` with the score of every row; the statistics are computed once per row."""
+    made = {f"stat_{name}": c for name, c in statistics(F.col(text)).items()}
+    return stage(stage(docs, made), {score: model.score()}, drop=list(made))
+
+
 def paths(debug: str, names: tuple[str, ...] = NAMES) -> list[Rule]:
     """Every root-to-node path of the trees in a model's text form, without repeats."""
     rules: dict[Rule, None] = {}
@@ -104,8 +113,6 @@ def learn(labelled: DataFrame, most_rows: int = TRAINING_ROWS, key: str = "k") -
     tally = {r.label: r["count"] for r in labelled.where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
     n, ones = sum(tally.values()), tally.get(1, 0)
     if not 0 < ones < n:
-        import math
-
         return RuleModel(math.log((ones + 1) / (n - ones + 1)), {})
     labelled = labelled.where(F.col("label").isin(0, 1))
     if n > most_rows:
@@ -119,8 +126,6 @@ def learn(labelled: DataFrame, most_rows: int = TRAINING_ROWS, key: str = "k") -
     ).fit(inputs.transform(sample))
     rules = paths(forest.toDebugString)
     truth = sample.select("label", F.array(*[holds(r).cast("double") for r in rules]).alias("truth"))
-    from pyspark.ml.functions import array_to_vector
-
     truth = scratch.save(truth, "truth").select("label", array_to_vector("truth").alias("features"))
     fit = LogisticRegression(regParam=PENALTY, elasticNetParam=1.0, maxIter=60, standardization=False).fit(truth)
     weights = {r: float(w) for r, w in zip(rules, fit.coefficients.toArray(), strict=True) if w}

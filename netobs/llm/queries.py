@@ -8,7 +8,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netobs.llm import langid, naming, quality
+import corpus_pipeline
+from netobs.llm import chosen_path, interpolated_lm, langid, licences, naming, packing, quality, sp_codec, topk, warc
 from netobs.llm.common import Scratch, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,129 @@ NORMAL = "translate(coalesce(text, ''), concat(' ', chr(9), chr(10), chr(11), ch
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are the same text but for white space, and which one stays."""
     return naming.exact_dedup(table(spark, sf_dir, "documents")).drop("cp")
+
+
+SHINGLES = """
+    w AS (SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    g AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+            ELSE list_distinct([array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)]) END AS grams FROM w)
+"""
+
+
+@query(
+    "op10_near_dedup",
+    f"""
+    WITH RECURSIVE {SHINGLES},
+    s AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM g),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
+               FROM s AS a JOIN s AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+    reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a),
+    low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+    SELECT g.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, least(g.doc_id, coalesce(low.b, g.doc_id)) AS component_id,
+           g.doc_id <= coalesce(low.b, g.doc_id) AS kept
+    FROM g LEFT JOIN low ON low.a = g.doc_id
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on four-word shingles."""
+    return chosen_path.near_components(table(spark, sf_dir, "documents"), 4).drop("print")
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces, packed into sequences of 2048."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query(
+    "op4_exact_top_k",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+          FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= 5
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth vector among all vectors."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op5_warc")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    number = F.expr("try_cast(nullif(substring(record_id, 10), '') AS BIGINT)")
+    return read.select(
+        number.alias("page_id"), "payload_bytes",
+        F.coalesce(warc.base32_sha1(F.col("payload")), "digest").alias("payload_digest"), "record_type",
+        F.expr("try_cast(nullif(substring(refers_to, 10), '') AS BIGINT)").alias("refers_to"),
+    )
+
+
+@query("op8_lm_score")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those outside the held-out fold.
+
+    The weights of the interpolation are learned on a further fold of the
+    training documents; the counts of both make the model.
+    """
+    docs = table(spark, sf_dir, "documents")
+    part = fold("doc_id", 7)
+    role = F.when(part == 2, interpolated_lm.OTHER).when(part == 5, interpolated_lm.HELD).otherwise(interpolated_lm.MAIN)
+    scored = interpolated_lm.score(docs, role)
+    return scored.select(
+        "doc_id", (F.col("role") == interpolated_lm.OTHER).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
+def licence_sql() -> str:
+    """The scan in SQL, over the same templates."""
+    rows = ", ".join(
+        "('{}', {}, {})".format(name, len(g), "[" + ", ".join("'" + x + "'" for x in g) + "]")
+        for name, g in ((n, licences.grams_of(t)) for n, t in licences.TEMPLATES.items())
+    )
+    return f"""
+    WITH t(licence, size, grams) AS (VALUES {rows}),
+    d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    parts AS (
+      SELECT doc_id, 0 AS kind, string_split(text, chr(10)) AS p FROM d
+      UNION ALL SELECT doc_id, 1, regexp_split_to_array(text, '\\n\\s*\\n') FROM d
+      UNION ALL SELECT doc_id, 2, [text] FROM d),
+    u AS (SELECT doc_id, kind, len(p) AS n, unnest(range(len(p))) AS unit_no, unnest(p) AS unit FROM parts),
+    w AS (SELECT doc_id, kind, unit_no, list_filter(string_split(trim(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS words
+          FROM u WHERE kind = 0 OR (contains(unit, chr(10)) AND (kind = 2 OR n > 1))),
+    g AS (SELECT doc_id, kind, unit_no, list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS grams FROM w WHERE len(words) > 1),
+    s AS (SELECT doc_id, kind, unit_no, licence, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + t.size) AS dice
+          FROM g JOIN t ON len(g.grams) BETWEEN {licences.DICE} / (2 - {licences.DICE}) * t.size AND (2 - {licences.DICE}) / {licences.DICE} * t.size),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, licence ORDER BY dice DESC, kind, unit_no) AS k FROM s WHERE dice >= {licences.DICE})
+    SELECT doc_id, licence, dice, ['line', 'paragraph', 'text'][kind + 1] AS unit, CAST(unit_no AS INTEGER) AS unit_no FROM r WHERE k = 1
+    """
+
+
+@query("op3_licence_scan", licence_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and texts found in all documents."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again, with digests of both."""
+    docs = table(spark, sf_dir, "documents")
+    path = vocabulary("piece_bpe_32k.model")
+    back = sp_codec.decode(sp_codec.encode(docs, path), path)
+    return back.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
