@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netobs.checks.common import hex_lower, tcp_frames, udp_frames
+from netobs.checks.common import hex_lower, udp_frames
 from netobs.checks.registry import PK, query
 from netobs.functions.addr import is_private_v4, is_private_v6, is_unicast_mac, mac_bytes
 from netobs.operators.classify import PrefixSet, direction, flag_by_table
@@ -291,5 +291,3 @@ def _mac_text(spark, sf):
     p = g.pk(spark, sf).withColumn("b", mac_bytes(F.col("mac")))
     return p.select("seq", mac_text("b").alias("mac"), hex_lower("b").alias("mac_hex"))
 
-
-assert tcp_frames is not None

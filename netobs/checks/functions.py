@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from netobs.checks.registry import PK, PULSE, query
 from netobs.functions.bytes import varint_value
 from netobs.functions.dns import dhcp6_name, dns_name, dns_qtype, netbios_name
-from netobs.functions.quic import quic_client_keys, quic_packet_number
+from netobs.functions.quic import V1_SALT, quic_client_keys, quic_packet_number
 from netobs.functions.text import entropy, find_ci, md5_12, sanitize_text
 from netobs.functions.tls import is_grease, ja4_like, tls_client_hello, tls_version
 from netobs.functions.tlv import ndp_opts, opt8, opt16, tcp_options, tlv16
@@ -61,9 +61,9 @@ def _entropy_alert(spark, sf):
     "entropy_words",
     """, w AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(t, ' ')) AS word FROM clean)
   WHERE word <> '' GROUP BY 1),
-c AS (SELECT word, ch, count(*) AS k FROM (SELECT word, unnest(string_split(word, '')) AS ch FROM w) GROUP BY 1, 2),
-e AS (SELECT word, 0.0 - sum((k / length(word)) * log2(k / length(word))) AS ent FROM c GROUP BY 1)
-SELECT w.word, n, round(ent, 4) AS entropy FROM w JOIN e USING (word)""",
+c AS (SELECT word, n, map_values(list_histogram(string_split(word, ''))) AS ks FROM w)
+SELECT word, n, round(0.0 - list_sum(list_transform(ks, lambda k: (k / length(word)) * log2(k / length(word)))), 4) AS entropy
+FROM c""",
     CLEAN,
 )
 def _entropy_words(spark, sf):
@@ -338,9 +338,42 @@ def _tls_client_hello(spark, sf):
     )
 
 
-@query("quic_keys")
+def _hmac_sql(inner: str, outer: str, data: str) -> str:
+    return f"unhex(sha256({outer} || unhex(sha256({inner} || {data}))))"
+
+
+def _padded_sql(key: str, pad: str) -> str:
+    """One HMAC block of a 32-byte key: the key, filled up with zeros, against a repeated byte."""
+    return f"CAST(xor(CAST({key} || unhex(repeat('00', 32)) AS BIT), CAST(unhex(repeat('{pad}', 64)) AS BIT)) AS BLOB)"
+
+
+def _label_sql(name: str, size: int) -> str:
+    full = b"tls13 " + name.encode()
+    return f"unhex('{(size.to_bytes(2, 'big') + bytes([len(full)]) + full + bytes([0, 1])).hex()}')"
+
+
+def _keyed_sql(key: str, name: str, size: int) -> str:
+    return _hmac_sql(_padded_sql(key, "36"), _padded_sql(key, "5c"), _label_sql(name, size))
+
+
+_SALT = bytes.fromhex(V1_SALT).ljust(64, bytes(1))
+_SALTED = _hmac_sql(
+    f"unhex('{bytes(x ^ 0x36 for x in _SALT).hex()}')", f"unhex('{bytes(x ^ 0x5C for x in _SALT).hex()}')",
+    "unhex(printf('%016x', seq))",
+)
+
+
+@query(
+    "quic_keys",
+    f""", a AS (SELECT seq, {_SALTED} AS prk FROM pulse),
+b AS (SELECT seq, {_keyed_sql("prk", "client in", 32)} AS secret FROM a)
+SELECT seq, substr(hex({_keyed_sql("secret", "quic key", 16)}), 1, 32) AS "key",
+  substr(hex({_keyed_sql("secret", "quic iv", 12)}), 1, 24) AS iv,
+  substr(hex({_keyed_sql("secret", "quic hp", 16)}), 1, 32) AS hp FROM b""",
+    PULSE,
+)
 def _quic_keys(spark, sf):
-    """Key schedule per connection id; no SQL twin, the RFC vectors are a unit test."""
+    """Key schedule per connection id."""
     p = g.pulse(spark, sf).withColumn("dcid", F.unhex(g.hx(F.col("seq"), 8)))
     return stage(p, {"q": quic_client_keys(F.col("dcid"))}).select(
         "seq", F.hex("q.key").alias("key"), F.hex("q.iv").alias("iv"), F.hex("q.hp").alias("hp")

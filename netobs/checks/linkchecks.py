@@ -259,5 +259,3 @@ def _inspect_limit(spark, sf):
     rows = located_packets(inspect_frames(g.pk(spark, sf)), opts, prefilter=False)
     return inspect_packets(rows, "02:00:00:00:00:05", count=25).select("seq", "line")
 
-
-assert PULSE in PK and link_local is not None

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netobs.checks.common import records, tcp_frames, udp_frames, v6_frames
 from netobs.checks.functions import HELLO_SQL, HOSTS, hosts
-from netobs.checks.registry import PK, PULSE, query
+from netobs.checks.registry import PK, query
 from netobs.operators.classify import PrefixSet
 from netobs.operators.reassembly import quic_reassemble
 from netobs.operators.vectors import vectors
@@ -210,10 +210,11 @@ def _rec_dhcp6(spark, sf):
 
 @query(
     "rec_mdns",
-    f"""SELECT seq, mac, src_ip, 5353 AS port, '_svc' || k || '._tcp.local' AS qname, {ROUTED} FROM pk WHERE k % 4 <> 3""",
+    f"""SELECT seq, mac, src_ip, 5353 AS port, '_svc' || k || '._tcp.local' AS qname, {ROUTED} FROM pk
+WHERE k % 4 <> 3 AND sport NOT IN (1900, 3702)""",
 )
 def _rec_mdns(spark, sf):
-    """One in four has no question."""
+    """One in four has no question; a source port of another discovery service comes first in the order."""
     p = g.pk(spark, sf)
     k = F.col("k")
     name = F.concat(F.lit("_SVC"), k.cast("string"), F.lit("._tcp.local"))
@@ -298,7 +299,7 @@ def _rec_arp(spark, sf):
   CASE WHEN k % 3 = 2 THEN CASE WHEN k % 4 < 2 THEN 'RS' ELSE 'SO' END END AS flags FROM pk""",
 )
 def _rec_ndp(spark, sf):
-    """The link-layer option names the sender in odd rows."""
+    """The link-layer option names the sender in odd rows; nobody else claims an address."""
     p = g.pk(spark, sf)
     k = F.col("k")
     target = g.cat("20010db8" + "00" * 10, g.hx(F.col("seq") % 65536 + 1, 2))
@@ -385,7 +386,6 @@ def quic_frames(p, hello, broken=None):
     body = F.hex(packet)
     if broken is not None:
         # one ciphertext byte flipped: the tag no longer verifies
-        body = F.when(broken, F.expr("concat(substring(x, 1, length(x) - 2), 'zz')")).otherwise(F.col("x"))
         p = stage(p, {"x": F.hex(packet)})
         body = F.when(broken, F.concat(F.expr("substring(x, 1, length(x) - 2)"), F.when(F.expr("right(x, 2)") == "00", F.lit("01")).otherwise(F.lit("00")))).otherwise(F.col("x"))
     return udp_frames(p, F.col("sport"), F.lit(443), body)
@@ -405,8 +405,9 @@ def _rec_tls_quic(spark, sf):
 
 @query(
     "rec_quic",
-    """, b AS (SELECT * FROM pk WHERE k % 4 = 0),
-o AS (SELECT seq AS o_seq, ts_s AS o_s, mac, dst_ip FROM pk WHERE k % 4 <> 0)
+    """, q AS (SELECT * REPLACE (printf('203.0.113.%d', seq % 2) AS dst_ip) FROM pk),
+b AS (SELECT * FROM q WHERE k % 4 = 0),
+o AS (SELECT seq AS o_seq, ts_s AS o_s, mac, dst_ip FROM q WHERE k % 4 <> 0)
 SELECT b.seq, b.mac, src_ip, b.dst_ip, 443 AS dst_port, 'encrypted' AS sni, 'v1' AS version, 0 AS routed
 FROM b ASOF LEFT JOIN o ON b.mac = o.mac AND b.dst_ip = o.dst_ip AND b.seq > o.o_seq
 WHERE o.o_s IS NULL OR b.ts_s - o.o_s > 15""",
@@ -418,9 +419,6 @@ def _rec_quic(spark, sf):
     return records(quic_frames(p, hello, F.col("k") % 4 == 0), "QUIC", "T")
 
 
-ORACLE_QUIC = "FROM pk"
-
-
 @query(
     "quic_initials",
     "SELECT seq, 1 + CAST(k % 3 = 0 AS INTEGER) AS packets, printf('%016x', seq) AS dcid, 1200 AS plain_len FROM pk",
@@ -487,7 +485,6 @@ def _rec_tls_quic_stateful(spark, sf):
     rows = p.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
     body = F.when(F.col("half") == 0, tail).otherwise(head)
     rows = stage(rows, {"plain": F.unhex(g.pad_hex(body, 1200))}, drop=("h",))
-    packet = g.quic_initial(F.unhex(g.hx(F.col("seq"), 8)), F.col("half"), F.col("plain"))
     rows = rows.withColumns(
         {"ts": F.col("ts") + F.make_interval(secs=F.col("half")), "seq": F.col("seq") * 2 + F.col("half"), "id": F.col("seq")}
     )
@@ -495,5 +492,3 @@ def _rec_tls_quic_stateful(spark, sf):
     df = records(udp_frames(rows, F.col("sport"), F.lit(443), F.hex(packet)), "TLS", "T", quic_stateful=True)
     return df.withColumn("seq", F.floor(F.col("seq") / 2))
 
-
-assert PULSE and PK

@@ -36,14 +36,14 @@ WIRE = (
     + """, rec AS (
   SELECT *, CASE event_type
     WHEN 'view' THEN 'DNS|' || mac || '|' || src_ip || '|host' || k || '.example.com'
-    WHEN 'click' THEN 'SYN|' || mac || '|' || src_ip || '|64|64240|7|1460|M*,S,T,N,W*|' || dport
+    WHEN 'click' THEN 'SYN|' || mac || '|' || src_ip || '|64|61000|6|1440|M*,N,W*,S,T|' || dport
     WHEN 'purchase' THEN 'TLS|' || mac || '|' || src_ip || '|' || dst_ip || '|443|shop' || k
          || '.example.com|t13d0302h2_aaaaaaaaaaaa_bbbbbbbbbbbb|h2'
     WHEN 'signup' THEN 'DHCP|' || mac || '|' || src_ip || '|host-' || dev || '|MSFT 5.0|1,3,6,15'
     ELSE 'ARP|' || mac || '|' || src_ip || '|' || dst_ip || '|request' END
     || CASE WHEN k % 10 = 9 THEN '|routed' ELSE '' END AS record FROM pk),
 wire AS (
-  SELECT *, CASE WHEN k % 2 = 0 THEN 'OBS|sensor-' || (dev % 3) || '|eno2|'
+  SELECT *, CASE WHEN k % 2 = 0 THEN 'OBS|sensor-' || (dev % 3) || '|lan3|'
     || CASE k % 4 WHEN 0 THEN '0' WHEN 2 THEN '100/20' ELSE '20' END || '|' ELSE '' END || record AS line
   FROM rec)"""
 )

@@ -11,8 +11,7 @@ from netobs.checks.common import udp_frames
 from netobs.checks.registry import PK, WIRE, query
 from netobs.operators.dedup import dedup_records, dedup_wire
 from netobs.plans import derived as g
-from netobs.schemas import RECORDS
-from netobs.sources.frames import clamp_frames, select_ifaces
+from netobs.sources.frames import supported_frames, select_ifaces
 from netobs.sources.sensor import sensor_context, union_sensors
 from netobs.sources.wire import (
     format_wire,
@@ -38,14 +37,26 @@ def typed_all(spark, sf) -> dict[str, DataFrame]:
          WHEN 'signup' THEN 'DHCP' ELSE 'ARP' END AS tag,
          CASE WHEN k % 2 = 0 THEN 'sensor-' || (dev % 3) END AS sensor_name, k % 10 = 9 AS routed,
          CASE event_type WHEN 'view' THEN 'host' || k WHEN 'click' THEN CAST(dport AS VARCHAR)
-              WHEN 'purchase' THEN 'shop' || k ELSE '' END AS what FROM pk WHERE event_type <> 'error'),
+              WHEN 'purchase' THEN 'shop' || k WHEN 'error' THEN dst_ip ELSE '' END AS what FROM pk),
 kept AS (
-  SELECT *, lag(ts_s) OVER (PARTITION BY tag, sensor_name, mac, what, routed ORDER BY seq) AS prev FROM keyed)
-SELECT tag, mac, count(*) AS records FROM kept WHERE prev IS NULL OR ts_s - prev >= 35 GROUP BY tag, mac""",
+  SELECT *, lag(ts_s) OVER (PARTITION BY tag, sensor_name, mac, what, routed ORDER BY seq) AS prev,
+         row_number() OVER (PARTITION BY tag, sensor_name, mac, what, routed ORDER BY seq) AS rn FROM keyed),
+arp AS (
+  SELECT tag, sensor_name, mac, what, routed, ts_s, rn, ts_s AS anchor FROM kept WHERE tag = 'ARP' AND rn = 1
+  UNION ALL
+  SELECT e.tag, e.sensor_name, e.mac, e.what, e.routed, e.ts_s, e.rn,
+         CASE WHEN e.ts_s - s.anchor >= 900 THEN e.ts_s ELSE s.anchor END
+  FROM arp AS s JOIN kept AS e ON e.tag = 'ARP' AND e.sensor_name IS NOT DISTINCT FROM s.sensor_name AND e.mac = s.mac
+    AND e.what = s.what AND e.routed = s.routed AND e.rn = s.rn + 1),
+left_over AS (
+  SELECT tag, mac FROM kept WHERE tag <> 'ARP' AND (prev IS NULL OR ts_s - prev >= 35)
+  UNION ALL
+  SELECT DISTINCT ON (sensor_name, mac, what, routed, anchor) tag, mac FROM arp)
+SELECT tag, mac, count(*) AS records FROM left_over GROUP BY tag, mac""",
 )
 def _device_activity(spark, sf):
     """Records per device and tag after deduplication."""
-    kept = dedup_wire(parse_wire(g.wire(spark, sf)).where(F.col("tag") != "ARP"))
+    kept = dedup_wire(parse_wire(g.wire(spark, sf)))
     return kept.groupBy("tag", "mac").agg(F.count("*").alias("records"))
 
 
@@ -80,7 +91,7 @@ def _wire_parse(spark, sf):
 @query(
     "obs_split",
     """SELECT seq, CASE WHEN k % 2 = 0 THEN 'sensor-' || (dev % 3) END AS sensor_name,
-       CASE WHEN k % 2 = 0 THEN 'eno2' END AS iface,
+       CASE WHEN k % 2 = 0 THEN 'lan3' END AS iface,
        CASE WHEN k % 4 = 0 THEN '0' WHEN k % 4 = 2 THEN '100/20' END AS vlan, record FROM wire""",
     WIRE,
 )
@@ -90,13 +101,13 @@ def _obs_split(spark, sf):
 
 @query(
     "obs_wrap",
-    """SELECT seq, 'OBS|sensor-athens-01|' || CASE WHEN k % 2 = 0 THEN 'eno2' ELSE 'unknown' END || '|'
+    """SELECT seq, 'OBS|sensor-north|' || CASE WHEN k % 2 = 0 THEN 'lan3' ELSE 'unknown' END || '|'
        || CASE WHEN k % 4 = 2 THEN '100/20' ELSE '0' END || '|' || record AS line FROM wire""",
     WIRE,
 )
 def _obs_wrap(spark, sf):
     df = split_observation(g.wire(spark, sf)).withColumn("line", F.col("record"))
-    return wrap_observation(df, "sensor-athens-01").select("seq", "line")
+    return wrap_observation(df, "sensor-north").select("seq", "line")
 
 
 @query("wire_format", "SELECT seq, record AS line FROM wire", WIRE)
@@ -108,7 +119,7 @@ def _wire_format(spark, sf):
 
 TYPED_SQL = {
     "DNS": "'host' || k || '.example.com' AS query_domain",
-    "SYN": "64 AS ttl, 64240 AS \"window\", 7 AS wscale, 1460 AS mss, 'M*,S,T,N,W*' AS opts, dport AS dst_port",
+    "SYN": "64 AS ttl, 61000 AS \"window\", 6 AS wscale, 1440 AS mss, 'M*,N,W*,S,T' AS opts, dport AS dst_port",
     "TLS": "dst_ip, 443 AS dst_port, 'shop' || k || '.example.com' AS sni, "
     "'t13d0302h2_aaaaaaaaaaaa_bbbbbbbbbbbb' AS ja4, 'h2' AS alpn",
     "DHCP": "'host-' || dev AS hostname, 'MSFT 5.0' AS vendor_class, '1,3,6,15' AS prl",
@@ -161,7 +172,7 @@ def _iface_select(spark, sf):
     named = frames.join(p.select("seq", "dev"), "seq").withColumn(
         "iface", F.concat(F.lit("eth"), (F.col("dev") % 4).cast("string"))
     )
-    chosen = select_ifaces(clamp_frames(named), "eth0,eth2,any")
+    chosen = select_ifaces(supported_frames(named), "eth0,eth2,any")
     return chosen.groupBy("iface").agg(
         F.count("*").alias("frames"), F.sum(F.length("data")).cast("bigint").alias("bytes")
     )
@@ -179,5 +190,3 @@ def _sensor_union(spark, sf):
     )
     return both.groupBy("sensor_name").agg(F.count("*").alias("n"))
 
-
-assert set(KINDS) <= set(RECORDS)

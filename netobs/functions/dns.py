@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from netobs.functions.bytes import IntLike, as_col, bits, latin1, let, take, u8, u16, walk
 
-NAME_STEPS = 64  # labels and jumps followed before a name is cut
-QUESTION_STEPS = 128
+# Protocol limits: a name has at most 255 octets, so at most 127 labels with as
+# many pointers before them, and its end.
 NAME_MAX = 255
+NAME_STEPS = 255
 
 
 def dns_name(b: Column, start: IntLike, max_len: int = NAME_MAX) -> Column:
@@ -58,7 +59,7 @@ def dns_name(b: Column, start: IntLike, max_len: int = NAME_MAX) -> Column:
         return F.when(pos >= n, finish(s)).otherwise(let(u8(b, pos), with_len))
 
     init = state(as_col(start), F.lit(-1), F.lit(""), F.lit(False))
-    out = walk(NAME_STEPS, init, step, lambda s: s["done"])
+    out = walk(F.least(n + 1, F.lit(NAME_STEPS)), init, step, lambda s: s["done"])
     return F.substring(out["out"], 1, max_len)
 
 
@@ -83,7 +84,7 @@ def dns_qtype(b: Column, start: IntLike) -> Column:
         return F.when(pos >= n, state(pos, F.lit(True), F.lit(True))).otherwise(let(u8(b, pos), with_len))
 
     init = state(as_col(start), as_col(start) < n, F.lit(False))
-    end = walk(QUESTION_STEPS, init, step, lambda s: s["done"])
+    end = walk(F.floor(n / 2).cast("int") + 1, init, step, lambda s: s["done"])
     return let(end, lambda e: F.when(e["ok"] & (e["pos"] + 4 <= n), u16(b, e["pos"])).otherwise(F.lit(0)))
 
 

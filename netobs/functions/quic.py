@@ -37,7 +37,7 @@ from netobs.functions.bytes import (
 V1_SALT = "38762cf7f55934b34d179ae6a4c80cadccbb7f0a"
 MIN_DATAGRAM = 1200
 MAX_CID = 20
-MAX_CRYPTO = 8192
+MAX_HELLO = (1 << 24) + 3  # a handshake message: four bytes, then a 24-bit length
 
 INITIALS = "array<struct<off:int,span:int,dcid:binary,pn_off:int>>"
 FRAGMENTS = "array<struct<off:int,bytes:binary>>"
@@ -258,7 +258,7 @@ def quic_decrypt_initial(packet: Column, dcid: Column, pn_off: Column) -> Column
 # -- frames -------------------------------------------------------------------
 
 
-def crypto_fragments(plain: Column, limit: Column | int = MAX_CRYPTO) -> Column:
+def crypto_fragments(plain: Column, limit: Column | int = MAX_HELLO) -> Column:
     """CRYPTO frames as ``ARRAY<STRUCT<off, bytes>>`` in frame order.
 
     Padding, PING and ACK frames are skipped; the walk ends at anything else or
@@ -358,7 +358,7 @@ def crypto_fragments(plain: Column, limit: Column | int = MAX_CRYPTO) -> Column:
     return F.when(plain.isNotNull(), walk(n, init, step, lambda s: s["done"])["out"])
 
 
-def assemble_hello(frags: Column, cap: Column | int = MAX_CRYPTO) -> Column:
+def assemble_hello(frags: Column, cap: Column | int = MAX_HELLO) -> Column:
     """Contiguous ClientHello (``4 + length`` bytes) from fragments, else NULL.
 
     Later fragments overwrite earlier ones; ``overlay`` keeps bytes and a
@@ -403,7 +403,7 @@ def assemble_hello(frags: Column, cap: Column | int = MAX_CRYPTO) -> Column:
 
 def as_tls_record(hello: Column) -> Column:
     """Prefix a bare handshake message with a TLS record header."""
-    return F.concat(blob("160301"), be(F.length(hello), 2), hello)
+    return F.concat(blob("160301"), be(F.least(F.length(hello), F.lit(65535)), 2), hello)
 
 
 def stateless_hello(initials: Column) -> Column:
@@ -413,12 +413,10 @@ def stateless_hello(initials: Column) -> Column:
         lambda i: F.when(
             i["plain"].isNotNull() & (F.length(i["plain"]) >= 4),
             let(
-                F.least(F.length(i["plain"]), F.lit(MAX_CRYPTO)),
+                F.length(i["plain"]),
                 lambda cap: assemble_hello(crypto_fragments(i["plain"], cap), cap),
             ),
         ),
     )
-    usable = F.filter(
-        hellos, lambda h: h.isNotNull() & (F.length(h) + 5 <= MAX_CRYPTO)
-    )
+    usable = F.filter(hellos, lambda h: h.isNotNull())
     return let(F.get(usable, F.lit(0)), lambda h: F.when(h.isNotNull(), as_tls_record(h)))

@@ -25,7 +25,7 @@ def sanitize_text(col: Column, max_len: int | None = None, lower: bool = False)
 
 def until_nul(raw: Column) -> Column:
     """Bytes up to the first NUL, as text with one character per byte."""
-    return F.substring_index(latin1(raw), F.lit("\x00"), 1)
+    return F.substring_index(latin1(raw), "\x00", 1)
 
 
 def entropy(s: Column) -> Column:

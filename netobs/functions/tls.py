@@ -9,8 +9,6 @@ from netobs.functions.bytes import as_col, bits, let, take, u8, u16, walk
 from netobs.functions.text import md5_12, sanitize
 
 EXT_ARRAY = "array<struct<t:int,off:int,len:int>>"
-MAX_CIPHERS = 819  # entries that fit the reference list buffer
-MAX_EXTENSIONS = 128
 
 
 def is_grease(v: Column) -> Column:
@@ -91,7 +89,7 @@ def tls_client_hello(b: Column) -> Column:
 
     def body(p, start, end):
         raw_ciphers = _u16_list(b, p + 2, F.floor(u16(b, p) / 2).cast("int"))
-        ciphers = F.slice(F.filter(raw_ciphers, lambda c: ~is_grease(c)), 1, MAX_CIPHERS)
+        ciphers = F.filter(raw_ciphers, lambda c: ~is_grease(c))
 
         def with_ext(exts):
             fit = F.filter(exts, lambda e: e["off"] + e["len"] <= end)
@@ -138,7 +136,7 @@ def tls_client_hello(b: Column) -> Column:
             return F.struct(
                 F.coalesce(F.get(best, F.size(best) - 1), u16(b, 9)).alias("version"),
                 ciphers.alias("ciphers"),
-                F.slice(ids, 1, MAX_EXTENSIONS).alias("ext_ids"),
+                ids.alias("ext_ids"),
                 (F.size(sni_ext) > 0).alias("has_sni"),
                 F.get(F.filter(names, lambda s: s != ""), F.lit(0)).alias("sni"),
                 (F.size(alpn_ext) > 0).alias("has_alpn"),

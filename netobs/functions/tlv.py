@@ -151,7 +151,7 @@ def tcp_options(opts: Column) -> Column:
                 .otherwise(let(u8(opts, pos + 1), with_len))
             )
 
-        return F.when((pos >= n) | (F.length(text) >= 60), stop()).otherwise(let(u8(opts, pos), with_kind))
+        return F.when(pos >= n, stop()).otherwise(let(u8(opts, pos), with_kind))
 
     init = state(F.lit(0), null_int, null_int, F.lit(""), F.lit(False))
     end = walk(F.coalesce(n, F.lit(0)) + 1, init, step, lambda s: s["done"])

@@ -1,9 +1,8 @@
 """Inside / direct / off-link classification against prefix tables.
 
-The prefix configuration is bounded (64 learned and 64 configured entries, the
-limit of the system), so it folds into literal range predicates: no join, no
-broadcast, and the tests run inside the decode projection.  Larger prefix
-tables go through ``flag_by_table``, an equi-join per prefix length.
+A configuration written out in a ``PrefixSet`` folds into literal range
+predicates: no join, no broadcast, and the tests run inside the decode
+projection.  Prefix tables go through ``flag_by_table``.
 """
 
 from __future__ import annotations
@@ -25,8 +24,6 @@ from netobs.functions.addr import (
 from netobs.functions.bytes import bits, take, u8
 from netobs.schemas import PREFIX
 
-MAX_PREFIXES = 64
-
 
 @dataclass(frozen=True)
 class PrefixSet:
@@ -36,8 +33,6 @@ class PrefixSet:
     learned: tuple[tuple[str, str], ...] = field(default=())
 
     def __post_init__(self):
-        if len(self.inside) > MAX_PREFIXES or len(self.learned) > MAX_PREFIXES:
-            raise ValueError(f"more than {MAX_PREFIXES} prefixes; use flag_by_table")
         for cidr in (*self.inside, *(c for _, c in self.learned)):
             cidr_bounds(cidr)
 

@@ -21,7 +21,6 @@ PPP_IPV4, PPP_IPV6 = 0x0021, 0x0057
 TCP, UDP, ICMP, ICMPV6 = 6, 17, 1, 58
 EXT_OPTIONS = (0, 43, 60)
 EXT_FRAGMENT, EXT_AUTH, EXT_NONE = 44, 51, 59
-MAX_EXT_HEADERS = 8
 
 
 def strip_l2(frames: DataFrame) -> DataFrame:
@@ -93,7 +92,7 @@ def source_mac_sane(df: DataFrame) -> DataFrame:
 
 
 def ipv6_l4(b: Column, l3_off: Column) -> Column:
-    """``STRUCT<proto, off, ok>`` after at most eight extension headers."""
+    """``STRUCT<proto, off, ok>`` after the extension headers."""
     n = F.length(b)
 
     def state(proto, off, ok, done):
@@ -132,7 +131,7 @@ def ipv6_l4(b: Column, l3_off: Column) -> Column:
     first = u8(b, l3_off + 6)
     start = state(first, l3_off + 40, F.lit(True), F.lit(False))
     chained = first.isin(*EXT_OPTIONS, EXT_FRAGMENT, EXT_AUTH, EXT_NONE)
-    end = F.when(chained, walk(MAX_EXT_HEADERS, start, step, lambda s: s["done"])).otherwise(start)
+    end = F.when(chained, walk(F.floor((n - l3_off - 40) / 8).cast("int") + 1, start, step, lambda s: s["done"])).otherwise(start)
     return let(end, lambda e: F.struct(e["proto"].alias("proto"), e["off"].alias("off"), e["ok"].alias("ok")))
 
 

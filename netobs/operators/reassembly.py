@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netobs.functions.quic import (
-    MAX_CRYPTO,
     as_tls_record,
     crypto_fragments,
     quic_open,
@@ -30,29 +29,34 @@ class HelloBuffer:
         self._clear()
 
     def _clear(self) -> None:
-        self.data, self.seen = bytearray(), bytearray()
+        self.parts: list[tuple[int, bytes]] = []
+
+    def _whole(self, size: int) -> bytes | None:
+        """The first ``size`` bytes once fragments cover them all."""
+        data, end = bytearray(size), 0
+        for off, part in sorted(self.parts, key=lambda x: x[0]):
+            if off > end:
+                break
+            end = max(end, off + len(part))
+        if end < size:
+            return None
+        for off, part in self.parts:
+            part = part[: max(0, size - off)]
+            data[off : off + len(part)] = part
+        return bytes(data)
 
     def __call__(self, sec: int, fragments) -> bytes | None:
         if self.last is not None and sec - self.last > self.idle:
             self._clear()
         self.last = sec
-        for frag in fragments or []:
-            off, part = frag["off"], frag["bytes"]
-            end = off + len(part)
-            if end > len(self.data):
-                grow = end - len(self.data)
-                self.data += bytes(grow)
-                self.seen += bytes(grow)
-            self.data[off:end] = part
-            self.seen[off:end] = b"\x01" * len(part)
-        if len(self.data) < 4 or self.data[0] != 1 or not all(self.seen[:4]):
-            return None
-        total = 4 + int.from_bytes(self.data[1:4], "big")
-        if total > min(MAX_CRYPTO, len(self.data)) or not all(self.seen[:total]):
+        self.parts += [(f["off"], bytes(f["bytes"])) for f in fragments or [] if len(f["bytes"])]
+        head = self._whole(4)
+        if head is None or head[0] != 1:
             return None
-        hello = bytes(self.data[:total])
-        self._clear()
-        self.last = None
+        hello = self._whole(4 + int.from_bytes(head[1:], "big"))
+        if hello is not None:
+            self._clear()
+            self.last = None
         return hello
 
 
@@ -62,8 +66,8 @@ def quic_reassemble(
     """Rows that complete a hello.
 
     ``fragments`` has ``ts, seq, part, frags`` (``ARRAY<STRUCT<off, bytes>>``),
-    one row per packet; ``part`` is its place in the datagram.  A connection's state is at most 8 KiB, so the scan holds that
-    and one batch whatever the number of packets.
+    one row per packet; ``part`` is its place in the datagram.  A connection's
+    state is the fragments of one unfinished hello.
     """
     slim = fragments.withColumn("_sec", F.unix_seconds("ts"))
     scanned = ordered_scan(
@@ -100,7 +104,7 @@ def stateful_packets(datagrams: DataFrame, idle: int = SESSION_IDLE) -> DataFram
     return (
         stage(
             stage(with_pn, {"_p": plain}, drop=("_u", "_plain", "_largest")),
-            {"frags": crypto_fragments(F.col("_p"), MAX_CRYPTO)},
+            {"frags": crypto_fragments(F.col("_p"))},
             drop=("_p",),
         )
     )
@@ -108,4 +112,4 @@ def stateful_packets(datagrams: DataFrame, idle: int = SESSION_IDLE) -> DataFram
 
 def hello_records(done: DataFrame, hello: str = "hello") -> DataFrame:
     """Completed hellos as TLS records in column ``tls``."""
-    return done.where(F.length(hello) + 5 <= MAX_CRYPTO).withColumn("tls", as_tls_record(F.col(hello)))
+    return done.withColumn("tls", as_tls_record(F.col(hello)))

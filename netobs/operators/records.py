@@ -26,14 +26,13 @@ from netobs.functions.tls import hello_complete, ja4_like, tls_client_hello
 from netobs.operators import decode as d
 from netobs.operators.dnslat import DNS_TIMEOUT, dns_latency
 from netobs.operators.filters import parse_mac
-from netobs.operators.flows import FLOW_BUDGET, FLOW_IDLE, app_flow_budget
+from netobs.operators.flows import FLOW_IDLE, app_flow_budget
 from netobs.operators.handshake import SYN_TTL, tcp_handshake
 from netobs.plans.slices import asof_within
 from netobs.plans.stage import shared, stage
 from netobs.schemas import record_columns
 
 ENTROPY_ALERT = 4.2
-DOMAIN_MAX = 127
 QUIC_SUCCESS_TTL = 15
 
 
@@ -48,9 +47,9 @@ def _record(df: DataFrame, tag: str, mac: Column | str = "device_mac", extra: tu
     )
 
 
-def _nul_text(raw: Column, max_len: int) -> Column:
+def _nul_text(raw: Column) -> Column:
     """Text up to a NUL, unprintable characters blanked."""
-    return F.regexp_replace(until_nul(F.substring(raw, 1, max_len)), UNSAFE, " ")
+    return F.regexp_replace(until_nul(raw), UNSAFE, " ")
 
 
 # -- TCP ------------------------------------------------------------------------
@@ -128,12 +127,14 @@ def rec_tcplvl(seg: DataFrame, ttl: int = SYN_TTL) -> DataFrame:
 def flow_payloads(
     seg: DataFrame,
     groups: frozenset[str] = frozenset("ht"),
+    budget: int | None = None,
     idle: int = FLOW_IDLE,
-    budget: int = FLOW_BUDGET,
 ) -> DataFrame:
-    """HTTP / TLS client payloads inside the parsing budget of their flow."""
+    """HTTP / TLS client payloads; with a ``budget``, those inside the parsing budget of their flow."""
     ports = ([80, 8080] if "h" in groups else []) + ([443] if "t" in groups else [])
     rows = seg.where(F.col("dport").isin(*ports) & (F.length("payload") > 0))
+    if budget is None:
+        return rows
     done = F.when(F.col("dport") == 443, hello_complete(F.col("payload"))).otherwise(
         F.instr(latin1(F.col("payload")), "\r\n\r\n") > 0
     )
@@ -152,7 +153,7 @@ def rec_http(payloads: DataFrame) -> DataFrame:
     at = find_ci(F.col("_t"), "\r\nUser-Agent: ")
     rest = F.substring(F.col("_t"), at + 14, F.length("_t"))
     rows = stage(rows, {"_r": rest}, where=at > 0).where(F.instr("_r", "\r\n") > 0)
-    agent = F.regexp_replace(F.substring(F.substring_index("_r", "\r\n", 1), 1, 255), UNSAFE, " ")
+    agent = F.regexp_replace(F.substring_index("_r", "\r\n", 1), UNSAFE, " ")
     rows = stage(rows, {"user_agent": agent}).withColumn("src_ip", ip_text("src_ip"))
     return _record(rows.where(F.col("user_agent") != ""), "HTTP")
 
@@ -311,7 +312,7 @@ def rec_dnsext(messages: DataFrame, timeout: float = DNS_TIMEOUT) -> DataFrame:
     own = _own(messages)
     slim = messages.select(
         "ts", "seq", *own, "iface", "vlan", "is_response", "client_ip", "server_ip", "txid", "rcode",
-        "qtype", "routed", F.substring("qname", 1, DOMAIN_MAX).alias("query_domain"),
+        "qtype", "routed", F.col("qname").alias("query_domain"),
         F.col("src_mac").alias("client_mac"),
     )
     hit = dns_latency(
@@ -349,18 +350,11 @@ def rec_dhcp(udp: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.greatest(F.length("_prl") - 1, F.lit(0))),
         lambda i: u8(F.col("_prl"), i).cast("string"),
     )
-    prl = F.aggregate(
-        codes,
-        F.lit(""),
-        lambda acc, x: F.when(
-            F.length(acc) < 248, F.concat(acc, F.when(acc != "", F.lit(",")).otherwise(F.lit("")), x)
-        ).otherwise(acc),
-    )
     rows = rows.withColumns(
         {
-            "hostname": F.coalesce(_nul_text(F.col("_host"), 63), F.lit("")),
-            "vendor_class": F.coalesce(_nul_text(F.col("_vend"), 63), F.lit("")),
-            "prl": F.when(F.col("_prl").isNotNull(), prl).otherwise(F.lit("")),
+            "hostname": F.coalesce(_nul_text(F.col("_host")), F.lit("")),
+            "vendor_class": F.coalesce(_nul_text(F.col("_vend")), F.lit("")),
+            "prl": F.when(F.col("_prl").isNotNull(), F.array_join(codes, ",")).otherwise(F.lit("")),
         }
     )
     return _record(_named(rows), "DHCP")
@@ -410,7 +404,7 @@ def rec_dhcp6(udp: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.greatest(F.floor(F.length("_oro") / 2).cast("int") - 1, F.lit(0))),
         lambda i: u16(F.col("_oro"), i * 2).cast("string"),
     )
-    vendor = sanitize(take(F.col("_vend"), 6, F.least(u16(F.col("_vend"), 4), F.lit(127))))
+    vendor = sanitize(take(F.col("_vend"), 6, u16(F.col("_vend"), 4)))
     rows = rows.withColumns(
         {
             "msg_type": dhcp6_msg_name(u8(p, 0)),
@@ -418,7 +412,7 @@ def rec_dhcp6(udp: DataFrame) -> DataFrame:
                 dhcp6_duid_name(u16(F.col("_duid"), 0))
             ),
             "vendor_class": F.when(vendor != "", vendor),
-            "oro": F.when(F.col("_oro").isNotNull(), F.substring(F.array_join(wanted, ","), 1, 255)),
+            "oro": F.when(F.col("_oro").isNotNull(), F.array_join(wanted, ",")),
             "fqdn": F.when(F.col("_fqdn").isNotNull(), dhcp6_name(drop(F.col("_fqdn"), 1))),
         }
     )
@@ -449,11 +443,11 @@ def rec_nbns(udp: DataFrame) -> DataFrame:
 
 
 def rec_l7(udp: DataFrame) -> DataFrame:
-    """Discovery text: the first 512 bytes, sanitised, lower case."""
+    """Discovery text, sanitised, lower case."""
     rows = udp.where(F.col("vector") == "L7").withColumns(
         {
             "dst_port": F.when(F.col("dport").isin(1900, 3702), F.col("dport")).otherwise(F.col("sport")),
-            "payload": sanitize(take(F.col("payload"), 0, 512), lower=True),
+            "payload": sanitize(F.col("payload"), lower=True),
         }
     )
     return _record(_named(rows.where(F.col("payload") != "")), "L7")
@@ -466,8 +460,8 @@ def rec_lldp(packets: DataFrame) -> DataFrame:
     rows = stage(packets.where(F.col("l3_proto") == d.ETH_LLDP), {"_o": tlv16(F.col("l4"))})
     rows = rows.where(F.exists("_o", lambda o: o["t"].isin(5, 6))).withColumns(
         {
-            "sysname": F.coalesce(_nul_text(last_of(F.col("_o"), 5), 127), F.lit("")),
-            "sysdesc": F.coalesce(_nul_text(last_of(F.col("_o"), 6), 255), F.lit("")),
+            "sysname": F.coalesce(_nul_text(last_of(F.col("_o"), 5)), F.lit("")),
+            "sysdesc": F.coalesce(_nul_text(last_of(F.col("_o"), 6)), F.lit("")),
             "routed": F.col("offlink_routed"),
         }
     )

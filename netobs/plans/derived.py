@@ -19,10 +19,7 @@ Hex = Column | str
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; one that comes in few splits is spread over the cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pulse_of(events: DataFrame) -> DataFrame:
@@ -74,7 +71,7 @@ def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     vlan = F.when(F.col("k") % 4 == 0, F.lit("0")).when(F.col("k") % 4 == 2, F.lit("100/20")).otherwise(F.lit("20"))
     envelope = F.when(
         F.col("k") % 2 == 0,
-        F.concat(F.lit("OBS|sensor-"), (F.col("dev") % 3).cast("string"), F.lit("|eno2|"), vlan, F.lit("|")),
+        F.concat(F.lit("OBS|sensor-"), (F.col("dev") % 3).cast("string"), F.lit("|lan3|"), vlan, F.lit("|")),
     ).otherwise(F.lit(""))
 
     def line(*parts) -> Column:
@@ -86,7 +83,7 @@ def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "view", line("DNS", mac, src, F.concat(F.lit("host"), k, F.lit(".example.com"))))
         .when(
             kind == "click",
-            line("SYN", mac, src, "64", "64240", "7", "1460", F.lit("M*,S,T,N,W*"), F.col("dport").cast("string")),
+            line("SYN", mac, src, "64", "61000", "6", "1440", F.lit("M*,N,W*,S,T"), F.col("dport").cast("string")),
         )
         .when(
             kind == "purchase",

@@ -45,6 +45,7 @@ class Options:
     router_macs: tuple[str, ...] = ()
     hard_macs: tuple[str, ...] = ()
     dedup_ttl: int = DEFAULT_TTL
+    flow_budget: int | None = None  # payloads of a flow that HTTP and TLS parse; all by default
     sensor_name: str | None = None
 
     def __post_init__(self):
@@ -117,7 +118,7 @@ def telemetry(
             if sel.extended:
                 out["TCPLVL"] = r.rec_tcplvl(seg)
         if sel.groups & set("ht"):
-            pay = r.flow_payloads(seg, sel.groups)
+            pay = r.flow_payloads(seg, sel.groups, opts.flow_budget)
             if "h" in sel.groups:
                 out["HTTP"] = r.rec_http(pay)
             if "t" in sel.groups:

@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BinaryType,
+    BooleanType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructType,
+    TimestampType,
+)
+
+TYPES = {
+    "binary": BinaryType(), "bigint": LongType(), "boolean": BooleanType(), "double": DoubleType(),
+    "int": IntegerType(), "string": StringType(), "timestamp": TimestampType(),
+}
+
+
+def struct(ddl: str) -> StructType:
+    """Schema of ``name type, ...`` made without a JVM, so that workers can import it too."""
+    out = StructType()
+    for field in ddl.split(","):
+        name, kind = field.split()
+        out = out.add(name, TYPES[kind])
+    return out
+
 
 FRAME_DDL = "ts timestamp, seq bigint, iface string, link_type string, aux_vlan int, data binary"
 PREFIX_DDL = "kind string, family int, iface string, lo binary, hi binary, prefix_len int"
 STATS_DDL = "ts timestamp, iface string, packets bigint, drops bigint"
 WIRE_DDL = "ts timestamp, seq bigint, line string"
 
-FRAME = StructType.fromDDL(FRAME_DDL)
-PREFIX = StructType.fromDDL(PREFIX_DDL)
-STATS = StructType.fromDDL(STATS_DDL)
-WIRE = StructType.fromDDL(WIRE_DDL)
+FRAME = struct(FRAME_DDL)
+PREFIX = struct(PREFIX_DDL)
+STATS = struct(STATS_DDL)
+WIRE = struct(WIRE_DDL)
 
 LINK_TYPES = ("ethernet", "raw_ip", "cooked")
 
@@ -67,8 +91,8 @@ def record_columns(tag: str) -> list[str]:
 
 
 def record_schema(tag: str) -> StructType:
-    fields = ", ".join(f"`{n}` {t}" for n, t in RECORDS[tag])
-    return StructType.fromDDL(
+    fields = ", ".join(f"{n} {t}" for n, t in RECORDS[tag])
+    return struct(
         "ts timestamp, seq bigint, sensor_name string, iface string, vlan string, mac string, "
         f"{fields}, routed boolean"
     )

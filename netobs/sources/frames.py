@@ -7,15 +7,10 @@ from pyspark.sql import functions as F
 
 from netobs.schemas import FRAME, LINK_TYPES, STATS
 
-MAX_FRAME = 65535
-MAX_INTERFACES = 8
 
-
-def clamp_frames(df: DataFrame) -> DataFrame:
-    """Limit frame length and keep supported link types."""
-    return df.where(F.col("link_type").isin(*LINK_TYPES)).withColumn(
-        "data", F.substring("data", 1, MAX_FRAME)
-    )
+def supported_frames(df: DataFrame) -> DataFrame:
+    """Frames of the supported link types."""
+    return df.where(F.col("link_type").isin(*LINK_TYPES))
 
 
 def read_frames(
@@ -27,7 +22,7 @@ def read_frames(
     ``maxFilesPerTrigger`` on a stream.
     """
     reader = spark.readStream if stream else spark.read
-    return clamp_frames(reader.format(fmt).schema(FRAME).options(**options).load(path))
+    return supported_frames(reader.format(fmt).schema(FRAME).options(**options).load(path))
 
 
 def frames_from_kafka(
@@ -51,7 +46,7 @@ def frames_from_kafka(
         hit = F.filter("headers", lambda h: h["key"] == name)
         return F.decode(F.get(hit, F.lit(0))["value"], "UTF-8")
 
-    return clamp_frames(
+    return supported_frames(
         raw.select(
             F.col("timestamp").alias("ts"),
             # offsets restart per partition, so the partition goes into the tie-break
@@ -67,16 +62,14 @@ def frames_from_kafka(
 def parse_ifaces(spec: str, sensor: bool = False) -> list[str] | None:
     """Interface names of a comma list; ``None`` means all.
 
-    ``any`` is skipped when it follows an explicit interface; at most eight
-    entries are used; a sensor needs explicit interfaces.
+    ``any`` is skipped when it follows an explicit interface; a sensor needs
+    explicit interfaces.
     """
     if sensor and spec.lower() == "any":
         raise ValueError("sensor mode needs an explicit interface, not 'any'")
     chosen: list[str] = []
     every = False
     for name in [p for p in spec.split(",") if p]:
-        if len(chosen) + every >= MAX_INTERFACES:
-            break
         if name.lower() == "any":
             every = every or not chosen
         else:

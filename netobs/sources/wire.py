@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from netobs.plans.stage import stage
 from netobs.schemas import PLACEHOLDERS, RECORDS
 
-EVENT_MAX = 1023
-OBSERVATION_MAX = 1279
-
 
 def read_wire(
     spark: SparkSession, path: str, stream: bool = False, **options: str
@@ -121,15 +118,14 @@ def _shown(tag: str, name: str, dtype: str) -> Column:
 
 
 def wire_line(tag: str) -> Column:
-    """One record as text without the line end, cut to the event limit."""
-    body = F.concat_ws(
+    """One record as text without the line end."""
+    return F.concat_ws(
         "|",
         F.lit(tag),
         F.coalesce(F.col("mac"), F.lit("")),
         *[_shown(tag, n, t) for n, t in RECORDS[tag]],
         F.when(F.col("routed"), F.lit("routed")),
     )
-    return F.substring(body, 1, EVENT_MAX)
 
 
 def format_wire(df: DataFrame, tag: str) -> DataFrame:
@@ -145,4 +141,4 @@ def wrap_observation(df: DataFrame, sensor: str | None = None, line: str = "line
         "|", F.lit("OBS"), name, F.coalesce(iface, F.lit("unknown")),
         F.coalesce(F.col("vlan"), F.lit("0")), F.col(line),
     )
-    return df.withColumn(line, F.substring(text, 1, OBSERVATION_MAX))
+    return df.withColumn(line, text)
