@@ -13,53 +13,11 @@ from netobs.functions.quic import (
 )
 from netobs.plans.slices import SLICE, drop_slices, micros, ordered_scan, time_slices
 from netobs.plans.stage import stage
+from netobs.streaming.hello import HelloParts
 
 SESSION_IDLE = 5
 
 
-class HelloBuffer:
-    """Bytes of one CRYPTO stream; gives the hello once and starts over.
-
-    Fragments land at their offsets, later ones overwrite, and a session idle
-    for more than ``idle`` seconds is forgotten.
-    """
-
-    def __init__(self, idle: int = SESSION_IDLE):
-        self.idle, self.last = idle, None
-        self._clear()
-
-    def _clear(self) -> None:
-        self.parts: list[tuple[int, bytes]] = []
-
-    def _whole(self, size: int) -> bytes | None:
-        """The first ``size`` bytes once fragments cover them all."""
-        data, end = bytearray(size), 0
-        for off, part in sorted(self.parts, key=lambda x: x[0]):
-            if off > end:
-                break
-            end = max(end, off + len(part))
-        if end < size:
-            return None
-        for off, part in self.parts:
-            part = part[: max(0, size - off)]
-            data[off : off + len(part)] = part
-        return bytes(data)
-
-    def __call__(self, sec: int, fragments) -> bytes | None:
-        if self.last is not None and sec - self.last > self.idle:
-            self._clear()
-        self.last = sec
-        self.parts += [(f["off"], bytes(f["bytes"])) for f in fragments or [] if len(f["bytes"])]
-        head = self._whole(4)
-        if head is None or head[0] != 1:
-            return None
-        hello = self._whole(4 + int.from_bytes(head[1:], "big"))
-        if hello is not None:
-            self._clear()
-            self.last = None
-        return hello
-
-
 def quic_reassemble(
     fragments: DataFrame, keys: list[str], idle: int = SESSION_IDLE, out: str = "hello"
 ) -> DataFrame:
@@ -71,7 +29,7 @@ def quic_reassemble(
     """
     slim = fragments.withColumn("_sec", F.unix_seconds("ts"))
     scanned = ordered_scan(
-        slim, keys, ["ts", "seq", "part"], ["_sec", "frags"], lambda: HelloBuffer(idle), out, "binary"
+        slim, keys, ["ts", "seq", "part"], ["_sec", "frags"], lambda: HelloParts(idle), out, "binary"
     )
     return scanned.where(F.col(out).isNotNull()).drop("_sec", "frags")
 

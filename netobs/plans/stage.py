@@ -44,15 +44,25 @@ def shared(df: DataFrame, *keys: str | Column) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the cluster's checkpoint folder.
+    """A new name in the shared folder for intermediate tables: the cluster's checkpoint folder.
 
-    Only when none is set, as in tests, a new local one is made.
+    Only a local session, as in tests, may do without: it gets a folder of its
+    own. On a cluster every executor would write to its own disk, so there the
+    setting is needed.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="netobs-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="netobs-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder}/netobs-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/netobs-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that nothing will read any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:

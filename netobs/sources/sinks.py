@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from netobs.plans.stage import discard, work_folder
+
 
 @dataclass(frozen=True)
 class Sink:
@@ -34,9 +35,7 @@ def effective_sinks(sinks: list[Sink]) -> list[Sink]:
     return list(sinks)
 
 
-def _print_rows(rows) -> None:
-    for row in rows:
-        print(row["line"])
+CONSOLE_ROWS = 1000  # what a console shows of a batch; files and Kafka get all rows
 
 
 def _write_one(df: DataFrame, sink: Sink) -> None:
@@ -51,33 +50,41 @@ def _write_one(df: DataFrame, sink: Sink) -> None:
             "topic", sink.target
         ).options(**sink.options).save()
     else:
-        # Printed where the rows are, so no result travels through the driver.
-        df.select("line").foreachPartition(_print_rows)
+        df.select("line").show(CONSOLE_ROWS, truncate=False)
 
 
 def write_telemetry(df: DataFrame, sinks: list[Sink] | None = None) -> None:
-    """Write a table with a ``line`` column to every sink."""
-    for sink in effective_sinks(sinks or []):
-        _write_one(df, sink)
-
-
-def stream_telemetry(
-    df: DataFrame,
-    sinks: list[Sink],
-    checkpoint: str,
-    transform: Callable[[DataFrame], DataFrame] | None = None,
-    **trigger,
-) -> StreamingQuery:
+    """Write a table with a ``line`` column to every sink.
+
+    For several sinks the table is computed once, into the shared folder, and
+    removed from there afterwards.
+    """
+    chosen = effective_sinks(sinks or [])
+    if len(chosen) == 1:
+        _write_one(df, chosen[0])
+        return
+    spark, path = df.sparkSession, work_folder(df.sparkSession)
+    try:
+        df.write.parquet(path)
+        once = spark.read.schema(df.schema).parquet(path)
+        for sink in chosen:
+            _write_one(once, sink)
+    finally:
+        discard(spark, path)
+
+
+def stream_telemetry(df: DataFrame, sinks: list[Sink], checkpoint: str, **trigger) -> StreamingQuery:
     """Stream to every sink; each micro-batch is computed once and written to all.
 
-    A batch that is retried after a failure is written again, so delivery is at
-    least once; file sinks put each batch into its own ``batch=`` folder and
-    overwrite it, which makes a retry harmless there.
+    Rules with memory belong into ``df`` (``netobs.streaming.keyed``), where their
+    state crosses micro-batches. A batch that is retried after a failure is
+    written again, so delivery is at least once; file sinks put each batch into
+    its own ``batch=`` folder and overwrite it, which makes a retry harmless there.
     """
     chosen = effective_sinks(sinks)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = (transform(batch) if transform else batch).persist()
+        rows = batch.persist()
         try:
             for sink in chosen:
                 if sink.kind in ("text", "parquet"):
