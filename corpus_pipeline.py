@@ -21,16 +21,16 @@ SHINGLE = 5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a learned language; null texts and texts without letters go."""
     model = langid.learn(docs.where(fold("doc_id", 4) != 2), str(public_tokenizers.path("piece_bpe_32k.model")))
-    marked = docs.withColumn("_l", langid.language(model, F.col("text")))
-    return marked.where((F.col("_l.lang_pred") != "und") & (F.col("_l.score") >= SURE)).select(*docs.columns)
+    marked = docs.select(F.struct("*").alias("row"), langid.language(model, F.col("text")).alias("l"))
+    return marked.where((F.col("l.lang_pred") != "und") & (F.col("l.score") >= SURE)).select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts."""
     labels = quality.labels_of(table(spark, sf_dir, "labels")).where(fold("k", 4) != 2)
     labelled = Scratch(spark, "quality-stage").save(quality.with_statistics(docs, "doc_id", "text"), "statistics").join(labels, "k")
-    scored = quality.with_score(docs, quality.learn(labelled), score="_score")
-    return scored.where(F.col("_score") >= quality.ACCEPT).select(*docs.columns)
+    scored = quality.with_score(docs, quality.learn(labelled))
+    return scored.where(F.col("score") >= quality.ACCEPT).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

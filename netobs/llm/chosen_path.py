@@ -340,5 +340,6 @@ def near_components(docs: DataFrame, width: int = 4, key: str = "doc_id", text:
 
 def keep_one(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose key stays: one document of each component, with its columns."""
-    gone = decided.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    gone = decided.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"))
+    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")

@@ -172,17 +172,16 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def keep_first(docs: DataFrame, decided: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; ``decided`` is from ``exact_dedup``."""
-    columns = docs.columns
-    white = "".join(WHITE)
-    marked = docs.withColumns({
-        "_sha": F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), white, ""), 256),
-        "_cp": F.length(F.coalesce(F.col(text), F.lit(""))).cast("long"),
-    })
-    rows = decided.groupBy(F.col("doc_id").alias("_key"), F.col("text_sha256").alias("_sha"), F.col("cp").alias("_cp"))
-    kept = rows.agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).where("_kept").withColumnRenamed("_sha", "_sha2").withColumnRenamed("_cp", "_cp2")
-    on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("_sha2")) & (F.col("_cp") == F.col("_cp2"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    marked = docs.select(
+        F.struct("*").alias("row"), F.col(key).alias("key"),
+        F.sha2(F.translate(body, WHITE, ""), 256).alias("sha"), F.length(body).cast("long").alias("cp"),
+    )
+    rows = decided.groupBy(F.col("doc_id").alias("key2"), F.col("text_sha256").alias("sha2"), F.col("cp").alias("cp2"))
+    kept = rows.agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept")
+    on = F.col("key").eqNullSafe(F.col("key2")) & (F.col("sha") == F.col("sha2")) & (F.col("cp") == F.col("cp2"))
     left = marked.join(kept, on)
-    once = left.where("_n = 1").select(*columns)
+    once = left.where("n = 1").select("row.*")
     # Rows that agree in key and text: one of them stays.
-    again = left.where("_n > 1").dropDuplicates(["_key", "_sha", "_cp"]).select(*columns)
+    again = left.where("n > 1").dropDuplicates(["key2", "sha", "cp"]).select("row.*")
     return once.union(again)

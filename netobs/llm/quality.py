@@ -64,10 +64,15 @@ def with_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), *[c.alias(f"stat_{name}") for name, c in statistics(F.col(text)).items()])
 
 
-def with_score(docs: DataFrame, model: "RuleModel", text: str = "text", score: str = "quality_score") -> DataFrame:
-    """``docs`` with the score of every row; the statistics are computed once per row."""
-    made = {f"stat_{name}": c for name, c in statistics(F.col(text)).items()}
-    return stage(stage(docs, made), {score: model.score()}, drop=list(made))
+def with_score(docs: DataFrame, model: "RuleModel", text: str = "text") -> DataFrame:
+    """(row, score): every row of ``docs`` as a struct with its score.
+
+    The statistics are computed once per row; column names of ``docs`` cannot
+    clash with theirs.
+    """
+    made = {f"stat_{name}": c for name, c in statistics(F.col("t")).items()}
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"))
+    return stage(stage(rows, made, drop=["t"]), {"score": model.score()}, drop=list(made))
 
 
 def paths(debug: str, names: tuple[str, ...] = NAMES) -> list[Rule]:
