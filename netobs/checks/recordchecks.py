@@ -12,7 +12,7 @@ from netobs.operators.reassembly import quic_reassemble
 from netobs.operators.vectors import vectors
 from netobs.plans import derived as g
 from netobs.plans.jobs import Options, telemetry, wire_lines
-from netobs.plans.stage import stage
+from netobs.plans.stage import stage, work_folder
 
 ROUTED = "0 AS routed"
 
@@ -376,6 +376,52 @@ def _job_lines(spark, sf):
     return wire_lines(telemetry(frames, opts), sensor=True).select("seq", "line")
 
 
+def mixed_frames(spark, sf):
+    """A DNS query, a SYN, a web request, a DHCP request or an ARP request, by event type."""
+    p = g.pk(spark, sf)
+    k, kind, mac, ip = F.col("k"), F.col("event_type"), g.mac_hex(), g.ip_hex(F.col("src_ip"))
+    far = g.ip_hex(F.col("dst_ip"))
+
+    def to_gateway(proto, body):
+        return g.ether(g.GATEWAY, mac, "0800", g.ipv4(proto, ip, far, body))
+
+    port = F.col("sport") % 1000 + 40000
+    name = F.concat(F.lit("host"), k.cast("string"), F.lit(".example.com"))
+    agent = F.concat(F.lit("GET / HTTP/1.1\r\nUser-Agent: agent/"), k.cast("string"), F.lit("\r\n\r\n"))
+    host = g.text_hex(F.concat(F.lit("host-"), F.col("dev").cast("string")))
+    options = g.cat("0c", g.sized(host, 1), "3c08", g.text_hex("MSFT 5.0"), "3704010306", g.hx(k, 1), "ff")
+    frame = (
+        F.when(kind == "view", to_gateway(17, g.udp(port, 53, g.dns_hex(k, "0100", name))))
+        .when(kind == "click", to_gateway(6, g.tcp(port, 443, 2, "", "020405b4", k + 1024)))
+        .when(kind == "purchase", to_gateway(6, g.tcp(port, 80, 24, g.text_hex(agent))))
+        .when(kind == "signup", to_gateway(17, g.udp(F.lit(68), 67, g.cat("010106" + "00" * 233, "63825363", options))))
+        .otherwise(g.ether("ff" * 6, mac, "0806", g.cat("0001080006040001", mac, ip, "00" * 6, far)))
+    )
+    return g.as_frames(p, frame)
+
+
+MIXED_SQL = """, m AS (SELECT seq, event_type, CASE event_type
+    WHEN 'view' THEN 'DNS|' || mac || '|' || src_ip || '|host' || k || '.example.com'
+    WHEN 'click' THEN 'SYN|' || mac || '|' || src_ip || '|64|' || (1024 + k) || '|-1|1460|M*|443'
+    WHEN 'purchase' THEN 'HTTP|' || mac || '|' || src_ip || '|agent/' || k
+    WHEN 'signup' THEN 'DHCP|' || mac || '|' || src_ip || '|host-' || dev || '|MSFT 5.0|1,3,6,' || k
+    ELSE 'ARP|' || mac || '|' || src_ip || '|' || dst_ip || '|request' END AS line FROM pk)
+SELECT seq, line FROM m"""
+
+
+@query("job_default", MIXED_SQL + " WHERE event_type IN ('click', 'signup')")
+def _job_default(spark, sf):
+    """The default selection; names, web requests and ARP are outside it."""
+    return wire_lines(telemetry(mixed_frames(spark, sf), Options(dedup_ttl=0))).select("seq", "line")
+
+
+@query("job_all", MIXED_SQL)
+def _job_all(spark, sf):
+    """Every record group, extended, without suppression; the frames are decoded and stored once."""
+    opts = Options(selection=vectors("A", extended=True))
+    return wire_lines(telemetry(mixed_frames(spark, sf), opts, store=work_folder(spark))).select("seq", "line")
+
+
 # -- QUIC ---------------------------------------------------------------------------
 
 

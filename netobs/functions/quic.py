@@ -18,6 +18,7 @@ from netobs.functions.bytes import (
     bits,
     blob,
     drop,
+    latin1,
     let,
     s64,
     shl,
@@ -338,10 +339,20 @@ def crypto_fragments(plain: Column, limit: Column | int = MAX_HELLO) -> Column:
                 state(pos + varint_size(plain, pos), s["out"], s["skip"] - 1, F.lit(False))
             )
 
+        def padding():
+            """The end of a run of zero bytes, in one step."""
+            return let(
+                latin1(drop(plain, pos)),
+                lambda rest: state(
+                    pos + F.length(rest) - F.length(F.ltrim(rest, F.lit("\x00"))), s["out"], F.lit(0), F.lit(False)
+                ),
+            )
+
         def with_type(t):
             after = pos + varint_size(plain, pos)
             return (
                 F.when(t.isNull(), stop(s))
+                .when(u8(plain, pos) == 0, padding())
                 .when(t <= 1, state(after, s["out"], F.lit(0), F.lit(False)))
                 .when(t <= 3, ack(after, t == 3))
                 .when(t == 6, crypto(after))

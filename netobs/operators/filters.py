@@ -6,7 +6,6 @@ import ipaddress
 import re
 from collections.abc import Callable
 
-from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,26 +90,38 @@ def _tokens(text: str) -> list[str]:
     return re.findall(r"\(|\)|!(?!=)|&&|\|\||[^\s()]+", text)
 
 
+def _well_formed(tokens: list[str]) -> bool:
+    """Operands and operators in turn, brackets in pairs."""
+    depth, wants_operand = 0, True
+    for token in tokens:
+        word = _WORDS.get(token.lower())
+        if wants_operand:
+            if token == "(":
+                depth += 1
+            elif token == ")" or word in ("AND", "OR"):
+                return False
+            elif word is None:
+                wants_operand = False
+        elif token == ")" and depth:
+            depth -= 1
+        elif word in ("AND", "OR"):
+            wants_operand = True
+        else:
+            return False
+    return not wants_operand and not depth
+
+
 def endpoint_filter(text: str) -> Column:
     """Boolean column of a filter such as ``10.0.0.0/8 and not 02:00:00:00:00:01``.
 
-    The words are mapped to SQL and the whole text goes to the SQL parser, which
-    has the same precedence: not, and, or.
+    The words are mapped to SQL, whose parser has the same precedence: not, and, or.
     """
     tokens = _tokens(text)
-    operands = [t for t in tokens if t not in "()"]
-    if not operands:
+    if not [t for t in tokens if t not in "()"]:
         raise ValueError("empty filter")
-    sql = []
-    for token in tokens:
-        if token in "()":
-            sql.append(token)
-        else:
-            sql.append(_WORDS.get(token.lower()) or _literal(token))
-    try:
-        return F.expr(" ".join(sql))
-    except ParseException as e:
-        raise ValueError(f"filter does not parse: {text}") from e
+    if not _well_formed(tokens):
+        raise ValueError(f"filter does not parse: {text}")
+    return F.expr(" ".join(t if t in "()" else _WORDS.get(t.lower()) or _literal(t) for t in tokens))
 
 
 def exclude_filter(packets: DataFrame, text: str | None) -> DataFrame:

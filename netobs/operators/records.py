@@ -28,6 +28,7 @@ from netobs.operators.dnslat import DNS_TIMEOUT, dns_latency
 from netobs.operators.filters import parse_mac
 from netobs.operators.flows import FLOW_IDLE, app_flow_budget
 from netobs.operators.handshake import SYN_TTL, tcp_handshake
+from netobs.operators.owner import routed_flag
 from netobs.plans.slices import asof_within
 from netobs.plans.stage import shared, stage
 from netobs.schemas import record_columns
@@ -40,10 +41,32 @@ def _own(df: DataFrame) -> list[str]:
     return ["sensor_name"] if "sensor_name" in df.columns else []
 
 
-def _record(df: DataFrame, tag: str, mac: Column | str = "device_mac", extra: tuple[str, ...] = ()) -> DataFrame:
+SENDER = "_sender"
+
+
+def with_sender(df: DataFrame) -> DataFrame:
+    """Keep what ``routed_flag`` needs in one column, and ``routed`` open.
+
+    Records are extracted first; the flag then shuffles slim records instead of
+    packets (``flagged``).
+    """
+    fields = ("link_type", "is_outbound", "src_ip", "src_mac", "offlink_routed")
+    return df.withColumns({SENDER: F.struct(*fields), "routed": F.lit(False)})
+
+
+def flagged(df: DataFrame, claims: DataFrame | None) -> DataFrame:
+    """Settle ``routed`` of rows that carry their sender."""
+    hold = F.struct(*[c for c in df.columns if c not in ("ts", "seq", *_own(df), SENDER, "routed")])
+    slim = df.select("ts", "seq", *_own(df), f"{SENDER}.*", hold.alias("_row"))
+    done = routed_flag(slim, claims)
+    return done.select("ts", "seq", *_own(df), "_row.*", "routed").select(*[c for c in df.columns if c != SENDER])
+
+
+def _record(df: DataFrame, tag: str, mac: Column | str = "device_mac") -> DataFrame:
     m = F.col(mac) if isinstance(mac, str) else mac
+    sender = [SENDER] if SENDER in df.columns else []
     return df.select(
-        "ts", "seq", *_own(df), "iface", "vlan", m.alias("mac"), *record_columns(tag), "routed", *extra
+        "ts", "seq", *_own(df), "iface", "vlan", m.alias("mac"), *record_columns(tag), "routed", *sender
     )
 
 
@@ -104,6 +127,12 @@ def tcp_events(seg: DataFrame) -> DataFrame:
     )
 
 
+def control_events(seg: DataFrame) -> DataFrame:
+    """What ``tcp_events`` needs of a segment, without its bytes."""
+    slim = ["ts", "seq", *_own(seg), "iface", "vlan", "routed", SENDER, "flags", "src_mac", "dst_mac", "sport", "dport", "src_ip", "dst_ip"]
+    return seg.select(*slim)
+
+
 HANDSHAKE_KEYS = ["client_mac", "client_port", "server_port", "client_ip", "server_ip"]
 
 
@@ -250,7 +279,7 @@ def quic_failure_gate(
 def rec_quic(hellos: DataFrame) -> DataFrame:
     """``encrypted`` records of Initials that gave no hello, behind the failure gate."""
     keys = [*_own(hellos), "device_mac", "src_ip", "dst_ip", "dport"]
-    slim = ["ts", "seq", "iface", "vlan", "routed", *keys]
+    slim = ["ts", "seq", "iface", "vlan", "routed", *([SENDER] if SENDER in hellos.columns else []), *keys]
     both = shared(hellos.select(*slim, F.col("tls").isNotNull().alias("_ok")), "ts", "seq")
     gated = quic_failure_gate(
         both.where(~F.col("_ok")).drop("_ok"), both.where("_ok").drop("_ok"), keys
@@ -302,6 +331,13 @@ def dns_messages(udp: DataFrame) -> DataFrame:
     return rows.where(F.col("is_response") | (F.col("qname") != ""))
 
 
+def slim_messages(messages: DataFrame) -> DataFrame:
+    """DNS messages without their bytes."""
+    slim = ["ts", "seq", *_own(messages), "iface", "vlan", "routed", SENDER, "device_mac", "src_mac", "src_ip", "is_response",
+            "client_ip", "server_ip", "txid", "rcode", "qtype", "qname"]
+    return messages.select(*slim)
+
+
 def rec_dns(messages: DataFrame) -> DataFrame:
     rows = _named(messages.where(~F.col("is_response")))
     return _record(rows.withColumn("query_domain", F.col("qname")), "DNS")

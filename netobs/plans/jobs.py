@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from netobs.operators import records as r
 from netobs.operators.classify import PrefixSet, direction
+from netobs.functions.bytes import bits, u8, u16
+from netobs.operators import decode as d
 from netobs.operators.decode import decode_frames, device_identity, tcp_segments, udp_datagrams
 from netobs.operators.dedup import DEFAULT_TTL, dedup_records
 from netobs.operators.filters import (
@@ -22,14 +24,15 @@ from netobs.operators.filters import (
     udp_vector,
 )
 from netobs.operators.inspect import inspect_packets
-from netobs.operators.owner import arp_claims, ndp_claims, owner_asof, routed_flag
+from netobs.operators.owner import arp_claims, ndp_claims, owner_asof
 from netobs.operators.reassembly import hello_records, quic_reassemble, stateful_packets
 from netobs.operators.vectors import Selection, vectors
 from netobs.plans.slices import first_rows
-from netobs.plans.stage import materialize, shared
+from netobs.plans.stage import discard, shared, work_folder
 from netobs.schemas import record_columns
 from netobs.sources.frames import select_ifaces
 from netobs.sources.sensor import check_sensor, sensor_context
+from netobs.sources.sinks import Sink, write_telemetry
 from netobs.sources.wire import format_wire, wrap_observation
 
 
@@ -83,65 +86,111 @@ def _ndp_routed(ndp: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.withColumn("routed", F.col("offlink_routed") | F.col("mismatch")).drop("mismatch")
 
 
+# Where the packets that a group of records reads are kept.
+CONTROL, APP, ARP, LLDP, NDP = "control", "app", "arp", "lldp", "ndp"
+
+
+def with_route(pk: DataFrame, opts: Options) -> DataFrame:
+    """Add ``route``: the part of the stored packets a packet belongs to; others are dropped.
+
+    TCP packets that open or close are apart from those with data only, datagrams
+    go by their vector.
+    """
+    groups, b, l3 = opts.selection.groups, F.col("l4"), F.col("l3_proto")
+    ip = F.col("ip_version").isNotNull() & ~F.col("is_fragment")
+    proto = F.col("proto")
+    rows = pk.withColumns({"sport": u16(b, 0), "dport": u16(b, 2)})
+    control = bits(u8(b, 13), d.SYN | d.FIN | d.RST) != 0
+    route = F.lit(None).cast("string")
+    if groups & set("dnmqt"):
+        route = F.when(ip & (proto == d.UDP), udp_vector(groups)).otherwise(route)
+    if groups & set("sht"):
+        app = F.lit(APP) if groups & set("ht") else F.lit(None).cast("string")
+        route = F.when(ip & (proto == d.TCP), F.when(control, F.lit(CONTROL)).otherwise(app)).otherwise(route)
+    if "l" in groups:
+        route = (
+            F.when(l3 == d.ETH_ARP, F.lit(ARP)).when(l3 == d.ETH_LLDP, F.lit(LLDP))
+            .when(ip & (proto == d.ICMPV6), F.lit(NDP)).otherwise(route)
+        )
+    return rows.withColumn("route", route).drop("sport", "dport").where(F.col("route").isNotNull())
+
+
 def telemetry(
-    frames: DataFrame, opts: Options, raw: bool = False, store: bool = False
+    frames: DataFrame, opts: Options, raw: bool = False, store: str | None = None
 ) -> dict[str, DataFrame]:
     """Record tables by tag; a table that is not used is never computed.
 
-    ``raw`` leaves all tables as extracted, before deduplication.  ``store``
-    writes the decoded packets once to the shared folder, partitioned by layer-3
-    protocol, so that many record tables do not decode the frames again.
+    ``raw`` leaves all tables as extracted, before deduplication.  ``store`` names
+    a folder all executors share: the frames are decoded once, written there by
+    route, and every table reads only its own routes; the caller removes the
+    folder when the tables are no longer read (``write_job`` does).
     """
     sel = opts.selection
     pk = packets(frames, opts)
-    if store:
-        pk = materialize(pk, ("l3_proto",))
-    ipk = pk.where(F.col("ip_version").isNotNull() & ~F.col("is_fragment"))
+    if store is not None:
+        routed = with_route(pk, opts)
+        routed.write.partitionBy("route").parquet(store)
+        pk = frames.sparkSession.read.schema(routed.schema).parquet(store)
+
+    def of(*routes: str) -> DataFrame:
+        return pk if store is None else pk.where(F.col("route").isin(*routes)).drop("route")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("ip_version").isNotNull() & ~F.col("is_fragment"))
+
     out: dict[str, DataFrame] = {}
     claims = None
 
     if "l" in sel.groups:
-        arp = r.arp_messages(pk, opts.prefixes)
-        ndp = r.ndp_messages(ipk)
+        arp = r.arp_messages(of(ARP), opts.prefixes)
         claims = arp_claims(arp)
         if sel.ipv6:
+            ndp = r.ndp_messages(whole(of(NDP)))
             claims = claims.unionByName(ndp_claims(ndp))
             ndp = _ndp_routed(ndp, claims)
             out["NDP"], out["RA"] = r.rec_ndp(ndp), r.rec_ra(ndp)
-        out["LLDP"], out["ARP"] = r.rec_lldp(pk), r.rec_arp(arp)
+        out["LLDP"], out["ARP"] = r.rec_lldp(of(LLDP)), r.rec_arp(arp)
 
+    # Records are extracted before the routed flag, which shuffles: no packet bytes travel.
     if sel.groups & set("sht"):
-        seg = tcp_segments(ipk).where(tcp_relevant(sel.groups))
-        seg = routed_flag(seg, claims)
         if "s" in sel.groups:
-            out["SYN"], out["SYNACK"] = r.rec_syn(seg), r.rec_synack(seg, opts.router_macs)
+            seg = r.with_sender(tcp_segments(whole(of(CONTROL))).where(tcp_relevant(sel.groups)))
+            out["SYN"] = r.flagged(r.rec_syn(seg), claims)
+            out["SYNACK"] = r.flagged(r.rec_synack(seg, opts.router_macs), claims)
             if sel.extended:
-                out["TCPLVL"] = r.rec_tcplvl(seg)
+                out["TCPLVL"] = r.rec_tcplvl(r.flagged(r.control_events(seg), claims))
         if sel.groups & set("ht"):
+            seg = r.with_sender(tcp_segments(whole(of(CONTROL, APP))).where(tcp_relevant(sel.groups)))
             pay = r.flow_payloads(seg, sel.groups, opts.flow_budget)
             if "h" in sel.groups:
-                out["HTTP"] = r.rec_http(pay)
+                out["HTTP"] = r.flagged(r.rec_http(pay), claims)
             if "t" in sel.groups:
-                out["TLS"] = r.rec_tls(pay)
+                out["TLS"] = r.flagged(r.rec_tls(pay), claims)
 
     if sel.groups & set("dnmqt"):
-        udp = udp_datagrams(ipk).withColumn("vector", udp_vector(sel.groups))
-        udp = routed_flag(udp.where(F.col("vector").isNotNull()), claims)
+
+        def grams(*names: str) -> DataFrame:
+            udp = udp_datagrams(whole(of(*names))).withColumn("vector", udp_vector(sel.groups))
+            return r.with_sender(udp.where(F.col("vector").isin(*names)))
+
         if "d" in sel.groups:
-            out["DHCP"], out["DHCP6"] = r.rec_dhcp(udp), r.rec_dhcp6(udp)
+            out["DHCP"] = r.flagged(r.rec_dhcp(grams("DHCP")), claims)
+            out["DHCP6"] = r.flagged(r.rec_dhcp6(grams("DHCP6")), claims)
         if "n" in sel.groups:
-            out["NBNS"] = r.rec_nbns(udp)
+            out["NBNS"] = r.flagged(r.rec_nbns(grams("NBNS")), claims)
         if "m" in sel.groups:
-            out["L7"], out["MDNS"] = r.rec_l7(udp), r.rec_mdns(udp)
+            out["L7"] = r.flagged(r.rec_l7(grams("L7")), claims)
+            out["MDNS"] = r.flagged(r.rec_mdns(grams("MDNS")), claims)
         if "q" in sel.groups:
-            msgs = r.dns_messages(udp)
+            msgs = r.flagged(r.slim_messages(r.dns_messages(grams("DNS"))), claims)
             out["DNS"] = r.rec_dns(msgs)
             if sel.extended:
                 out["DNSEXT"] = r.rec_dnsext(msgs)
                 out["ALERT"] = r.rec_alert(out["DNSEXT"])
         if "t" in sel.groups:
-            quic_tls, out["QUIC"] = quic_tables(udp, sel.quic_stateful)
-            out["TLS"] = out["TLS"].unionByName(quic_tls)
+            quic_tls, quic = quic_tables(grams("QUIC"), sel.quic_stateful)
+            out["QUIC"] = r.flagged(quic, claims)
+            out["TLS"] = out["TLS"].unionByName(r.flagged(quic_tls, claims))
 
     if raw:
         return out
@@ -150,6 +199,19 @@ def telemetry(
     }
 
 
+def write_job(frames: DataFrame, opts: Options, sinks: list[Sink] | None = None) -> None:
+    """A whole batch job: frames to wire lines in every sink.
+
+    The frames are decoded once into the shared folder, which is cleared at the end.
+    """
+    spark, store = frames.sparkSession, work_folder(frames.sparkSession)
+    try:
+        lines = wire_lines(telemetry(frames, opts, store=store), opts.sensor_name is not None)
+        write_telemetry(lines, sinks)
+    finally:
+        discard(spark, store)
+
+
 def quic_tables(udp: DataFrame, stateful: bool) -> tuple[DataFrame, DataFrame]:
     """``(TLS, QUIC)`` records of QUIC datagrams.
 
@@ -161,7 +223,7 @@ def quic_tables(udp: DataFrame, stateful: bool) -> tuple[DataFrame, DataFrame]:
         hellos = r.quic_hello(grams)
         return r.rec_quic_tls(hellos), r.rec_quic(hellos)
     own = ["sensor_name"] if "sensor_name" in udp.columns else []
-    slim = ["ts", "seq", *own, "iface", "vlan", "routed", "device_mac", "src_ip", "dst_ip", "dport"]
+    slim = ["ts", "seq", *own, "iface", "vlan", "routed", r.SENDER, "device_mac", "src_ip", "dst_ip", "dport"]
     parts = shared(stateful_packets(grams).select(*slim, "dcid", "part", "frags"), *own, "dcid", "ts")
     done = hello_records(quic_reassemble(parts.where(F.col("frags").isNotNull()), [*own, "dcid"]))
     done = first_rows(done, [*own, "ts", "seq"], ["part"])
