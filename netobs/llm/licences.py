@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from netobs.plans.stage import stage
 
 DICE = 0.8
+SLACK = 1e-9  # so that rounding never moves a bound past a whole number
 
 # Notices and licence texts as their publishers word them.
 TEMPLATES = {
@@ -116,7 +117,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     bigram and no row; rows that share a key are one document.
     """
     wanted = template_column(templates or TEMPLATES)
-    low, high = least / (2 - least), (2 - least) / least
+    low, high = least / (2 - least) - SLACK, (2 - least) / least + SLACK
     found = docs.select(F.col(key).alias("doc_id"), F.inline(units(F.coalesce(F.col(text), F.lit("")))))
     words = F.split(F.trim(F.regexp_replace(F.lower("unit"), r"[^\p{L}\p{N}]+", " ")), " ")
     found = stage(found, {"words": words}, where=F.col("unit") != "", drop=["unit"])

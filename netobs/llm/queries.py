@@ -179,7 +179,7 @@ def licence_sql() -> str:
           FROM u WHERE kind = 0 OR (contains(unit, chr(10)) AND (kind = 2 OR n > 1))),
     g AS (SELECT doc_id, kind, unit_no, list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS grams FROM w WHERE len(words) > 1),
     s AS (SELECT doc_id, kind, unit_no, licence, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + t.size) AS dice
-          FROM g JOIN t ON len(g.grams) BETWEEN {licences.DICE} / (2 - {licences.DICE}) * t.size AND (2 - {licences.DICE}) / {licences.DICE} * t.size),
+          FROM g JOIN t ON len(g.grams) BETWEEN {licences.DICE} / (2 - {licences.DICE}) * t.size - 1e-6 AND (2 - {licences.DICE}) / {licences.DICE} * t.size + 1e-6),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, licence ORDER BY dice DESC, kind, unit_no) AS k FROM s WHERE dice >= {licences.DICE})
     SELECT doc_id, licence, dice, ['line', 'paragraph', 'text'][kind + 1] AS unit, CAST(unit_no AS INTEGER) AS unit_no FROM r WHERE k = 1
     """
