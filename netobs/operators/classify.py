@@ -93,21 +93,57 @@ class PrefixSet:
             self.offlink_routed_v4(ip, iface) | self.offlink_routed_v6(ip, iface), F.lit(False)
         )
 
+    # -- the same on tables, as ``PrefixTable`` has it ---------------------------
 
-def direction(packets: DataFrame, prefixes: PrefixSet) -> DataFrame:
+    def with_inside(self, df: DataFrame, ip: str, out: str) -> DataFrame:
+        return df.withColumn(out, self.is_inside(F.col(ip)))
+
+    def with_offlink(self, df: DataFrame, ip: str, out: str) -> DataFrame:
+        return df.withColumn(out, self.offlink_routed(F.col(ip), F.col("iface")))
+
+
+class PrefixTable:
+    """Prefixes of any number, as a table with the PREFIX schema."""
+
+    inside: tuple[str, ...] = ()
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        self.learned = table.where(F.col("kind") == "learned")
+
+    def with_inside(self, df: DataFrame, ip: str, out: str) -> DataFrame:
+        """Add ``out``: configured, private or learned on any interface."""
+        marked = flag_by_table(df, ip, self.table, out)
+        return marked.withColumn(out, F.coalesce(F.col(out) | is_private(F.col(ip)), F.lit(False)))
+
+    def with_offlink(self, df: DataFrame, ip: str, out: str) -> DataFrame:
+        """Add ``out``: a source that must have come through a router (see ``PrefixSet``)."""
+        address, first = F.col(ip), u8(F.col(ip), 0)
+        family = F.when(F.length(ip) == 4, F.lit(4)).when(F.length(ip) == 16, F.lit(6))
+        own = self.learned.select(F.col("iface").alias("_if"), F.col("family").alias("_fam")).distinct().withColumn("_has", F.lit(True))
+        marked = flag_by_table(df, ip, self.learned, "_direct", by_iface=True).withColumn("_family", family)
+        marked = marked.join(own, (F.col("iface") == F.col("_if")) & (F.col("_family") == F.col("_fam")), "left")
+        near = self.learned.where((F.col("family") == 6) & (bits(u8(F.col("lo"), 0), 224) == 32)).select(
+            "family", "iface", mask_ip(F.col("lo"), 48).alias("lo"), F.lit(48).alias("prefix_len")
+        )
+        marked = flag_by_table(marked, ip, near, "_near", by_iface=True, lengths=[(6, 48)])
+        behind = F.when(F.length(ip) == 4, in_any(address, ROUTABLE_BEHIND_V4)).otherwise(
+            (bits(first, 254) == 252) | ((bits(first, 224) == 32) & F.col("_near"))
+        )
+        flag = F.coalesce(F.col("_has") & ~F.col("_direct") & behind, F.lit(False))
+        return marked.withColumn(out, flag).drop("_if", "_fam", "_has", "_direct", "_family", "_near")
+
+
+def direction(packets: DataFrame, prefixes: PrefixSet | PrefixTable) -> DataFrame:
     """Add ``is_outbound, offlink_routed``; drop IP packets with no inside end.
 
     ARP and LLDP rows pass with both flags false.
     """
-    src, dst, iface = F.col("src_ip"), F.col("dst_ip"), F.col("iface")
     is_ip = F.col("ip_version").isNotNull()
-    df = packets.withColumns(
-        {
-            "_src_in": prefixes.is_inside(src),
-            "_dst_in": prefixes.is_inside(dst),
-            "offlink_routed": is_ip & prefixes.offlink_routed(src, iface),
-        }
-    ).where(~is_ip | F.col("_src_in") | F.col("_dst_in") | F.col("offlink_routed"))
+    df = prefixes.with_inside(prefixes.with_inside(packets, "src_ip", "_src_in"), "dst_ip", "_dst_in")
+    df = prefixes.with_offlink(df, "src_ip", "offlink_routed")
+    df = df.withColumn("offlink_routed", is_ip & F.col("offlink_routed"))
+    df = df.where(~is_ip | F.col("_src_in") | F.col("_dst_in") | F.col("offlink_routed"))
     return df.withColumn(
         "is_outbound", is_ip & (F.col("_src_in") | F.col("offlink_routed"))
     ).drop("_src_in", "_dst_in")
@@ -125,28 +161,29 @@ def flag_by_table(
     prefixes: DataFrame,
     out: str,
     by_iface: bool = False,
+    lengths: list[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Add boolean ``out``: some prefix row contains ``ip`` (on the row's iface).
 
-    One equi-join per distinct prefix length on the masked address, against
-    distinct networks, so no row is multiplied and the prefix table may have any
-    size; the optimiser broadcasts it when it is small.
+    The distinct addresses, which each task reduces first, are masked to every
+    length in use and meet the networks in one equi-join; the addresses that hit
+    come back to the rows in a second one. Neither multiplies rows of ``df``.
     """
     keys = ["iface"] if by_iface else []
-    hits = []
-    for i, (family, plen) in enumerate(prefix_lengths(prefixes)):
-        nets = (
-            prefixes.where((F.col("family") == family) & (F.col("prefix_len") == plen))
-            .select(*[F.col(k).alias(f"_{k}{i}") for k in keys], F.col("lo").alias(f"_net{i}"))
-            .distinct()
-            .withColumn(f"_hit{i}", F.lit(True))
-        )
-        width = 4 if family == 4 else 16
-        masked = F.when(F.length(ip) == width, mask_ip(F.col(ip), plen))
-        cond = masked == F.col(f"_net{i}")
-        for k in keys:
-            cond = cond & (F.col(k) == F.col(f"_{k}{i}"))
-        df = df.join(nets, cond, "left").drop(f"_net{i}", *[f"_{k}{i}" for k in keys])
-        hits.append(F"_hit{i}")
-    flag = F.coalesce(*[F.col(h) for h in hits], F.lit(False)) if hits else F.lit(False)
-    return df.withColumn(out, flag).drop(*hits)
+    lengths = prefix_lengths(prefixes) if lengths is None else lengths
+    if not lengths:
+        return df.withColumn(out, F.lit(False))
+    at = F.col("_ip")
+    masks = [
+        F.struct(F.lit(plen).alias("prefix_len"), F.when(F.length(at) == (4 if family == 4 else 16), mask_ip(at, plen)).alias("lo"))
+        for family, plen in lengths
+    ]
+    addresses = df.select(*keys, F.col(ip).alias("_ip")).where(at.isNotNull()).distinct()
+    tried = addresses.select(*keys, "_ip", F.inline(F.array(*masks))).where(F.col("lo").isNotNull())
+    nets = prefixes.select(*keys, "prefix_len", "lo").distinct()
+    hits = tried.join(nets, [*keys, "prefix_len", "lo"]).select(*[F.col(k).alias(f"_{k}") for k in keys], "_ip").distinct()
+    same = F.col(ip) == F.col("_ip")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    joined = df.join(hits.withColumn("_hit", F.lit(True)), same, "left")
+    return joined.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit", "_ip", *[f"_{k}" for k in keys])

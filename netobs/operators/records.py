@@ -512,10 +512,7 @@ def arp_messages(packets: DataFrame, prefixes) -> DataFrame:
         {"sha": take(p, 8, 6), "spa": take(p, 14, 4), "tpa": take(p, 24, 4), "_op": u16(p, 6)},
         where=(F.length(p) >= 28) & (take(p, 0, 6) == blob("000108000604")),
     )
-    rows = rows.where(is_unicast_mac(F.col("sha")))
-    return rows.withColumn(
-        "routed", F.coalesce(prefixes.offlink_routed_v4(F.col("spa"), F.col("iface")), F.lit(False))
-    )
+    return prefixes.with_offlink(rows.where(is_unicast_mac(F.col("sha"))), "spa", "routed")
 
 
 def rec_arp(arp: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netobs.operators import records as r
-from netobs.operators.classify import PrefixSet, direction
+from netobs.operators.classify import PrefixSet, PrefixTable, direction
 from netobs.functions.bytes import bits, u8, u16
 from netobs.operators import decode as d
 from netobs.operators.decode import decode_frames, device_identity, tcp_segments, udp_datagrams
@@ -41,7 +41,7 @@ class Options:
     """Settings of a telemetry job."""
 
     selection: Selection = field(default_factory=vectors)
-    prefixes: PrefixSet = field(default_factory=PrefixSet)
+    prefixes: PrefixSet | PrefixTable = field(default_factory=PrefixSet)
     iface: str = "any"
     exclude: str | None = None
     target: str | None = None

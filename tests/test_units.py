@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from netobs.functions.quic import quic_client_keys
 from netobs.functions.tls import tls_client_hello
-from netobs.operators.classify import PrefixSet
+from netobs.operators.classify import PrefixSet, PrefixTable, direction
 from netobs.operators.decode import decode_frames
 from netobs.operators.filters import endpoint_filter
 from netobs.operators.vectors import vectors
@@ -192,6 +192,23 @@ def test_job_with_many_prefixes(spark):
     assert sorted((r.src_ip, r.routed) for r in got) == [("10.200.0.9", True), ("10.3.0.9", False), ("10.69.0.9", False)]
 
 
+def test_prefix_table_and_set_agree(spark):
+    """Every flag of the direction step, for prefixes written out and in a table."""
+    learned = (("lan0", "10.1.0.0/16"), ("lan1", "10.1.2.0/24"), ("lan0", "2001:db8:1:2::/64"), ("lan1", "fd00:1::/48"))
+    both = PrefixSet(inside=("203.0.113.0/24", "2001:db8:ffff::/48"), learned=learned)
+    ips = ["10.1.2.3", "10.9.0.1", "203.0.113.9", "198.51.100.1", "172.16.5.5", "2001:db8:1:9::1", "2001:db8:1:2::5",
+           "2001:db8:7::1", "fd00:1::9", "fd00:2::9", "2001:db8:ffff::1", "fe80::1"]
+    import ipaddress
+
+    rows = [
+        (i, f"lan{i % 3}", 4 if "." in a else 6, bytearray(ipaddress.ip_address(a).packed), bytearray(ipaddress.ip_address(b).packed))
+        for i, (a, b) in enumerate((a, b) for a in ips for b in ips for _ in range(3))
+    ] + [(9999, "lan0", None, None, None)]
+    packets = spark.createDataFrame(rows, "n int, iface string, ip_version int, src_ip binary, dst_ip binary")
+    found = [sorted(direction(packets, p).select("n", "is_outbound", "offlink_routed").collect()) for p in (both, PrefixTable(both.table(spark)))]
+    assert found[0] == found[1] and len(found[0]) > 100 and any(r.offlink_routed for r in found[0])
+
+
 def test_job_to_files(spark, tmp_path):
     data = frames(spark, [ether("0800", ipv4(6, tcp(40000 + i, 443, 2))) for i in range(3)])
     write_job(data, Options(selection=vectors("aS")), [Sink("text", str(tmp_path / "o"))])
