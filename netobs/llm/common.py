@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +69,16 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def batches(frame: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of text (column ``t``), one row at least."""
+    sizes = pc.fill_null(pc.binary_length(frame.column("t")), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield frame.slice(a, b - a)
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, root) for all their nodes, root the smallest.
 

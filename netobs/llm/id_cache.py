@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+
+
+class Slots(dict):
+    """Numbers words as they come; ``new`` are those that came first since it was emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = slot = len(self)
+        self.new.append(word)
+        return slot
 
 
 class IdCache:
@@ -20,28 +33,29 @@ class IdCache:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot = Slots()
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        flat, size = self.make(words)
+    def learn(self) -> None:
+        flat, size = self.make(self.slot.new)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat])
-        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
+        self.slot.new = []
 
-    def encode(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The ids of each text, given as its words."""
-        new = list({w for ws in texts for w in ws if w not in self.slot})
-        if len(self.slot) + len(new) > CACHED_WORDS:
+        if not texts:
+            return []
+        if len(self.slot) > CACHED_WORDS:
             self.clear()
-            new = list({w for ws in texts for w in ws})
-        if new:
-            self.learn(new)
-        for ws in texts:
-            at = np.fromiter(map(self.slot.__getitem__, ws), np.int64, len(ws))
-            size = self.size[at]
-            first = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
-            yield self.flat[first + np.arange(len(first))]
+        words = np.fromiter(map(len, texts), np.int64, len(texts))
+        at = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(texts)), np.int64, int(words.sum()))
+        if self.slot.new:
+            self.learn()
+        size = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])]
+        return np.split(flat, ends[np.cumsum(words)][:-1])

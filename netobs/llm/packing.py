@@ -19,18 +19,23 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netobs.llm.common import Scratch
+from netobs.llm.common import Scratch, batches
 from netobs.llm.id_cache import IdCache
 
 CAPACITY = 2048
 BUCKETS = 256  # parts that the pieces of a length are numbered in
 WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+NO_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split, not to the tokenizer
+PLAIN = re.compile(r"[!-&(-~\xa1-\xac\xae-\xff]+")  # Latin-1 without space, apostrophe and controls
+UNITS = re.compile(r"[^\W\d_]+|[\W\d_]+")
+CACHED_UNITS = 600_000
 
 
 @lru_cache(maxsize=2)
@@ -44,22 +49,52 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def units(word: str) -> list[str]:
+    """Parts of a word that the tokenizer handles apart: runs of letters, and what is between them.
+
+    That is safe without combining marks and without the apostrophe, which can
+    bind to letters behind it; words with other characters stay whole.
+    """
+    return UNITS.findall(word) if PLAIN.fullmatch(word) else [word]
+
+
+@lru_cache(maxsize=2)
 def word_ids(path: str) -> IdCache:
-    """Token ids of texts, a word at a time.
+    """Token ids of texts, a word at a time; one cache for each Python worker.
 
     The tokenizer drops white space and never joins what it separates, so a
-    text's ids are those of its words one after the other.
+    text's ids are those of its words one after the other. New words are encoded
+    by their units, most of which other words have had before.
     """
-    model = tokenizer(path)
+    model, known = tokenizer(path), {}
 
     def make(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        made = model.encode_batch(words, add_special_tokens=False)
-        size = np.array([len(x) for x in made], np.int64)
-        return np.fromiter((i for x in made for i in x.ids), np.uint32, int(size.sum())), size
+        parts = [units(w) for w in words]
+        wanted = set(chain.from_iterable(parts))
+        if len(known) > CACHED_UNITS:
+            known.clear()
+        new = [u for u in wanted if u not in known]
+        ids = [x.ids for x in model.encode_batch_fast(new, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * 4
+        data = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) // 4 if len(ids) else 0).tobytes()
+        known.update((u, data[a:b]) for u, a, b in zip(new, [0, *ends.tolist()], ends.tolist(), strict=False))
+        made = [b"".join([known[u] for u in us]) for us in parts]
+        return np.frombuffer(b"".join(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made)) // 4
 
     return IdCache(make)
 
 
+def split_words(text: str) -> list[str]:
+    """The words of a text, lower-cased where that is plain; the tokenizer lower-cases too."""
+    if any(c in text for c in NO_SPACE):
+        return WORDS.findall(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()  # final sigma, dotted I and the like are left to the tokenizer
+    return text.lower().split()
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row: its ids and a closing 0, cut at ``capacity``.
 
@@ -71,15 +106,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
         model = word_ids(path)
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for frame in frames:
-            keys = frame.column("k").to_pylist()
-            for at in range(0, len(keys), 256):
+            for part in batches(frame):
                 rows: list[tuple] = []
-                texts = [WORDS.findall(t or "") for t in frame.column("t").slice(at, 256).to_pylist()]
-                for k, ids in zip(keys[at : at + 256], model.encode(texts), strict=True):
+                texts = [split_words(t or "") for t in part.column("t").to_pylist()]
+                for k, ids in zip(part.column("k").to_pylist(), model.encode(texts), strict=True):
                     ids = np.append(ids, np.uint32(0)).astype("<u4")
                     for n, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity]
-                        rows.append((k, n, start, len(part), zlib.crc32(part.tobytes())))
+                        piece = ids[start : start + capacity]
+                        rows.append((k, n, start, len(piece), zlib.crc32(piece.tobytes())))
                 columns = list(zip(*rows, strict=True))
                 types = [frame.schema.field("k").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)

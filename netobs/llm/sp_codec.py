@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netobs.llm.common import batches
 from netobs.llm.id_cache import IdCache
 from netobs.llm.pieces import SPACE, Lattice, Pieces, pieces_of, same_length
 
@@ -90,7 +91,7 @@ class Codec:
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(written), np.uint8)
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.cache.encode([split_words(t) for t in texts])
 
     def decode(self, ids: np.ndarray) -> str:
@@ -113,9 +114,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
         for frame in frames:
-            for at in range(0, frame.num_rows, 256):
-                part = frame.slice(at, 256)
-                ids = list(codec.encode([t or "" for t in part.column("t").to_pylist()]))
+            for part in batches(frame):
+                ids = codec.encode([t or "" for t in part.column("t").to_pylist()])
                 edges = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("k"), pa.ListArray.from_arrays(edges, flat)], names=["doc_id", "ids"])
