@@ -66,15 +66,15 @@ def best(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int)
 def best_of_large(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int) -> pd.DataFrame:
     """The same with Python's integers, for components beyond what doubles add exactly.
 
-    A score outside 64 bits is stated as the nearest 64-bit integer.
+    A score outside 64 bits counts as the nearest 64-bit integer.
     """
     whole = np.vectorize(int, otypes=[object])
     c = whole(c) if c.size else c
     rows = []
     for x, own in zip(q, qid, strict=True):
         scores = c.dot(whole(x)) if x.size else np.zeros(len(cid), object)
-        ranked = sorted(((-s, i) for s, i in zip(scores, cid, strict=True) if i != own))[:k]
-        rows += [(own, i, max(-(1 << 63), min((1 << 63) - 1, int(-s)))) for s, i in ranked]
+        held = [max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in scores]
+        rows += [(own, i, s) for s, i in sorted(((s, i) for s, i in zip(held, cid, strict=True) if i != own), key=lambda r: (-r[0], r[1]))[:k]]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
 

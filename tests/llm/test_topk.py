@@ -27,9 +27,9 @@ def brute(rows, every, k):
     out = []
     for i, q in clean:
         if i % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in clean if j != i and len(c) == len(q))
-            limit = (1 << 63) - 1
-            out += [(i, n + 1, j, max(-limit - 1, min(limit, -s))) for n, (s, j) in enumerate(scored[:k])]
+            held = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+            scored = sorted((-held(sum(a * b for a, b in zip(q, c, strict=True))), j) for j, c in clean if j != i and len(c) == len(q))
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
 
