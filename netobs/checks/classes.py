@@ -20,7 +20,7 @@ from netobs.operators.filters import (
     udp_vector,
 )
 from netobs.operators.vectors import vectors
-from netobs.plans import derived as g
+from netobs.checks import derived as g
 
 # A spread-out address per event: every /2 block occurs, and so do the special ranges.
 SPREAD = PK + """, ip AS (

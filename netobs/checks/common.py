@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netobs.operators.vectors import vectors
-from netobs.plans import derived as g
+from netobs.checks import derived as g
 from netobs.plans.jobs import Options, telemetry
 
 

@@ -12,7 +12,7 @@ from netobs.functions.text import entropy, find_ci, md5_12, sanitize_text
 from netobs.functions.tls import is_grease, ja4_like, tls_client_hello, tls_version
 from netobs.functions.tlv import ndp_opts, opt8, opt16, tcp_options, tlv16
 from netobs.operators.records import dhcp6_duid_name, dhcp6_msg_name, flag_letters
-from netobs.plans import derived as g
+from netobs.checks import derived as g
 from netobs.plans.stage import stage
 
 # One blank per UTF-8 byte outside printable ASCII, and per pipe.

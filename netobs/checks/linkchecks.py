@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netobs.checks.common import hex_lower, link_local, tcp_frames, udp_frames, v4_frames, v6_frames
-from netobs.checks.registry import PK, PULSE, query
+from netobs.checks.registry import query
 from netobs.functions.addr import ip_text, mac_text
 from netobs.operators.classify import PrefixSet, direction
 from netobs.operators.decode import (
@@ -18,7 +18,7 @@ from netobs.operators.decode import (
     udp_datagrams,
 )
 from netobs.operators.inspect import inspect_packets
-from netobs.plans import derived as g
+from netobs.checks import derived as g
 from netobs.plans.jobs import Options, located_packets
 from netobs.operators.vectors import vectors
 
@@ -259,3 +259,26 @@ def _inspect_limit(spark, sf):
     rows = located_packets(inspect_frames(g.pk(spark, sf)), opts, prefilter=False)
     return inspect_packets(rows, "02:00:00:00:00:05", count=25).select("seq", "line")
 
+
+EVERY_DEVICE = " or ".join(f"02:00:00:00:00:{i:02x}" for i in range(20))
+
+
+@query(
+    "inspect_other",
+    """SELECT seq, strftime(make_timestamp(ts_us), '%H:%M:%S.%f') || CASE k % 3
+    WHEN 0 THEN ' IP6 ' || printf('fe80::%x', dev + 1) || ' > ff02::1: next-hdr 17, length ' || (9 + k)
+    WHEN 1 THEN ' ARP, length 28' ELSE ' ethertype 0x88cc, length ' || (14 + 9 + k) END AS line FROM pk""",
+)
+def _inspect_other(spark, sf):
+    """IPv6, ARP and another link-layer protocol."""
+    p = g.pk(spark, sf)
+    k, mac, ip = F.col("k"), g.mac_hex(), g.ip_hex(F.col("src_ip"))
+    filler = F.repeat(F.lit("ab"), k + 1)
+    six = g.ipv6(17, link_local(F.col("dev")), "ff02" + "00" * 13 + "01", g.udp(F.lit(5000), 5001, filler))
+    frame = (
+        F.when(k % 3 == 0, g.ether("333300000001", mac, "86dd", six))
+        .when(k % 3 == 1, g.ether("ff" * 6, mac, "0806", g.cat("0001080006040001", mac, ip, "00" * 6, ip)))
+        .otherwise(g.ether("0180c200000e", mac, "88cc", g.cat("0207040200000000", filler)))
+    )
+    rows = located_packets(g.as_frames(p, frame), Options(selection=vectors("a")), prefilter=False)
+    return inspect_packets(rows, EVERY_DEVICE).select("seq", "line")

@@ -10,7 +10,7 @@ from netobs.checks.registry import PK, query
 from netobs.operators.classify import PrefixSet
 from netobs.operators.reassembly import quic_reassemble
 from netobs.operators.vectors import vectors
-from netobs.plans import derived as g
+from netobs.checks import derived as g
 from netobs.plans.jobs import Options, telemetry, wire_lines
 from netobs.plans.stage import stage, work_folder
 
@@ -293,13 +293,15 @@ def _rec_arp(spark, sf):
 
 @query(
     "rec_ndp",
-    """SELECT seq, CASE WHEN k % 2 = 0 THEN mac ELSE '02:00:00:00:aa:' || printf('%02x', k) END AS mac,
-  printf('fe80::%x', dev + 1) AS src_ip, ['RS', 'NS', 'NA'][k % 3 + 1] AS type,
+    """, c AS (SELECT *, CASE WHEN k % 2 = 0 THEN mac ELSE '02:00:00:00:aa:' || printf('%02x', k) END AS claim FROM pk),
+n AS (SELECT * EXCLUDE (mac), claim AS mac, CAST(coalesce(lag(claim) OVER w <> claim AND ts_s - lag(ts_s) OVER w <= 180, false) AS INTEGER) AS routed
+  FROM c WINDOW w AS (PARTITION BY dev ORDER BY seq))
+SELECT seq, mac, printf('fe80::%x', dev + 1) AS src_ip, ['RS', 'NS', 'NA'][k % 3 + 1] AS type,
   CASE WHEN k % 3 > 0 THEN printf('2001:db8::%x', seq + 65536 - seq // 65536 * 65536 - 65536 + 1) END AS target_ip,
-  CASE WHEN k % 3 = 2 THEN CASE WHEN k % 4 < 2 THEN 'RS' ELSE 'SO' END END AS flags FROM pk""",
+  CASE WHEN k % 3 = 2 THEN CASE WHEN k % 4 < 2 THEN 'RS' ELSE 'SO' END END AS flags, routed FROM n""",
 )
 def _rec_ndp(spark, sf):
-    """The link-layer option names the sender in odd rows; nobody else claims an address."""
+    """The link-layer option names the sender in odd rows; the message before may have named another."""
     p = g.pk(spark, sf)
     k = F.col("k")
     target = g.cat("20010db8" + "00" * 10, g.hx(F.col("seq") % 65536 + 1, 2))
@@ -311,7 +313,7 @@ def _rec_ndp(spark, sf):
         .when(k % 3 == 1, g.cat("87000000" + "00000000", target, tail))
         .otherwise(g.cat("88000000", bits, target, tail))
     )
-    return records(v6_frames(p, 58, body, hops=255), "NDP", "L").drop("routed")
+    return records(v6_frames(p, 58, body, hops=255), "NDP", "L")
 
 
 @query(

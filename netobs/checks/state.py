@@ -13,7 +13,7 @@ from netobs.operators.flows import app_flow_budget
 from netobs.operators.handshake import tcp_handshake
 from netobs.operators.owner import owner_asof
 from netobs.operators.records import quic_failure_gate
-from netobs.plans import derived as g
+from netobs.checks import derived as g
 
 SLIDING_SQL = """
 SELECT seq, dev, event_type, ts_s FROM (

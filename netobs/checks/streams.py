@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from netobs.checks.registry import ORACLES, PK, PULSE, query
 from netobs.checks.state import DROP_SQL, FLOW_SQL, GATE_SQL, OWNER_SQL, REFRESH_SQL, SLIDING_SQL, TCP_STATE_SQL, DNS_SQL, counters, dns_events, ownership, tcp_kind
-from netobs.plans import derived as g
+from netobs.checks import derived as g
 from netobs.plans.stage import work_folder
 from netobs.streaming import keyed
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netobs.checks.common import udp_frames
 from netobs.checks.registry import PK, WIRE, query
 from netobs.operators.dedup import dedup_records, dedup_wire
-from netobs.plans import derived as g
-from netobs.sources.frames import supported_frames, select_ifaces
+from netobs.checks import derived as g
+from netobs.schemas import PLACEHOLDERS, RECORDS
+from netobs.sources.frames import select_ifaces, supported_frames
 from netobs.sources.sensor import sensor_context, union_sensors
 from netobs.sources.wire import (
     format_wire,
@@ -142,6 +143,48 @@ for _tag in TYPED_SQL:
     _register_typed(_tag)
 
 
+def _field(tag: str, i: int, name: str, kind: str) -> tuple[Column, str, str]:
+    """A field's text as a column and in SQL, and what it adds to the sum of numbers, in SQL."""
+    k, hole = F.col("k"), PLACEHOLDERS.get((tag, name))
+    if kind == "string":
+        text, sql, number = F.concat(F.lit("v"), k.cast("string")), "'v' || k", "0"
+    elif kind == "double":
+        text, sql, number = F.format_string("%.2f", k / F.lit(4.0)), "printf('%.2f', k / 4.0)", "k / 4.0"
+    else:
+        text, sql, number = (k + i).cast("string"), f"CAST(k + {i} AS VARCHAR)", f"k + {i}"
+    if hole is None:
+        return text, sql, number
+    empty = k % 5 == 0
+    return F.when(empty, F.lit(hole)).otherwise(text), f"CASE WHEN k % 5 = 0 THEN '{hole}' ELSE {sql} END", f"CASE WHEN k % 5 = 0 THEN 0 ELSE {number} END"
+
+
+def _all_tags_sql() -> str:
+    parts = []
+    for tag, columns in RECORDS.items():
+        fields = [_field(tag, i, n, t) for i, (n, t) in enumerate(columns)]
+        line = " || '|' || ".join([f"'{tag}'", "mac", *(f"({sql})" for _, sql, _ in fields)])
+        total = " + ".join(["CAST(0 AS DOUBLE)", *(f"({number})" for _, _, number in fields)])
+        parts.append(f"SELECT seq, '{tag}' AS tag, {line} || CASE WHEN k % 10 = 9 THEN '|routed' ELSE '' END AS line, {total} AS total FROM pk")
+    return ", a AS (" + " UNION ALL ".join(parts) + ") SELECT * FROM a"
+
+
+@query("typed_round_trip", _all_tags_sql())
+def _typed_round_trip(spark, sf):
+    """Lines of all eighteen tags, typed and formatted again; absent values stand in one row of five."""
+    tail = F.when(F.col("k") % 10 == 9, F.lit("|routed")).otherwise(F.lit(""))
+    lines = [
+        F.concat(F.concat_ws("|", F.lit(tag), "mac", *[_field(tag, i, n, t)[0] for i, (n, t) in enumerate(cols)]), tail)
+        for tag, cols in RECORDS.items()
+    ]
+    wire = parse_wire(g.pk(spark, sf).select("ts", "seq", F.explode(F.array(*lines)).alias("line")))
+    parts = []
+    for tag, cols in RECORDS.items():
+        numbers = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n, t in cols if t != "string"]
+        total = reduce(lambda a, b: a + b, numbers, F.lit(0.0))
+        parts.append(format_wire(to_typed(wire, tag), tag).select("seq", F.lit(tag).alias("tag"), "line", total.alias("total")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "wire_rejects",
     """SELECT seq, CASE k % 3 WHEN 0 THEN 'unknown tag' WHEN 1 THEN 'field count' ELSE 'bad value' END AS reason
@@ -180,13 +223,12 @@ def _iface_select(spark, sf):
 
 @query(
     "sensor_union",
-    """SELECT CASE WHEN event_type = 'view' THEN 'sensor-a' ELSE 'sensor-b' END AS sensor_name, count(*) AS n
-FROM pk WHERE event_type IN ('view', 'click') GROUP BY 1""",
+    """SELECT CASE WHEN event_type IN ('view', 'click') THEN 'sensor-a' ELSE 'sensor-b' END AS sensor_name, count(*) AS n
+FROM pk GROUP BY 1""",
 )
 def _sensor_union(spark, sf):
     tables = typed_all(spark, sf)
-    both = union_sensors(
-        [sensor_context(tables["DNS"], "sensor-a"), sensor_context(tables["SYN"], "sensor-b")]
-    )
+    names = {"DNS": "sensor-a", "SYN": "sensor-a"}
+    both = union_sensors([sensor_context(df, names.get(tag, "sensor-b")) for tag, df in tables.items()])
     return both.groupBy("sensor_name").agg(F.count("*").alias("n"))
 

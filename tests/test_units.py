@@ -14,7 +14,7 @@ from netobs.operators.classify import PrefixSet, PrefixTable, direction
 from netobs.operators.decode import decode_frames
 from netobs.operators.filters import endpoint_filter
 from netobs.operators.vectors import vectors
-from netobs.plans import derived as g
+from netobs.checks import derived as g
 from netobs.plans.jobs import Options, telemetry, wire_lines, write_job
 from netobs.schemas import FRAME, STATS
 from netobs.sources.frames import parse_ifaces, read_capture_stats, read_frames, select_ifaces
