@@ -3,16 +3,17 @@
 A document's set is its distinct word shingles. Documents with equal sets are one
 node. Every node has ``COORDINATES`` minwise tokens. A tree branches the nodes by
 selected tokens: nodes that agree in a selected token share a branch. Branches
-with few nodes are compared exhaustively, larger ones select further tokens and
-branch again. ``TREES`` independent trees, with ``BRANCHES`` tokens selected at
+with few nodes to compare are compared exhaustively, larger ones select further
+tokens and branch again. ``TREES`` independent trees, with ``BRANCHES`` tokens selected at
 each step, give the recall: a pair of similarity 0.8 is missed by one tree with a
 probability of 0.04 at the first step and under 0.08 at any depth, by all six
 trees with 4e-9 and under 3e-7.
 
 Only components are wanted, so pairs that are already connected are left alone:
 first every member of a branch is compared with the branch's first node (a star:
-linear, however large the branch), and only members that stay apart are compared
-further. A group of near copies thus costs a few comparisons per member.
+linear, however large the branch). Where few members then stay outside a
+large branch's largest component, each of them is compared with every member,
+which is linear too; one with many of them branches again, which splits the unlike.
 Sketches of the tokens turn pairs away (a pair of similarity 0.8 with a
 probability of 1e-8); every link is confirmed on the full sets.
 """
@@ -25,14 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netobs.llm.common import Scratch, components
+from netobs.llm.common import Scratch, batches, components
 
 COORDINATES, TREES, BRANCHES = 64, 6, 2
-SMALL = 32  # branches up to this size are compared exhaustively
-LEVELS = 8  # steps; what is still large then is compared member by member
+FULL = 1024  # branches up to this size are compared exhaustively in one task
+SMALL = 32  # so are larger ones with up to so many nodes outside their largest component
+LEVELS = 16  # further steps; what is still large then is compared exhaustively too
 PERCENT = 80
 SKETCH = 0.5  # share of equal tokens under which a pair is turned away
 SIEVE = 1 << 23  # bits of the fixed-size filter over wanted documents
@@ -74,16 +76,6 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def batches(frame: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``most`` bytes of text (column ``t``), one row at least."""
-    sizes = np.array([len(x) if x is not None else 0 for x in frame.column("t").to_pylist()])
-    part = np.cumsum(sizes) // most
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
-    for a, b in zip(edges, edges[1:], strict=False):
-        if b > a:
-            yield frame.slice(a, b - a)
-
-
 def described(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
     """(doc_id, n, print, tokens) per row: set size, fingerprint of the set, minwise tokens."""
     kind = docs.schema[key].dataType
@@ -169,21 +161,68 @@ def next_branches(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select(F.xxhash64("branch", "turn", F.element_at("tokens", at + 1)).alias("branch"), "node")
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of rows of tokens that the sketch doesn't turn away."""
+    return (a == b).mean(axis=1) >= SKETCH
+
+
 def sketched(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, same): the share of equal tokens, for pairs that the sketch doesn't turn away."""
+    """The pairs (a, b) that sizes and sketches don't turn away."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             a, b = (np.asarray(frame.column(x).flatten()).reshape(-1, COORDINATES) for x in ("ta", "tb"))
-            same = (a == b).mean(axis=1)
-            out = pa.RecordBatch.from_arrays([frame.column("a"), frame.column("b"), pa.array(same)], names=["a", "b", "same"])
-            yield out.filter(pa.array(same >= SKETCH))
+            out = pa.RecordBatch.from_arrays([frame.column("a"), frame.column("b")], names=["a", "b"])
+            yield out.filter(pa.array(alike(a, b)))
 
     one = nodes.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
     two = nodes.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
     pairs = edges.join(one, "a").join(two, "b")
     pairs = pairs.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, same double")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def within(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components in each branch (branch, node, root) that sketches don't turn away.
+
+    A branch's rows come one after the other; row i is compared with row i + 1 of
+    all branches at once, then with row i + 2, and so on.
+    """
+
+    def pairs(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        branch, node, root, n, tokens = (held[x] for x in ("branch", "node", "root", "n", "tokens"))
+        edges = np.flatnonzero(np.diff(branch)) + 1
+        sizes = np.diff([0, *edges, len(branch)])
+        end = np.repeat(np.cumsum(sizes), sizes)  # of each row's branch
+        left, ups, downs, step = np.arange(len(branch)), [], [], 1
+        while len(left := left[left + step < end[left]]):
+            at = left[root[left] != root[left + step]]
+            low, high = np.minimum(n[at], n[at + step]), np.maximum(n[at], n[at + step])
+            at = at[100 * low >= PERCENT * high]
+            at = at[alike(tokens[at], tokens[at + step])]
+            ups.append(np.maximum(node[at], node[at + step]))
+            downs.append(np.minimum(node[at], node[at + step]))
+            step += 1
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (ups, downs)], names=["a", "b"])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for frame in frames:
+            if not frame.num_rows:
+                continue
+            new = {x: frame.column(x).to_numpy() for x in ("branch", "node", "root", "n")}
+            new["tokens"] = np.asarray(frame.column("tokens").flatten()).reshape(-1, COORDINATES)
+            if held is not None:
+                new = {x: np.concatenate([held[x], new[x]]) for x in new}
+            cut = int(np.searchsorted(new["branch"] == new["branch"][-1], True))  # the last branch may go on
+            yield pairs({x: v[:cut] for x, v in new.items()})
+            held = {x: v[cut:] for x, v in new.items()}
+        if held is not None:
+            yield pairs(held)
+
+    wide = rows.select("branch", "node", "root").join(nodes.select("node", "n", "tokens"), "node")
+    return wide.repartition("branch").sortWithinPartitions("branch", "node").mapInArrow(run, "a long, b long")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -225,35 +264,20 @@ class Linker:
         return self.rooted(self.rooted(edges, "a", "ra"), "b", "rb").where("ra <> rb").drop("ra", "rb")
 
     def take(self, edges: DataFrame) -> None:
-        """Link the pairs that pass: by sketch only, or by sketch and then full sets.
-
-        Full sets are compared for each node's best pairs first, then for twice as
-        many each time; pairs that a link has connected meanwhile are skipped.
-        """
-        held = self.scratch.save(sketched(edges, self.nodes), self.name())
-        if held.isEmpty():
-            return
-        if self.sets is None:
-            self.add(held.select("a", "b"))
-            return
-        best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("same"), "b"))
-        ranked = self.scratch.save(held.withColumn("rank", best), self.name())
-        low, high = 0, 1
-        while True:
-            rest = self.scratch.save(self.apart(ranked.where(F.col("rank") > low)), self.name())
-            if rest.isEmpty():
-                return
-            now = rest.where(F.col("rank") <= high).select("a", "b")
-            found = self.scratch.save(confirmed(now, self.sets), self.name())
-            if not found.isEmpty():
-                self.add(found)
-            low, high = high, high * 2 + 1
+        """Link the pairs that the sketches left: as they are, or after a look at their full sets."""
+        found = self.scratch.save(edges if self.sets is None else confirmed(edges, self.sets), self.name())
+        if not found.isEmpty():
+            self.add(found)
 
     def add(self, found: DataFrame) -> None:
-        # Old links are known only through their components: enough to connect the new ones.
-        known = self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
-        made = components(known.union(found), self.scratch, self.name() + "_")
-        self.roots = self.scratch.save(made, self.name())
+        """Connect the components that the found pairs (a, b) join."""
+        joined = self.rooted(self.rooted(found, "a", "ra"), "b", "rb").where("ra <> rb")
+        made = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")), self.scratch, self.name() + "_")
+        made = made.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        moved = self.roots.join(made, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        # Roots of earlier components are among their nodes; the others are new.
+        fresh = made.join(self.roots, made["root"] == self.roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+        self.roots = self.scratch.save(moved.union(fresh), self.name())
 
     def run(self, rows: DataFrame) -> None:
         """Walk the trees from their first branches (branch, node) on."""
@@ -261,18 +285,18 @@ class Linker:
             rows = self.scratch.save(self.crowded(rows), self.name())
             if rows.isEmpty():
                 return
-            first = rows.groupBy("branch").agg(F.min("node").alias("b"))
-            stars = rows.join(first, "branch").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
-            self.take(self.apart(stars) if level else stars)
+            # One order of the nodes for all branches of a step, another in each step: few different centres.
+            first = rows.groupBy("branch").agg(F.min(F.struct(F.xxhash64("node", F.lit(level)), "node")).alias("c"))
+            stars = rows.join(first.select("branch", F.col("c.node").alias("b")), "branch").select(F.col("node").alias("a"), "b")
+            stars = stars.where("a <> b").distinct()
+            self.take(sketched(self.apart(stars) if level else stars, self.nodes))
             rows = self.scratch.save(self.open(rows), self.name())
             if rows.isEmpty():
                 return
-            self.take(self.small_pairs(rows))
-            rows = self.open(rows.where(F.col("size") > SMALL).select("branch", "node"))
-            if level == LEVELS:
-                self.take(self.rest_pairs(self.scratch.save(rows, self.name())))
-                return
-            rows = next_branches(rows.select("branch", "node"), self.nodes)
+            few = F.lit(True) if level == LEVELS else F.col("odd") <= SMALL
+            small = within(rows.where(F.col("size") <= FULL), self.nodes)
+            self.take(small.union(sketched(self.odd_pairs(rows.where((F.col("size") > FULL) & few)), self.nodes)).distinct())
+            rows = next_branches(rows.where((F.col("size") > FULL) & ~few).select("branch", "node"), self.nodes)
 
     def crowded(self, rows: DataFrame) -> DataFrame:
         """Branches with at least two nodes."""
@@ -281,23 +305,19 @@ class Linker:
         return rows.join(many, "branch")
 
     def open(self, rows: DataFrame) -> DataFrame:
-        """Rows (branch, node, root, size) of the branches that hold more than one component."""
+        """Rows (branch, node, root, main, odd, size) of the branches that hold more than one component.
+
+        ``main`` is the branch's largest component, ``odd`` the number of nodes outside it.
+        """
         rows = self.rooted(rows)
-        seen = rows.groupBy("branch").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
-        return rows.join(seen.where("x <> y").select("branch", "size"), "branch")
-
-    def small_pairs(self, rows: DataFrame) -> DataFrame:
-        small = rows.where(F.col("size") <= SMALL)
-        lists = small.groupBy("branch").agg(F.collect_list(F.struct("node", "root")).alias("all"))  # SMALL at most
-        one = lists.select("all", F.explode("all").alias("x"))
-        partner = F.filter("all", lambda y: (y["node"] < F.col("x.node")) & (y["root"] != F.col("x.root")))
-        return one.select(F.col("x.node").alias("a"), F.explode(partner).alias("y")).select("a", F.col("y.node").alias("b")).distinct()
-
-    def rest_pairs(self, rows: DataFrame) -> DataFrame:
-        """What no step has split: all members outside a branch's largest component against all members."""
         sizes = rows.groupBy("branch", "root").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("branch").agg(F.max(F.struct("c", "root")).alias("m")).select("branch", F.col("m.root").alias("main"))
-        odd = rows.join(main, "branch").where("root <> main").select("branch", F.col("node").alias("x"), F.col("root").alias("rx"))
+        seen = sizes.groupBy("branch").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("size"))
+        seen = seen.select("branch", F.col("m.root").alias("main"), (F.col("size") - F.col("m.c")).alias("odd"), "size")
+        return rows.join(seen.where("odd > 0"), "branch")
+
+    def odd_pairs(self, rows: DataFrame) -> DataFrame:
+        """All pairs of a branch between different components: nodes outside the largest one against every node."""
+        odd = rows.where("root <> main").select("branch", F.col("node").alias("x"), F.col("root").alias("rx"))
         pairs = odd.join(rows.select("branch", "node", "root"), "branch").where("rx <> root")
         return pairs.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct()
 

@@ -138,10 +138,12 @@ def test_near_components_at_the_threshold(spark):
     agree(spark, rows)
 
 
-def test_steps_beyond_the_last_level(spark, monkeypatch):
+@pytest.mark.parametrize("levels", [0, 2])
+def test_steps_beyond_the_last_level(spark, monkeypatch, levels):
     """Members that no step splits are compared one by one."""
-    monkeypatch.setattr(chosen_path, "LEVELS", 0)
+    monkeypatch.setattr(chosen_path, "LEVELS", levels)
     monkeypatch.setattr(chosen_path, "SMALL", 2)
+    monkeypatch.setattr(chosen_path, "FULL", 4)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     agree(spark, [(i, edited(base, rng, rng.randrange(6))) for i in range(40)])
