@@ -200,8 +200,7 @@ def language(model: LanguageModel, text: Column) -> Column:
                 post.append(float(1 / np.power(10.0, np.maximum(total - total[best], -300)).sum()))
             yield pd.DataFrame({"lang_pred": pred, "score": post})
 
-    typed = F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
-    return typed.asNondeterministic()(text)  # evaluated once, not once per field
+    return F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(text)  # evaluated once, not once per field
 
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
