@@ -15,7 +15,8 @@ linear, however large the branch). Where few members then stay outside a
 large branch's largest component, each of them is compared with every member,
 which is linear too; one with many of them branches again, which splits the unlike.
 Sketches of the tokens turn pairs away (a pair of similarity 0.8 with a
-probability of 1e-8); every link is confirmed on the full sets.
+probability of 1e-8, by the finer sketches of nodes that passed the first);
+every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ from pyspark.sql import functions as F
 from netobs.llm.common import Scratch, batches, components
 
 COORDINATES, TREES, BRANCHES = 64, 6, 2
-FULL = 1024  # branches up to this size are compared exhaustively in one task
-SMALL = 32  # so are larger ones with up to so many nodes outside their largest component
+FULL, WORK = 1 << 16, 1 << 25  # a task compares a branch exhaustively up to this size and so many comparisons
+SMALL = 32  # larger branches with up to so many nodes outside their largest component are compared by a join
 LEVELS = 16  # further steps; what is still large then is compared exhaustively too
 PERCENT = 80
 SKETCH = 0.5  # share of equal tokens under which a pair is turned away
+FINE, FINE_SKETCH = 512, 0.7  # the same for longer sketches, of one byte a token, of nodes that may have links
 SIEVE = 1 << 23  # bits of the fixed-size filter over wanted documents
 
-ODD = np.random.default_rng(20240229).integers(0, 1 << 63, (2, 72), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ODD = np.random.default_rng(20240229).integers(0, 1 << 63, (2, 72 + FINE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -76,6 +78,20 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
+def minwise(sets: list[np.ndarray], first: int, n: int) -> np.ndarray:
+    """The ``n`` minwise tokens from number ``first`` on, a row per set; 0 for an empty one."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    tokens = np.zeros((len(sets), n), np.uint32)
+    if len(full):
+        flat = np.concatenate([sets[i] for i in full])
+        starts = np.cumsum(sizes[full]) - sizes[full]
+        for c in range(n):
+            turned = (flat * ODD[0, first + c] + ODD[1, first + c]) >> np.uint64(32)
+            tokens[full, c] = np.minimum.reduceat(turned.astype(np.uint32), starts)
+    return tokens
+
+
 def described(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
     """(doc_id, n, print, tokens) per row: set size, fingerprint of the set, minwise tokens."""
     kind = docs.schema[key].dataType
@@ -85,14 +101,7 @@ def described(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
             for part in batches(frame):
                 sets = shingle_sets(part.column("t").to_pylist(), width)
                 sizes = np.array([len(x) for x in sets], np.int64)
-                full = np.flatnonzero(sizes)
-                tokens = np.zeros((len(sets), COORDINATES), np.int32)
-                if len(full):
-                    flat = np.concatenate([sets[i] for i in full])
-                    starts = np.cumsum(sizes[full]) - sizes[full]
-                    for c in range(COORDINATES):
-                        turned = ((flat * ODD[0, 4 + c] + ODD[1, 4 + c]) >> np.uint64(32)).astype(np.uint32)
-                        tokens[full, c] = np.minimum.reduceat(turned, starts).view(np.int32)
+                tokens = minwise(sets, 4, COORDINATES).view(np.int32)
                 prints = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -121,7 +130,7 @@ def slot_of(key: Column) -> Column:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """(node, set) of the wanted nodes (node, print, doc_id), made again from the texts.
+    """(node, set, fine) of the wanted nodes (node, print, doc_id), made again from the texts.
 
     A bit table of fixed size lets most other documents go before anything is
     hashed or shuffled.
@@ -133,18 +142,20 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: st
             slot = frame.column("slot").to_numpy(zero_copy_only=False).astype(np.uint64)
             hit = (sieve[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
             for part in batches(frame.filter(pa.array(hit.astype(bool)))):
-                sets = [x.tobytes() for x in shingle_sets(part.column("t").to_pylist(), width)]
+                made = shingle_sets(part.column("t").to_pylist(), width)
+                fine = [x.tobytes() for x in minwise(made, 4 + COORDINATES, FINE).astype(np.uint8)]
+                sets = [x.tobytes() for x in made]
                 prints = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())],
-                    names=["doc_id", "print", "set"],
+                    [part.column("doc_id"), *(pa.array(x, pa.binary()) for x in (prints, sets, fine))],
+                    names=["doc_id", "print", "set", "fine"],
                 )
 
     slim = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
     kind = docs.schema[key].dataType.simpleString()
-    made = slim.withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(run, f"doc_id {kind}, print binary, set binary")
+    made = slim.withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(run, f"doc_id {kind}, print binary, set binary, fine binary")
     joined = made.join(wanted.select("node", "print", "doc_id"), ["doc_id", "print"])
-    return joined.groupBy("node").agg(F.first("set").alias("set"))  # repeated rows have equal sets
+    return joined.groupBy("node").agg(F.first("set").alias("set"), F.first("fine").alias("fine"))  # repeated rows are equal
 
 
 def first_branches(nodes: DataFrame) -> DataFrame:
@@ -161,9 +172,20 @@ def next_branches(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select(F.xxhash64("branch", "turn", F.element_at("tokens", at + 1)).alias("branch"), "node")
 
 
+def sketches(column: pa.Array) -> np.ndarray:
+    """A sketch per row: the tokens, or the bytes of the finer ones."""
+    if pa.types.is_list(column.type):
+        return np.asarray(column.flatten()).reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FINE)
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pairs of rows of tokens that the sketch doesn't turn away."""
-    return (a == b).mean(axis=1) >= SKETCH
+    """Pairs of rows of sketches that aren't turned away."""
+    return (a == b).mean(axis=1) >= (FINE_SKETCH if a.shape[1] == FINE else SKETCH)
+
+
+def finest(nodes: DataFrame) -> str:
+    return "fine" if "fine" in nodes.columns else "tokens"
 
 
 def sketched(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -171,26 +193,42 @@ def sketched(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            a, b = (np.asarray(frame.column(x).flatten()).reshape(-1, COORDINATES) for x in ("ta", "tb"))
+            a, b = (sketches(frame.column(x)) for x in ("ta", "tb"))
             out = pa.RecordBatch.from_arrays([frame.column("a"), frame.column("b")], names=["a", "b"])
             yield out.filter(pa.array(alike(a, b)))
 
-    one = nodes.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
-    two = nodes.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
+    one = nodes.select(F.col("node").alias("a"), F.col(finest(nodes)).alias("ta"), F.col("n").alias("na"))
+    two = nodes.select(F.col("node").alias("b"), F.col(finest(nodes)).alias("tb"), F.col("n").alias("nb"))
     pairs = edges.join(one, "a").join(two, "b")
     pairs = pairs.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def within(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what (a, b) connect: each node but the smallest of its component with that one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, low, before = at[: len(a)], at[len(a) :], np.arange(len(ids)), None
+    while before is None or (before != low).any():
+        before = low.copy()
+        least = np.minimum(low[u], low[v])
+        np.minimum.at(low, u, least)
+        np.minimum.at(low, v, least)
+        low = low[low]
+    moved = np.flatnonzero(low != np.arange(len(ids)))
+    return ids[moved], ids[low[moved]]
+
+
+def within(rows: DataFrame, nodes: DataFrame, connect: bool) -> DataFrame:
     """The pairs (a, b) of different components in each branch (branch, node, root) that sketches don't turn away.
 
+    Where the sketches alone decide (``connect``), only pairs that connect the same nodes.
+
     A branch's rows come one after the other; row i is compared with row i + 1 of
     all branches at once, then with row i + 2, and so on.
     """
 
     def pairs(held: dict[str, np.ndarray]) -> pa.RecordBatch:
-        branch, node, root, n, tokens = (held[x] for x in ("branch", "node", "root", "n", "tokens"))
+        branch, node, root, n, sketch = (held[x] for x in ("branch", "node", "root", "n", "sketch"))
         edges = np.flatnonzero(np.diff(branch)) + 1
         sizes = np.diff([0, *edges, len(branch)])
         end = np.repeat(np.cumsum(sizes), sizes)  # of each row's branch
@@ -199,12 +237,13 @@ def within(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             at = left[root[left] != root[left + step]]
             low, high = np.minimum(n[at], n[at + step]), np.maximum(n[at], n[at + step])
             at = at[100 * low >= PERCENT * high]
-            at = at[alike(tokens[at], tokens[at + step])]
+            at = at[alike(sketch[at], sketch[at + step])]
             ups.append(np.maximum(node[at], node[at + step]))
             downs.append(np.minimum(node[at], node[at + step]))
             step += 1
         none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (ups, downs)], names=["a", "b"])
+        found = np.concatenate([none, *ups]), np.concatenate([none, *downs])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (spanning(*found) if connect else found)], names=["a", "b"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -212,7 +251,7 @@ def within(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             if not frame.num_rows:
                 continue
             new = {x: frame.column(x).to_numpy() for x in ("branch", "node", "root", "n")}
-            new["tokens"] = np.asarray(frame.column("tokens").flatten()).reshape(-1, COORDINATES)
+            new["sketch"] = sketches(frame.column("sketch"))
             if held is not None:
                 new = {x: np.concatenate([held[x], new[x]]) for x in new}
             cut = int(np.searchsorted(new["branch"] == new["branch"][-1], True))  # the last branch may go on
@@ -221,7 +260,7 @@ def within(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         if held is not None:
             yield pairs(held)
 
-    wide = rows.select("branch", "node", "root").join(nodes.select("node", "n", "tokens"), "node")
+    wide = rows.select("branch", "node", "root").join(nodes.select("node", "n", F.col(finest(nodes)).alias("sketch")), "node")
     return wide.repartition("branch").sortWithinPartitions("branch", "node").mapInArrow(run, "a long, b long")
 
 
@@ -293,10 +332,11 @@ class Linker:
             rows = self.scratch.save(self.open(rows), self.name())
             if rows.isEmpty():
                 return
+            fits = (F.col("size") <= FULL) & (F.col("size") * F.col("odd") <= WORK)
             few = F.lit(True) if level == LEVELS else F.col("odd") <= SMALL
-            small = within(rows.where(F.col("size") <= FULL), self.nodes)
-            self.take(small.union(sketched(self.odd_pairs(rows.where((F.col("size") > FULL) & few)), self.nodes)).distinct())
-            rows = next_branches(rows.where((F.col("size") > FULL) & ~few).select("branch", "node"), self.nodes)
+            small, large = within(rows.where(fits), self.nodes, self.sets is None), self.odd_pairs(rows.where(~fits & few))
+            self.take(small.union(sketched(large, self.nodes)).distinct())
+            rows = next_branches(rows.where(~fits & ~few).select("branch", "node"), self.nodes)
 
     def crowded(self, rows: DataFrame) -> DataFrame:
         """Branches with at least two nodes."""
@@ -344,7 +384,7 @@ def near_components(docs: DataFrame, width: int = 4, key: str = "doc_id", text:
     exact = None
     if not wanted.isEmpty():
         sets = scratch.save(full_sets(docs, wanted, width, key, text), "sets")
-        exact = Linker(wanted, scratch, "exact", sets)
+        exact = Linker(scratch.save(wanted.drop("root").join(sets.select("node", "fine"), "node"), "fine"), scratch, "exact", sets)
         inside = trees.join(wanted.select("node", "root"), "node")
         exact.run(inside.select(F.xxhash64("branch", "root").alias("branch"), "node"))
     roots = (exact or rough).roots.select("node", "root")

@@ -144,6 +144,7 @@ def test_steps_beyond_the_last_level(spark, monkeypatch, levels):
     monkeypatch.setattr(chosen_path, "LEVELS", levels)
     monkeypatch.setattr(chosen_path, "SMALL", 2)
     monkeypatch.setattr(chosen_path, "FULL", 4)
+    monkeypatch.setattr(chosen_path, "WORK", 8)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     agree(spark, [(i, edited(base, rng, rng.randrange(6))) for i in range(40)])
