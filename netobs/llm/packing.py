@@ -58,18 +58,43 @@ def units(word: str) -> list[str]:
     return UNITS.findall(word) if PLAIN.fullmatch(word) else [word]
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[str, ...]:
+    """The added tokens of the tokenizer file, lower-cased; the tokenizer matches them in raw text."""
+    return tuple({t.content.lower() for t in tokenizer(path).get_added_tokens_decoder().values()})
+
+
+def parts_of(word: str, added: tuple[str, ...]) -> list[str]:
+    """What of a word goes to the tokenizer: lower-cased units where that is plain, as the tokenizer lower-cases too.
+
+    A word that holds an added token, in any letter case, goes as it is: the
+    match is on raw text, so neither its units nor its lower case give its ids.
+    """
+    lower = word.lower()
+    if any(t in lower for t in added):
+        return [word]
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return [word]  # final sigma, dotted I and the like are left to the tokenizer
+    return units(lower)
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> IdCache:
     """Token ids of texts, a word at a time; one cache for each Python worker.
 
     The tokenizer drops white space and never joins what it separates, so a
-    text's ids are those of its words one after the other. New words are encoded
-    by their units, most of which other words have had before.
+    text's ids are those of its words one after the other; no added token may
+    hold white space. New words are encoded by their units, most of which other
+    words have had before.
     """
-    model, known = tokenizer(path), {}
+    model, added, known = tokenizer(path), added_tokens(path), {}
+    if any(len(t.split()) != 1 or t != t.strip() for t in added):
+        raise ValueError(f"an added token of {path} holds white space")
 
     def make(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [units(w) for w in words]
+        parts = [parts_of(w, added) for w in words]
         wanted = set(chain.from_iterable(parts))
         if len(known) > CACHED_UNITS:
             known.clear()
@@ -85,14 +110,8 @@ def word_ids(path: str) -> IdCache:
 
 
 def split_words(text: str) -> list[str]:
-    """The words of a text, lower-cased where that is plain; the tokenizer lower-cases too."""
-    if any(c in text for c in NO_SPACE):
-        return WORDS.findall(text)
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text.split()  # final sigma, dotted I and the like are left to the tokenizer
-    return text.lower().split()
+    """The words of a text as they are."""
+    return WORDS.findall(text) if any(c in text for c in NO_SPACE) else text.split()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -105,3 +105,19 @@ def test_ids_by_word_are_the_ids_of_the_text(text):
 
 
 Tokenizer_ = Tokenizer.from_file(PATH)
+
+
+LITERALS = [
+    "<|endoftext|>", "x<|endoftext|>y", "<|ENDOFTEXT|>", "'<|ENDOFTEXT|>", "x<|EndOfText|>Y", "Don<|endoftext|>'T stop", "É<|startoftext|>É",
+    "<|endoftext|><|startoftext|>", "a <|endoftext|>\n<|endoftext|> b", "<|endoftext", "Σ<|endoftext|>Σ", "\x1c<|ENDOFTEXT|>\x1c<|endoftext|>",
+]
+
+
+@pytest.mark.parametrize("capacity", [2048, 3])
+def test_added_tokens_in_texts(spark, capacity):
+    """The tokenizer matches them in raw text: alone, inside a word, not in upper case."""
+    assert Tokenizer_.encode("x<|endoftext|>y", add_special_tokens=False).ids == [343, 49407, 344]
+    got = packing.word_ids(PATH).encode([packing.split_words(t) for t in LITERALS])
+    assert [list(x) for x in got] == [Tokenizer_.encode(t, add_special_tokens=False).ids for t in LITERALS]
+    rows = list(enumerate(LITERALS))
+    check(packing.pack(docs(spark, rows), PATH, capacity).collect(), rows, capacity)
