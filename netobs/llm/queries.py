@@ -187,8 +187,11 @@ def licence_sql() -> str:
 
 @query("op3_licence_scan", licence_sql())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence notices and texts found in all documents."""
-    return licences.scan(table(spark, sf_dir, "documents"))
+    """Licence notices and texts found in all documents, also inside lines and comment blocks.
+
+    The SQL twin has lines, paragraphs and whole texts only.
+    """
+    return licences.scan(table(spark, sf_dir, "documents"), inside=True)
 
 
 @query("op6_sentencepiece")

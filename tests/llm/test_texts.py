@@ -64,6 +64,63 @@ def test_licences_in_messy_rows_and_nothing(spark):
     assert licences.scan(empty(spark)).count() == 0
 
 
+WARRANTY = "You should have received a copy of the GNU General Public License along with this program."
+
+
+def comment(*paragraphs, sign="#"):
+    """Paragraphs as one comment block, wrapped, a lone sign between them."""
+    out = []
+    for p in paragraphs:
+        words = p.split()
+        out += [sign, *(f"{sign} " + " ".join(words[i : i + 11]) for i in range(0, len(words), 11))]
+    return "\n".join(out[1:])
+
+
+def test_notices_inside_lines_and_comments(spark):
+    t = licences.TEMPLATES
+    varied = t["ISC grant"].replace("this software", "this very fine piece of software").rstrip(".")
+    rows = [
+        (1, "This small tool is Released under the MIT License. Patches are welcome."), (2, "Copyright 2020 Example Corp. All rights reserved."),
+        (3, comment("Copyright (C) 2020 Someone", t["GPL header"], t["GPL warranty"], WARRANTY) + "\nimport os\nprint(1)"),
+        (4, comment("Copyright 2020 Someone", t["MIT grant"], t["MIT condition"], "THE SOFTWARE IS PROVIDED AS IS", sign="//").replace("\n//\n", "\n")),
+        (5, f"Some words go before. {varied}. And some more words that go on for a while come after it here."),
+        (6, "nothing of it is released under any of the terms, all of the rights stay"), (7, "so Released under the MIT"), (8, None), (9, "so it was Eleased " + t["GPL warranty"][5:]),
+    ]
+    assert not found(spark, rows[:2])
+    got = found(spark, rows, inside=True)
+    want = {(1, "MIT notice"), (2, "Reserved"), (3, "GPL header"), (3, "GPL warranty"), (4, "MIT grant"), (4, "MIT condition"), (5, "ISC grant"), (9, "GPL warranty")}
+    assert set(got) == want
+    assert (got[1, "MIT notice"].dice, got[1, "MIT notice"].unit, got[1, "MIT notice"].unit_no) == (1.0, "window", 4)
+    assert (got[2, "Reserved"].dice, got[2, "Reserved"].unit) == (1.0, "sentence")
+    assert (got[3, "GPL warranty"].dice, got[3, "GPL warranty"].unit) == (1.0, "comment")
+    assert got[4, "MIT grant"].dice == got[4, "MIT condition"].dice == 1.0
+    assert got[5, "ISC grant"].unit == "sentence"
+
+
+def test_windows_against_brute_force(spark):
+    """Every window of a template's size that starts with one of its bigrams, in one line without sentences."""
+    rng = random.Random(3)
+    pool = [x.replace(".", " ").replace("!", " ") for x in licences.TEMPLATES.values()]
+    rows = []
+    for i in range(80):
+        words = ["so", "it", "is"] * rng.randrange(4) + rng.choice(pool).split() + rng.choice(pool).split()[: rng.randrange(1, 30)] + ["and", "the", "end"] * rng.randrange(3)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = rng.choice(["x", "the", "License"])
+        rows.append((i, " ".join(words)))
+    want = {}
+    for i, text in rows:
+        words = licences.re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        for name, template in licences.TEMPLATES.items():
+            b, span = set(licences.grams_of(template)), licences.template_words(template) - 1
+            sets = [set(pairs), *(set(pairs[max(0, k) : max(0, k) + span]) for k in (min(k, len(pairs) - span) for k, g in enumerate(pairs) if g in b))]
+            dice = max(2 * len(a & b) / (len(a) + len(b)) for a in sets)
+            if dice >= licences.DICE:
+                want[i, name] = dice
+    got = {k: r.dice for k, r in found(spark, rows, inside=True).items()}
+    assert got == pytest.approx(want) and len(want) > 60
+
+
 def best_sum(text):
     """Highest score of any segmentation, and the ids it can have (plain dynamic program)."""
     p = pieces_of(PIECES)
