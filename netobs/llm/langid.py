@@ -13,6 +13,7 @@ by the vocabulary and is what travels to the tasks.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from netobs.llm.common import Scratch
 from netobs.llm.pieces import SPACE, Lattice, pieces_of, same_length
 
-TRAINING_ROWS = 10_000  # bound of the labelled sample the model is fitted on
+TRAINING_ROWS = 10_000  # about so many labelled rows the model is fitted on
+LEAST_ROWS = 100  # of a language are kept, where it has so many, however many languages there are
 ROUNDS = 3
-LONGEST_LEARNED = 48  # longer runs of letters say nothing about a language's words
+LONGEST_LEARNED = 48  # letters; longer runs, as in scripts without word spaces, are learned in parts of it
 CACHED_WORDS = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
 TINY, LIFT = 1e-120, 1e150
@@ -37,6 +39,24 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
+def learned_words(text: str | None) -> Iterator[str]:
+    """The words of a text, long ones cut."""
+    for word in words_of(text):
+        for at in range(0, len(word), LONGEST_LEARNED):
+            yield word[at : at + LONGEST_LEARNED]
+
+
+def quotas(counts: dict[str, int], most_rows: int) -> dict[str, int]:
+    """Rows to keep of each language that has more: equal shares of ``most_rows``, what small languages leave goes to the others."""
+    out, left = {}, most_rows
+    for i, (language, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        quota = max(left // (len(counts) - i), LEAST_ROWS)
+        left = max(left - min(n, quota), 0)
+        if n > quota:
+            out[language] = quota
+    return out
+
+
 def edges(lattice: Lattice, unknown: int, end: int):
     """Matches ending at ``end``; a character no piece covers is an edge of its own."""
     covered = np.zeros(lattice.n, bool)
@@ -109,7 +129,7 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
         seen: Counter = Counter()
         for frame in frames:
             for language, body in zip(frame["lang"], frame["text"], strict=True):
-                seen.update((language, w) for w in words_of(body) if len(w) < LONGEST_LEARNED)
+                seen.update((language, w) for w in learned_words(body))
                 if len(seen) > CACHED_WORDS:
                     yield rows(seen)
                     seen.clear()
@@ -131,12 +151,14 @@ def learn(
     labelled: DataFrame, path: str, text: str = "text", lang: str = "lang",
     key: str = "doc_id", most_rows: int = TRAINING_ROWS, rounds: int = ROUNDS,
 ) -> LanguageModel:
-    """Fit on rows with a language; beyond ``most_rows`` a sample by the key's hash of about that size."""
+    """Fit on rows with a language; beyond ``most_rows`` a sample of about that size by the key's and text's hash, equal shares of all languages."""
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = labelled.count()
-    if n > most_rows:
-        share = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(9)), F.lit(1 << 20))
-        labelled = labelled.where(share < int((1 << 20) * most_rows / n))
+    rows = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}  # one row per language
+    kept = quotas(rows, most_rows) if sum(rows.values()) > most_rows else {}
+    if kept:
+        share = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text), F.lit(9)), F.lit(1 << 20))
+        bounds = F.create_map(*[F.lit(x) for k, q in kept.items() for x in (k, math.ceil((1 << 20) * q / rows[k]))])
+        labelled = labelled.where(share < F.coalesce(F.element_at(bounds, F.col(lang)), F.lit(1 << 20)))
     scratch = Scratch(labelled.sparkSession, "langid")
     counts = scratch.save(word_counts(labelled, text, lang), "words")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # one row per language

@@ -87,6 +87,23 @@ def test_language_of_messy_rows(spark):
     assert {r.lang_pred for r in langid.identify(rows, nothing).collect()} == {"und"}
 
 
+def test_every_labelled_language_is_learned(spark):
+    """Languages of a single row beside a large one, and one whose runs of letters are all long."""
+    rare = {f"r{i:02}": f"{chr(945 + i) * 3} {chr(945 + i) * 5}" for i in range(20)}
+    rows = [(i, "the quick brown fox", "en") for i in range(3000)] + [(4000 + i, t, k) for i, (k, t) in enumerate(rare.items())]
+    rows += [(5000, "日本語文章" * 30, "ja")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES, most_rows=300, rounds=2)
+    assert model.langs == sorted(["en", "ja", *rare])
+    got = langid.identify(docs(spark, [(1, "日本語文章" * 20), (2, "fox"), (3, "ααα ααααα")]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "ja", 2: "en", 3: "r00"}
+
+
+def test_samples_are_bounded():
+    assert langid.quotas({"a": 5000, "b": 9000, "c": 10}, 1000) == {"a": 495, "b": 495}
+    assert langid.quotas({str(i): 300 for i in range(50)}, 1000) == {str(i): langid.LEAST_ROWS for i in range(50)}
+    assert "".join(langid.learned_words("ab" * 100)) == "ab" * 100
+
+
 def test_forward_sums_all_segmentations():
     """Against a sum over every way to cut short words, unknown characters too."""
     pieces = pieces_of(PIECES)
