@@ -395,11 +395,38 @@ def near_components(docs: DataFrame, width: int = 4, key: str = "doc_id", text:
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", own)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "print")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), F.col("print").alias("print", metadata={"width": width}))
 
 
-def keep_one(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key stays: one document of each component, with its columns."""
-    gone = decided.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+def with_print(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """(row, key, print): whole rows with the fingerprints of their sets."""
+    slim = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("t"))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for part in batches(frame):
+                sets = shingle_sets(part.column("t").to_pylist(), width)
+                prints = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+                columns = [part.column("row"), part.column("key"), pa.array(prints, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "print"])
+
+    return slim.mapInArrow(run, slim.drop("t").withColumn("print", F.lit(None).cast("binary")).schema)
+
+
+def keep_one(docs: DataFrame, decided: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each component, with its columns; ``decided`` is from ``near_components``.
+
+    Where rows that share a key are decided differently, each goes by its own
+    shingles; only the texts of such rows are read again.
+    """
+    states = decided.groupBy(F.col("doc_id").alias("gone")).agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"))
-    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
+    left = rows.join(states.where("NOT every"), F.col("key") == F.col("gone"), "left_anti").select("row.*")
+    mixed = states.where("some AND NOT every").select(F.col("gone").alias("mixed"))
+    if mixed.isEmpty():
+        return left
+    again = docs.join(mixed, F.col(key) == F.col("mixed"), "left_semi")
+    again = with_print(again, decided.schema["print"].metadata["width"], key, text)
+    out = decided.where("NOT kept").select(F.col("doc_id").alias("gone"), F.col("print").alias("its")).distinct()
+    some = again.join(out, (F.col("key") == F.col("gone")) & (F.col("print") == F.col("its")), "left_anti")
+    return left.union(some.select("row.*"))

@@ -158,6 +158,16 @@ def test_keep_one_keeps_columns_and_null_keys(spark):
     assert 2 not in ids and 1 in ids and ids.count(None) == 3
 
 
+def test_keep_one_decides_rows_that_share_a_key(spark):
+    """One row with key 5 is a near copy of row 1, the other is not."""
+    base = [f"w{i}" for i in range(60)]
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = docs(spark, [(1, " ".join(base)), (5, " ".join([*base, "more"])), (5, other), (6, " ".join([*base, "end"])), (7, other + " x")])
+    left = chosen_path.keep_one(rows, chosen_path.near_components(rows, 5))
+    assert left.columns == rows.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, " ".join(base)), (5, other)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)]
