@@ -15,14 +15,17 @@ from netobs.llm import chosen_path, langid, naming, packing, quality
 from netobs.llm.common import Scratch, fold, table
 
 SURE = 0.5  # posterior under which no language is accepted
+STRANGE = 2.0  # times the surprise of labelled texts from which a text is in no learned language
 SHINGLE = 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a learned language; null texts and texts without letters go."""
-    model = langid.learn(docs.where(fold("doc_id", 4) != 2), str(public_tokenizers.path("piece_bpe_32k.model")))
+    """Documents with a learned language; null texts, texts without letters, in other languages and junk go."""
+    labelled = docs.where(fold("doc_id", 4) != 2)
+    model = langid.learn(labelled, str(public_tokenizers.path("piece_bpe_32k.model")), levels=True)
     marked = docs.select(F.struct("*").alias("row"), langid.language(model, F.col("text")).alias("l"))
-    return marked.where((F.col("l.lang_pred") != "und") & (F.col("l.score") >= SURE)).select("row.*")
+    sure = (F.col("l.lang_pred") != "und") & (F.col("l.score") >= SURE) & (F.col("l.surprise") < STRANGE)
+    return marked.where(sure).select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

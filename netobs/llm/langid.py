@@ -30,6 +30,7 @@ TRAINING_ROWS = 10_000  # about so many labelled rows the model is fitted on
 LEAST_ROWS = 100  # of a language are kept, where it has so many, however many languages there are
 ROUNDS = 3
 LONGEST_LEARNED = 48  # letters; longer runs, as in scripts without word spaces, are learned in parts of it
+SHORT = 20  # characters at the labelled rows' level that every text's evidence is mixed with, so that few words decide little
 CACHED_WORDS = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
 TINY, LIFT = 1e-120, 1e150
@@ -141,15 +142,20 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 class LanguageModel:
-    """Learned languages and P(piece | language), last row for unknown characters."""
+    """Learned languages and P(piece | language), last row for unknown characters.
 
-    def __init__(self, langs: list[str], prob: np.ndarray, path: str):
-        self.langs, self.prob, self.path = langs, prob, path
+    ``level`` is the mean log10 probability of a character of each language's
+    labelled words, their word-start signs counted; None where it was not asked for.
+    """
+
+    def __init__(self, langs: list[str], prob: np.ndarray, path: str, level: np.ndarray | None = None):
+        self.langs, self.prob, self.path, self.level = langs, prob, path, level
 
 
 def learn(
     labelled: DataFrame, path: str, text: str = "text", lang: str = "lang",
     key: str = "doc_id", most_rows: int = TRAINING_ROWS, rounds: int = ROUNDS,
+    levels: bool = False,
 ) -> LanguageModel:
     """Fit on rows with a language; beyond ``most_rows`` a sample of about that size by the key's and text's hash, equal shares of all languages."""
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -184,19 +190,41 @@ def learn(
         prob = total / total.sum(axis=0)
     if langs:
         prob[-1] = 1e-7  # an unknown character favours no language
+    level = level_of(by_word, langs, prob, path) if langs and levels else None
     scratch.drop("words")
-    return LanguageModel(langs, prob, path)
+    return LanguageModel(langs, prob, path, level)
+
+
+def level_of(by_word: DataFrame, langs: list[str], prob: np.ndarray, path: str) -> np.ndarray:
+    """Mean log10 probability of a character of each language's words, under that language."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, size = np.zeros(len(langs)), np.zeros(len(langs))
+        for frame in frames:
+            if len(frame):
+                n = np.array([[dict(m).get(x, 0) for x in langs] for m in frame["n"]], float)
+                total += (n * log_likelihoods(list(frame["word"]), prob, path)).sum(axis=0)
+                size += n.T @ (frame["word"].str.len().to_numpy() + 1.0)
+        yield pd.DataFrame({"k": np.arange(len(langs)), "total": total, "size": size})
+
+    parts = by_word.mapInPandas(sums, "k long, total double, size double")
+    found = parts.groupBy("k").agg(F.sum("total").alias("total"), F.sum("size").alias("size")).orderBy("k").toPandas()
+    # A language whose labelled texts have no letter is never learned, so every size is positive.
+    return (found["total"] / found["size"]).to_numpy()
 
 
 def language(model: LanguageModel, text: Column) -> Column:
-    """Struct (lang_pred, score) of a text; score is the posterior of the language under equal priors.
+    """Struct (lang_pred, score, surprise) of a text; score is the posterior of the language under equal priors.
 
+    ``surprise`` is the mean log probability of a character against its level on
+    the language's labelled words: about 1 for texts like those, more for other
+    languages and junk; null where the model has no levels.
     ``und`` with score 0 where the text is null or has no letter, and everywhere
     when no language was learned. Ties go to the language first by name. Each
     task keeps the scores of recent words (bounded), so a word that returns costs
     a lookup.
     """
-    langs, prob, path = model.langs, model.prob, model.path
+    langs, prob, path, level = model.langs, model.prob, model.path, model.level
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -210,19 +238,22 @@ def language(model: LanguageModel, text: Column) -> Column:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             if new:
                 scores = np.concatenate([scores, log_likelihoods(new, prob, path)])
-            pred, post = [], []
+            pred, post, surprise = [], [], []
             for ws in words:
                 if not ws:
                     pred.append("und")
                     post.append(0.0)
+                    surprise.append(None)
                     continue
                 total = scores[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
                 best = int(total.argmax())
                 pred.append(langs[best])
                 post.append(float(1 / np.power(10.0, np.maximum(total - total[best], -300)).sum()))
-            yield pd.DataFrame({"lang_pred": pred, "score": post})
+                size = sum(map(len, ws)) + len(ws)
+                surprise.append(None if level is None else (total[best] / level[best] + SHORT) / (size + SHORT))
+            yield pd.DataFrame({"lang_pred": pred, "score": post, "surprise": pd.array(surprise, "Float64")})
 
-    return F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(text)  # evaluated once, not once per field
+    return F.pandas_udf(run, "lang_pred string, score double, surprise double").asNondeterministic()(text)  # evaluated once, not once per field
 
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:

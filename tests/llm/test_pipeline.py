@@ -43,3 +43,17 @@ def test_odd_documents(spark, tmp_path, make):
     shutil.copy(f"{SF}/labels.parquet", tmp_path / "labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert (len(out) > 0) == (make is messy) or make is empty
+
+
+def test_unlearned_languages_and_junk_go(spark):
+    """Texts in no learned language, without a label; all documents with letters stay."""
+    given = table(spark, SF, "documents")
+    strange = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Alla människor är födda fria och lika i värde och rättigheter", "Все люди рождаются свободными и равными в своем достоинстве",
+        "xqzt kjwv bnmp qwrtz asdfg hjklp zzxq wvbn", "aGVsbG8gd29ybGQ dGhpcyBpcyBiYXNl NjQgdGV4dA",
+    ]
+    more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    left = corpus_pipeline.language_id(spark, given.unionByName(more, allowMissingColumns=True), SF)
+    want = {r.doc_id for r in given.where("text rlike '[a-zA-Z]'").collect()}
+    assert {r.doc_id for r in left.collect()} == want
