@@ -143,27 +143,38 @@ for _tag in TYPED_SQL:
     _register_typed(_tag)
 
 
-def _field(tag: str, i: int, name: str, kind: str) -> tuple[Column, str, str]:
-    """A field's text as a column and in SQL, and what it adds to the sum of numbers, in SQL."""
-    k, hole = F.col("k"), PLACEHOLDERS.get((tag, name))
+def _field_sql(tag: str, i: int, name: str, kind: str) -> tuple[str, str]:
+    """A field's text in SQL, and what it adds to the sum of numbers."""
+    hole = PLACEHOLDERS.get((tag, name))
     if kind == "string":
-        text, sql, number = F.concat(F.lit("v"), k.cast("string")), "'v' || k", "0"
+        sql, number = "'v' || k", "0"
     elif kind == "double":
-        text, sql, number = F.format_string("%.2f", k / F.lit(4.0)), "printf('%.2f', k / 4.0)", "k / 4.0"
+        sql, number = "printf('%.2f', k / 4.0)", "k / 4.0"
     else:
-        text, sql, number = (k + i).cast("string"), f"CAST(k + {i} AS VARCHAR)", f"k + {i}"
+        sql, number = f"CAST(k + {i} AS VARCHAR)", f"k + {i}"
     if hole is None:
-        return text, sql, number
-    empty = k % 5 == 0
-    return F.when(empty, F.lit(hole)).otherwise(text), f"CASE WHEN k % 5 = 0 THEN '{hole}' ELSE {sql} END", f"CASE WHEN k % 5 = 0 THEN 0 ELSE {number} END"
+        return sql, number
+    return f"CASE WHEN k % 5 = 0 THEN '{hole}' ELSE {sql} END", f"CASE WHEN k % 5 = 0 THEN 0 ELSE {number} END"
+
+
+def _field_column(tag: str, i: int, name: str, kind: str) -> Column:
+    """The same text as a column."""
+    k, hole = F.col("k"), PLACEHOLDERS.get((tag, name))
+    if kind == "string":
+        text = F.concat(F.lit("v"), k.cast("string"))
+    elif kind == "double":
+        text = F.format_string("%.2f", k / F.lit(4.0))
+    else:
+        text = (k + i).cast("string")
+    return text if hole is None else F.when(k % 5 == 0, F.lit(hole)).otherwise(text)
 
 
 def _all_tags_sql() -> str:
     parts = []
     for tag, columns in RECORDS.items():
-        fields = [_field(tag, i, n, t) for i, (n, t) in enumerate(columns)]
-        line = " || '|' || ".join([f"'{tag}'", "mac", *(f"({sql})" for _, sql, _ in fields)])
-        total = " + ".join(["CAST(0 AS DOUBLE)", *(f"({number})" for _, _, number in fields)])
+        fields = [_field_sql(tag, i, n, t) for i, (n, t) in enumerate(columns)]
+        line = " || '|' || ".join([f"'{tag}'", "mac", *(f"({sql})" for sql, _ in fields)])
+        total = " + ".join(["CAST(0 AS DOUBLE)", *(f"({number})" for _, number in fields)])
         parts.append(f"SELECT seq, '{tag}' AS tag, {line} || CASE WHEN k % 10 = 9 THEN '|routed' ELSE '' END AS line, {total} AS total FROM pk")
     return ", a AS (" + " UNION ALL ".join(parts) + ") SELECT * FROM a"
 
@@ -173,7 +184,7 @@ def _typed_round_trip(spark, sf):
     """Lines of all eighteen tags, typed and formatted again; absent values stand in one row of five."""
     tail = F.when(F.col("k") % 10 == 9, F.lit("|routed")).otherwise(F.lit(""))
     lines = [
-        F.concat(F.concat_ws("|", F.lit(tag), "mac", *[_field(tag, i, n, t)[0] for i, (n, t) in enumerate(cols)]), tail)
+        F.concat(F.concat_ws("|", F.lit(tag), "mac", *[_field_column(tag, i, n, t) for i, (n, t) in enumerate(cols)]), tail)
         for tag, cols in RECORDS.items()
     ]
     wire = parse_wire(g.pk(spark, sf).select("ts", "seq", F.explode(F.array(*lines)).alias("line")))
