@@ -4,7 +4,8 @@ Each language has a probability for every piece of a fixed public vocabulary
 (``piece_bpe_32k.model``) and one for a character outside it. The probability of
 a word is the sum over all ways to cut it into pieces (forward algorithm), that
 of a text the product over its words. Words are the runs of letters of the
-lower-cased text, each with the vocabulary's word-start sign.
+lower-cased text with the marks that follow them, each with the vocabulary's
+word-start sign; digits and number signs are no letters.
 
 Learning: expectation-maximisation over the word counts of labelled rows, the
 expected piece counts summed in Spark. The model (languages x pieces) is bounded
@@ -14,13 +15,13 @@ by the vocabulary and is what travels to the tasks.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netobs.llm.common import Scratch
@@ -32,7 +33,10 @@ ROUNDS = 3
 LONGEST_LEARNED = 48  # letters; longer runs, as in scripts without word spaces, are learned in parts of it
 SHORT = 20  # characters at the labelled rows' level that every text's evidence is mixed with, so that few words decide little
 CACHED_WORDS = 400_000
-LETTERS = re.compile(r"[^\W\d_]+")
+CACHED_SCORES = 8 << 20  # words x languages that a scoring task keeps
+SLICE = 1 << 22  # characters of texts that a task takes apart at once, one text at least
+CELLS = 1 << 21  # forward sums held at once
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 TINY, LIFT = 1e-120, 1e150
 
 
@@ -70,19 +74,27 @@ def edges(lattice: Lattice, unknown: int, end: int):
         yield 1, rest, np.full(len(rest), unknown)
 
 
-def forward(lattice: Lattice, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward sums (position, word, language) and the log10 of each word's scale."""
-    alpha = np.zeros((lattice.length + 1, lattice.n, prob.shape[1]))
+def forward(lattice: Lattice, prob: np.ndarray, kept: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward sums (position, word, language) and the log10 of each word's scale.
+
+    With ``kept`` only so many positions are held, the last ones in the end;
+    position ``p`` is at ``p % kept``. No piece reaches back further than the longest.
+    """
+    kept = kept or lattice.length + 1
+    alpha = np.zeros((kept, lattice.n, prob.shape[1]))
     alpha[0] = 1
     scale = np.zeros(lattice.n)
     unknown = len(prob) - 1
     for end in range(1, lattice.length + 1):
+        here = alpha[end % kept]
+        here[:] = 0
         for size, rows, at in edges(lattice, unknown, end):
-            alpha[end, rows] += alpha[end - size, rows] * prob[at]
-        low = np.flatnonzero(alpha[end].max(axis=1) < TINY)
+            here[rows] += alpha[(end - size) % kept, rows] * prob[at]
+        low = np.flatnonzero(here.max(axis=1) < TINY)
         if len(low):
             first = max(0, end - lattice.pieces.longest)
-            alpha[first : end + 1, low] *= LIFT
+            for p in range(first, end + 1):
+                alpha[p % kept, low] *= LIFT
             scale[low] -= 150
     return alpha, scale
 
@@ -91,10 +103,11 @@ def log_likelihoods(words: list[str], prob: np.ndarray, path: str) -> np.ndarray
     """log10 P(word | language), one row per word."""
     out = np.empty((len(words), prob.shape[1]))
     pieces = pieces_of(path)
-    for length, at, group in same_length([SPACE + w for w in words]):
-        alpha, scale = forward(Lattice(pieces, group, length), prob)
+    for length, at, group in same_length([SPACE + w for w in words], max(1, CELLS // prob.shape[1])):
+        kept = min(length, pieces.longest) + 1
+        alpha, scale = forward(Lattice(pieces, group, length), prob, kept)
         with np.errstate(divide="ignore"):
-            out[at] = np.maximum(np.log10(alpha[length]), -300) + scale[:, None]
+            out[at] = np.maximum(np.log10(alpha[length % kept]), -300) + scale[:, None]
     return out
 
 
@@ -213,6 +226,65 @@ def level_of(by_word: DataFrame, langs: list[str], prob: np.ndarray, path: str)
     return (found["total"] / found["size"]).to_numpy()
 
 
+def slices(texts: pd.Series) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``SLICE`` characters."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text or "")
+        if held >= SLICE:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+class Scorer:
+    """Predictions for lists of texts; the scores of recent words are kept (bounded), so a word that returns costs a lookup."""
+
+    def __init__(self, langs: list[str], prob: np.ndarray, path: str, level: np.ndarray | None):
+        self.langs, self.prob, self.path, self.level = langs, prob, path, level
+        self.most = min(CACHED_WORDS, CACHED_SCORES // max(1, len(langs)))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.scores, self.sizes = np.empty((0, self.prob.shape[1])), np.empty(0, np.int64)
+
+    def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The words of each text as numbers of known words; new words are scored."""
+        if len(self.known) > self.most:
+            self.forget()
+        known, new, out = self.known, [], []
+        for text in texts:
+            words = words_of(text) if self.langs else []
+            for word in dict.fromkeys(words):
+                if word not in known:
+                    known[word] = len(known)
+                    new.append(word)
+            out.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+        if new:
+            self.scores = np.concatenate([self.scores, log_likelihoods(new, self.prob, self.path)])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), np.int64, len(new))])
+        return out
+
+    def score(self, texts: list[str | None]) -> pd.DataFrame:
+        pred, post, surprise = [], [], []
+        for ws in self.numbers(texts):
+            if not len(ws):
+                pred.append("und")
+                post.append(0.0)
+                surprise.append(None)
+                continue
+            total = self.scores[ws].sum(axis=0)
+            best = int(total.argmax())
+            pred.append(self.langs[best])
+            post.append(float(1 / np.power(10.0, np.maximum(total - total[best], -300)).sum()))
+            size = int(self.sizes[ws].sum()) + len(ws)
+            surprise.append(None if self.level is None else (total[best] / self.level[best] + SHORT) / (size + SHORT))
+        return pd.DataFrame({"lang_pred": pred, "score": post, "surprise": pd.array(surprise, "Float64")})
+
+
 def language(model: LanguageModel, text: Column) -> Column:
     """Struct (lang_pred, score, surprise) of a text; score is the posterior of the language under equal priors.
 
@@ -220,38 +292,16 @@ def language(model: LanguageModel, text: Column) -> Column:
     the language's labelled words: about 1 for texts like those, more for other
     languages and junk; null where the model has no levels.
     ``und`` with score 0 where the text is null or has no letter, and everywhere
-    when no language was learned. Ties go to the language first by name. Each
-    task keeps the scores of recent words (bounded), so a word that returns costs
-    a lookup.
+    when no language was learned. Ties go to the language first by name. A task
+    takes texts apart in slices, so its memory does not grow with the batch.
     """
-    langs, prob, path, level = model.langs, model.prob, model.path, model.level
+    spark = SparkSession.getActiveSession()
+    sent = spark.sparkContext.broadcast((model.langs, model.prob, model.path, model.level))  # vocabulary x languages
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        scores = np.empty((0, max(1, len(langs))))
+        scorer = Scorer(*sent.value)
         for texts in columns:
-            words = [words_of(t) if langs else [] for t in texts]
-            new = list({w for ws in words for w in ws if w not in known})
-            if len(known) + len(new) > CACHED_WORDS:
-                known, scores = {}, scores[:0]
-                new = list({w for ws in words for w in ws})
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            if new:
-                scores = np.concatenate([scores, log_likelihoods(new, prob, path)])
-            pred, post, surprise = [], [], []
-            for ws in words:
-                if not ws:
-                    pred.append("und")
-                    post.append(0.0)
-                    surprise.append(None)
-                    continue
-                total = scores[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
-                best = int(total.argmax())
-                pred.append(langs[best])
-                post.append(float(1 / np.power(10.0, np.maximum(total - total[best], -300)).sum()))
-                size = sum(map(len, ws)) + len(ws)
-                surprise.append(None if level is None else (total[best] / level[best] + SHORT) / (size + SHORT))
-            yield pd.DataFrame({"lang_pred": pred, "score": post, "surprise": pd.array(surprise, "Float64")})
+            yield pd.concat([scorer.score(part) for part in slices(texts)] or [scorer.score([])], ignore_index=True)
 
     return F.pandas_udf(run, "lang_pred string, score double, surprise double").asNondeterministic()(text)  # evaluated once, not once per field
 

@@ -48,6 +48,27 @@ def test_quality_paths_are_rules():
     ]
 
 
+def test_compiled_score_against_rules_row_by_row(spark):
+    """The model's column against its rules evaluated in plain Python, thresholds hit exactly among them."""
+    docs_ = table(spark, SF, "documents")
+    stats = quality.with_statistics(docs_, "doc_id", "text").persist()
+    labels = quality.labels_of(table(spark, SF, "labels"))
+    model = quality.learn(stats.join(labels, "k"))
+    assert 1 < len(model.rules) and any(len(r) > 1 for r in model.rules)
+    rows = [r.asDict() for r in stats.collect()]
+    edge = dict(rows[0]) | {name: at for rule in model.rules for name, _, at in rule}
+    frame = spark.createDataFrame([tuple(float(r[n]) for n in quality.NAMES) for r in (*rows, edge)], list(quality.NAMES))
+    got = [r.score for r in frame.select(model.score().alias("score")).collect()]
+    assert len(got) == len(rows) + 1
+    for row, score in zip((*rows, edge), got, strict=True):
+        total = model.intercept
+        for rule, weight in model.rules.items():
+            if all(row[name] <= at if sign == "<=" else row[name] > at for name, sign, at in rule):
+                total += weight
+        assert score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-12)
+    stats.unpersist()
+
+
 def test_quality_of_messy_rows_and_without_labels(spark):
     rows = messy(spark)
     none = quality.with_statistics(empty(spark), "doc_id", "text").withColumn("label", F.lit(1))
@@ -87,6 +108,29 @@ def test_language_of_messy_rows(spark):
     assert {r.lang_pred for r in langid.identify(rows, nothing).collect()} == {"und"}
 
 
+def test_number_signs_are_no_letters_and_marks_belong_to_theirs(spark):
+    model = langid.learn(table(spark, SF, "documents").limit(200), PIECES, rounds=1)
+    rows = [(1, "\u00bd"), (2, "\u00b2 \u2460 \u2167 12"), (3, "\u0301"), (4, "_"), (5, "x\u00bd")]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs(spark, rows), model).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == ["und"] * 4 and got[5] in model.langs
+    assert langid.words_of("\u0939\u093f\u0928\u094d\u0926\u0940 x\u0301y") == ["\u0939\u093f\u0928\u094d\u0926\u0940", "x\u0301y"]
+
+
+def test_scores_do_not_depend_on_slices(spark, monkeypatch):
+    texts = [r.text for r in table(spark, SF, "documents").limit(60).collect()]
+    pieces = pieces_of(PIECES)
+    prob = np.random.default_rng(3).random((len(pieces.keys) + 1, 2)) * 1e-3
+    whole = langid.Scorer(["a", "b"], prob, PIECES, None).score(texts)
+    monkeypatch.setattr(langid, "SLICE", 500)
+    monkeypatch.setattr(langid, "CACHED_WORDS", 50)
+    monkeypatch.setattr(langid, "CELLS", 64)
+    small = langid.Scorer(["a", "b"], prob, PIECES, None)
+    parts = [small.score(p) for p in langid.slices(texts)]
+    assert len(parts) > 5
+    assert [x for p in parts for x in p["lang_pred"]] == list(whole["lang_pred"])
+    assert [x for p in parts for x in p["score"]] == pytest.approx(list(whole["score"]))
+
+
 def test_every_labelled_language_is_learned(spark):
     """Languages of a single row beside a large one, and one whose runs of letters are all long."""
     rare = {f"r{i:02}": f"{chr(945 + i) * 3} {chr(945 + i) * 5}" for i in range(20)}
