@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netobs.llm import chosen_path, interpolated_lm, langid, licences, naming, packing, quality, sp_codec, topk, warc
+from netobs.llm import anchors, chosen_path, fp_search, interpolated_lm, langid, licences, naming, packing, quality, sp_codec, topk, warc, whitening
 from netobs.llm.common import Scratch, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,6 +203,58 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@query(
+    "op11_substring_dedup",
+    """
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    w AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word,
+                 unnest([CASE WHEN k + 34 <= len(words) THEN array_to_string(words[k:k + 34], ' ') END FOR k IN range(1, len(words) + 1)]) AS run FROM d),
+    r AS (SELECT run FROM w WHERE run IS NOT NULL GROUP BY run HAVING count(*) > 1),
+    m AS (SELECT doc_id, i, word, r.run IS NOT NULL AS hit FROM w LEFT JOIN r USING (run)),
+    c AS (SELECT doc_id, i, word, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+    o AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN o USING (doc_id)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the runs of 35 words that stand in two places."""
+    found = anchors.remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("repeats", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["first"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op12_ranked_search",
+    f"""
+    WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+    n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+    g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+          FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), g),
+    m AS (SELECT doc_id, 100 - 25 + ((25 * n * docs) // total) AS m FROM n, g),
+    q AS (SELECT item_id, unnest({TERMS}) AS term FROM benchmark),
+    s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+          FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return fp_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened by sixteen components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
