@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from netobs.checks.common import hex_lower, udp_frames
 from netobs.checks.registry import PK, query
 from netobs.functions.addr import is_private_v4, is_private_v6, is_unicast_mac, mac_bytes
-from netobs.operators.classify import PrefixSet, direction, flag_by_table
+from netobs.operators.classify import PrefixSet, direction
+from netobs.operators.prefixes import Lookup
 from netobs.operators.decode import decode_frames, tcp_segments, udp_datagrams
 from netobs.operators.filters import (
     endpoint_filter,
@@ -96,7 +97,8 @@ def _inside_class(spark, sf):
 )
 def _inside_by_table(spark, sf):
     table = PREFIXES.table(spark).where(F.col("kind") == "inside")
-    return flag_by_table(spread(spark, sf), "ip", table, "inside").select("seq", flag(F.col("inside")).alias("inside"))
+    found = Lookup(table).add(spread(spark, sf), {"ip": "found"})
+    return found.select("seq", flag(F.col("found.any")).alias("inside"))
 
 
 DIRECT_SQL = """(CASE dev % 3 WHEN 0 THEN n // 256 = 12625920 OR n // 16777216 = 100
@@ -114,10 +116,8 @@ def _direct_class(spark, sf):
 def _direct_by_table(spark, sf):
     iface = F.concat(F.lit("eth"), (F.col("dev") % 3).cast("string"))
     df = spread(spark, sf).withColumn("iface", iface)
-    table = PREFIXES.table(spark).where(F.col("kind") == "learned")
-    return flag_by_table(df, "ip", table, "direct", by_iface=True).select(
-        "seq", flag(F.col("direct")).alias("direct")
-    )
+    found = Lookup(PREFIXES.table(spark)).add(df, {"ip": "found"})
+    return found.select("seq", flag(F.array_contains("found.direct", F.col("iface"))).alias("direct"))
 
 
 @query(

@@ -15,35 +15,47 @@ from pyspark.sql import functions as F
 from netobs.checks.registry import ORACLES, PK, PULSE, query
 from netobs.checks.state import DROP_SQL, FLOW_SQL, GATE_SQL, OWNER_SQL, REFRESH_SQL, SLIDING_SQL, TCP_STATE_SQL, DNS_SQL, counters, dns_events, ownership, tcp_kind
 from netobs.checks import derived as g
+from netobs.checks.recordchecks import MIXED_SQL, mixed_frames
+from netobs.operators.vectors import vectors
+from netobs.plans.jobs import Options
 from netobs.plans.stage import work_folder
 from netobs.streaming import keyed
+from netobs.streaming.job import stream_lines
 
 PARTS = 3
+JITTER = 5  # seconds that a row may come after newer ones; the operators allow ten
+DAY = "INTERVAL 1 DAY"
 
 
 def through_stream(spark: SparkSession, op: Callable[..., DataFrame], *tables: DataFrame) -> DataFrame:
     """Rows of ``op`` over the tables (with ``ts``), each read as a stream in parts.
 
-    The clock of ``pulse`` starts where a stream's first watermark stands, so the
-    rows run a day later and come back.
+    The parts are cut by time, each row up to some seconds late, so that newer
+    rows come before older ones. The clock of ``pulse`` starts where a stream's
+    first watermark stands, so the rows run a day later and come back. A row long
+    after all others, in a last part, moves the watermark past them; it stays
+    unjudged itself.
     """
     folder = work_folder(spark)
-    tables = tuple(t.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")) for t in tables)
+    tables = tuple(t.withColumn("ts", F.col("ts") + F.expr(DAY)) for t in tables)
     low, high = tables[0].agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     width = max(1, (high - low) // PARTS + 1)
-    part = F.floor((F.unix_micros("ts") - low) / width)
+    late = F.pmod(F.xxhash64("seq"), F.lit(JITTER * 1_000_000)) if "seq" in tables[0].columns else F.lit(0)
+    part = F.floor((F.unix_micros("ts") + late - low) / width)
     part = F.least(F.greatest(part, F.lit(0)), F.lit(PARTS - 1))
     shape = None
-    for n in range(PARTS):
+    for n in range(PARTS + 1):
         streams = []
         for i, table in enumerate(tables):
-            table.where(part == n).write.mode("append").parquet(f"{folder}/in{i}")
+            rows = table.where(part == n) if n < PARTS else table.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 3650 DAYS"))
+            rows.write.mode("append").parquet(f"{folder}/in{i}")
             streams.append(spark.readStream.schema(table.schema).parquet(f"{folder}/in{i}"))
         out = op(*streams)
         shape = out.schema
         run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         run.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(shape).parquet(f"{folder}/out").withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 DAY"))
+    done = spark.read.schema(shape).parquet(f"{folder}/out").withColumn("ts", F.col("ts") - F.expr(DAY))
+    return done.where(F.unix_micros("ts") <= high)
 
 
 @query("stream_dedup_sliding", SLIDING_SQL, PULSE)
@@ -138,3 +150,10 @@ def _routed_flag(spark, sf):
     )
     out = through_stream(spark, lambda q, c: keyed.routed_flag(q, c, F.col("k") % 4 > 0), packets, claims)
     return out.select("seq", F.col("routed").cast("int"))
+
+
+@query("stream_job_all", MIXED_SQL)
+def _job_all(spark, sf):
+    """Every record group, extended, without suppression, from a stream of frames with restarts."""
+    opts = Options(selection=vectors("A", extended=True, quic_stateful=True))
+    return through_stream(spark, lambda frames: stream_lines(frames, opts), mixed_frames(spark, sf)).select("seq", "line")

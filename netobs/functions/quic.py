@@ -194,6 +194,17 @@ def quic_packet_number(expected: Column, truncated: Column, pn_len: Column) -> C
     )
 
 
+def nearest_number(expected: int, truncated: int, size: int) -> int:
+    """``quic_packet_number`` of plain integers, ``size`` in bytes."""
+    window = 1 << (8 * size)
+    number = expected - expected % window + truncated
+    if number + window // 2 <= expected:
+        return number + window
+    if number > expected + window // 2 and number >= window:
+        return number - window
+    return number
+
+
 def quic_unprotect(packet: Column, dcid: Column, pn_off: Column) -> Column:
     """Remove header protection.
 
@@ -252,6 +263,26 @@ def quic_open(u: Column, pn: Column | None = None) -> Column:
     )
 
 
+WINDOWS = 3  # of a truncated number that a packet is tried under, from its own on
+
+
+def quic_open_any(u: Column, windows: int = WINDOWS) -> Column:
+    """``STRUCT<full, plain>`` of the first number under which a packet verifies, NULL when none does.
+
+    A packet verifies under one number only, so a state that knows the largest
+    number can choose afterwards without decrypting.
+    """
+
+    def tried(k: int) -> Column:
+        full = u["pn"] + F.lit(k).cast("bigint") * shl(F.lit(1).cast("bigint"), u["pn_len"] * 8)
+        return let(
+            quic_open(u, full),
+            lambda plain: F.when(plain.isNotNull(), F.struct(full.cast("bigint").alias("full"), plain.alias("plain"))),
+        )
+
+    return F.coalesce(*[tried(k) for k in range(windows)])
+
+
 def quic_decrypt_initial(packet: Column, dcid: Column, pn_off: Column) -> Column:
     return let(quic_unprotect(packet, dcid, pn_off), lambda u: F.when(u.isNotNull(), quic_open(u)))
 

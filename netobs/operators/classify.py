@@ -2,7 +2,7 @@
 
 A configuration written out in a ``PrefixSet`` folds into literal range
 predicates: no join, no broadcast, and the tests run inside the decode
-projection.  Prefix tables go through ``flag_by_table``.
+projection.  Prefix tables go through ``prefixes.Lookup``.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from netobs.functions.addr import (
     in_any,
     in_cidr,
     is_private,
-    mask_ip,
 )
 from netobs.functions.bytes import bits, take, u8
+from netobs.operators.prefixes import Lookup
 from netobs.schemas import PREFIX
 
 
@@ -95,43 +95,36 @@ class PrefixSet:
 
     # -- the same on tables, as ``PrefixTable`` has it ---------------------------
 
-    def with_inside(self, df: DataFrame, ip: str, out: str) -> DataFrame:
-        return df.withColumn(out, self.is_inside(F.col(ip)))
-
-    def with_offlink(self, df: DataFrame, ip: str, out: str) -> DataFrame:
-        return df.withColumn(out, self.offlink_routed(F.col(ip), F.col("iface")))
+    def classified(self, df: DataFrame, inside: dict[str, str], offlink: dict[str, str]) -> DataFrame:
+        """Add a flag for each address column: configured, private or learned; come through a router."""
+        flags = {out: self.is_inside(F.col(ip)) for ip, out in inside.items()}
+        flags |= {out: self.offlink_routed(F.col(ip), F.col("iface")) for ip, out in offlink.items()}
+        return df.withColumns(flags)
 
 
 class PrefixTable:
-    """Prefixes of any number, as a table with the PREFIX schema."""
+    """Prefixes of any number, as a table with the PREFIX schema (see ``prefixes``)."""
 
     inside: tuple[str, ...] = ()
 
     def __init__(self, table: DataFrame):
-        self.table = table
-        self.learned = table.where(F.col("kind") == "learned")
-
-    def with_inside(self, df: DataFrame, ip: str, out: str) -> DataFrame:
-        """Add ``out``: configured, private or learned on any interface."""
-        marked = flag_by_table(df, ip, self.table, out)
-        return marked.withColumn(out, F.coalesce(F.col(out) | is_private(F.col(ip)), F.lit(False)))
-
-    def with_offlink(self, df: DataFrame, ip: str, out: str) -> DataFrame:
-        """Add ``out``: a source that must have come through a router (see ``PrefixSet``)."""
-        address, first = F.col(ip), u8(F.col(ip), 0)
-        family = F.when(F.length(ip) == 4, F.lit(4)).when(F.length(ip) == 16, F.lit(6))
-        own = self.learned.select(F.col("iface").alias("_if"), F.col("family").alias("_fam")).distinct().withColumn("_has", F.lit(True))
-        marked = flag_by_table(df, ip, self.learned, "_direct", by_iface=True).withColumn("_family", family)
-        marked = marked.join(own, (F.col("iface") == F.col("_if")) & (F.col("_family") == F.col("_fam")), "left")
-        near = self.learned.where((F.col("family") == 6) & (bits(u8(F.col("lo"), 0), 224) == 32)).select(
-            "family", "iface", mask_ip(F.col("lo"), 48).alias("lo"), F.lit(48).alias("prefix_len")
-        )
-        marked = flag_by_table(marked, ip, near, "_near", by_iface=True, lengths=[(6, 48)])
-        behind = F.when(F.length(ip) == 4, in_any(address, ROUTABLE_BEHIND_V4)).otherwise(
-            (bits(first, 254) == 252) | ((bits(first, 224) == 32) & F.col("_near"))
-        )
-        flag = F.coalesce(F.col("_has") & ~F.col("_direct") & behind, F.lit(False))
-        return marked.withColumn(out, flag).drop("_if", "_fam", "_has", "_direct", "_family", "_near")
+        self.lookup = Lookup(table)
+
+    def classified(self, df: DataFrame, inside: dict[str, str], offlink: dict[str, str]) -> DataFrame:
+        """Add a flag for each address column, as ``PrefixSet`` does; an address is looked up once."""
+        found = {ip: f"_of_{ip}" for ip in dict.fromkeys([*inside, *offlink])}
+        marked = self.lookup.add(df, found)
+        flags = {}
+        for ip, out in inside.items():
+            flags[out] = F.col(f"{found[ip]}.any") | F.coalesce(is_private(F.col(ip)), F.lit(False))
+        for ip, out in offlink.items():
+            address, first, iface = F.col(ip), u8(F.col(ip), 0), F.col("iface")
+            direct, near = (F.coalesce(F.array_contains(f"{found[ip]}.{k}", iface), F.lit(False)) for k in ("direct", "near"))
+            behind = F.when(F.length(ip) == 4, in_any(address, ROUTABLE_BEHIND_V4)).otherwise(
+                (bits(first, 254) == 252) | ((bits(first, 224) == 32) & near)
+            )
+            flags[out] = F.coalesce(self.lookup.knows(address, iface) & ~direct & behind, F.lit(False))
+        return marked.withColumns(flags).drop(*found.values())
 
 
 def direction(packets: DataFrame, prefixes: PrefixSet | PrefixTable) -> DataFrame:
@@ -140,50 +133,9 @@ def direction(packets: DataFrame, prefixes: PrefixSet | PrefixTable) -> DataFram
     ARP and LLDP rows pass with both flags false.
     """
     is_ip = F.col("ip_version").isNotNull()
-    df = prefixes.with_inside(prefixes.with_inside(packets, "src_ip", "_src_in"), "dst_ip", "_dst_in")
-    df = prefixes.with_offlink(df, "src_ip", "offlink_routed")
+    df = prefixes.classified(packets, {"src_ip": "_src_in", "dst_ip": "_dst_in"}, {"src_ip": "offlink_routed"})
     df = df.withColumn("offlink_routed", is_ip & F.col("offlink_routed"))
     df = df.where(~is_ip | F.col("_src_in") | F.col("_dst_in") | F.col("offlink_routed"))
     return df.withColumn(
         "is_outbound", is_ip & (F.col("_src_in") | F.col("offlink_routed"))
     ).drop("_src_in", "_dst_in")
-
-
-def prefix_lengths(prefixes: DataFrame) -> list[tuple[int, int]]:
-    """Distinct ``(family, prefix_len)`` pairs: at most 33 + 129 rows by definition."""
-    rows = prefixes.select("family", "prefix_len").distinct().collect()
-    return sorted((r["family"], r["prefix_len"]) for r in rows)
-
-
-def flag_by_table(
-    df: DataFrame,
-    ip: str,
-    prefixes: DataFrame,
-    out: str,
-    by_iface: bool = False,
-    lengths: list[tuple[int, int]] | None = None,
-) -> DataFrame:
-    """Add boolean ``out``: some prefix row contains ``ip`` (on the row's iface).
-
-    The distinct addresses, which each task reduces first, are masked to every
-    length in use and meet the networks in one equi-join; the addresses that hit
-    come back to the rows in a second one. Neither multiplies rows of ``df``.
-    """
-    keys = ["iface"] if by_iface else []
-    lengths = prefix_lengths(prefixes) if lengths is None else lengths
-    if not lengths:
-        return df.withColumn(out, F.lit(False))
-    at = F.col("_ip")
-    masks = [
-        F.struct(F.lit(plen).alias("prefix_len"), F.when(F.length(at) == (4 if family == 4 else 16), mask_ip(at, plen)).alias("lo"))
-        for family, plen in lengths
-    ]
-    addresses = df.select(*keys, F.col(ip).alias("_ip")).where(at.isNotNull()).distinct()
-    tried = addresses.select(*keys, "_ip", F.inline(F.array(*masks))).where(F.col("lo").isNotNull())
-    nets = prefixes.select(*keys, "prefix_len", "lo").distinct()
-    hits = tried.join(nets, [*keys, "prefix_len", "lo"]).select(*[F.col(k).alias(f"_{k}") for k in keys], "_ip").distinct()
-    same = F.col(ip) == F.col("_ip")
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    joined = df.join(hits.withColumn("_hit", F.lit(True)), same, "left")
-    return joined.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit", "_ip", *[f"_{k}" for k in keys])

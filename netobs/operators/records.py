@@ -103,13 +103,18 @@ def rec_synack(seg: DataFrame, router_macs: tuple[str, ...] = ()) -> DataFrame:
     return _record(_with_options(rows).withColumn("src_port", F.col("sport")), "SYNACK")
 
 
-def tcp_events(seg: DataFrame) -> DataFrame:
-    """SYN, SYNACK, FIN, RST events on the client's key, for ``tcp_handshake``."""
+def tcp_kind() -> Column:
+    """SYN, SYNACK, RST, FIN of a segment, NULL for others."""
     syn, ack = d.has_flag(d.SYN), d.has_flag(d.ACK)
-    kind = (
+    return (
         F.when(syn & ~ack, F.lit("SYN")).when(syn, F.lit("SYNACK"))
         .when(d.has_flag(d.RST), F.lit("RST")).when(d.has_flag(d.FIN), F.lit("FIN"))
     )
+
+
+def tcp_events(seg: DataFrame) -> DataFrame:
+    """SYN, SYNACK, FIN, RST events on the client's key, for ``tcp_handshake``."""
+    kind = tcp_kind()
     fwd = F.struct(
         F.lit(True).alias("forward"), F.col("src_mac").alias("client_mac"), F.col("sport").alias("client_port"),
         F.col("dport").alias("server_port"), F.col("src_ip").alias("client_ip"), F.col("dst_ip").alias("server_ip"),
@@ -213,48 +218,43 @@ def rec_tls(payloads: DataFrame) -> DataFrame:
 # -- QUIC -----------------------------------------------------------------------
 
 
-def with_initials(df: DataFrame, payload: str = "payload", out: str = "initials") -> DataFrame:
-    """Add the decrypted Initial packets of each datagram that has some.
+def with_initials(df: DataFrame, payload: str = "payload", out: str = "initials", decrypt: bool = True) -> DataFrame:
+    """Add the Initial packets of each datagram that has some.
 
     ``out``: ``ARRAY<STRUCT<off, dcid, u, plain>>``; ``plain`` is NULL when the
-    packet does not verify.
+    packet does not verify, and missing without ``decrypt``.
     """
     b = F.col(payload)
     found = stage(df, {"_init": quic_initials(b)}).where(F.size("_init") > 0)
-    opened = stage(
-        found,
-        {
-            "_u": F.transform(
-                "_init",
-                lambda i: F.struct(
-                    i["off"].alias("off"),
-                    i["dcid"].alias("dcid"),
-                    quic_unprotect(take(b, i["off"], i["span"]), i["dcid"], i["pn_off"]).alias("u"),
-                ),
-            )
-        },
-        drop=("_init",),
-    )
-    return stage(
-        opened,
-        {
-            out: F.transform(
-                "_u",
-                lambda i: F.struct(
-                    i["off"].alias("off"),
-                    i["dcid"].alias("dcid"),
-                    i["u"].alias("u"),
-                    F.when(i["u"].isNotNull(), quic_open(i["u"])).alias("plain"),
-                ),
-            )
-        },
-        drop=("_u",),
-    )
+    opened = F.transform(
+        "_init",
+        lambda i: F.struct(
+            i["off"].alias("off"),
+            i["dcid"].alias("dcid"),
+            quic_unprotect(take(b, i["off"], i["span"]), i["dcid"], i["pn_off"]).alias("u"),
+        ),
+    )
+    if not decrypt:
+        return stage(found, {out: opened}, drop=("_init",))
+    plain = F.transform(
+        "_u",
+        lambda i: F.struct(
+            i["off"].alias("off"),
+            i["dcid"].alias("dcid"),
+            i["u"].alias("u"),
+            F.when(i["u"].isNotNull(), quic_open(i["u"])).alias("plain"),
+        ),
+    )
+    return stage(stage(found, {"_u": opened}, drop=("_init",)), {out: plain}, drop=("_u",))
 
 
 def quic_datagrams(udp: DataFrame) -> DataFrame:
     """Datagrams long enough to start a connection, with decrypted Initials."""
-    return with_initials(udp.where((F.col("vector") == "QUIC") & (F.length("payload") >= MIN_DATAGRAM)))
+    return with_initials(long_datagrams(udp))
+
+
+def long_datagrams(udp: DataFrame) -> DataFrame:
+    return udp.where((F.col("vector") == "QUIC") & (F.length("payload") >= MIN_DATAGRAM))
 
 
 def quic_hello(datagrams: DataFrame) -> DataFrame:
@@ -512,7 +512,7 @@ def arp_messages(packets: DataFrame, prefixes) -> DataFrame:
         {"sha": take(p, 8, 6), "spa": take(p, 14, 4), "tpa": take(p, 24, 4), "_op": u16(p, 6)},
         where=(F.length(p) >= 28) & (take(p, 0, 6) == blob("000108000604")),
     )
-    return prefixes.with_offlink(rows.where(is_unicast_mac(F.col("sha"))), "spa", "routed")
+    return prefixes.classified(rows.where(is_unicast_mac(F.col("sha"))), {}, {"spa": "routed"})
 
 
 def rec_arp(arp: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,22 +112,25 @@ def rejects(wire: DataFrame) -> DataFrame:
     )
 
 
-def _shown(tag: str, name: str, dtype: str) -> Column:
-    col = F.col(name)
+def _shown(tag: str, name: str, dtype: str, col: Column) -> Column:
     text = F.format_string("%.2f", col) if dtype == "double" else col.cast("string")
     hole = PLACEHOLDERS.get((tag, name), "")
     return F.when(col.isNull(), F.lit(hole)).otherwise(text)
 
 
+def wire_body(tag: str, of: Callable[[str], Column] = F.col) -> Column:
+    """One record as text, without the routed marker and the line end; ``of`` finds a column by name."""
+    fields = [_shown(tag, n, t, of(n)) for n, t in RECORDS[tag]]
+    return F.concat_ws("|", F.lit(tag), F.coalesce(of("mac"), F.lit("")), *fields)
+
+
+def with_marker(body: Column, routed: Column) -> Column:
+    return F.concat_ws("|", body, F.when(routed, F.lit("routed")))
+
+
 def wire_line(tag: str) -> Column:
     """One record as text without the line end."""
-    return F.concat_ws(
-        "|",
-        F.lit(tag),
-        F.coalesce(F.col("mac"), F.lit("")),
-        *[_shown(tag, n, t) for n, t in RECORDS[tag]],
-        F.when(F.col("routed"), F.lit("routed")),
-    )
+    return with_marker(wire_body(tag), F.col("routed"))
 
 
 def format_wire(df: DataFrame, tag: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-
 
 class HelloParts:
     """Fragments by offset, later ones over earlier ones; gives the hello once and starts over.
@@ -33,7 +31,7 @@ class HelloParts:
         if self.last is not None and sec - self.last > self.idle:
             self.parts = []
         self.last = sec
-        self.parts += [(int(f["off"]), bytes(f["bytes"])) for f in (fragments if fragments is not None else []) if len(f["bytes"])]
+        self.parts += [(int(off), bytes(part)) for off, part in (_pair(f) for f in (fragments if fragments is not None else [])) if len(part)]
         head = self._whole(4)
         if head is None or head[0] != 1:
             return None
@@ -44,9 +42,13 @@ class HelloParts:
 
     __call__ = add
 
-    def dump(self) -> dict:
-        return {"last": self.last, "parts": [(o, base64.b64encode(p).decode()) for o, p in self.parts]}
+    def dump(self) -> tuple[int | None, list[tuple[int, bytes]]]:
+        return self.last, self.parts
+
+    def load(self, last: int | None, parts) -> None:
+        self.last, self.parts = last, [(int(off), bytes(part)) for off, part in parts]
+
 
-    def load(self, state: dict) -> None:
-        self.last = state.get("last")
-        self.parts = [(o, base64.b64decode(p)) for o, p in state.get("parts", [])]
+def _pair(fragment) -> tuple[int, bytes]:
+    """Offset and bytes of a fragment, a mapping or a pair."""
+    return (fragment["off"], fragment["bytes"]) if isinstance(fragment, dict) else tuple(fragment)

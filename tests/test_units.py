@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from netobs.functions.quic import quic_client_keys
 from netobs.functions.tls import tls_client_hello
+from netobs.operators import prefixes
 from netobs.operators.classify import PrefixSet, PrefixTable, direction
 from netobs.operators.decode import decode_frames
 from netobs.operators.filters import endpoint_filter
 from netobs.operators.vectors import vectors
 from netobs.checks import derived as g
-from netobs.plans.jobs import Options, telemetry, wire_lines, write_job
+from netobs.plans.jobs import Options, located_packets, telemetry, wire_lines, write_job
 from netobs.schemas import FRAME, STATS
 from netobs.sources.frames import parse_ifaces, read_capture_stats, read_frames, select_ifaces
 from netobs.sources.sensor import check_sensor
@@ -168,7 +169,7 @@ def test_hello_of_twenty_kilobytes_in_pieces():
     for part in parts[:0:-1]:
         assert machine.add(0, [part]) is None
         fresh = HelloParts(5)
-        fresh.load(machine.dump())  # as between micro-batches
+        fresh.load(*machine.dump())  # as between micro-batches
         machine = fresh
     assert machine.add(1, parts[:1]) == hello
     assert machine.add(1, [{"off": 1 << 60, "bytes": b"x"}]) is None
@@ -192,8 +193,10 @@ def test_job_with_many_prefixes(spark):
     assert sorted((r.src_ip, r.routed) for r in got) == [("10.200.0.9", True), ("10.3.0.9", False), ("10.69.0.9", False)]
 
 
-def test_prefix_table_and_set_agree(spark):
-    """Every flag of the direction step, for prefixes written out and in a table."""
+@pytest.mark.parametrize("most", [prefixes.MOST, 2])
+def test_prefix_table_and_set_agree(spark, monkeypatch, most):
+    """Every flag of the direction step, for prefixes written out and in a table, flattened or too large for that."""
+    monkeypatch.setattr(prefixes, "MOST", most)
     learned = (("lan0", "10.1.0.0/16"), ("lan1", "10.1.2.0/24"), ("lan0", "2001:db8:1:2::/64"), ("lan1", "fd00:1::/48"))
     both = PrefixSet(inside=("203.0.113.0/24", "2001:db8:ffff::/48"), learned=learned)
     ips = ["10.1.2.3", "10.9.0.1", "203.0.113.9", "198.51.100.1", "172.16.5.5", "2001:db8:1:9::1", "2001:db8:1:2::5",
@@ -209,6 +212,61 @@ def test_prefix_table_and_set_agree(spark):
     assert found[0] == found[1] and len(found[0]) > 100 and any(r.offlink_routed for r in found[0])
 
 
+@pytest.mark.parametrize("most", [prefixes.MOST, 5])
+def test_many_random_prefixes(spark, monkeypatch, most):
+    """Nested, equal, touching and whole-space prefixes of both families against plain containment tests."""
+    import ipaddress
+    import random
+
+    monkeypatch.setattr(prefixes, "MOST", most)
+    monkeypatch.setattr(prefixes, "RANGES", 7)
+    rng = random.Random(11)
+    nets, learned = [], []
+    for i in range(120):
+        six = rng.random() < 0.5
+        if six:
+            base = rng.choice([0x2001 << 112, 0xFD00 << 112, 0]) + (rng.getrandbits(20) << 60)
+            net = ipaddress.ip_network((base, rng.choice([0, 3, 16, 48, 52, 64, 128])), strict=False)
+        else:
+            net = ipaddress.ip_network((rng.choice([10, 192, 203]) << 24 | rng.getrandbits(12) << 8 | rng.getrandbits(8), rng.choice([8, 16, 20, 24, 31, 32])), strict=False)
+        if rng.random() < 0.5:
+            nets.append(str(net))
+        else:
+            learned.append((f"lan{rng.randrange(3)}", str(net)))
+    table = PrefixSet(inside=tuple(nets), learned=tuple(learned))
+    ends = [ipaddress.ip_network(n) for n in nets + [n for _, n in learned]]
+    addresses = {a for n in ends for a in (n.network_address, n.broadcast_address)} | {ipaddress.ip_address("198.51.100.1"), ipaddress.ip_address("::1")}
+    addresses |= {a + 1 for a in addresses if int(a) + 1 < 1 << (8 * len(a.packed))}
+    packed = sorted(a.packed for a in addresses) + [None, b"abc"]
+    df = spark.createDataFrame([(i, None if a is None else bytearray(a)) for i, a in enumerate(packed)], "n int, ip binary")
+    for r in prefixes.Lookup(table.table(spark)).add(df, {"ip": "f"}).collect():
+        a = ipaddress.ip_address(bytes(r.ip)) if r.ip is not None and len(r.ip) in (4, 16) else None
+        within = lambda n: a is not None and a.version == ipaddress.ip_network(n).version and a in ipaddress.ip_network(n)
+        direct = {i for i, n in learned if within(n)}
+        near = {
+            i for i, n in learned
+            if a is not None and a.version == 6 and ":" in n and int(ipaddress.ip_network(n)[0]) >> 125 == 1
+            and int(a) >> 80 == int(ipaddress.ip_network(n)[0]) >> 80
+        }
+        assert (r.f.any, set(r.f.direct), set(r.f.near)) == (bool(direct) or any(within(n) for n in nets), direct, near), r.ip
+
+
+def test_prefix_table_needs_one_scan_and_moves_no_packets(spark, tmp_path):
+    frames(spark, [ether("0800", ipv4(6, tcp(40000, 443, 2)))]).write.parquet(str(tmp_path / "frames"))
+    table = PrefixSet(inside=("203.0.113.0/24",), learned=(("lan0", "10.1.0.0/16"), ("lan0", "2001:db8::/64")))
+    opts = Options(selection=vectors("S"), prefixes=PrefixTable(table.table(spark)))
+    data = read_frames(spark, str(tmp_path / "frames"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = formatted(located_packets(data, opts))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    steps = re.findall(r"^\((\d+)\) (.*)$", plan, re.M)
+    assert len([x for x in steps if x[1].startswith("Scan parquet")]) == 1
+    assert not [x for x in steps if x[1].startswith(("Exchange", "SortMergeJoin"))]
+    assert len([x for x in steps if x[1].startswith("BroadcastHashJoin")]) == 2
+
+
 def test_job_to_files(spark, tmp_path):
     data = frames(spark, [ether("0800", ipv4(6, tcp(40000 + i, 443, 2))) for i in range(3)])
     write_job(data, Options(selection=vectors("aS")), [Sink("text", str(tmp_path / "o"))])
