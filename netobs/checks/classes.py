@@ -260,23 +260,22 @@ def _tcp_relevance(spark, sf):
     """SELECT seq, CASE WHEN dport = 67 OR sport = 67 THEN 'DHCP' WHEN dport = 137 OR sport = 137 THEN 'NBNS'
   WHEN dport IN (1900, 3702) OR sport IN (1900, 3702) THEN 'L7' WHEN dport = 5353 OR sport = 5353 THEN 'MDNS'
   WHEN dport = 53 OR sport = 53 THEN 'DNS' WHEN dport = 443 THEN 'QUIC' END AS vector
-FROM pk WHERE proto = 17 AND k % 3 = 0""",
+FROM pk""",
 )
 def _udp_vector(spark, sf):
     p = g.pk(spark, sf)
-    body = F.lit("00")
-    frames = udp_frames(p.where(F.col("proto") == 17), F.col("sport"), F.col("dport"), body)
+    frames = udp_frames(p, F.col("sport"), F.col("dport"), F.lit("00"))
     return udp_datagrams(decode_frames(frames)).select("seq", udp_vector().alias("vector"))
 
 
 @query(
     "vector_selection",
     """SELECT seq, CAST(dport IN (5353, 1900) OR sport IN (5353, 1900, 3702) AS INTEGER) AS multicast
-FROM pk WHERE proto = 17""",
+FROM pk""",
 )
 def _vector_selection(spark, sf):
     """Only the multicast group is selected, so other datagrams route nowhere."""
-    p = g.pk(spark, sf).where(F.col("proto") == 17)
+    p = g.pk(spark, sf)
     chosen = vectors("M").groups
     frames = udp_frames(p, F.col("sport"), F.col("dport"), F.lit("00"))
     return udp_datagrams(decode_frames(frames)).select(

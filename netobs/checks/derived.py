@@ -236,8 +236,8 @@ def event_hello(k: Column, seq: Column) -> Column:
 # -- QUIC -----------------------------------------------------------------------
 
 
-def quic_initial(dcid: Column, pn: Column, plain: Column, token: str = "") -> Column:
-    """Protected v1 Initial packet (binary) with a four-byte packet number.
+def quic_initial(dcid: Column, pn: Column, plain: Column, token: str = "", size: int = 4) -> Column:
+    """Protected v1 Initial packet (binary) with a packet number cut to ``size`` bytes.
 
     Uses Spark's AES functions the other way round; ``plain`` must be long
     enough for the header sample.
@@ -245,11 +245,13 @@ def quic_initial(dcid: Column, pn: Column, plain: Column, token: str = "") -> Co
     from netobs.functions.bytes import bits, blob, drop, let, take, u8
     from netobs.functions.quic import header_mask, nonce, quic_client_keys
 
+    low = pn.cast("bigint") % (1 << 8 * size)
+
     def header(p):
         return F.concat(
-            blob("c300000001"), F.unhex(hx(F.length(dcid), 1)), dcid, blob("00"),
+            blob(f"c{size - 1:x}00000001"), F.unhex(hx(F.length(dcid), 1)), dcid, blob("00"),
             F.unhex(hx(len(token) // 2, 1)), F.lit(bytes.fromhex(token)),
-            F.unhex(hx(F.length(p) + 20 + 16384, 2)), F.unhex(hx(pn, 4)),
+            F.unhex(hx(F.length(p) + 16 + size + 16384, 2)), F.unhex(hx(low, size)),
         )
 
     def seal(k):
@@ -259,14 +261,14 @@ def quic_initial(dcid: Column, pn: Column, plain: Column, token: str = "") -> Co
         body = F.aes_encrypt(p, k["key"], F.lit("GCM"), F.lit("DEFAULT"), nonce(k["iv"], pn), head)
         return let(
             drop(body, 12),
-            lambda ct: let(header_mask(k["hp"], take(ct, 0, 16)), lambda m: mask(head, ct, m)),
+            lambda ct: let(header_mask(k["hp"], take(ct, 4 - size, 16)), lambda m: mask(head, ct, m)),
         )
 
     def mask(head, ct, m):
         n = F.length(head)
         first = u8(head, 0).bitwiseXOR(bits(u8(m, 0), 15))
-        hidden = pn.cast("bigint").bitwiseXOR(F.conv(F.hex(take(m, 1, 4)), 16, 10).cast("bigint"))
-        return F.concat(F.unhex(hx(first, 1)), take(head, F.lit(1), n - 5), F.unhex(hx(hidden, 4)), ct)
+        hidden = low.bitwiseXOR(F.conv(F.hex(take(m, 1, size)), 16, 10).cast("bigint"))
+        return F.concat(F.unhex(hx(first, 1)), take(head, F.lit(1), n - 1 - size), F.unhex(hx(hidden, size)), ct)
 
     return let(quic_client_keys(dcid), seal)
 

@@ -111,7 +111,7 @@ def _rec_dns(spark, sf):
 EXT_SQL = """, m AS (
   SELECT *, event_type IN ('purchase', 'signup') AS resp,
     CASE WHEN k % 2 = 0 THEN 'abcdefghijklmnopqrstuvwxyz0123456789.x' || k ELSE 'host' || k || '.example.com' END AS name
-  FROM pk WHERE event_type <> 'error'),
+  FROM pk),
 x AS (
   SELECT seq, dev, mac, src_ip, resp, ts_us, k, lag(resp) OVER w AS p_resp, lag(ts_us) OVER w AS q_us,
     lag(name) OVER w AS query_domain, lag(k) OVER w AS qk
@@ -125,7 +125,7 @@ en AS (SELECT seq, round(-sum((n / length(query_domain)) * log2(n / length(query
 
 
 def dns_traffic(spark, sf):
-    p = g.pk(spark, sf).where(F.col("event_type") != "error")
+    p = g.pk(spark, sf)
     k = F.col("k")
     resp = F.col("event_type").isin("purchase", "signup")
     name = F.when(
@@ -517,15 +517,15 @@ def _quic_reassemble(spark, sf):
     return done.where(F.length("hello") == F.col("n")).select("seq", F.length("hello").alias("n"))
 
 
-@query(
-    "rec_tls_quic_stateful",
+SPLIT_SQL = (
     HELLO_SQL
     + f"""SELECT ja.seq, mac, src_ip, dst_ip, 443 AS dst_port, sni, ja4, alpn, {ROUTED}
-FROM ja JOIN pk ON pk.seq = ja.seq""",
-    PK,
+FROM ja JOIN pk ON pk.seq = ja.seq"""
 )
-def _rec_tls_quic_stateful(spark, sf):
-    """Every hello is spread over two datagrams, tail first; only together they give a record."""
+
+
+def split_frames(spark, sf, number, size=4):
+    """Every hello in two datagrams a second apart, tail first; ``number`` gives their packet numbers."""
     p = g.pk(spark, sf)
     p = stage(p, {"h": g.event_hello(F.col("k"), F.col("seq"))})
     tail = g.crypto_frame_hex(40, F.expr("substring(h, 81)"))
@@ -536,7 +536,24 @@ def _rec_tls_quic_stateful(spark, sf):
     rows = rows.withColumns(
         {"ts": F.col("ts") + F.make_interval(secs=F.col("half")), "seq": F.col("seq") * 2 + F.col("half"), "id": F.col("seq")}
     )
-    packet = g.quic_initial(F.unhex(g.hx(F.col("id"), 8)), F.col("half"), F.col("plain"))
-    df = records(udp_frames(rows, F.col("sport"), F.lit(443), F.hex(packet)), "TLS", "T", quic_stateful=True)
+    packet = g.quic_initial(F.unhex(g.hx(F.col("id"), 8)), number(F.col("half")), F.col("plain"), size=size)
+    return udp_frames(rows, F.col("sport"), F.lit(443), F.hex(packet))
+
+
+@query("rec_tls_quic_stateful", SPLIT_SQL, PK)
+def _rec_tls_quic_stateful(spark, sf):
+    """Only the two datagrams of a hello together give a record."""
+    df = records(split_frames(spark, sf, lambda half: half), "TLS", "T", quic_stateful=True)
+    return df.withColumn("seq", F.floor(F.col("seq") / 2))
+
+
+def far_frames(spark, sf):
+    """Numbers 200 and 300 in one byte each: the second verifies only as the nearest to the first."""
+    return split_frames(spark, sf, lambda half: half * 100 + 200, size=1)
+
+
+@query("rec_tls_quic_far", SPLIT_SQL, PK)
+def _rec_tls_quic_far(spark, sf):
+    df = records(far_frames(spark, sf), "TLS", "T", quic_stateful=True)
     return df.withColumn("seq", F.floor(F.col("seq") / 2))
 

@@ -47,15 +47,16 @@ def _dedup_refresh(spark, sf):
 DNS_SQL = """
 SELECT seq, dev, chan, CAST(ts_us - q_us AS BIGINT) AS latency_us, q_seq FROM (
   SELECT seq, dev, k % 2 AS chan, ts_us, event_type IN ('purchase', 'signup') AS resp,
-         lag(event_type IN ('view', 'click')) OVER w AS was_query,
+         lag(event_type NOT IN ('purchase', 'signup')) OVER w AS was_query,
          lag(ts_us) OVER w AS q_us, lag(seq) OVER w AS q_seq
-  FROM pulse WHERE event_type <> 'error'
+  FROM pulse
   WINDOW w AS (PARTITION BY dev, k % 2 ORDER BY seq))
 WHERE resp AND was_query AND ts_us - q_us < 20000000"""
 
 
 def dns_events(p):
-    return p.where(F.col("event_type") != "error").select(
+    """Two kinds of events are responses, all others queries."""
+    return p.select(
         "ts", "seq", "dev", (F.col("k") % 2).alias("chan"),
         F.col("event_type").isin("purchase", "signup").alias("is_response"),
         F.col("seq").alias("q_seq"),
@@ -114,8 +115,9 @@ def _owner_mismatch(spark, sf):
 TCP_STATE_SQL = """, ev AS (
   SELECT seq, ts_us, dev, k, row_number() OVER (PARTITION BY dev ORDER BY seq) AS rn,
          CASE event_type WHEN 'view' THEN 'SYN' WHEN 'click' THEN 'SYNACK'
-              WHEN 'purchase' THEN 'FIN' ELSE 'RST' END AS kind
-  FROM pulse WHERE event_type <> 'signup'),
+              WHEN 'purchase' THEN 'FIN' WHEN 'error' THEN 'RST'
+              ELSE CASE WHEN k % 2 = 0 THEN 'SYN' ELSE 'SYNACK' END END AS kind
+  FROM pulse),
 st AS (
   SELECT dev, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS syn_us, CAST(NULL AS BIGINT) AS seq,
          CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS rtt
@@ -139,6 +141,7 @@ def tcp_kind():
         .when(F.col("event_type") == "click", F.lit("SYNACK"))
         .when(F.col("event_type") == "purchase", F.lit("FIN"))
         .when(F.col("event_type") == "error", F.lit("RST"))
+        .otherwise(F.when(F.col("k") % 2 == 0, F.lit("SYN")).otherwise(F.lit("SYNACK")))
     )
 
 
@@ -148,7 +151,7 @@ def tcp_kind():
     PULSE,
 )
 def _tcp_handshake(spark, sf):
-    p = g.pulse(spark, sf).withColumn("kind", tcp_kind()).where(F.col("kind").isNotNull())
+    p = g.pulse(spark, sf).withColumn("kind", tcp_kind())
     df = tcp_handshake(p.withColumn("forward", F.lit(True)), ["dev"])
     return df.select("seq", "dev", "state_event", F.col("rtt_us").cast("bigint"))
 
@@ -167,9 +170,7 @@ def _rec_tcplvl(spark, sf):
     p = p.withColumn("server", F.format_string("198.51.100.%d", "dev"))
     kind = F.col("kind")
     # TCP flag bytes.
-    flags = F.when(kind == "SYN", F.lit(2)).when(kind == "SYNACK", F.lit(18)).when(kind == "FIN", F.lit(17)).when(
-        kind == "RST", F.lit(4)
-    ).otherwise(F.lit(16))
+    flags = F.when(kind == "SYN", F.lit(2)).when(kind == "SYNACK", F.lit(18)).when(kind == "FIN", F.lit(17)).otherwise(F.lit(4))
     from_server = (kind == "SYNACK") | (kind.isin("FIN", "RST") & (F.col("k") % 2 == 1))
     cport, mac = F.col("dev") + 40000, g.mac_hex()
     cip, sip = g.ip_hex(F.col("src_ip")), g.ip_hex(F.col("server"))

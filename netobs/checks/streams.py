@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from netobs.checks.registry import ORACLES, PK, PULSE, query
 from netobs.checks.state import DROP_SQL, FLOW_SQL, GATE_SQL, OWNER_SQL, REFRESH_SQL, SLIDING_SQL, TCP_STATE_SQL, DNS_SQL, counters, dns_events, ownership, tcp_kind
 from netobs.checks import derived as g
-from netobs.checks.recordchecks import MIXED_SQL, mixed_frames
+from netobs.checks.recordchecks import MIXED_SQL, SPLIT_SQL, far_frames, mixed_frames
 from netobs.operators.vectors import vectors
 from netobs.plans.jobs import Options
 from netobs.plans.stage import work_folder
+from netobs.schemas import record_columns
+from netobs.sources.wire import parse_wire, to_typed
 from netobs.streaming import keyed
 from netobs.streaming.job import stream_lines
 
@@ -43,18 +45,16 @@ def through_stream(spark: SparkSession, op: Callable[..., DataFrame], *tables: D
     late = F.pmod(F.xxhash64("seq"), F.lit(JITTER * 1_000_000)) if "seq" in tables[0].columns else F.lit(0)
     part = F.floor((F.unix_micros("ts") + late - low) / width)
     part = F.least(F.greatest(part, F.lit(0)), F.lit(PARTS - 1))
-    shape = None
+    out = None
     for n in range(PARTS + 1):
-        streams = []
         for i, table in enumerate(tables):
             rows = table.where(part == n) if n < PARTS else table.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 3650 DAYS"))
             rows.write.mode("append").parquet(f"{folder}/in{i}")
-            streams.append(spark.readStream.schema(table.schema).parquet(f"{folder}/in{i}"))
-        out = op(*streams)
-        shape = out.schema
+        if out is None:
+            out = op(*[spark.readStream.schema(table.schema).parquet(f"{folder}/in{i}") for i, table in enumerate(tables)])
         run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         run.trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.schema(shape).parquet(f"{folder}/out").withColumn("ts", F.col("ts") - F.expr(DAY))
+    done = spark.read.schema(out.schema).parquet(f"{folder}/out").withColumn("ts", F.col("ts") - F.expr(DAY))
     return done.where(F.unix_micros("ts") <= high)
 
 
@@ -105,7 +105,7 @@ def _failure_gate(spark, sf):
     PULSE,
 )
 def _tcp_handshake(spark, sf):
-    p = g.pulse(spark, sf).withColumn("kind", tcp_kind()).where(F.col("kind").isNotNull()).select("ts", "seq", "dev", "kind")
+    p = g.pulse(spark, sf).withColumn("kind", tcp_kind()).select("ts", "seq", "dev", "kind")
     return through_stream(spark, lambda r: keyed.tcp_handshake(r, ["dev"]), p).select("seq", "dev", "state_event", "rtt_us")
 
 
@@ -152,6 +152,22 @@ def _routed_flag(spark, sf):
     return out.select("seq", F.col("routed").cast("int"))
 
 
+@query("stream_device_activity", ORACLES["device_activity"], "")
+def _device_activity(spark, sf):
+    """Records per device and tag after deduplication: all tags in one operator."""
+    kept = through_stream(spark, lambda r: keyed.dedup_wire(parse_wire(r)), g.wire(spark, sf).select("ts", "seq", "line"))
+    return kept.groupBy("tag", "mac").agg(F.count("*").alias("records"))
+
+
+@query("stream_tls_quic_stateful", SPLIT_SQL, PK)
+def _tls_quic_stateful(spark, sf):
+    """Hellos over two datagrams whose numbers lie beyond what their one byte can hold."""
+    opts = Options(selection=vectors("T", "v", quic_stateful=True), dedup_ttl=0)
+    lines = through_stream(spark, lambda frames: stream_lines(frames, opts), far_frames(spark, sf))
+    rows = to_typed(parse_wire(lines.select("seq", "line")), "TLS").withColumn("routed", F.col("routed").cast("int"))
+    return rows.select(F.floor(F.col("seq") / 2).alias("seq"), "mac", *record_columns("TLS"), "routed")
+
+
 @query("stream_job_all", MIXED_SQL)
 def _job_all(spark, sf):
     """Every record group, extended, without suppression, from a stream of frames with restarts."""

@@ -5,14 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netobs.plans.slices import (
-    SLICE,
-    drop_slices,
-    first_rows,
-    ordered_scan,
-    seconds,
-    time_slices,
-)
+from netobs.plans.recurrence import anchored
+from netobs.plans.slices import SLICE, drop_slices, first_rows, seconds, time_slices
 from netobs.plans.stage import stage
 from netobs.schemas import record_columns
 
@@ -81,36 +75,24 @@ def dedup_sliding(
     return drop_slices(kept).where("_keep").drop("_keep", "_sec")
 
 
-class FixedWindow:
-    """Keep a second when ``ttl`` has passed since the last kept one."""
-
-    def __init__(self, ttl: int):
-        self.ttl, self.anchor = ttl, None
-
-    def __call__(self, sec: int) -> bool:
-        if self.anchor is None or sec - self.anchor >= self.ttl:
-            self.anchor = sec
-            return True
-        return False
-
-
 def dedup_refresh(
     df: DataFrame,
     keys: list[str],
     ttl: int,
     order: tuple[str, ...] = ("ts", "seq"),
     sec: Column | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """Keep the first row of a key, then the first one ``ttl`` seconds or more after the last kept.
 
-    Each decision depends on the one before, so this is a scan.  It runs over at
-    most one row per key and second, the others being cut before the shuffle.
+    Each decision depends on the one before (``anchored``).  At most one row per
+    key and second is looked at, the others being cut before the shuffle.
     """
     if ttl <= 0:
         return df
     slim = first_rows(_with_sec(df, sec), [*keys, "_sec"], list(order))
-    scanned = ordered_scan(slim, keys, ["_sec"], ["_sec"], lambda: FixedWindow(ttl), "_keep", "boolean")
-    return scanned.where("_keep").drop("_keep", "_sec")
+    marked = anchored(slim, keys, "_sec", ttl, "_keep", width=width)
+    return marked.where("_keep").drop("_keep", "_sec")
 
 
 def refresh_ttl(tag: str, ttl: int) -> int:

@@ -5,29 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netobs.plans.slices import SLICE, first_rows, micros, ordered_scan, time_slices
+from netobs.plans.recurrence import anchored
+from netobs.plans.slices import SLICE, first_rows, micros, time_slices
 from netobs.plans.stage import shared
 
 SYN_TTL = 120
 SYN, SYNACK, FIN, RST = "SYN", "SYNACK", "FIN", "RST"
 
 
-class OpenSyn:
-    """Marks the SYN that opens an entry: none live, or the last one expired."""
-
-    def __init__(self, ttl_us: int):
-        self.ttl_us, self.since = ttl_us, None
-
-    def __call__(self, us: int, kind: str) -> bool:
-        if kind != SYN:
-            self.since = None
-            return False
-        if self.since is None or us - self.since > self.ttl_us:
-            self.since = us
-            return True
-        return False
-
-
 def tcp_handshake(
     events: DataFrame,
     keys: list[str],
@@ -44,8 +29,8 @@ def tcp_handshake(
 
     A SYN opens an entry unless one is live; SYN+ACK closes it and gives the
     time when it is later than the SYN; FIN and RST report and keep it; an entry
-    dies ``ttl`` seconds after its SYN.  The opening rule is a recurrence and
-    runs as a scan over slim SYN / SYNACK rows; the look-up of the live entry
+    dies ``ttl`` seconds after its SYN.  The opening rule is a recurrence
+    (``anchored``) over slim SYN / SYNACK rows; the look-up of the live entry
     reaches back ``ttl`` seconds at most and runs in time slices.
     """
     ttl_us = ttl * 1_000_000
@@ -53,10 +38,9 @@ def tcp_handshake(
     slim = [*keys, "ts", "seq", "kind", "forward", *carry]
     df = events.select(*slim).withColumn("_us", micros())
     df = shared(df, *keys, F.floor(F.col("_us") / width_us))
-    marks = df.where(F.col("kind").isin(SYN, SYNACK))
-    opened = ordered_scan(
-        marks, keys, ["_us", "seq"], ["_us", "kind"], lambda: OpenSyn(ttl_us), "_open", "boolean"
-    ).where((F.col("kind") == SYNACK) | F.col("_open")).drop("_open")
+    marks = df.where(F.col("kind").isin(SYN, SYNACK)).withColumn("_ends", F.col("kind") == SYNACK)
+    opened = anchored(marks, keys, "_us", ttl_us, "_open", order=("seq",), reset="_ends", strict=True, width=width_us)
+    opened = opened.where((F.col("kind") == SYNACK) | F.col("_open")).drop("_open", "_ends")
     rows = opened.unionByName(df.where(F.col("kind").isin(FIN, RST)))
 
     anchor = F.col("kind").isin(SYN, SYNACK)

@@ -162,6 +162,6 @@ def ordered_scan(
 
 
 def _arrow_type(ddl: str) -> pa.DataType:
-    types = {"boolean": pa.bool_(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(),
+    types = {"boolean": pa.bool_(), "long": pa.int64(), "integer": pa.int32(), "binary": pa.binary(),
              "string": pa.string()}
     return types[ddl]

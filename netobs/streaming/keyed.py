@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from netobs.functions.quic import nearest_number
+from netobs.operators.dedup import DEFAULT_TTL, REFRESH_FLOORS, refresh_ttl, wire_signature
+from netobs.plans.stage import stage
 from netobs.streaming.hello import HelloParts
 from netobs.streaming.inorder import DELAY, Rule, in_order
 
@@ -78,6 +80,20 @@ def dedup_by_row(
     )
 
 
+def dedup_wire(wire: DataFrame, ttl: int = DEFAULT_TTL, delay: str | None = DELAY) -> DataFrame:
+    """Suppress repeats among parsed wire records of all tags, each by its own key and window."""
+    rows = stage(wire.where(F.col("reject").isNull()), {"_sig": wire_signature()})
+    rows = rows.withColumn("_routed", F.col("routed") & (F.col("tag") != "LLDP"))
+    window = F.lit(ttl)
+    for tag in REFRESH_FLOORS:
+        window = F.when(F.col("tag") == tag, F.lit(refresh_ttl(tag, ttl))).otherwise(window)
+    kept = dedup_by_row(
+        rows, ["sensor_name", "tag", "mac", "_sig", "_routed"], window, F.col("tag").isin(*REFRESH_FLOORS),
+        max(ttl, *(refresh_ttl(t, ttl) for t in REFRESH_FLOORS)), delay=delay,
+    )
+    return kept.drop("_sig", "_routed")
+
+
 # -- F3, F4, F9: the last row of another kind ------------------------------------------
 
 
