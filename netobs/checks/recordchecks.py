@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from netobs.checks.common import records, tcp_frames, udp_frames, v6_frames
 from netobs.checks.functions import HELLO_SQL, HOSTS, hosts
-from netobs.checks.registry import PK, query
+from netobs.checks.registry import PK, WIRE, query
 from netobs.operators.classify import PrefixSet
 from netobs.operators.reassembly import quic_reassemble
 from netobs.operators.vectors import vectors
 from netobs.checks import derived as g
 from netobs.plans.jobs import Options, telemetry, wire_lines
 from netobs.plans.stage import stage, work_folder
+from netobs.sources.frames import read_frames
+from netobs.sources.sinks import Sink, write_telemetry
 
 ROUTED = "0 AS routed"
 
@@ -417,6 +419,32 @@ def _job_default(spark, sf):
     return wire_lines(telemetry(mixed_frames(spark, sf), Options(dedup_ttl=0))).select("seq", "line")
 
 
+@query("lines_to_files", "SELECT seq, line FROM wire UNION ALL SELECT seq, line FROM wire", WIRE)
+def _lines_to_files(spark, sf):
+    """Lines written to two sinks at once, read back from both."""
+    folder = work_folder(spark)
+    named = g.wire(spark, sf).select(F.concat_ws(" ", "seq", "line").alias("line"))
+    write_telemetry(named, [Sink("text", f"{folder}/text"), Sink("parquet", f"{folder}/parquet")])
+    both = spark.read.text(f"{folder}/text").unionAll(spark.read.parquet(f"{folder}/parquet").select("line"))
+    parts = F.split(F.col("value"), " ", 2)
+    return both.select(parts[0].cast("bigint").alias("seq"), parts[1].alias("line"))
+
+
+@query(
+    "frames_from_files",
+    """, m AS (SELECT seq, CASE WHEN event_type = 'error' THEN 42 END AS bytes, 'eth0' AS iface FROM pk)
+SELECT count(*) AS frames, count(bytes) AS arp_frames FROM m""",
+)
+def _frames_from_files(spark, sf):
+    """Frames written as a table and read with the frame schema; other link types stay out."""
+    folder = work_folder(spark)
+    frames = mixed_frames(spark, sf)
+    other = frames.withColumn("link_type", F.lit("other"))
+    frames.unionByName(other).write.parquet(folder)
+    read = read_frames(spark, folder)
+    return read.agg(F.count("*").alias("frames"), F.count(F.when(F.length("data") == 42, 1)).alias("arp_frames"))
+
+
 @query("job_all", MIXED_SQL)
 def _job_all(spark, sf):
     """Every record group, extended, without suppression; the frames are decoded and stored once."""
@@ -507,10 +535,10 @@ def split_hello(spark, sf):
     )
 
 
-@query(
-    "quic_reassemble",
-    "SELECT seq, 4 + 2 + 32 + 1 + 2 + 2 + 2 + 2 + 100 AS n FROM pk WHERE k % 5 <> 0",
-)
+REASSEMBLED_SQL = "SELECT seq, 4 + 2 + 32 + 1 + 2 + 2 + 2 + 2 + 100 AS n FROM pk WHERE k % 5 <> 0"
+
+
+@query("quic_reassemble", REASSEMBLED_SQL)
 def _quic_reassemble(spark, sf):
     """The second half comes too late in a fifth of the rows."""
     done = quic_reassemble(split_hello(spark, sf), ["dcid"])

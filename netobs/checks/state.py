@@ -14,6 +14,8 @@ from netobs.operators.handshake import tcp_handshake
 from netobs.operators.owner import owner_asof
 from netobs.operators.records import quic_failure_gate
 from netobs.checks import derived as g
+from netobs.plans.stage import work_folder
+from netobs.sources.frames import read_capture_stats
 
 SLIDING_SQL = """
 SELECT seq, dev, event_type, ts_s FROM (
@@ -166,6 +168,11 @@ FROM st WHERE kind IS NOT NULL""",
     PULSE,
 )
 def _rec_tcplvl(spark, sf):
+    return records(handshake_frames(spark, sf), "TCPLVL", "s", extended=True)
+
+
+def handshake_frames(spark, sf):
+    """A connection of every device, answers and half of the ends from the server."""
     p = g.pk(spark, sf).withColumn("kind", tcp_kind())
     p = p.withColumn("server", F.format_string("198.51.100.%d", "dev"))
     kind = F.col("kind")
@@ -176,8 +183,7 @@ def _rec_tcplvl(spark, sf):
     cip, sip = g.ip_hex(F.col("src_ip")), g.ip_hex(F.col("server"))
     out = g.ether(g.GATEWAY, mac, "0800", g.ipv4(6, cip, sip, g.tcp(cport, 443, flags)))
     back = g.ether(mac, g.GATEWAY, "0800", g.ipv4(6, sip, cip, g.tcp(F.lit(443), cport, flags)))
-    frames = g.as_frames(p, F.when(from_server, back).otherwise(out))
-    return records(frames, "TCPLVL", "s", extended=True)
+    return g.as_frames(p, F.when(from_server, back).otherwise(out))
 
 
 DROP_SQL = """, s AS (
@@ -209,6 +215,18 @@ def _drop_report(spark, sf):
     )
 
 
+@query("capture_stats_files", DROP_SQL, PULSE)
+def _capture_stats_files(spark, sf):
+    """Counters polled into files of JSON lines, read with the counters' schema."""
+    folder = work_folder(spark)
+    counters(g.pulse(spark, sf)).write.json(folder)
+    df = drop_report(read_capture_stats(spark, folder, fmt="json"))
+    return df.select(
+        F.floor(F.unix_seconds("ts") / 10).alias("slot"), "iface", "packets", "drops", "drop_pct",
+        "total_packets", "total_drops",
+    )
+
+
 GATE_SQL = """, ok AS (SELECT seq AS o_seq, ts_s AS o_s, dev FROM pulse WHERE event_type = 'view'),
 bad AS (SELECT * FROM pulse WHERE event_type IN ('error', 'signup'))
 SELECT bad.seq, bad.dev FROM bad ASOF LEFT JOIN ok ON bad.dev = ok.dev AND bad.seq > ok.o_seq

@@ -12,31 +12,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netobs.checks.registry import ORACLES, PK, PULSE, query
+from netobs.checks.registry import PK, PULSE, query
 from netobs.checks.state import DROP_SQL, FLOW_SQL, GATE_SQL, OWNER_SQL, REFRESH_SQL, SLIDING_SQL, TCP_STATE_SQL, DNS_SQL, counters, dns_events, ownership, tcp_kind
 from netobs.checks import derived as g
-from netobs.checks.recordchecks import MIXED_SQL, SPLIT_SQL, far_frames, mixed_frames
+from netobs.checks.wirechecks import ACTIVITY_SQL
+from netobs.checks.recordchecks import MIXED_SQL, REASSEMBLED_SQL, SPLIT_SQL, far_frames, mixed_frames
 from netobs.operators.vectors import vectors
 from netobs.plans.jobs import Options
 from netobs.plans.stage import work_folder
 from netobs.schemas import record_columns
 from netobs.sources.wire import parse_wire, to_typed
 from netobs.streaming import keyed
-from netobs.streaming.job import stream_lines
+from netobs.streaming.job import packet_lines, store_packets, stored_packets
 
 PARTS = 3
 JITTER = 5  # seconds that a row may come after newer ones; the operators allow ten
 DAY = "INTERVAL 1 DAY"
 
 
-def through_stream(spark: SparkSession, op: Callable[..., DataFrame], *tables: DataFrame) -> DataFrame:
+def through_stream(spark: SparkSession, op: Callable[..., DataFrame], *tables: DataFrame, store: Options | None = None) -> DataFrame:
     """Rows of ``op`` over the tables (with ``ts``), each read as a stream in parts.
 
     The parts are cut by time, each row up to some seconds late, so that newer
     rows come before older ones. The clock of ``pulse`` starts where a stream's
     first watermark stands, so the rows run a day later and come back. A row long
     after all others, in a last part, moves the watermark past them; it stays
-    unjudged itself.
+    unjudged itself. With ``store`` the table is one of frames, and ``op`` takes
+    the packets that a query before it stores.
     """
     folder = work_folder(spark)
     tables = tuple(t.withColumn("ts", F.col("ts") + F.expr(DAY)) for t in tables)
@@ -50,8 +52,12 @@ def through_stream(spark: SparkSession, op: Callable[..., DataFrame], *tables: D
         for i, table in enumerate(tables):
             rows = table.where(part == n) if n < PARTS else table.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 3650 DAYS"))
             rows.write.mode("append").parquet(f"{folder}/in{i}")
+        sources = [spark.readStream.schema(table.schema).parquet(f"{folder}/in{i}") for i, table in enumerate(tables)]
+        if store is not None:
+            store_packets(sources[0], store, folder).awaitTermination()
+            sources = [stored_packets(sources[0], store, folder)] if out is None else []
         if out is None:
-            out = op(*[spark.readStream.schema(table.schema).parquet(f"{folder}/in{i}") for i, table in enumerate(tables)])
+            out = op(*sources)
         run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         run.trigger(availableNow=True).start().awaitTermination()
     done = spark.read.schema(out.schema).parquet(f"{folder}/out").withColumn("ts", F.col("ts") - F.expr(DAY))
@@ -123,7 +129,7 @@ def _drop_report(spark, sf):
     )
 
 
-@query("stream_quic_reassemble", ORACLES["quic_reassemble"], "")
+@query("stream_quic_reassemble", REASSEMBLED_SQL, PK)
 def _quic_reassemble(spark, sf):
     """The second half comes too late in a fifth of the rows."""
     from netobs.checks.recordchecks import split_hello
@@ -152,7 +158,7 @@ def _routed_flag(spark, sf):
     return out.select("seq", F.col("routed").cast("int"))
 
 
-@query("stream_device_activity", ORACLES["device_activity"], "")
+@query("stream_device_activity", ACTIVITY_SQL)
 def _device_activity(spark, sf):
     """Records per device and tag after deduplication: all tags in one operator."""
     kept = through_stream(spark, lambda r: keyed.dedup_wire(parse_wire(r)), g.wire(spark, sf).select("ts", "seq", "line"))
@@ -163,7 +169,7 @@ def _device_activity(spark, sf):
 def _tls_quic_stateful(spark, sf):
     """Hellos over two datagrams whose numbers lie beyond what their one byte can hold."""
     opts = Options(selection=vectors("T", "v", quic_stateful=True), dedup_ttl=0)
-    lines = through_stream(spark, lambda frames: stream_lines(frames, opts), far_frames(spark, sf))
+    lines = through_stream(spark, lambda packets: packet_lines(packets, opts), far_frames(spark, sf), store=opts)
     rows = to_typed(parse_wire(lines.select("seq", "line")), "TLS").withColumn("routed", F.col("routed").cast("int"))
     return rows.select(F.floor(F.col("seq") / 2).alias("seq"), "mac", *record_columns("TLS"), "routed")
 
@@ -172,4 +178,4 @@ def _tls_quic_stateful(spark, sf):
 def _job_all(spark, sf):
     """Every record group, extended, without suppression, from a stream of frames with restarts."""
     opts = Options(selection=vectors("A", extended=True, quic_stateful=True))
-    return through_stream(spark, lambda frames: stream_lines(frames, opts), mixed_frames(spark, sf)).select("seq", "line")
+    return through_stream(spark, lambda packets: packet_lines(packets, opts), mixed_frames(spark, sf), store=opts).select("seq", "line")

@@ -31,9 +31,7 @@ def typed_all(spark, sf) -> dict[str, DataFrame]:
     return {tag: to_typed(lines, tag) for tag in KINDS}
 
 
-@query(
-    "device_activity",
-    """, keyed AS (
+ACTIVITY_SQL = """, keyed AS (
   SELECT seq, ts_s, dev, mac, CASE event_type WHEN 'view' THEN 'DNS' WHEN 'click' THEN 'SYN' WHEN 'purchase' THEN 'TLS'
          WHEN 'signup' THEN 'DHCP' ELSE 'ARP' END AS tag,
          CASE WHEN k % 2 = 0 THEN 'sensor-' || (dev % 3) END AS sensor_name, k % 10 = 9 AS routed,
@@ -53,8 +51,10 @@ left_over AS (
   SELECT tag, mac FROM kept WHERE tag <> 'ARP' AND (prev IS NULL OR ts_s - prev >= 35)
   UNION ALL
   SELECT DISTINCT ON (sensor_name, mac, what, routed, anchor) tag, mac FROM arp)
-SELECT tag, mac, count(*) AS records FROM left_over GROUP BY tag, mac""",
-)
+SELECT tag, mac, count(*) AS records FROM left_over GROUP BY tag, mac"""
+
+
+@query("device_activity", ACTIVITY_SQL)
 def _device_activity(spark, sf):
     """Records per device and tag after deduplication."""
     kept = dedup_wire(parse_wire(g.wire(spark, sf)))

@@ -113,8 +113,18 @@ def quic_initials(b: Column) -> Column:
     init = state(F.lit(0), F.array(), F.lit(False))
     # The shortest Initial takes nine bytes, which bounds how many can follow each other.
     steps = F.floor(F.length(b) / 9).cast("int") + 1
-    found = walk(steps, init, step, lambda s: s["done"])["out"]
-    return F.when(F.length(b) >= MIN_DATAGRAM, found).otherwise(F.array().cast(INITIALS))
+    none = F.array().cast(INITIALS)
+
+    def after_first(p):
+        """Mostly nothing follows the first packet; the walk is for datagrams where something may."""
+        alone = F.when(p["span"] < F.length(b), _initial_at(b, p["span"]).isNull()).otherwise(F.lit(True))
+        return (
+            F.when(p.isNull(), none)
+            .when(alone, F.array(p).cast(INITIALS))
+            .otherwise(walk(steps, init, step, lambda s: s["done"])["out"])
+        )
+
+    return F.when(F.length(b) >= MIN_DATAGRAM, let(_initial_at(b, F.lit(0)), after_first)).otherwise(none)
 
 
 # -- key schedule -------------------------------------------------------------
@@ -397,7 +407,39 @@ def crypto_fragments(plain: Column, limit: Column | int = MAX_HELLO) -> Column:
         )
 
     init = state(F.lit(0), F.array(), F.lit(0), F.lit(False))
-    return F.when(plain.isNotNull(), walk(n, init, step, lambda s: s["done"])["out"])
+    none = F.array().cast(FRAGMENTS)
+
+    def zeros_from(pos):
+        """How many zero bytes stand at ``pos``."""
+        return let(latin1(drop(plain, pos)), lambda rest: F.length(rest) - F.length(F.ltrim(rest, F.lit("\x00"))))
+
+    def one_frame(at):
+        """A single CRYPTO frame with padding before and behind it, as most packets have; else the walk."""
+
+        def with_off(o):
+            l_pos = at + 1 + varint_size(plain, at + 1)
+            return let(
+                F.struct(
+                    o.alias("o"), varint_value(plain, l_pos).alias("v"), (l_pos + varint_size(plain, l_pos)).alias("at")
+                ),
+                lambda f: F.when(
+                    f["o"].isNotNull() & f["v"].isNotNull() & (f["o"] + f["v"] <= cap) & (f["v"] <= n - f["at"]),
+                    let(
+                        (f["at"] + f["v"]).cast("int"),
+                        lambda end: F.when(
+                            end + zeros_from(end) >= n,
+                            F.array(F.struct(f["o"].cast("int").alias("off"), take(plain, f["at"], f["v"].cast("int")).alias("bytes"))),
+                        ),
+                    ),
+                ),
+            )
+
+        simple = F.when(u8(plain, at) == 6, let(varint_value(plain, at + 1), with_off))
+        return F.when(at >= n, none).otherwise(
+            F.coalesce(simple.cast(FRAGMENTS), walk(n, init, step, lambda s: s["done"])["out"])
+        )
+
+    return F.when(plain.isNotNull(), let(zeros_from(F.lit(0)), one_frame))
 
 
 def assemble_hello(frags: Column, cap: Column | int = MAX_HELLO) -> Column:

@@ -62,8 +62,13 @@ def inspector_line() -> Column:
 
 
 def limit_packets(packets: DataFrame, n: int) -> DataFrame:
-    """First ``n`` packets in arrival order; 0 means all."""
-    return packets.orderBy("ts", "seq").limit(n) if n > 0 else packets
+    """First ``n`` packets in arrival order; 0 means all.
+
+    A stream counts them in its state and gives any ``n`` of the batch that reaches it.
+    """
+    if n <= 0:
+        return packets
+    return packets.limit(n) if packets.isStreaming else packets.orderBy("ts", "seq").limit(n)
 
 
 def inspect_packets(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -73,20 +74,54 @@ def write_telemetry(df: DataFrame, sinks: list[Sink] | None = None) -> None:
         discard(spark, path)
 
 
-def stream_telemetry(df: DataFrame, sinks: list[Sink], checkpoint: str, **trigger) -> StreamingQuery:
+class Ledger:
+    """Which sinks have which batches of a stream, as marker files beside its checkpoint."""
+
+    KEPT = 100  # batches
+
+    def __init__(self, spark: SparkSession, checkpoint: str):
+        jvm = spark.sparkContext._jvm
+        self.path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([checkpoint.rstrip("/"), "delivered", *parts]))
+        self.fs = self.path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def has(self, batch: int, sink: str) -> bool:
+        return self.fs.exists(self.path(str(batch), sink))
+
+    def total(self, batch: int, lines: int) -> int:
+        """Lines up to this batch, which has ``lines``."""
+        before = self.path(str(batch - 1))
+        names = [f.getPath().getName() for f in self.fs.listStatus(before)] if self.fs.exists(before) else []
+        total = max((int(n.removeprefix("total-")) for n in names if n.startswith("total-")), default=0) + lines
+        self.add(batch, f"total-{total}")
+        return total
+
+    def add(self, batch: int, sink: str) -> None:
+        self.fs.create(self.path(str(batch), sink), True).close()
+        self.fs.delete(self.path(str(batch - self.KEPT)), True)
+
+
+def stream_telemetry(df: DataFrame, sinks: list[Sink], checkpoint: str, stop_at: int | None = None, **trigger) -> StreamingQuery:
     """Stream to every sink; each micro-batch is computed once and written to all.
 
-    Rules with memory belong into ``df`` (``netobs.streaming.keyed``), where their
-    state crosses micro-batches. A batch that is retried after a failure is
-    written again, so delivery is at least once; file sinks put each batch into
-    its own ``batch=`` folder and overwrite it, which makes a retry harmless there.
+    Rules with memory belong into ``df`` (``netobs.streaming``), where their state
+    crosses micro-batches. A ledger remembers which sink has which batch, so a
+    batch that fails between two sinks goes only to those still without it when it
+    is run again. File sinks put each batch into its own ``batch=`` folder and
+    overwrite it; to Kafka and the console a batch goes twice only if the driver
+    is lost between the end of a write and its mark. The batch is held in
+    executor memory while it is written; what a lost executor held is computed
+    again from the source. With ``stop_at`` the stream ends itself once so many
+    lines are delivered, restarts counted.
     """
     chosen = effective_sinks(sinks)
+    spark, started = df.sparkSession, {}
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.persist()
+        ledger = Ledger(spark, checkpoint)
+        missing = [(f"{n}-{s.kind}", s) for n, s in enumerate(chosen) if not ledger.has(batch_id, f"{n}-{s.kind}")]
+        rows = batch.persist() if len(missing) > 1 or stop_at is not None else batch
         try:
-            for sink in chosen:
+            for name, sink in missing:
                 if sink.kind in ("text", "parquet"):
                     out = rows.select(F.col("line").alias("value")) if sink.kind == "text" else rows
                     out.write.mode("overwrite").format(sink.kind).options(**sink.options).save(
@@ -94,12 +129,13 @@ def stream_telemetry(df: DataFrame, sinks: list[Sink], checkpoint: str, **trigge
                     )
                 else:
                     _write_one(rows, sink)
+                ledger.add(batch_id, name)
+            if stop_at is not None and ledger.total(batch_id, rows.count()) >= stop_at and "query" in started:
+                threading.Thread(target=started["query"].stop, daemon=True).start()  # not from within its own batch
         finally:
-            rows.unpersist()
-
-    return (
-        df.writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+            if rows is not batch:
+                rows.unpersist()
+
+    writer = df.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    started["query"] = writer.trigger(**(trigger or {"availableNow": True})).start()
+    return started["query"]

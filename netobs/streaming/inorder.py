@@ -43,9 +43,9 @@ def names_of(ddl: str) -> list[str]:
 
 
 def plain(value):
-    """A value of a pandas column as the state store takes it."""
-    if isinstance(value, np.ndarray):
-        return [tuple(x.values()) if isinstance(x, dict) else x for x in value]
+    """A value of a pandas column or of the state as the state store takes it: structs of a list as bare tuples."""
+    if isinstance(value, (np.ndarray, list)):
+        return [tuple(x.values()) if isinstance(x, dict) else tuple(x) if isinstance(x, tuple) else x for x in value]
     return value
 
 
@@ -103,7 +103,7 @@ class InOrder(StatefulProcessor):
             last = int(us[-1])
             self.held.update((*(after.get(n) for n in self.names), last))
             if later:
-                self.pending.put(later)
+                self.pending.put([tuple(map(plain, r)) for r in later])
             else:
                 self.pending.clear()
             if len(at):

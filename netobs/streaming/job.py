@@ -1,8 +1,9 @@
-"""Whole jobs on streams: frames to wire lines, typed rows and sinks in one query.
+"""Whole jobs on streams: frames to wire lines and sinks.
 
-Frames are decoded once and dealt out once; every record table reads that
-exchange. All tables then go through one chain of stateful operators, each of
-which judges rows in event-time order and passes its watermark on:
+Frames are decoded once and stored by route, which needs no state; a second query
+reads the stored packets, every record table its own routes. All tables then go
+through one chain of stateful operators in one plan, each of which judges rows in
+event-time order and passes its watermark on:
 
 1. with stateful QUIC, packet numbers and hellos of a connection (its packets only),
 2. the owner of an address against the claims of ARP and NDP,
@@ -182,12 +183,14 @@ def _quic(udp: DataFrame, stateful: bool) -> DataFrame:
     )
 
 
-def extracted(frames: DataFrame, opts: Options) -> tuple[DataFrame, DataFrame | None]:
-    """All rows of the chain, and the claims of addresses; ``frames`` carry a watermark."""
+def routed_packets(frames: DataFrame, opts: Options) -> DataFrame:
+    """Decoded, filtered packets with the route by which they are stored."""
+    return with_route(packets(frames, opts), opts)
+
+
+def extracted(pk: DataFrame, opts: Options) -> tuple[DataFrame, DataFrame | None]:
+    """All rows of the chain, and the claims of addresses; ``pk`` are routed packets with a watermark."""
     sel = opts.selection
-    routed = with_route(packets(frames, opts), opts)
-    # One exchange for all tables; ``ts`` stays as it is and keeps the watermark.
-    pk = stage(routed.repartition("seq"), {c: F.col(c) for c in routed.columns if c != "ts"})
 
     def of(*routes: str) -> DataFrame:
         return pk.where(F.col("route").isin(*routes)).drop("route")
@@ -307,9 +310,9 @@ def finished(rows: DataFrame) -> DataFrame:
     return rows.select("ts", "seq", *r._own(rows), F.inline(F.filter(made, lambda x: x.isNotNull())))
 
 
-def stream_lines(frames: DataFrame, opts: Options, delay: str = DELAY) -> DataFrame:
-    """``ts, seq, [sensor_name], iface, vlan, tag, line`` of all records of a stream of frames."""
-    rows, claims = extracted(frames.withWatermark("ts", delay), opts)
+def packet_lines(pk: DataFrame, opts: Options, delay: str = DELAY) -> DataFrame:
+    """``ts, seq, [sensor_name], iface, vlan, tag, line`` of all records of a stream of routed packets."""
+    rows, claims = extracted(pk.withWatermark("ts", delay), opts)
     own, sel = r._own(rows), opts.selection
     if claims is None:
         rows = rows.withColumn("routed", F.col("off")).drop("ip", "smac", "off", "ask")
@@ -334,6 +337,32 @@ def stream_lines(frames: DataFrame, opts: Options, delay: str = DELAY) -> DataFr
     return lines.select("ts", "seq", *own, "iface", "vlan", "tag", "line")
 
 
-def stream_job(frames: DataFrame, opts: Options, sinks: list[Sink], checkpoint: str, delay: str = DELAY, **trigger) -> StreamingQuery:
-    """A whole stream: frames to wire lines in every sink."""
-    return stream_telemetry(stream_lines(frames, opts, delay), sinks, checkpoint, **trigger)
+def stream_lines(frames: DataFrame, opts: Options, delay: str = DELAY) -> DataFrame:
+    """The lines of a stream of frames in a single query; every table decodes for itself, so it suits a few tables."""
+    return packet_lines(routed_packets(frames, opts), opts, delay)
+
+
+def store_packets(frames: DataFrame, opts: Options, folder: str, **trigger) -> StreamingQuery:
+    """Decode a stream of frames into ``folder``, by route; exactly once, whatever fails."""
+    writer = routed_packets(frames, opts).writeStream.format("parquet").partitionBy("route")
+    writer = writer.option("path", f"{folder}/packets").option("checkpointLocation", f"{folder}/stored")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stored_packets(frames: DataFrame, opts: Options, folder: str, **options: str) -> DataFrame:
+    """The stream of what ``store_packets`` has written."""
+    shape = routed_packets(frames, opts).schema
+    return frames.sparkSession.readStream.schema(shape).options(**options).parquet(f"{folder}/packets")
+
+
+def stream_job(frames: DataFrame, opts: Options, sinks: list[Sink], folder: str, delay: str = DELAY, **trigger) -> list[StreamingQuery]:
+    """A whole stream: frames to wire lines in every sink. The queries that store packets and that make lines.
+
+    With the default trigger what is there is worked off, the second query after
+    the first; with others both run side by side.
+    """
+    first = store_packets(frames, opts, folder, **trigger)
+    if not trigger or trigger.get("availableNow"):
+        first.awaitTermination()
+    lines = packet_lines(stored_packets(frames, opts, folder), opts, delay)
+    return [first, stream_telemetry(lines, sinks, f"{folder}/lines", **trigger)]
