@@ -11,7 +11,7 @@ from netobs.operators.classify import PrefixSet
 from netobs.operators.reassembly import quic_reassemble
 from netobs.operators.vectors import vectors
 from netobs.checks import derived as g
-from netobs.plans.jobs import Options, telemetry, wire_lines
+from netobs.plans.jobs import Options, job_lines, telemetry, wire_lines
 from netobs.plans.stage import stage, work_folder
 from netobs.sources.frames import read_frames
 from netobs.sources.sinks import Sink, write_telemetry
@@ -449,7 +449,7 @@ def _frames_from_files(spark, sf):
 def _job_all(spark, sf):
     """Every record group, extended, without suppression; the frames are decoded and stored once."""
     opts = Options(selection=vectors("A", extended=True))
-    return wire_lines(telemetry(mixed_frames(spark, sf), opts, store=work_folder(spark))).select("seq", "line")
+    return job_lines(mixed_frames(spark, sf), opts, work_folder(spark)).select("seq", "line")
 
 
 # -- QUIC ---------------------------------------------------------------------------

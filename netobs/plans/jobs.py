@@ -13,7 +13,8 @@ from netobs.operators.classify import PrefixSet, PrefixTable, direction
 from netobs.functions.bytes import bits, u8, u16
 from netobs.operators import decode as d
 from netobs.operators.decode import decode_frames, device_identity, tcp_segments, udp_datagrams
-from netobs.operators.dedup import DEFAULT_TTL, dedup_records
+from netobs.operators.dedup import DEFAULT_TTL, REFRESH_FLOORS, dedup_records, dedup_refresh, dedup_sliding, refresh_ttl
+from netobs.operators.dnslat import DNS_TIMEOUT, dns_latency
 from netobs.operators.filters import (
     exclude_filter,
     hard_mac_exclusion,
@@ -23,17 +24,20 @@ from netobs.operators.filters import (
     tcp_relevant,
     udp_vector,
 )
+from netobs.operators.flows import app_flow_budget
+from netobs.operators.handshake import tcp_handshake
 from netobs.operators.inspect import inspect_packets
 from netobs.operators.owner import arp_claims, ndp_claims, owner_asof
 from netobs.operators.reassembly import hello_records, quic_reassemble, stateful_packets
 from netobs.operators.vectors import Selection, vectors
+from netobs.plans.rows import APP, ARP, CONTROL, EVENT, FLOW, LLDP, MESSAGE, NDP, PAYLOAD, QUIC, extracted, finished
 from netobs.plans.slices import first_rows
 from netobs.plans.stage import discard, shared, work_folder
 from netobs.schemas import record_columns
 from netobs.sources.frames import select_ifaces
 from netobs.sources.sensor import check_sensor, sensor_context
 from netobs.sources.sinks import Sink, write_telemetry
-from netobs.sources.wire import format_wire, wrap_observation
+from netobs.sources.wire import format_wire, with_marker, wrap_observation
 
 
 @dataclass(frozen=True)
@@ -86,10 +90,6 @@ def _ndp_routed(ndp: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.withColumn("routed", F.col("offlink_routed") | F.col("mismatch")).drop("mismatch")
 
 
-# Where the packets that a group of records reads are kept.
-CONTROL, APP, ARP, LLDP, NDP = "control", "app", "arp", "lldp", "ndp"
-
-
 def with_route(pk: DataFrame, opts: Options) -> DataFrame:
     """Add ``route``: the part of the stored packets a packet belongs to; others are dropped.
 
@@ -199,15 +199,104 @@ def telemetry(
     }
 
 
+def _kept(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """A table written to the shared folder and read again."""
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def job_lines(frames: DataFrame, opts: Options, store: str) -> DataFrame:
+    """``ts, seq, [sensor_name], iface, vlan, tag, line`` of a whole batch job.
+
+    Packets are decoded once and stored by route in the folder ``store``, which
+    all executors share; the rows of all tables are extracted from there and meet
+    the owners of addresses together, once, and are stored in turn. Rules and
+    repeats are then decided over slim rows. The caller removes the folder when
+    the lines are no longer read (``write_job`` does).
+    """
+    sel = opts.selection
+    pk = _kept(with_route(packets(frames, opts), opts), f"{store}/packets", "route")
+    rows, claims = extracted(pk, sel, opts.prefixes, opts.router_macs, opts.flow_budget, found_hellos)
+    own, off = r._own(rows), F.coalesce(F.col("off"), F.lit(False))
+    if claims is None:
+        rows = rows.withColumn("routed", off)
+    else:
+        known = claims.select("ts", "seq", *own, F.hex("ip").alias("ip"), F.hex("owner_mac").alias("owner_mac"))
+        asked = rows.withColumn("ip", F.when(F.col("ask"), F.col("ip")))  # others match nothing and are spread
+        rows = owner_asof(asked, known, keys=(*own, "ip"), mac="smac").withColumn("routed", off | F.col("mismatch")).drop("mismatch")
+    rows = _kept(rows.drop("ip", "smac", "off", "ask"), f"{store}/rows", "tag")
+    lines = _suppressed(_records(rows, opts), opts).withColumn("line", with_marker(F.col("line"), F.col("routed")))
+    if opts.sensor_name is not None:
+        lines = wrap_observation(lines)
+    return lines.select("ts", "seq", *own, "iface", "vlan", "tag", "line")
+
+
+def _records(rows: DataFrame, opts: Options) -> DataFrame:
+    """Records of stored rows: whole ones, and those that the rules of a flow make."""
+    own, sel = r._own(rows), opts.selection
+    none = F.lit(None).cast("struct<iface: string, vlan: string, routed: boolean, body: string>").alias("opened")
+    shape = ["ts", "seq", *own, "tag", "mac", "iface", "vlan", "line", "sig", "body", "routed", "kind"]
+
+    def whole(part: DataFrame) -> DataFrame:
+        return part.select(*shape, none, *[F.lit(None).cast("bigint").alias(c) for c in ("rtt_us", "latency_us")])
+
+    opener = F.struct("iface", "vlan", "routed", "body")
+    parts = [whole(rows.where(~F.col("tag").isin(EVENT, MESSAGE, PAYLOAD) & F.col("rule").isNull()))]
+    if "s" in sel.groups and sel.extended:
+        sides = F.when(F.col("kind") == "SYN", F.array("_fwd")).when(F.col("kind") == "SYNACK", F.array("_rev")).otherwise(F.array("_fwd", "_rev"))
+        seen = rows.where(F.col("tag") == EVENT).withColumn("first", opener).withColumn("client", F.explode(sides))
+        seen = seen.withColumn("forward", F.col("client") == F.col("_fwd"))
+        hit = tcp_handshake(seen, [*own, "conn", "client"], carry=("first",), id_cols=(*own, "ts", "seq"))
+        parts.append(_made(hit, EVENT, kind=F.col("state_event"), opened=F.col("first"), rtt_us=F.col("rtt_us")))
+    if "q" in sel.groups and sel.extended:
+        asked = rows.where(F.col("tag") == MESSAGE).withColumn("first", opener)
+        hit = dns_latency(asked, [*own, "conn"], DNS_TIMEOUT, carry=("first",))
+        parts.append(_made(hit, MESSAGE, iface=F.col("iface"), vlan=F.col("vlan"), body=F.col("body"), opened=F.col("first"), latency_us=F.col("latency_us")))
+    if "t" in sel.groups:
+        tried = rows.where((F.col("tag") == "QUIC") & (F.col("rule") == QUIC))
+        parts.append(whole(r.quic_failure_gate(tried.where(~F.col("ok")), tried.where("ok"), [*own, "conn"])))
+    if opts.flow_budget is not None:
+        counted = app_flow_budget(rows.where(F.col("tag") == PAYLOAD), [*own, "conn"], complete="_complete", budget=opts.flow_budget)
+        fits = counted.select(*own, "conn", "ts", "seq").distinct()
+        records = rows.where((F.col("rule") == FLOW) & (F.col("tag") != PAYLOAD))
+        parts.append(whole(records.join(fits, [*own, "conn", "ts", "seq"], "left_semi")))
+    return finished(reduce(DataFrame.unionByName, parts))
+
+
+def _made(hit: DataFrame, tag: str, **columns) -> DataFrame:
+    """What a rule let go, in the shape of the other rows."""
+    kinds = {"mac": "string", "iface": "string", "vlan": "string", "line": "string", "sig": "string", "body": "string", "routed": "boolean",
+             "kind": "string", "opened": None, "rtt_us": "bigint", "latency_us": "bigint"}
+    values = [(columns[n] if k is None else columns.get(n, F.lit(None)).cast(k)).alias(n) for n, k in kinds.items()]
+    return hit.select("ts", "seq", *r._own(hit), F.lit(tag).alias("tag"), *values)
+
+
+def _suppressed(rows: DataFrame, opts: Options) -> DataFrame:
+    """Records of all tags without repeats: one pass over those with sliding windows, one for each fixed window."""
+    held = [t for t in opts.selection.tags if opts.selection.deduplicated(t)]
+    if opts.dedup_ttl <= 0 or not held:
+        return rows
+    keys = [*r._own(rows), "tag", "mac", "sig", "_r"]
+    rows = rows.withColumn("_r", F.when(F.col("tag") != "LLDP", F.col("routed")))
+    parts = [rows.where(~F.col("tag").isin(*held))]
+    if sliding := [t for t in held if t not in REFRESH_FLOORS]:
+        parts.append(dedup_sliding(rows.where(F.col("tag").isin(*sliding)), keys, opts.dedup_ttl))
+    windows: dict[int, list[str]] = {}
+    for t in held:
+        if t in REFRESH_FLOORS:
+            windows.setdefault(refresh_ttl(t, opts.dedup_ttl), []).append(t)
+    parts += [dedup_refresh(rows.where(F.col("tag").isin(*tags)), keys, ttl) for ttl, tags in windows.items()]
+    return reduce(DataFrame.unionByName, [p.select(*rows.columns) for p in parts]).drop("_r")
+
+
 def write_job(frames: DataFrame, opts: Options, sinks: list[Sink] | None = None) -> None:
     """A whole batch job: frames to wire lines in every sink.
 
-    The frames are decoded once into the shared folder, which is cleared at the end.
+    What it stores in the shared folder is cleared at the end.
     """
     spark, store = frames.sparkSession, work_folder(frames.sparkSession)
     try:
-        lines = wire_lines(telemetry(frames, opts, store=store), opts.sensor_name is not None)
-        write_telemetry(lines, sinks)
+        write_telemetry(job_lines(frames, opts, store), sinks)
     finally:
         discard(spark, store)
 
@@ -218,10 +307,24 @@ def quic_tables(udp: DataFrame, stateful: bool) -> tuple[DataFrame, DataFrame]:
     Stateless: a datagram without a complete hello is a failure.  Stateful: a
     hello may span packets; only a packet that does not verify is a failure.
     """
-    grams = r.quic_datagrams(udp)
     if not stateful:
-        hellos = r.quic_hello(grams)
+        hellos = r.quic_hello(r.quic_datagrams(udp))
         return r.rec_quic_tls(hellos), r.rec_quic(hellos)
+    done, bad = spanning_hellos(udp)
+    return r.rec_quic_tls(done), r.rec_quic(done.unionByName(bad))
+
+
+def found_hellos(udp: DataFrame, stateful: bool) -> DataFrame:
+    """Datagrams with Initials and ``tls``, the hello they complete or NULL."""
+    if not stateful:
+        return r.quic_hello(r.quic_datagrams(udp))
+    done, bad = spanning_hellos(udp)
+    return done.unionByName(bad)
+
+
+def spanning_hellos(udp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Datagrams that complete a hello, and those with a packet that does not verify."""
+    grams = r.quic_datagrams(udp)
     own = ["sensor_name"] if "sensor_name" in udp.columns else []
     slim = ["ts", "seq", *own, "iface", "vlan", "routed", r.SENDER, "device_mac", "src_ip", "dst_ip", "dport"]
     parts = shared(stateful_packets(grams).select(*slim, "dcid", "part", "frags"), *own, "dcid", "ts")
@@ -230,8 +333,7 @@ def quic_tables(udp: DataFrame, stateful: bool) -> tuple[DataFrame, DataFrame]:
     # one failure per datagram, and none when the datagram completed a hello
     failed = parts.where(F.col("frags").isNull()).select(*slim).dropDuplicates([*own, "ts", "seq"])
     bad = failed.join(done.select(*own, "ts", "seq"), [*own, "ts", "seq"], "left_anti")
-    both = done.select(*slim, "tls").unionByName(bad.withColumn("tls", F.lit(None).cast("binary")))
-    return r.rec_quic_tls(done), r.rec_quic(both)
+    return done.select(*slim, "tls"), bad.withColumn("tls", F.lit(None).cast("binary"))
 
 
 def wire_lines(tables: dict[str, DataFrame], sensor: bool = False) -> DataFrame:
