@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from netobs.llm.bytewords import NOT_WHITE, OTHER_BASE, WORD_BASE, flat, spans, window_hashes, word_hashes
-from netobs.llm.common import Scratch, batches
+from netobs.llm.common import Scratch, batches, lean
 
 WINDOW = 35
 CHUNK, CHUNK_ROWS = 4 << 20, 1 << 16  # bytes and documents of a chunk, one document at least
@@ -55,7 +55,7 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
                     chunk, held, rows = chunk + 1, 0, 0
 
     slim = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    return slim.mapInArrow(run, f"chunk long, doc_id {kind}, t string")
+    return slim.mapInArrow(lean(run), f"chunk long, doc_id {kind}, t string")
 
 
 def stored(texts: DataFrame, scratch: Scratch, size: int) -> DataFrame:
@@ -143,7 +143,7 @@ def probes(texts: DataFrame, window: int, buckets: int) -> DataFrame:
                 keys = keys[new]
                 yield sent(chunk, keys >> LOW, keys.astype(np.uint32), flags)
 
-    return texts.select("chunk", "t").mapInArrow(run, SENT)
+    return texts.select("chunk", "t").mapInArrow(lean(run), SENT)
 
 
 def shared_values(table: DataFrame, kind: type, only: int) -> DataFrame:

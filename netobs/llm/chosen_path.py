@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netobs.llm.common import Scratch, batches, components
+from netobs.llm.common import Scratch, batches, components, lean
 
 COORDINATES, TREES, BRANCHES = 64, 6, 2
 FULL, WORK = 1 << 16, 1 << 25  # a task compares a branch exhaustively up to this size and so many comparisons
@@ -112,7 +112,7 @@ def described(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
                 )
 
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
-    return slim.mapInArrow(run, f"doc_id {kind.simpleString()}, n long, print binary, tokens array<int>")
+    return slim.mapInArrow(lean(run), f"doc_id {kind.simpleString()}, n long, print binary, tokens array<int>")
 
 
 def sieve_of(ids: DataFrame) -> np.ndarray:
@@ -153,7 +153,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: st
 
     slim = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
     kind = docs.schema[key].dataType.simpleString()
-    made = slim.withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(run, f"doc_id {kind}, print binary, set binary, fine binary")
+    made = slim.withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(lean(run), f"doc_id {kind}, print binary, set binary, fine binary")
     joined = made.join(wanted.select("node", "print", "doc_id"), ["doc_id", "print"])
     return joined.groupBy("node").agg(F.first("set").alias("set"), F.first("fine").alias("fine"))  # repeated rows are equal
 
@@ -201,7 +201,7 @@ def sketched(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     two = nodes.select(F.col("node").alias("b"), F.col(finest(nodes)).alias("tb"), F.col("n").alias("nb"))
     pairs = edges.join(one, "a").join(two, "b")
     pairs = pairs.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +261,7 @@ def within(rows: DataFrame, nodes: DataFrame, connect: bool) -> DataFrame:
             yield pairs(held)
 
     wide = rows.select("branch", "node", "root").join(nodes.select("node", "n", F.col(finest(nodes)).alias("sketch")), "node")
-    return wide.repartition("branch").sortWithinPartitions("branch", "node").mapInArrow(run, "a long, b long")
+    return wide.repartition("branch").sortWithinPartitions("branch", "node").mapInArrow(lean(run), "a long, b long")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    return edges.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return edges.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 class Linker:
@@ -410,7 +410,7 @@ def with_print(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
                 columns = [part.column("row"), part.column("key"), pa.array(prints, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "print"])
 
-    return slim.mapInArrow(run, slim.drop("t").withColumn("print", F.lit(None).cast("binary")).schema)
+    return slim.mapInArrow(lean(run), slim.drop("t").withColumn("print", F.lit(None).cast("binary")).schema)
 
 
 def keep_one(docs: DataFrame, decided: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

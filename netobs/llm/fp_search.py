@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netobs.llm.bytewords import TERM, flat, spans, word_hashes
-from netobs.llm.common import Scratch, batches
+from netobs.llm.common import Scratch, batches, lean
 
 ITEM_BYTES = 1 << 20  # of item texts in a block, about
 DOCS, LEAF = 8192, 32  # documents of a trie; a node with more than LEAF of them is split
@@ -77,7 +77,7 @@ def vectors(docs: DataFrame, vocabulary: np.ndarray, key: str, text: str) -> Dat
                 )
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    return slim.mapInArrow(run, "doc_id long, n long, terms binary, tfs binary")
+    return slim.mapInArrow(lean(run), "doc_id long, n long, terms binary, tfs binary")
 
 
 def frequencies(found: DataFrame, size: int) -> np.ndarray:
@@ -91,7 +91,7 @@ def frequencies(found: DataFrame, size: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
 
-    rows = found.where("length(terms) > 0").select("terms").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    rows = found.where("length(terms) > 0").select("terms").mapInArrow(lean(run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     out = np.zeros(size, np.int64)
     out[rows["term"].to_numpy(np.int64)] = rows["df"].to_numpy(np.int64)
     return out
@@ -276,7 +276,7 @@ def searched(found: DataFrame, items: list, rank_of: np.ndarray, weights: np.nda
             [pa.array(number, pa.int64()), pa.array(ids, pa.int64(), mask=ids == NONE), pa.array(score, pa.int64())], names=["item", "doc_id", "score"]
         )
 
-    return found.where("length(terms) > 0").mapInArrow(run, "item long, doc_id long, score long")
+    return found.where("length(terms) > 0").mapInArrow(lean(run), "item long, doc_id long, score long")
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:

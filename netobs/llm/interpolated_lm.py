@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from netobs.llm.common import Scratch
+from netobs.llm.common import Scratch, lean
 
 CHUNK_TOKENS = 1 << 20
 BUCKET_KEYS = 1 << 20  # distinct keys of chunks that one bucket adds up
@@ -106,7 +106,7 @@ def chunks(docs: DataFrame, role: Column, key: str, text: str) -> DataFrame:
                 chunk += 1
 
     slim = docs.select(F.col(key).alias("k"), role.cast("int").alias("r"), F.col(text).alias("t"))
-    return slim.mapInArrow(run, shape)
+    return slim.mapInArrow(lean(run), shape)
 
 
 class Chunk:
@@ -178,7 +178,7 @@ def counted(made: DataFrame, pairs: bool) -> DataFrame:
         out = pd.concat([out, last], ignore_index=True)
         return out.astype({name: "Int64" for name in sums}).astype(object).where(out.notna(), None)
 
-    asked = made.select("chunk", "role", "tokens", "words").mapInArrow(ask, "bucket int, chunk long, role int, keys binary, n binary")
+    asked = made.select("chunk", "role", "tokens", "words").mapInArrow(lean(ask), "bucket int, chunk long, role int, keys binary, n binary")
     return asked.groupBy("bucket").applyInPandas(
         answer, "chunk long, bucket int, pairs boolean, main binary, held binary, n_main long, n_held long, v_main long, v_all long"
     )

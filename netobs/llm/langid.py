@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netobs.llm.common import Scratch
+from netobs.llm.common import Scratch, lean
 from netobs.llm.pieces import SPACE, Lattice, pieces_of, same_length
 
 TRAINING_ROWS = 10_000  # about so many labelled rows the model is fitted on
@@ -150,7 +150,7 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
         yield rows(seen)
 
     slim = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counted = slim.mapInPandas(count, "lang string, word string, n long")
+    counted = slim.mapInPandas(lean(count), "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -196,7 +196,7 @@ def learn(
             piece, k = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "k": k, "n": total[piece, k]})
 
-        sums = by_word.mapInPandas(e_step, "piece long, k long, n double")
+        sums = by_word.mapInPandas(lean(e_step), "piece long, k long, n double")
         rows = sums.groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas()  # at most pieces x languages
         total = np.full_like(prob, 0.01)  # add-0.01: nothing has probability 0
         total[rows["piece"], rows["k"]] += rows["n"]
@@ -220,7 +220,7 @@ def level_of(by_word: DataFrame, langs: list[str], prob: np.ndarray, path: str)
                 size += n.T @ (frame["word"].str.len().to_numpy() + 1.0)
         yield pd.DataFrame({"k": np.arange(len(langs)), "total": total, "size": size})
 
-    parts = by_word.mapInPandas(sums, "k long, total double, size double")
+    parts = by_word.mapInPandas(lean(sums), "k long, total double, size double")
     found = parts.groupBy("k").agg(F.sum("total").alias("total"), F.sum("size").alias("size")).orderBy("k").toPandas()
     # A language whose labelled texts have no letter is never learned, so every size is positive.
     return (found["total"] / found["size"]).to_numpy()
@@ -303,7 +303,7 @@ def language(model: LanguageModel, text: Column) -> Column:
         for texts in columns:
             yield pd.concat([scorer.score(part) for part in slices(texts)] or [scorer.score([])], ignore_index=True)
 
-    return F.pandas_udf(run, "lang_pred string, score double, surprise double").asNondeterministic()(text)  # evaluated once, not once per field
+    return F.pandas_udf(lean(run), "lang_pred string, score double, surprise double").asNondeterministic()(text)  # evaluated once, not once per field
 
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from netobs.llm.common import WHITE, Scratch
+from netobs.llm.common import WHITE, Scratch, lean
 
 BLOCK = 1024
 CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 1 << 16
@@ -87,7 +87,7 @@ def cut(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield from flush()
 
     slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return slim.mapInArrow(run, shape)
+    return slim.mapInArrow(lean(run), shape)
 
 
 def named_documents(documents: DataFrame, names: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netobs.llm.common import Scratch, batches
+from netobs.llm.common import Scratch, batches, lean
 from netobs.llm.id_cache import IdCache
 
 CAPACITY = 2048
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return slim.mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(lean(run), f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def combination(gap: int, left: np.ndarray) -> list[int] | None:

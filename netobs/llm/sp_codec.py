@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netobs.llm.common import batches
+from netobs.llm.common import batches, lean
 from netobs.llm.id_cache import IdCache
 from netobs.llm.pieces import SPACE, Lattice, Pieces, pieces_of, same_length
 
@@ -121,7 +121,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column("k"), pa.ListArray.from_arrays(edges, flat)], names=["doc_id", "ids"])
 
     slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return slim.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return slim.mapInArrow(lean(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -141,4 +141,4 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
             )
 
     slim = encoded.select(F.col(key).alias("k"), "ids")
-    return slim.mapInArrow(run, f"doc_id {kind}, text string, n_pieces long, ids_crc32 long")
+    return slim.mapInArrow(lean(run), f"doc_id {kind}, text string, n_pieces long, ids_crc32 long")

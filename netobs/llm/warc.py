@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netobs.llm.common import Scratch
+from netobs.llm.common import Scratch, lean
 
 MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 256 << 20  # a task starts its next file beyond this size
@@ -122,7 +122,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
         yield pa.RecordBatch.from_pylist([dict(zip(("path", "length", "records"), x, strict=True)) for x in done], schema=pa.schema(
             [("path", pa.string()), ("length", pa.int64()), ("records", pa.int64())]))
 
-    return records.mapInArrow(write, WRITTEN)
+    return records.mapInArrow(lean(write), WRITTEN)
 
 
 class Window:
@@ -239,7 +239,7 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return ranges.mapInArrow(read, READ)
+    return ranges.mapInArrow(lean(read), READ)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", uri: str = "url", text: str = "html") -> DataFrame:
