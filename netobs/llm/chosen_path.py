@@ -14,6 +14,8 @@ first every member of a branch is compared with the branch's first node (a star:
 linear, however large the branch). Where few members then stay outside a
 large branch's largest component, each of them is compared with every member,
 which is linear too; one with many of them branches again, which splits the unlike.
+Before any pair in doubt is looked at, pairs that the finer sketches leave no doubt
+about connect what they can, one pair for each node.
 Sketches of the tokens turn pairs away (a pair of similarity 0.8 with a
 probability of 1e-8, by the finer sketches of nodes that passed the first);
 every link is confirmed on the full sets.
@@ -39,6 +41,7 @@ LEVELS = 16  # further steps; what is still large then is compared exhaustively
 PERCENT = 80
 SKETCH = 0.5  # share of equal tokens under which a pair is turned away
 FINE, FINE_SKETCH = 512, 0.7  # the same for longer sketches, of one byte a token, of nodes that may have links
+SURE = 0.84  # share of equal tokens of the longer sketches from which a pair is nearly always a link
 SIEVE = 1 << 23  # bits of the fixed-size filter over wanted documents
 
 ODD = np.random.default_rng(20240229).integers(0, 1 << 63, (2, 72 + FINE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -179,9 +182,9 @@ def sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FINE)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def alike(a: np.ndarray, b: np.ndarray, least: float | None = None) -> np.ndarray:
     """Pairs of rows of sketches that aren't turned away."""
-    return (a == b).mean(axis=1) >= (FINE_SKETCH if a.shape[1] == FINE else SKETCH)
+    return (a == b).mean(axis=1) >= (least or (FINE_SKETCH if a.shape[1] == FINE else SKETCH))
 
 
 def finest(nodes: DataFrame) -> str:
@@ -218,10 +221,11 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[low[moved]]
 
 
-def within(rows: DataFrame, nodes: DataFrame, connect: bool) -> DataFrame:
+def within(rows: DataFrame, nodes: DataFrame, connect: bool, least: float | None = None) -> DataFrame:
     """The pairs (a, b) of different components in each branch (branch, node, root) that sketches don't turn away.
 
-    Where the sketches alone decide (``connect``), only pairs that connect the same nodes.
+    With ``connect`` only pairs that connect the same nodes; ``least`` is a share
+    of equal tokens other than the usual one.
 
     A branch's rows come one after the other; row i is compared with row i + 1 of
     all branches at once, then with row i + 2, and so on.
@@ -237,7 +241,7 @@ def within(rows: DataFrame, nodes: DataFrame, connect: bool) -> DataFrame:
             at = left[root[left] != root[left + step]]
             low, high = np.minimum(n[at], n[at + step]), np.maximum(n[at], n[at + step])
             at = at[100 * low >= PERCENT * high]
-            at = at[alike(sketch[at], sketch[at + step])]
+            at = at[alike(sketch[at], sketch[at + step], least)]
             ups.append(np.maximum(node[at], node[at + step]))
             downs.append(np.minimum(node[at], node[at + step]))
             step += 1
@@ -333,6 +337,12 @@ class Linker:
             if rows.isEmpty():
                 return
             fits = (F.col("size") <= FULL) & (F.col("size") * F.col("odd") <= WORK)
+            if self.sets is not None:
+                # Pairs that are links for all one can see connect most of a branch; what they connect needs no more pairs.
+                self.take(within(rows.where(fits), self.nodes, True, SURE).distinct())
+                rows = self.scratch.save(self.open(rows.select("branch", "node")), self.name())
+                if rows.isEmpty():
+                    return
             few = F.lit(True) if level == LEVELS else F.col("odd") <= SMALL
             small, large = within(rows.where(fits), self.nodes, self.sets is None), self.odd_pairs(rows.where(~fits & few))
             self.take(small.union(sketched(large, self.nodes)).distinct())
