@@ -81,6 +81,9 @@ def batches(frame: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBat
             yield frame.slice(a, b - a)
 
 
+FEW_EDGES = 1 << 16
+
+
 def release() -> None:
     """Give free memory back: workers are kept, and other steps need theirs beside them."""
     pa.default_memory_pool().release_unused()
@@ -109,12 +112,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     above it the smallest node it knows (large star), then neighbours below are
     hung on the smallest (small star). Each step is an aggregation and a join,
     so no component is ever gathered in one place; the number of rounds grows
-    with the logarithm of the longest chain.
+    with the logarithm of the longest chain. Up to ``FEW_EDGES`` edges, which are
+    counted first, are not worth a shuffle: their rounds run in one partition.
     """
     links = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     now = scratch.save(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
     turn, before = 0, None
+    few = now.count() <= FEW_EDGES
     while True:
+        now = now.coalesce(1) if few else now
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
