@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from netobs.checks import derived as g
 from netobs.checks.recordchecks import dns_traffic, far_frames, mixed_frames
 from netobs.checks.state import handshake_frames
+from netobs.checks import streams
 from netobs.checks.streams import through_stream
 from netobs.functions.quic import nearest_number
 from netobs.operators.classify import PrefixSet, PrefixTable
 from netobs.operators.dedup import dedup_refresh
 from netobs.operators.vectors import vectors
-from netobs.plans.jobs import Options, inspect, telemetry, wire_lines
+from netobs.plans.jobs import Options, inspect, job_lines
 from netobs.sources.sinks import Ledger, Sink, stream_telemetry
 from netobs.streaming import keyed
 from netobs.streaming.inorder import names_of
@@ -117,14 +118,15 @@ def some_traffic(spark, sf):
     return out.unionByName(other.withColumns({"data": moved, "seq": F.col("seq") * 4 + 20_000_000}))
 
 
-def test_a_whole_stream_gives_the_lines_of_the_batch_job(spark, sf_dir):
-    """Suppression, owners, handshakes, latency, budgets and hellos over two datagrams, with restarts and late rows."""
+def test_a_whole_stream_gives_the_lines_of_the_batch_job(spark, sf_dir, monkeypatch):
+    """Suppression, owners, handshakes, latency, budgets and hellos over two datagrams, with a restart."""
+    monkeypatch.setattr(streams, "PARTS", 1)  # planning takes most of the time; stream_job_all has more parts
     prefixes = PrefixTable(PrefixSet(inside=("198.51.100.0/28",), learned=(("lan0", "192.168.0.0/16"),)).table(spark))
     opts = Options(selection=vectors("a", extended=True, quic_stateful=True), prefixes=prefixes, flow_budget=2)
     folder = str(spark.conf.get("spark.checkpoint.dir")) + "/traffic"
     some_traffic(spark, sf_dir).write.mode("overwrite").parquet(folder)
     frames = spark.read.parquet(folder)
-    want = sorted((r.seq, r.tag, r.line) for r in wire_lines(telemetry(frames, opts)).select("seq", "tag", "line").collect())
+    want = sorted((r.seq, r.tag, r.line) for r in job_lines(frames, opts, folder + "-store").select("seq", "tag", "line").collect())
     got = sorted((r.seq, r.tag, r.line) for r in through_stream(spark, lambda p: packet_lines(p, opts), frames, store=opts).select("seq", "tag", "line").collect())
     assert got == want
     assert {t for _, t, _ in want} >= {"SYN", "SYNACK", "TCPLVL", "TLS", "DNS", "DNSEXT", "ALERT", "HTTP", "DHCP", "ARP"}
