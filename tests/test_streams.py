@@ -172,7 +172,7 @@ def test_a_stream_of_inspector_lines_ends_after_n(spark, sf_dir, tmp_path):
     frames = mixed_frames(spark, sf_dir)
     frames.repartition(6).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    lines = inspect(stream, Options(), "ip", 250)
+    lines = inspect(stream, Options(), "192.168.0.0/16", 250)
     run = stream_telemetry(lines, [Sink("text", str(tmp_path / "out"))], str(tmp_path / "state"), stop_at=250, processingTime="0 seconds")
     assert run.awaitTermination(120)
     assert spark.read.text(str(tmp_path / "out")).count() == 250
