@@ -64,3 +64,21 @@ def test_components_beyond_exact_doubles(spark):
 
 def test_nothing(spark):
     assert topk.top_k(vectors(spark, []), F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+def test_repeated_ids(spark, monkeypatch):
+    """Every row but the query's own is a candidate, also one with the same id; both are queries."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 7)
+    rng = random.Random(5)
+    for scale in (0.2, 1e9):
+        rows = [(i % 20, [rng.gauss(0, scale) for _ in range(3)]) for i in range(50)] + [(0, [scale] * 3)] * 3
+        whole = [[math.floor(256 * float(np.float32(x))) for x in v] for _, v in rows]
+        held = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+        wanted = []
+        for i, q in enumerate(whole):
+            if rows[i][0] % 5 == 0:
+                others = sorted((-held(sum(a * b for a, b in zip(q, c, strict=True))), rows[j][0]) for j, c in enumerate(whole) if j != i)
+                wanted += [(rows[i][0], n + 1, j, -s) for n, (s, j) in enumerate(others[:5])]
+        got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 5 == 0, 5).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(wanted)
