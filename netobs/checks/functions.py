@@ -277,8 +277,8 @@ def _quic_varint(spark, sf):
     s, k = F.col("seq"), F.col("k")
     b = (
         F.when(k % 4 == 0, g.hx(s % 64, 1)).when(k % 4 == 1, g.hx(s % 16384 + 16384, 2))
-        .when(k % 4 == 2, g.hx(s * 1000 + 2147483648, 4))
-        .otherwise(g.cat("c0", g.hx(s * 1000000007, 7)))
+        .when((k % 4 == 2) & (s * 1000 < 1 << 30), g.hx(s * 1000 + 2147483648, 4))
+        .otherwise(g.hx(F.when(k % 4 == 2, s * 1000).otherwise(s * 1000000007) - F.lit(1 << 62), 8))
     )
     return g.pulse(spark, sf).select("seq", varint_value(F.unhex(g.cat(b, "ffff")), 0).alias("v"))
 
