@@ -306,7 +306,7 @@ def _rec_ndp(spark, sf):
     """The link-layer option names the sender in odd rows; the message before may have named another."""
     p = g.pk(spark, sf)
     k = F.col("k")
-    target = g.cat("20010db8" + "00" * 10, g.hx(F.col("seq") % 65536 + 1, 2))
+    target = g.cat("20010db8" + "00" * 8, g.hx(F.col("seq") % 65536 + 1, 4))
     option = g.cat(F.when(k % 3 == 2, F.lit("0201")).otherwise(F.lit("0101")), "02000000aa", g.hx(k, 1))
     tail = F.when(k % 2 == 0, F.lit("")).otherwise(option)
     bits = F.when(k % 4 < 2, F.lit("c0000000")).otherwise(F.lit("60000000"))
