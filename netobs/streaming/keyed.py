@@ -322,14 +322,19 @@ def losses(interval: int) -> Rule:
 def drop_report(stats: DataFrame, interval: int = 10, keys: tuple[str, ...] = ("iface",), delay: str | None = DELAY) -> DataFrame:
     """Intervals with losses, each as soon as a row of a later interval is judged.
 
-    Totals run over the whole stream, so an interface's state stays.
+    Rows are summed up by interval before any state sees them, so a state has one
+    row per interval, however many an interface's counters have. Totals run over
+    the whole stream, so an interface's state stays.
     """
-    ranked = stats.withColumn("_n", F.lit(0))
+    if delay is not None:
+        stats = stats.withWatermark("ts", delay)
+    sums = stats.groupBy(F.window("ts", f"{interval} seconds").alias("_w"), *keys).agg(F.sum("packets").alias("packets"), F.sum("drops").alias("drops"))
+    ranked = sums.select(F.window_time("_w").alias("ts"), *keys, "packets", "drops", F.lit(0).alias("_n"))
     closed = in_order(
         ranked, list(keys), losses(interval), "packets long, drops long",
         "_slot long, _packets long, _drops long, total_packets long, total_drops long",
         "slot long, packets long, drops long, total_packets long, total_drops long",
-        idle=None, order=("_n",), delay=delay, gone=("packets", "drops"), chained=False,
+        idle=None, order=("_n",), delay=None, gone=("packets", "drops"), chained=False,
     )
     share = F.round(F.lit(100.0) * F.col("_drops") / F.greatest("_packets", F.lit(1)), 2)
     return closed.select(

@@ -33,3 +33,12 @@ def test_target_of_the_last_number_of_a_round(spark, sf_dir, tmp_path):
         n = r.seq % 65536 + 1
         assert r.target_ip == ("2001:db8::1:0" if n == 65536 else f"2001:db8::{n:x}")
     assert 65535 in {r.seq for r in rows}
+
+
+def test_counters_are_summed_before_the_state(spark, tmp_path):
+    """The state of an interface has a row per interval, not one per row of the stream."""
+    from netobs.streaming import keyed
+
+    stats = spark.readStream.schema("ts timestamp, iface string, packets long, drops long").parquet(str(tmp_path))
+    plan = keyed.drop_report(stats)._jdf.queryExecution().logical().toString()
+    assert 0 < plan.index("TransformWithState") < plan.index("Aggregate")
