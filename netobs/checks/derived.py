@@ -65,6 +65,14 @@ def pk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pk_of(pulse(spark, sf_dir))
 
 
+def spread(df: DataFrame, key: str = "seq") -> DataFrame:
+    """Rows dealt to all cores before frames are built of them.
+
+    A frame costs far more than the row it is made of, and a small file is one task.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry lines: half inside a sensor envelope, one in ten marked routed."""
     k = F.col("k").cast("string")
@@ -281,4 +289,4 @@ def crypto_frame_hex(offset: Column | int, body: Hex) -> Column:
 
 def pad_hex(body: Column, n: int) -> Column:
     """Right-pad with PADDING frames to ``n`` bytes."""
-    return F.rpad(body, 2 * n, "0")
+    return let(body, lambda h: F.concat(F.substring(h, 1, 2 * n), F.repeat(F.lit("0"), F.lit(2 * n) - F.length(h))))

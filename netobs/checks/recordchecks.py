@@ -457,6 +457,7 @@ def _job_all(spark, sf):
 
 def quic_frames(p, hello, broken=None):
     """One datagram per event whose Initial carries the whole hello."""
+    p = g.spread(p)
     plain = F.unhex(g.pad_hex(g.crypto_frame_hex(0, hello), 1200))
     packet = g.quic_initial(F.unhex(g.hx(F.col("seq"), 8)), F.col("k"), plain)
     body = F.hex(packet)
@@ -503,7 +504,7 @@ def _quic_initials(spark, sf):
     """A third of the datagrams holds two coalesced Initials; both verify."""
     from netobs.operators.records import with_initials
 
-    p = g.pk(spark, sf)
+    p = g.spread(g.pk(spark, sf))
     plain = F.unhex(F.repeat(F.lit("00"), 1200))
     one = g.quic_initial(F.unhex(g.hx(F.col("seq"), 8)), F.col("k"), plain, token="abcd")
     p = stage(p, {"x": one})
@@ -554,7 +555,7 @@ FROM ja JOIN pk ON pk.seq = ja.seq"""
 
 def split_frames(spark, sf, number, size=4):
     """Every hello in two datagrams a second apart, tail first; ``number`` gives their packet numbers."""
-    p = g.pk(spark, sf)
+    p = g.spread(g.pk(spark, sf))
     p = stage(p, {"h": g.event_hello(F.col("k"), F.col("seq"))})
     tail = g.crypto_frame_hex(40, F.expr("substring(h, 81)"))
     head = g.crypto_frame_hex(0, F.expr("substring(h, 1, 80)"))

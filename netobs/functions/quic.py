@@ -409,9 +409,14 @@ def crypto_fragments(plain: Column, limit: Column | int = MAX_HELLO) -> Column:
     init = state(F.lit(0), F.array(), F.lit(0), F.lit(False))
     none = F.array().cast(FRAGMENTS)
 
-    def zeros_from(pos):
-        """How many zero bytes stand at ``pos``."""
-        return let(latin1(drop(plain, pos)), lambda rest: F.length(rest) - F.length(F.ltrim(rest, F.lit("\x00"))))
+    def zeros_first():
+        """How many zero bytes stand at the start; mostly none."""
+        rest = latin1(plain)
+        return F.when(u8(plain, 0) == 0, F.length(rest) - F.length(F.ltrim(rest, F.lit("\x00")))).otherwise(F.lit(0))
+
+    def padded_from(pos):
+        """Only zero bytes from ``pos`` on, compared as a whole."""
+        return drop(plain, pos) == F.substring(F.lit(bytes(1 << 16)), F.lit(1), n - pos)
 
     def one_frame(at):
         """A single CRYPTO frame with padding before and behind it, as most packets have; else the walk."""
@@ -427,7 +432,7 @@ def crypto_fragments(plain: Column, limit: Column | int = MAX_HELLO) -> Column:
                     let(
                         (f["at"] + f["v"]).cast("int"),
                         lambda end: F.when(
-                            end + zeros_from(end) >= n,
+                            padded_from(end),
                             F.array(F.struct(f["o"].cast("int").alias("off"), take(plain, f["at"], f["v"].cast("int")).alias("bytes"))),
                         ),
                     ),
@@ -439,7 +444,7 @@ def crypto_fragments(plain: Column, limit: Column | int = MAX_HELLO) -> Column:
             F.coalesce(simple.cast(FRAGMENTS), walk(n, init, step, lambda s: s["done"])["out"])
         )
 
-    return F.when(plain.isNotNull(), let(zeros_from(F.lit(0)), one_frame))
+    return F.when(plain.isNotNull(), let(zeros_first(), one_frame))
 
 
 def assemble_hello(frags: Column, cap: Column | int = MAX_HELLO) -> Column:

@@ -42,3 +42,22 @@ def test_counters_are_summed_before_the_state(spark, tmp_path):
     stats = spark.readStream.schema("ts timestamp, iface string, packets long, drops long").parquet(str(tmp_path))
     plan = keyed.drop_report(stats)._jdf.queryExecution().logical().toString()
     assert 0 < plan.index("TransformWithState") < plan.index("Aggregate")
+
+
+def test_datagrams_of_a_small_file_are_made_by_all_cores(spark, sf_dir):
+    from netobs.checks.recordchecks import split_frames
+
+    frames = split_frames(spark, sf_dir, lambda half: half)
+    assert frames.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+
+
+def test_padding_behind_a_frame(spark):
+    """Only zeros, other frames or a lone byte behind a CRYPTO frame, and an empty packet."""
+    from netobs.functions.quic import crypto_fragments
+
+    frame = bytes.fromhex("060002aabb")
+    plains = [frame, frame + bytes(1000), bytes(3) + frame + bytes(5), frame + bytes(7) + bytes.fromhex("060201cc") + bytes(2), frame + b"\x01" + bytes(3), frame + bytes(2) + b"\x1c", b"", bytes(9)]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(plains)], "i int, p binary")
+    got = {r.i: [(f["off"], bytes(f["bytes"])) for f in r.f] for r in df.select("i", crypto_fragments(F.col("p")).alias("f")).collect()}
+    one = [(0, b"\xaa\xbb")]
+    assert got == {0: one, 1: one, 2: one, 3: [*one, (2, b"\xcc")], 4: one, 5: one, 6: [], 7: []}
