@@ -19,7 +19,7 @@ from netobs.checks.wirechecks import ACTIVITY_SQL
 from netobs.checks.recordchecks import MIXED_SQL, REASSEMBLED_SQL, SPLIT_SQL, far_frames, mixed_frames
 from netobs.operators.vectors import vectors
 from netobs.plans.jobs import Options
-from netobs.plans.stage import work_folder
+from netobs.plans.stage import materialize, work_folder
 from netobs.schemas import record_columns
 from netobs.sources.wire import parse_wire, to_typed
 from netobs.streaming import keyed
@@ -41,7 +41,8 @@ def through_stream(spark: SparkSession, op: Callable[..., DataFrame], *tables: D
     the packets that a query before it stores.
     """
     folder = work_folder(spark)
-    tables = tuple(t.withColumn("ts", F.col("ts") + F.expr(DAY)) for t in tables)
+    # Stored, so that frames are built once and not for every part.
+    tables = tuple(materialize(t.withColumn("ts", F.col("ts") + F.expr(DAY))) for t in tables)
     low, high = tables[0].agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     width = max(1, (high - low) // PARTS + 1)
     late = F.pmod(F.xxhash64("seq"), F.lit(JITTER * 1_000_000)) if "seq" in tables[0].columns else F.lit(0)

@@ -6,6 +6,7 @@ import random
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from netobs.operators.vectors import vectors
 from netobs.plans.jobs import Options, inspect, job_lines
 from netobs.sources.sinks import Ledger, Sink, stream_telemetry
 from netobs.streaming import keyed
-from netobs.streaming.inorder import names_of
+from netobs.streaming.inorder import InOrder, names_of
 from netobs.streaming.job import packet_lines
 
 
@@ -176,3 +177,68 @@ def test_a_stream_of_inspector_lines_ends_after_n(spark, sf_dir, tmp_path):
     run = stream_telemetry(lines, [Sink("text", str(tmp_path / "out"))], str(tmp_path / "state"), stop_at=250, processingTime="0 seconds")
     assert run.awaitTermination(120)
     assert spark.read.text(str(tmp_path / "out")).count() == 250
+
+
+class Held:
+    """A list state in memory that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, list(rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.calls, self.rows = self.calls + 1, self.rows + list(rows)
+
+    def clear(self):
+        self.put([])
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getListState(self, name, _):  # noqa: N802
+        return self.states.setdefault(name, Held())
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_many_keys_share_states_and_timers():
+    rng = random.Random(5)
+    rows = [(rng.randrange(200) * 1_000_000, n, f"k{rng.randrange(300)}") for n in range(4000)]
+    handle, got, seen = Handle(), [], -1
+    for ms in (50_000, 50_000, 120_000, 300_000):
+        op = InOrder(keyed.suppression(20, True), ["seq"], "", "last long", "", 20)
+        op.init(handle)
+        part = [r for r in rows if seen < r[0] // 1000 <= min(ms + 30_000, 200_000)]
+        seen = max(seen, min(ms + 30_000, 200_000))
+        part = pd.DataFrame(part, columns=["us", "o0", "key"]).sample(frac=1, random_state=1)
+        list(op.handleInputRows(("7",), iter([part.assign(row="r")[["us", "o0", "row", "key"]]]), Clock(ms)))
+        for _ in range(2):  # two timers of one micro-batch
+            got += [n for frame in op.handleExpiredTimer(("7",), Clock(ms), None) for n in frame["seq"].tolist()]
+    want, last = [], {}
+    for us, n, key in sorted(rows):
+        if key not in last or us - last[key] >= 20_000_000:
+            want.append(n)
+            last[key] = us
+    assert sorted(got) == sorted(want)
+    assert not handle.states["held"].rows and not handle.states["pending"].rows  # idle keys are forgotten
+    assert len(handle.timers) + sum(s.calls for s in handle.states.values()) < 40
