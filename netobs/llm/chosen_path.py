@@ -9,13 +9,17 @@ each step, give the recall: a pair of similarity 0.8 is missed by one tree with
 probability of 0.04 at the first step and under 0.08 at any depth, by all six
 trees with 4e-9 and under 3e-7.
 
-Only components are wanted, so pairs that are already connected are left alone:
-first every member of a branch is compared with the branch's first node (a star:
-linear, however large the branch). Where few members then stay outside a
+Only components are wanted, so pairs that are already connected are left alone.
+Nodes of large branches are compared with one centre each first, those it leaves
+apart with the other centres of their branches (stars: linear, however large the
+branch). What then stays apart is compared inside a task, branch by branch, and
+what a pair connects is known to the pairs after it; a task gives only pairs that
+connect something, fewer than it has nodes. Where few members stay outside a very
 large branch's largest component, each of them is compared with every member,
 which is linear too; one with many of them branches again, which splits the unlike.
-Before any pair in doubt is looked at, pairs that the finer sketches leave no doubt
-about connect what they can, one pair for each node.
+Full sets are looked at in the tasks that compare, pairs that sketches leave no
+doubt about first. Clusters of up to ``CLUSTER`` nodes that the sketches connect
+are one branch then, so their sets move once.
 Sketches of the tokens turn pairs away (a pair of similarity 0.8 with a
 probability of 1e-8, by the finer sketches of nodes that passed the first);
 every link is confirmed on the full sets.
@@ -24,6 +28,7 @@ every link is confirmed on the full sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,7 @@ from netobs.llm.common import Scratch, batches, components, lean
 
 COORDINATES, TREES, BRANCHES = 64, 6, 2
 FULL, WORK = 1 << 16, 1 << 25  # a task compares a branch exhaustively up to this size and so many comparisons
+CLUSTER = 1 << 10  # branches up to this size need no star, clusters up to it no trees
 SMALL = 32  # larger branches with up to so many nodes outside their largest component are compared by a join
 LEVELS = 16  # further steps; what is still large then is compared exhaustively too
 PERCENT = 80
@@ -221,40 +227,76 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[low[moved]]
 
 
-def within(rows: DataFrame, nodes: DataFrame, connect: bool, least: float | None = None) -> DataFrame:
-    """The pairs (a, b) of different components in each branch (branch, node, root) that sketches don't turn away.
+def renamed(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The components of rows once (a, b) are connected."""
+    ids, low = spanning(a, b)
+    at = np.minimum(np.searchsorted(ids, root), len(ids) - 1)
+    return np.where(ids[at] == root, low[at], root)
 
-    With ``connect`` only pairs that connect the same nodes; ``least`` is a share
-    of equal tokens other than the usual one.
 
-    A branch's rows come one after the other; row i is compared with row i + 1 of
+def similar(x: bytes, y: bytes) -> bool:
+    """Two full sets have the wanted similarity."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * common >= PERCENT * (len(p) + len(q) - common)
+
+
+def linked(root: np.ndarray, at: np.ndarray, step: int, sets: np.ndarray) -> np.ndarray:
+    """Rows of ``at`` that their full sets link with the row ``step`` on, but those that the ones before connect."""
+    of: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in of:
+            x = of[x]
+        return x
+
+    kept = []
+    for i, x, y in zip(at.tolist(), root[at].tolist(), root[at + step].tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y and similar(sets[i], sets[i + step]):
+            of[max(x, y)] = min(x, y)
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def within(rows: DataFrame, nodes: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) that connect what is linked but apart in each branch (branch, node, root).
+
+    Links are decided by sketches, with ``sets`` by full sets after them. A
+    branch's rows come one after the other; row i is compared with row i + 1 of
     all branches at once, then with row i + 2, and so on.
     """
+    columns = ["branch", "node", "root", "n", "sketch", *([] if sets is None else ["set"])]
 
     def pairs(held: dict[str, np.ndarray]) -> pa.RecordBatch:
-        branch, node, root, n, sketch = (held[x] for x in ("branch", "node", "root", "n", "sketch"))
+        branch, node, root, n, sketch = (held[x] for x in columns[:5])
         edges = np.flatnonzero(np.diff(branch)) + 1
         sizes = np.diff([0, *edges, len(branch)])
         end = np.repeat(np.cumsum(sizes), sizes)  # of each row's branch
-        left, ups, downs, step = np.arange(len(branch)), [], [], 1
-        while len(left := left[left + step < end[left]]):
-            at = left[root[left] != root[left + step]]
-            low, high = np.minimum(n[at], n[at + step]), np.maximum(n[at], n[at + step])
-            at = at[100 * low >= PERCENT * high]
-            at = at[alike(sketch[at], sketch[at + step], least)]
-            ups.append(np.maximum(node[at], node[at + step]))
-            downs.append(np.minimum(node[at], node[at + step]))
-            step += 1
-        none = np.zeros(0, np.int64)
-        found = np.concatenate([none, *ups]), np.concatenate([none, *downs])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (spanning(*found) if connect else found)], names=["a", "b"])
+        ups, downs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for least in (None,) if "set" not in held else (SURE, None):
+            left, step = np.arange(len(branch)), 1
+            while len(left := left[left + step < end[left]]):
+                at = left[root[left] != root[left + step]]
+                low, high = np.minimum(n[at], n[at + step]), np.maximum(n[at], n[at + step])
+                at = at[100 * low >= PERCENT * high]
+                at = at[alike(sketch[at], sketch[at + step], least)]
+                if "set" in held:
+                    at = linked(root, at, step, held["set"])
+                if len(at):
+                    ups.append(node[at])
+                    downs.append(node[at + step])
+                    root = renamed(root, root[at], root[at + step])
+                step += 1
+        found = spanning(np.concatenate(ups), np.concatenate(downs))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
         for frame in frames:
             if not frame.num_rows:
                 continue
-            new = {x: frame.column(x).to_numpy() for x in ("branch", "node", "root", "n")}
+            new = {x: frame.column(x).to_numpy(zero_copy_only=False) for x in columns if x != "sketch"}
             new["sketch"] = sketches(frame.column("sketch"))
             if held is not None:
                 new = {x: np.concatenate([held[x], new[x]]) for x in new}
@@ -265,7 +307,8 @@ def within(rows: DataFrame, nodes: DataFrame, connect: bool, least: float | None
             yield pairs(held)
 
     wide = rows.select("branch", "node", "root").join(nodes.select("node", "n", F.col(finest(nodes)).alias("sketch")), "node")
-    return wide.repartition("branch").sortWithinPartitions("branch", "node").mapInArrow(lean(run), "a long, b long")
+    wide = wide if sets is None else wide.join(sets.select("node", "set"), "node")
+    return wide.select(*columns).repartition("branch").sortWithinPartitions("branch", "node").mapInArrow(lean(run), "a long, b long")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -273,11 +316,7 @@ def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            keep = []
-            for x, y in zip(frame.column("sa"), frame.column("sb"), strict=True):
-                p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(p) + len(q) - common))
+            keep = [similar(x.as_buffer(), y.as_buffer()) for x, y in zip(frame.column("sa"), frame.column("sb"), strict=True)]
             out = pa.RecordBatch.from_arrays([frame.column("a"), frame.column("b")], names=["a", "b"])
             yield out.filter(pa.array(keep, pa.bool_()))
 
@@ -286,6 +325,11 @@ def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return edges.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
+def whole_size() -> int:
+    """Up to which size a branch is always compared inside one task."""
+    return min(CLUSTER, FULL, math.isqrt(WORK))
+
+
 class Linker:
     """Links nodes and keeps the components they make (``roots``: node, root)."""
 
@@ -308,7 +352,10 @@ class Linker:
 
     def take(self, edges: DataFrame) -> None:
         """Link the pairs that the sketches left: as they are, or after a look at their full sets."""
-        found = self.scratch.save(edges if self.sets is None else confirmed(edges, self.sets), self.name())
+        self.link(edges if self.sets is None else confirmed(edges, self.sets))
+
+    def link(self, pairs: DataFrame) -> None:
+        found = self.scratch.save(pairs, self.name())
         if not found.isEmpty():
             self.add(found)
 
@@ -328,31 +375,35 @@ class Linker:
             rows = self.scratch.save(self.crowded(rows), self.name())
             if rows.isEmpty():
                 return
-            # One order of the nodes for all branches of a step, another in each step: few different centres.
-            first = rows.groupBy("branch").agg(F.min(F.struct(F.xxhash64("node", F.lit(level)), "node")).alias("c"))
-            stars = rows.join(first.select("branch", F.col("c.node").alias("b")), "branch").select(F.col("node").alias("a"), "b")
-            stars = stars.where("a <> b").distinct()
-            self.take(sketched(self.apart(stars) if level else stars, self.nodes))
-            rows = self.scratch.save(self.open(rows), self.name())
+            self.stars(rows.where(F.col("members") > whole_size()), level)
+            rows = self.scratch.save(self.open(rows.select("branch", "node")), self.name())
             if rows.isEmpty():
                 return
             fits = (F.col("size") <= FULL) & (F.col("size") * F.col("odd") <= WORK)
-            if self.sets is not None:
-                # Pairs that are links for all one can see connect most of a branch; what they connect needs no more pairs.
-                self.take(within(rows.where(fits), self.nodes, True, SURE).distinct())
-                rows = self.scratch.save(self.open(rows.select("branch", "node")), self.name())
-                if rows.isEmpty():
-                    return
             few = F.lit(True) if level == LEVELS else F.col("odd") <= SMALL
-            small, large = within(rows.where(fits), self.nodes, self.sets is None), self.odd_pairs(rows.where(~fits & few))
-            self.take(small.union(sketched(large, self.nodes)).distinct())
-            rows = next_branches(rows.where(~fits & ~few).select("branch", "node"), self.nodes)
+            self.link(within(rows.where(fits), self.nodes, self.sets).distinct())
+            rows = rows.where(~fits)
+            if rows.isEmpty():
+                return
+            self.take(sketched(self.odd_pairs(rows.where(few)), self.nodes))
+            rows = next_branches(rows.where(~few).select("branch", "node"), self.nodes)
+
+    def stars(self, rows: DataFrame, level: int) -> None:
+        """Compare the nodes of branches with the branches' centres, the one centre that comes first for each node before the others."""
+        if rows.isEmpty():
+            return
+        # One order of the nodes for all branches of a step, another in each step: few different centres.
+        first = rows.groupBy("branch").agg(F.min(F.struct(F.xxhash64("node", F.lit(level)), "node")).alias("c"))
+        stars = rows.join(first, "branch").select(F.col("node").alias("a"), "c")
+        one = stars.groupBy("a").agg(F.min("c").alias("c")).select("a", F.col("c.node").alias("b")).where("a <> b")
+        self.take(sketched(self.apart(one) if level else one, self.nodes))
+        rest = stars.select("a", F.col("c.node").alias("b")).where("a <> b").distinct().join(one, ["a", "b"], "left_anti")
+        self.take(sketched(self.apart(rest), self.nodes))
 
     def crowded(self, rows: DataFrame) -> DataFrame:
-        """Branches with at least two nodes."""
+        """Rows (branch, node, members) of the branches with at least two nodes."""
         rows = rows.distinct()
-        many = rows.groupBy("branch").agg(F.count("*").alias("c")).where("c > 1").select("branch")
-        return rows.join(many, "branch")
+        return rows.join(rows.groupBy("branch").agg(F.count("*").alias("members")).where("members > 1"), "branch")
 
     def open(self, rows: DataFrame) -> DataFrame:
         """Rows (branch, node, root, main, odd, size) of the branches that hold more than one component.
@@ -395,8 +446,10 @@ def near_components(docs: DataFrame, width: int = 4, key: str = "doc_id", text:
     if not wanted.isEmpty():
         sets = scratch.save(full_sets(docs, wanted, width, key, text), "sets")
         exact = Linker(scratch.save(wanted.drop("root").join(sets.select("node", "fine"), "node"), "fine"), scratch, "exact", sets)
-        inside = trees.join(wanted.select("node", "root"), "node")
-        exact.run(inside.select(F.xxhash64("branch", "root").alias("branch"), "node"))
+        few = wanted.groupBy("root").count().withColumn("few", F.col("count") <= whole_size()).drop("count")
+        inside = wanted.select("node", "root").join(few, "root")
+        split = trees.join(inside.where("NOT few"), "node").select(F.xxhash64("branch", "root").alias("branch"), "node")
+        exact.run(inside.where("few").select(F.xxhash64("root").alias("branch"), "node").union(split))
     roots = (exact or rough).roots.select("node", "root")
     named = nodes.select("node", "print", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -7,6 +7,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from netobs.llm import chosen_path, naming
@@ -183,3 +184,19 @@ def test_components(spark):
         x, y = sorted((root(a), root(b)))
         parent[y] = x
     assert got == {x: root(x) for e in edges for x in e if e[0] != e[1]}
+
+
+@pytest.mark.parametrize("share", [0.78, 0.86])
+def test_rows_of_a_large_group_grow_with_its_size(spark, share):
+    """Sets of one group, all alike: pairs that a comparison gives are fewer than its nodes, linked or not."""
+    rng, n, size = np.random.default_rng(3), 60, 400
+    same = round(size * 2 * share / (1 + share))  # of equal sized sets with ``share`` of their union in common
+    base = rng.integers(1, 1 << 62, same, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(1, 1 << 62, size - same, dtype=np.uint64)])) for _ in range(n)]
+    fine = chosen_path.minwise(sets, 4 + chosen_path.COORDINATES, chosen_path.FINE).astype(np.uint8)
+    nodes = spark.createDataFrame([(i, len(x), bytearray(f.tobytes())) for i, (x, f) in enumerate(zip(sets, fine, strict=True))], "node long, n long, fine binary")
+    stored = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, set binary")
+    rows = spark.range(n).selectExpr("1L AS branch", "id AS node", "id AS root")
+    got = chosen_path.within(rows, nodes, stored).collect()
+    brute = sum(chosen_path.similar(sets[0].tobytes(), x.tobytes()) for x in sets[1:])
+    assert len(got) == (n - 1 if brute else 0)
