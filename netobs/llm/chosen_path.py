@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netobs.llm.common import Scratch, batches, components, lean
+from netobs.llm import common
+from netobs.llm.common import Scratch, batches, components, gathered, lean, spanning
 
 COORDINATES, TREES, BRANCHES = 64, 6, 2
 FULL, WORK = 1 << 16, 1 << 25  # a task compares a branch exhaustively up to this size and so many comparisons
@@ -213,23 +214,9 @@ def sketched(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect what (a, b) connect: each node but the smallest of its component with that one."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v, low, before = at[: len(a)], at[len(a) :], np.arange(len(ids)), None
-    while before is None or (before != low).any():
-        before = low.copy()
-        least = np.minimum(low[u], low[v])
-        np.minimum.at(low, u, least)
-        np.minimum.at(low, v, least)
-        low = low[low]
-    moved = np.flatnonzero(low != np.arange(len(ids)))
-    return ids[moved], ids[low[moved]]
-
-
 def renamed(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The components of rows once (a, b) are connected."""
-    ids, low = spanning(a, b)
+    ids, low = spanning(a, b)  # nodes of their own keep their names
     at = np.minimum(np.searchsorted(ids, root), len(ids) - 1)
     return np.where(ids[at] == root, low[at], root)
 
@@ -270,12 +257,17 @@ def within(rows: DataFrame, nodes: DataFrame, sets: DataFrame | None) -> DataFra
 
     def pairs(held: dict[str, np.ndarray]) -> pa.RecordBatch:
         branch, node, root, n, sketch = (held[x] for x in columns[:5])
-        edges = np.flatnonzero(np.diff(branch)) + 1
-        sizes = np.diff([0, *edges, len(branch)])
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(branch)) + 1])
+        sizes = np.diff([*starts, len(branch)])
         end = np.repeat(np.cumsum(sizes), sizes)  # of each row's branch
+
+        def still(left: np.ndarray) -> np.ndarray:
+            """Those rows whose branches hold more than one component by now."""
+            return left[np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), sizes)[left]] if len(left) else left
+
         ups, downs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for least in (None,) if "set" not in held else (SURE, None):
-            left, step = np.arange(len(branch)), 1
+            left, step = still(np.arange(len(branch))), 1
             while len(left := left[left + step < end[left]]):
                 at = left[root[left] != root[left + step]]
                 low, high = np.minimum(n[at], n[at + step]), np.maximum(n[at], n[at + step])
@@ -287,9 +279,10 @@ def within(rows: DataFrame, nodes: DataFrame, sets: DataFrame | None) -> DataFra
                     ups.append(node[at])
                     downs.append(node[at + step])
                     root = renamed(root, root[at], root[at + step])
+                    left = still(left)
                 step += 1
-        found = spanning(np.concatenate(ups), np.concatenate(downs))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
+        ids, low = spanning(np.concatenate(ups), np.concatenate(downs))
+        return pa.RecordBatch.from_arrays([pa.array(x[ids != low]) for x in (ids, low)], names=["a", "b"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -334,7 +327,7 @@ class Linker:
     """Links nodes and keeps the components they make (``roots``: node, root)."""
 
     def __init__(self, nodes: DataFrame, scratch: Scratch, label: str, sets: DataFrame | None = None):
-        self.nodes, self.scratch, self.label, self.sets, self.turn = nodes, scratch, label, sets, 0
+        self.nodes, self.scratch, self.label, self.sets, self.turn, self.known = nodes, scratch, label, sets, 0, 0
         empty = nodes.limit(0)
         self.roots = empty.select("node", F.col("node").alias("root"))
 
@@ -356,11 +349,17 @@ class Linker:
 
     def link(self, pairs: DataFrame) -> None:
         found = self.scratch.save(pairs, self.name())
-        if not found.isEmpty():
-            self.add(found)
-
-    def add(self, found: DataFrame) -> None:
-        """Connect the components that the found pairs (a, b) join."""
+        n = found.count()
+        if n:
+            self.add(found, n)
+            self.known = self.roots.count()
+
+    def add(self, found: DataFrame, n: int) -> None:
+        """Connect the components that the ``n`` found pairs (a, b) join; few of both are connected in one task."""
+        if self.known + n <= common.FEW_EDGES:
+            hung = self.roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            self.roots = self.scratch.save(gathered(hung.union(found.select("a", "b"))), self.name())
+            return
         joined = self.rooted(self.rooted(found, "a", "ra"), "b", "rb").where("ra <> rb")
         made = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")), self.scratch, self.name() + "_")
         made = made.select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -376,17 +375,27 @@ class Linker:
             if rows.isEmpty():
                 return
             self.stars(rows.where(F.col("members") > whole_size()), level)
-            rows = self.scratch.save(self.open(rows.select("branch", "node")), self.name())
+            rows = self.scratch.save(self.open(rows), self.name())
+            if rows.isEmpty():
+                return
+            size, odd = F.col("members"), F.col("odd")
+            sure = (size <= FULL) & (size * size <= WORK)
+            self.link(within(rows.where(sure), self.nodes, self.sets))
+            rows = rows.where(~sure)
             if rows.isEmpty():
                 return
-            fits = (F.col("size") <= FULL) & (F.col("size") * F.col("odd") <= WORK)
-            few = F.lit(True) if level == LEVELS else F.col("odd") <= SMALL
-            self.link(within(rows.where(fits), self.nodes, self.sets).distinct())
+            rows = self.scratch.save(self.weighed(rows), self.name())
+            fits = (size <= FULL) & (size * odd <= WORK)
+            few = F.lit(True) if level == LEVELS else odd <= SMALL
+            if not rows.where(fits).isEmpty():
+                self.link(within(rows.where(fits), self.nodes, self.sets))
             rows = rows.where(~fits)
+            if not rows.where(few).isEmpty():
+                self.take(sketched(self.odd_pairs(rows.where(few)), self.nodes))
+            rows = rows.where(~few)
             if rows.isEmpty():
                 return
-            self.take(sketched(self.odd_pairs(rows.where(few)), self.nodes))
-            rows = next_branches(rows.where(~few).select("branch", "node"), self.nodes)
+            rows = self.scratch.save(next_branches(rows.select("branch", "node"), self.nodes), self.name())
 
     def stars(self, rows: DataFrame, level: int) -> None:
         """Compare the nodes of branches with the branches' centres, the one centre that comes first for each node before the others."""
@@ -394,26 +403,30 @@ class Linker:
             return
         # One order of the nodes for all branches of a step, another in each step: few different centres.
         first = rows.groupBy("branch").agg(F.min(F.struct(F.xxhash64("node", F.lit(level)), "node")).alias("c"))
-        stars = rows.join(first, "branch").select(F.col("node").alias("a"), "c")
-        one = stars.groupBy("a").agg(F.min("c").alias("c")).select("a", F.col("c.node").alias("b")).where("a <> b")
+        centres = rows.join(first, "branch").groupBy(F.col("node").alias("a")).agg(F.sort_array(F.collect_set("c")).alias("c"))
+        stars = self.scratch.save(centres.select("a", F.col("c.node").alias("c")), self.name())
+        one = stars.select("a", F.element_at("c", 1).alias("b")).where("a <> b")
         self.take(sketched(self.apart(one) if level else one, self.nodes))
-        rest = stars.select("a", F.col("c.node").alias("b")).where("a <> b").distinct().join(one, ["a", "b"], "left_anti")
-        self.take(sketched(self.apart(rest), self.nodes))
+        rest = stars.where(F.size("c") > 1).select("a", F.explode(F.slice("c", F.lit(2), F.size("c") - 1)).alias("b")).where("a <> b")
+        if not rest.isEmpty():
+            self.take(sketched(self.apart(rest), self.nodes))
 
     def crowded(self, rows: DataFrame) -> DataFrame:
-        """Rows (branch, node, members) of the branches with at least two nodes."""
-        rows = rows.distinct()
+        """Rows (branch, node, members) of the branches with at least two nodes; ``rows`` hold a pair once."""
         return rows.join(rows.groupBy("branch").agg(F.count("*").alias("members")).where("members > 1"), "branch")
 
     def open(self, rows: DataFrame) -> DataFrame:
-        """Rows (branch, node, root, main, odd, size) of the branches that hold more than one component.
-
-        ``main`` is the branch's largest component, ``odd`` the number of nodes outside it.
-        """
+        """Rows (branch, node, members, root) of the branches that hold more than one component."""
         rows = self.rooted(rows)
+        seen = rows.groupBy("branch").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        return rows.join(seen.where("low <> high").select("branch"), "branch")
+
+    def weighed(self, rows: DataFrame) -> DataFrame:
+        """Rows of open branches as they are by now, with ``main``, the branch's largest component, and ``odd``, the number of nodes outside it."""
+        rows = self.rooted(rows.drop("root"))
         sizes = rows.groupBy("branch", "root").agg(F.count("*").alias("c"))
         seen = sizes.groupBy("branch").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("size"))
-        seen = seen.select("branch", F.col("m.root").alias("main"), (F.col("size") - F.col("m.c")).alias("odd"), "size")
+        seen = seen.select("branch", F.col("m.root").alias("main"), (F.col("size") - F.col("m.c")).alias("odd"))
         return rows.join(seen.where("odd > 0"), "branch")
 
     def odd_pairs(self, rows: DataFrame) -> DataFrame:

@@ -200,3 +200,37 @@ def test_rows_of_a_large_group_grow_with_its_size(spark, share):
     got = chosen_path.within(rows, nodes, stored).collect()
     brute = sum(chosen_path.similar(sets[0].tobytes(), x.tobytes()) for x in sets[1:])
     assert len(got) == (n - 1 if brute else 0)
+
+
+def steps(spark, made):
+    """Shuffles and jobs that ``made`` runs, by the numbers that Spark gives them."""
+    ids = lambda: (spark.sparkContext._jsc.sc().newShuffleId(), spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs())
+    before = ids()
+    made()
+    return [b - a for a, b in zip(before, ids(), strict=True)]
+
+
+def test_components_of_few_edges_take_no_shuffle(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3000) if i % 1000] + [(7, 7)], "a long, b long")
+    got = {}
+    shuffles, jobs = steps(spark, lambda: got.update((r.node, r.root) for r in components(edges, Scratch(spark, "t"), "c").collect()))
+    assert got == {i: i - (i - 1) % 1000 for i in range(1, 3001)}
+    assert shuffles <= 2 and jobs <= 6  # the count's
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    monkeypatch.setattr("netobs.llm.common.FEW_EDGES", 0)
+    test_components(spark)
+    agree(spark, [(i, " ".join(f"w{j}" for j in range(i % 7, i % 7 + 30)) + " x" * (i % 3)) for i in range(30)])
+
+
+def test_steps_of_a_large_group_are_few(spark):
+    """One group of near copies beyond a whole branch's size, beside pairs and single texts."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, edited(base, rng, rng.randrange(4))) for i in range(chosen_path.CLUSTER + 200)]
+    rows += [(5000 + i, " ".join(f"s{i // 2}x{j}" for j in range(30)) + " end" * (i % 2)) for i in range(60)]
+    table, got = docs(spark, rows), []
+    shuffles, _ = steps(spark, lambda: got.extend(chosen_path.near_components(table).collect()))
+    assert len(got) == len(rows)
+    assert shuffles < 24
