@@ -11,15 +11,19 @@ from netobs.checks.common import udp_frames
 from netobs.checks.registry import PK, WIRE, query
 from netobs.operators.dedup import dedup_records, dedup_wire
 from netobs.checks import derived as g
+from netobs.plans.stage import stage
 from netobs.schemas import PLACEHOLDERS, RECORDS
 from netobs.sources.frames import select_ifaces, supported_frames
 from netobs.sources.sensor import sensor_context, union_sensors
 from netobs.sources.wire import (
+    by_tag,
     format_wire,
     parse_wire,
     rejects,
     split_observation,
     to_typed,
+    wire_body,
+    with_marker,
     wrap_observation,
 )
 
@@ -187,13 +191,15 @@ def _typed_round_trip(spark, sf):
         F.concat(F.concat_ws("|", F.lit(tag), "mac", *[_field_column(tag, i, n, t) for i, (n, t) in enumerate(cols)]), tail)
         for tag, cols in RECORDS.items()
     ]
-    wire = parse_wire(g.pk(spark, sf).select("ts", "seq", F.explode(F.array(*lines)).alias("line")))
-    parts = []
-    for tag, cols in RECORDS.items():
-        numbers = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n, t in cols if t != "string"]
+    wire = parse_wire(g.spread(g.pk(spark, sf)).select("ts", "seq", F.explode(F.array(*lines)).alias("line")))
+
+    def again(tag, of):
+        numbers = [F.coalesce(of(n).cast("double"), F.lit(0.0)) for n, t in RECORDS[tag] if t != "string"]
         total = reduce(lambda a, b: a + b, numbers, F.lit(0.0))
-        parts.append(format_wire(to_typed(wire, tag), tag).select("seq", F.lit(tag).alias("tag"), "line", total.alias("total")))
-    return reduce(DataFrame.unionByName, parts)
+        return F.struct(with_marker(wire_body(tag, of), F.col("routed")).alias("line"), total.alias("total"))
+
+    typed = stage(wire.drop("line"), {"made": by_tag(again)}).where(F.col("made").isNotNull())
+    return typed.select("seq", "tag", "made.line", "made.total")
 
 
 @query(

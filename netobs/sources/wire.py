@@ -99,6 +99,21 @@ def to_typed(wire: DataFrame, tag: str) -> DataFrame:
     return rows.select(*_context(rows), "mac", *cols, "routed")
 
 
+def by_tag(made: Callable[[str, Callable[[str], Column]], Column]) -> Column:
+    """What ``made(tag, of)`` gives for a parsed line of each tag, NULL for a line that fits no table.
+
+    ``of`` finds a typed value by its name, as in ``wire_body``. Lines of all tags
+    are typed in one pass, where a table for each tag reads them all.
+    """
+    out = None
+    for tag, columns in RECORDS.items():
+        typed = {n: _typed(tag, i, n, t) for i, (n, t) in enumerate(columns)}
+        value = F.when(~_bad_value(tag), made(tag, lambda name, typed=typed: typed[name] if name in typed else F.col(name)))
+        fits = F.col("reject").isNull() & (F.col("tag") == tag)
+        out = F.when(fits, value) if out is None else out.when(fits, value)
+    return out
+
+
 def rejects(wire: DataFrame) -> DataFrame:
     """Lines that fit no record table, with the reason."""
     bad = F.lit(None).cast("string")

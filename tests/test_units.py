@@ -299,3 +299,23 @@ def test_no_packet_bytes_below_an_exchange(spark, tag):
     for columns in inputs:
         names = {c.split("#")[0].strip() for c in columns.split(",")}
         assert not names & {"data", "l4", "initials"} and "payload" not in names - ({"payload"} if tag == "L7" else set())
+
+
+def test_lines_of_all_tags_are_typed_in_one_pass(spark, sf_dir):
+    """The same rows as a table for each tag, and the events are read once."""
+    from netobs.checks import wirechecks
+    from netobs.plans.stage import stage
+    from netobs.schemas import RECORDS
+    from netobs.sources.wire import by_tag, with_marker, wire_body
+
+    texts = [
+        "SYN|m|1.1.1.1|64|1024|-1|-1|none|443", "SYN|m|1.1.1.1|64|x|-1|-1|none|443", "DNS|m|1.1.1.1|a|routed", "DNS|m|1.1.1.1|a|b", "OBS|s|e|0|DNS|m|1|b",
+        "ALERT|m|1|k|q|3.5", "ALERT|m|1|k|q|", "NDP|m|1|t|none|-", "WHAT|m|1", "", "RA|m|1|64|-|1800|none|64|1500|routed",
+    ]
+    wire = parse_wire(spark.createDataFrame(list(enumerate(texts)), "seq long, line string"))
+    line = by_tag(lambda tag, of: with_marker(wire_body(tag, of), F.col("routed")))
+    once = stage(wire.drop("line"), {"line": line}).where("line IS NOT NULL").select("seq", "line").collect()
+    each = [r for tag in RECORDS for r in format_wire(to_typed(wire, tag), tag).select("seq", "line").collect()]
+    assert sorted(map(tuple, once)) == sorted(map(tuple, each)) and len(once) == 6
+    plan = wirechecks._typed_round_trip(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
