@@ -21,11 +21,11 @@ def v4_frames(p: DataFrame, proto, body, src="src_ip", dst="dst_ip", **kw) -> Da
 
 
 def tcp_frames(p: DataFrame, flags, sport, dport, body="", options="", **kw) -> DataFrame:
-    return v4_frames(p, 6, g.tcp(sport, dport, flags, body, options), **kw)
+    return v4_frames(g.spread(p), 6, g.tcp(sport, dport, flags, body, options), **kw)
 
 
 def udp_frames(p: DataFrame, sport, dport, body, **kw) -> DataFrame:
-    return v4_frames(p, 17, g.udp(sport, dport, body), **kw)
+    return v4_frames(g.spread(p), 17, g.udp(sport, dport, body), **kw)
 
 
 def link_local(dev: Column) -> Column:
@@ -34,7 +34,7 @@ def link_local(dev: Column) -> Column:
 
 def v6_frames(p: DataFrame, next_hdr, body, dst="ff02" + "00" * 13 + "01", src=None, **kw) -> DataFrame:
     ip = g.ipv6(next_hdr, src if src is not None else link_local(F.col("dev")), dst, body, **kw)
-    return g.as_frames(p, g.ether("333300000001", g.mac_hex(), "86dd", ip))
+    return g.as_frames(g.spread(p), g.ether("333300000001", g.mac_hex(), "86dd", ip))
 
 
 def records(frames: DataFrame, tag: str, letters: str, **options) -> DataFrame:

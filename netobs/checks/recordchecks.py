@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netobs.checks.common import records, tcp_frames, udp_frames, v6_frames
+from netobs.checks.common import records, tcp_frames, udp_frames, v4_frames, v6_frames
 from netobs.checks.functions import HELLO_SQL, HOSTS, hosts
 from netobs.checks.registry import PK, WIRE, query
 from netobs.operators.classify import PrefixSet
@@ -465,7 +465,7 @@ def quic_frames(p, hello, broken=None):
         # one ciphertext byte flipped: the tag no longer verifies
         p = stage(p, {"x": F.hex(packet)})
         body = F.when(broken, F.concat(F.expr("substring(x, 1, length(x) - 2)"), F.when(F.expr("right(x, 2)") == "00", F.lit("01")).otherwise(F.lit("00")))).otherwise(F.col("x"))
-    return udp_frames(p, F.col("sport"), F.lit(443), body)
+    return v4_frames(p, 17, g.udp(F.col("sport"), F.lit(443), body))
 
 
 @query(
@@ -566,7 +566,7 @@ def split_frames(spark, sf, number, size=4):
         {"ts": F.col("ts") + F.make_interval(secs=F.col("half")), "seq": F.col("seq") * 2 + F.col("half"), "id": F.col("seq")}
     )
     packet = g.quic_initial(F.unhex(g.hx(F.col("id"), 8)), number(F.col("half")), F.col("plain"), size=size)
-    return udp_frames(rows, F.col("sport"), F.lit(443), F.hex(packet))
+    return v4_frames(rows, 17, g.udp(F.col("sport"), F.lit(443), F.hex(packet)))
 
 
 @query("rec_tls_quic_stateful", SPLIT_SQL, PK)

@@ -319,3 +319,12 @@ def test_lines_of_all_tags_are_typed_in_one_pass(spark, sf_dir):
     assert sorted(map(tuple, once)) == sorted(map(tuple, each)) and len(once) == 6
     plan = wirechecks._typed_round_trip(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_frames_are_built_by_all_cores(spark, sf_dir):
+    """A small table is one task; its rows are dealt out before a frame is built of them."""
+    from netobs.checks import recordchecks
+
+    for query in (recordchecks._rec_tls, recordchecks._rec_ndp, recordchecks._rec_dns):
+        plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [seq" in plan, query
