@@ -382,7 +382,7 @@ def _job_lines(spark, sf):
 
 def mixed_frames(spark, sf):
     """A DNS query, a SYN, a web request, a DHCP request or an ARP request, by event type."""
-    p = g.pk(spark, sf)
+    p = g.spread(g.pk(spark, sf))
     k, kind, mac, ip = F.col("k"), F.col("event_type"), g.mac_hex(), g.ip_hex(F.col("src_ip"))
     far = g.ip_hex(F.col("dst_ip"))
 
@@ -415,8 +415,9 @@ SELECT seq, line FROM m"""
 
 @query("job_default", MIXED_SQL + " WHERE event_type IN ('click', 'signup')")
 def _job_default(spark, sf):
-    """The default selection; names, web requests and ARP are outside it."""
-    return wire_lines(telemetry(mixed_frames(spark, sf), Options(dedup_ttl=0))).select("seq", "line")
+    """The default selection; names, web requests and ARP are outside it. The frames are made and decoded once for all tables."""
+    tables = telemetry(mixed_frames(spark, sf), Options(dedup_ttl=0), store=work_folder(spark))
+    return wire_lines(tables).select("seq", "line")
 
 
 @query("lines_to_files", "SELECT seq, line FROM wire UNION ALL SELECT seq, line FROM wire", WIRE)

@@ -328,3 +328,10 @@ def test_frames_are_built_by_all_cores(spark, sf_dir):
     for query in (recordchecks._rec_tls, recordchecks._rec_ndp, recordchecks._rec_dns):
         plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression [seq" in plan, query
+
+
+def test_default_job_builds_the_frames_once(spark, sf_dir):
+    from netobs.checks import recordchecks
+
+    plan = recordchecks._job_default(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan and "route" in plan
