@@ -418,6 +418,8 @@ class Linker:
     def open(self, rows: DataFrame) -> DataFrame:
         """Rows (branch, node, members, root) of the branches that hold more than one component."""
         rows = self.rooted(rows)
+        if self.known:  # stored, or the join with the roots runs for both uses
+            rows = self.scratch.save(rows, self.name())
         seen = rows.groupBy("branch").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         return rows.join(seen.where("low <> high").select("branch"), "branch")
 
