@@ -114,6 +114,24 @@ def varint_value(b: Column, pos: IntLike) -> Column:
     )
 
 
+def varint(b: Column, pos: IntLike) -> Column:
+    """``STRUCT<v, n>``: ``varint_value`` and ``varint_size`` at ``pos``, the first byte read once."""
+    p = as_col(pos)
+
+    def of(first):
+        size = shl(F.lit(1), shr(first, 6))
+        low = bits(first, 63).cast("bigint")
+        value = (
+            F.when(first < 64, low)
+            .when(first < 128, bits(u16(b, p), 16383).cast("bigint"))
+            .when(first < 192, u32(b, p).bitwiseAND(F.lit(1073741823)))
+            .otherwise(F.shiftleft(low, 56) + uint(b, p + 1, 7))
+        )
+        return F.struct(F.when((p >= 0) & (p + size <= F.length(b)), value).alias("v"), size.alias("n"))
+
+    return let(u8(b, p), of)
+
+
 def walk(
     steps: IntLike,
     init: Column,

@@ -28,6 +28,7 @@ from netobs.functions.bytes import (
     u24,
     u32,
     uint,
+    varint,
     varint_size,
     varint_value,
     walk,
@@ -61,10 +62,7 @@ def _initial_at(b: Column, off: Column) -> Column:
         ok = (slen <= MAX_CID) & (t_pos <= n)
         return F.when(
             ok,
-            let(
-                F.struct(varint_value(b, t_pos).alias("v"), varint_size(b, t_pos).alias("n")),
-                lambda tok: with_token(dlen, t_pos + tok["n"], tok["v"]),
-            ),
+            let(varint(b, t_pos), lambda tok: with_token(dlen, t_pos + tok["n"], tok["v"])),
         )
 
     def with_token(dlen, after, tok_len):
@@ -75,7 +73,7 @@ def _initial_at(b: Column, off: Column) -> Column:
 
     def with_length(dlen, l_pos):
         return let(
-            F.struct(varint_value(b, l_pos).alias("v"), varint_size(b, l_pos).alias("n")),
+            varint(b, l_pos),
             lambda ln: F.when(
                 ln["v"].isNotNull() & (ln["v"] <= n - (l_pos + ln["n"])),
                 F.struct(
@@ -94,7 +92,12 @@ def _initial_at(b: Column, off: Column) -> Column:
 
 def quic_initials(b: Column) -> Column:
     """Coalesced v1 Initial packets of a datagram, in order."""
+    # Bound, as every reference to a column of a row copies the datagram.
+    found = F.when(F.length(b) >= MIN_DATAGRAM, let(b, _initials_of))
+    return F.coalesce(found, F.array().cast(INITIALS))
 
+
+def _initials_of(b: Column) -> Column:
     def state(pos, out, done):
         return F.struct(pos.cast("int").alias("pos"), out.cast(INITIALS).alias("out"), done.alias("done"))
 
@@ -124,7 +127,7 @@ def quic_initials(b: Column) -> Column:
             .otherwise(walk(steps, init, step, lambda s: s["done"])["out"])
         )
 
-    return F.when(F.length(b) >= MIN_DATAGRAM, let(_initial_at(b, F.lit(0)), after_first)).otherwise(none)
+    return let(_initial_at(b, F.lit(0)), after_first)
 
 
 # -- key schedule -------------------------------------------------------------
@@ -137,14 +140,15 @@ def _sha256(x: Column) -> Column:
 def _pads(key: Column) -> Column:
     """Inner and outer HMAC blocks of a 32-byte key."""
 
-    def xored(pad: int) -> Column:
-        word = int.from_bytes(bytes([pad]) * 8, "big")
-        words = [
-            F.unhex(F.lpad(F.hex(s64(key, 8 * i).bitwiseXOR(F.lit(word))), 16, "0")) for i in range(4)
-        ]
-        return F.concat(*words, F.lit(bytes([pad]) * 32))
+    def pads(words: Column) -> Column:
+        def xored(pad: int) -> Column:
+            mask = F.lit(int.from_bytes(bytes([pad]) * 8, "big"))
+            text = [F.lpad(F.hex(words[i].bitwiseXOR(mask)), 16, "0") for i in range(4)]
+            return F.concat(F.unhex(F.concat(*text)), F.lit(bytes([pad]) * 32))
+
+        return F.struct(xored(0x36).alias("i"), xored(0x5C).alias("o"))
 
-    return F.struct(xored(0x36).alias("i"), xored(0x5C).alias("o"))
+    return let(F.array(*[s64(key, 8 * i) for i in range(4)]), pads)
 
 
 def _hmac(pads: Column, data: Column) -> Column:
@@ -261,6 +265,11 @@ def quic_unprotect(packet: Column, dcid: Column, pn_off: Column) -> Column:
     )
 
 
+def quic_unprotect_at(b: Column, initial: Column) -> Column:
+    """``quic_unprotect`` of one of ``quic_initials(b)``; the packet is cut out once."""
+    return let(take(b, initial["off"], initial["span"]), lambda p: quic_unprotect(p, initial["dcid"], initial["pn_off"]))
+
+
 def quic_open(u: Column, pn: Column | None = None) -> Column:
     """Authenticated plaintext of an unprotected packet, NULL when it does not verify."""
     number = u["pn"] if pn is None else pn
@@ -306,8 +315,11 @@ def crypto_fragments(plain: Column, limit: Column | int = MAX_HELLO) -> Column:
     Padding, PING and ACK frames are skipped; the walk ends at anything else or
     at a frame that does not fit the packet or ``limit``.
     """
+    return F.when(plain.isNotNull(), let(plain, lambda p: _fragments_of(p, as_col(limit))))
+
+
+def _fragments_of(plain: Column, cap: Column) -> Column:
     n = F.length(plain)
-    cap = as_col(limit)
 
     def state(pos, out, skip, done):
         return F.struct(
@@ -422,11 +434,9 @@ def crypto_fragments(plain: Column, limit: Column | int = MAX_HELLO) -> Column:
         """A single CRYPTO frame with padding before and behind it, as most packets have; else the walk."""
 
         def with_off(o):
-            l_pos = at + 1 + varint_size(plain, at + 1)
+            l_pos = at + 1 + o["n"]
             return let(
-                F.struct(
-                    o.alias("o"), varint_value(plain, l_pos).alias("v"), (l_pos + varint_size(plain, l_pos)).alias("at")
-                ),
+                let(varint(plain, l_pos), lambda ln: F.struct(o["v"].alias("o"), ln["v"].alias("v"), (l_pos + ln["n"]).alias("at"))),
                 lambda f: F.when(
                     f["o"].isNotNull() & f["v"].isNotNull() & (f["o"] + f["v"] <= cap) & (f["v"] <= n - f["at"]),
                     let(
@@ -439,20 +449,33 @@ def crypto_fragments(plain: Column, limit: Column | int = MAX_HELLO) -> Column:
                 ),
             )
 
-        simple = F.when(u8(plain, at) == 6, let(varint_value(plain, at + 1), with_off))
+        simple = F.when(u8(plain, at) == 6, let(varint(plain, at + 1), with_off))
         return F.when(at >= n, none).otherwise(
             F.coalesce(simple.cast(FRAGMENTS), walk(n, init, step, lambda s: s["done"])["out"])
         )
 
-    return F.when(plain.isNotNull(), let(zeros_first(), one_frame))
+    return let(zeros_first(), one_frame)
 
 
 def assemble_hello(frags: Column, cap: Column | int = MAX_HELLO) -> Column:
     """Contiguous ClientHello (``4 + length`` bytes) from fragments, else NULL.
 
     Later fragments overwrite earlier ones; ``overlay`` keeps bytes and a
-    presence mask side by side.
+    presence mask side by side. A fragment alone is compared as it is.
     """
+    return let(frags, lambda f: F.when(F.size(f) == 1, _lone_hello(f[0], cap)).when(F.size(f) > 1, _overlaid_hello(f, cap)))
+
+
+def _lone_hello(frag: Column, cap: Column | int) -> Column:
+    def of(b):
+        total = u24(b, 1) + 4
+        whole = (frag["off"] == 0) & (F.length(b) >= 4) & (u8(b, 0) == 1) & (total <= F.length(b)) & (total <= as_col(cap))
+        return F.when(whole, take(b, 0, total))
+
+    return let(frag["bytes"], of)
+
+
+def _overlaid_hello(frags: Column, cap: Column | int) -> Column:
     size = F.coalesce(
         F.array_max(F.transform(frags, lambda f: f["off"] + F.length(f["bytes"]))), F.lit(0)
     )
@@ -487,7 +510,7 @@ def assemble_hello(frags: Column, cap: Column | int = MAX_HELLO) -> Column:
             finish,
         )
 
-    return F.when(F.size(frags) > 0, let(size, build))
+    return let(size, build)
 
 
 def as_tls_record(hello: Column) -> Column:

@@ -260,3 +260,21 @@ def udp_datagrams(packets: DataFrame) -> DataFrame:
         .withColumn("payload", take(b, 8, F.col("_ulen") - 8))
         .drop("_ulen")
     )
+
+
+def tcp_and_udp(packets: DataFrame) -> DataFrame:
+    """TCP segments and UDP datagrams in one pass: ``sport, dport, payload`` as the two functions above give them."""
+    b, n, tcp = F.col("l4"), F.length("l4"), F.col("proto") == TCP
+    start, end = F.col("_start"), F.col("_stop")
+    df = stage(
+        packets.where(F.col("proto").isin(TCP, UDP) & ~F.col("is_fragment")),
+        {
+            "_start": F.when(tcp, F.shiftright(u8(b, 12), 4) * 4).otherwise(F.lit(8)),
+            "_stop": F.when(tcp, n).otherwise(u16(b, 4)),
+            "sport": u16(b, 0),
+            "dport": u16(b, 2),
+        },
+        where=n >= F.when(tcp, F.lit(20)).otherwise(F.lit(8)),
+    )
+    fits = F.when(tcp, (start >= 20) & (start <= end)).otherwise((end > 8) & (end <= n))
+    return df.where(fits).withColumn("payload", take(b, start, end - start)).drop("_start", "_stop")

@@ -9,6 +9,7 @@ from netobs.functions.quic import (
     as_tls_record,
     crypto_fragments,
     quic_open,
+    quic_open_any,
     quic_packet_number,
 )
 from netobs.plans.slices import SLICE, drop_slices, micros, ordered_scan, time_slices
@@ -34,38 +35,59 @@ def quic_reassemble(
     return scanned.where(F.col(out).isNotNull()).drop("_sec", "frags")
 
 
-def stateful_packets(datagrams: DataFrame, idle: int = SESSION_IDLE) -> DataFrame:
-    """One row per Initial packet with its CRYPTO fragments.
+AT = "_at"  # where a packet is shuffled to: all packets of a connection id to one place
+OPENED = [AT, "dcid", "part", "_pn", "_size", "_full", "_frags", "_again"]
 
-    A packet that does not verify under its own truncated number is tried again
-    with the number nearest to the largest one seen before on the connection.
-    ``frags`` is NULL when neither verifies.
+
+def opened_initials(grams: DataFrame, outer: bool = False) -> DataFrame:
+    """One row per Initial packet, opened before anything is shuffled.
+
+    ``part`` is its place in the datagram, ``_pn`` and ``_size`` are its truncated
+    number and that number's bytes, ``_full`` the number it verifies under and
+    ``_frags`` its CRYPTO fragments. ``_again`` is what it takes to try further
+    numbers, for packets that none of the tried ones opens; only these keep their
+    bytes. ``grams`` comes from ``with_initials`` without plain texts; with
+    ``outer`` its rows without Initials stay, ``part`` NULL.
     """
-    own = ["sensor_name"] if "sensor_name" in datagrams.columns else []
-    rows = datagrams.select(
-        *[c for c in datagrams.columns if c not in ("initials", "payload")],
-        F.posexplode("initials").alias("part", "_i"),
-    ).select("*", F.col("_i.dcid").alias("dcid"), F.col("_i.u").alias("_u"), F.col("_i.plain").alias("_plain")).drop("_i")
+    own = ["sensor_name"] if "sensor_name" in grams.columns else []
+    split = F.posexplode_outer("initials") if outer else F.posexplode("initials")
+    rows = grams.select(*[c for c in grams.columns if c not in ("initials", *([] if outer else ["payload"]))], split.alias("part", "_i"))
+    u, hit = F.col("_u"), F.col("_hit")
+    rows = stage(rows, {"dcid": F.col("_i.dcid"), "_u": F.col("_i.u"), "_hit": F.when(F.col("_i.u").isNotNull(), quic_open_any(F.col("_i.u")))}, drop=("_i",))
+    return stage(
+        rows,
+        {
+            # Rows without Initials belong to no connection and go anywhere.
+            AT: F.when(F.col("part").isNull(), F.xxhash64("ts", "seq")).otherwise(F.xxhash64(*own, "dcid")),
+            "_pn": u["pn"].cast("bigint"), "_size": u["pn_len"], "_full": hit["full"], "_frags": crypto_fragments(hit["plain"]),
+            "_again": F.when(hit.isNull(), u),
+        },
+        drop=("_u", "_hit"),
+    )
+
+
+def stateful_packets(opened: DataFrame, idle: int = SESSION_IDLE) -> DataFrame:
+    """``frags``: the CRYPTO fragments of ``opened_initials``, NULL for packets that do not verify.
+
+    A packet counts when it verifies under its own truncated number, or under the
+    number nearest to the largest one that verified so before on the connection.
+    """
+    own = ["sensor_name"] if "sensor_name" in opened.columns else []
     us, idle_us = F.col("_us"), (idle + 1) * 1_000_000
-    sliced = time_slices(rows.withColumn("_us", micros()), us, 60_000_000, idle_us)
+    sliced = time_slices(opened.withColumn("_us", micros()), us, 60_000_000, idle_us)
     w = (
-        Window.partitionBy(*own, "dcid", SLICE)
+        Window.partitionBy(AT, *own, "dcid", SLICE)
         .orderBy("_us", "seq", "part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    largest = F.max(F.when(F.col("_plain").isNotNull(), F.col("_u.pn"))).over(w)
-    with_pn = drop_slices(sliced.withColumn("_largest", largest)).drop("_us")
+    pn, full, near = F.col("_pn"), F.col("_full"), F.col("_near")
+    largest = F.max(F.when(full == pn, pn)).over(w)
+    numbered = drop_slices(sliced.withColumn("_largest", largest)).drop("_us")
     expected = F.coalesce(F.col("_largest") + 1, F.lit(0).cast("bigint"))
-    full = quic_packet_number(expected, F.col("_u.pn"), F.col("_u.pn_len"))
-    retry = F.col("_u").isNotNull() & F.col("_plain").isNull() & (full != F.col("_u.pn"))
-    plain = F.when(retry, quic_open(F.col("_u"), full)).otherwise(F.col("_plain"))
-    return (
-        stage(
-            stage(with_pn, {"_p": plain}, drop=("_u", "_plain", "_largest")),
-            {"frags": crypto_fragments(F.col("_p"))},
-            drop=("_p",),
-        )
-    )
+    rows = stage(numbered, {"_near": quic_packet_number(expected, pn, F.col("_size"))}, drop=("_largest",))
+    further = F.col("_again").isNotNull() & (near != pn)
+    frags = F.when((full == pn) | (full == near), F.col("_frags")).when(further, crypto_fragments(quic_open(F.col("_again"), near)))
+    return stage(rows, {"frags": frags}, drop=("_near", "_frags", "_again", "_pn", "_size", "_full"))
 
 
 def hello_records(done: DataFrame, hello: str = "hello") -> DataFrame:

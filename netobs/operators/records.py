@@ -17,7 +17,7 @@ from netobs.functions.quic import (
     MIN_DATAGRAM,
     quic_initials,
     quic_open,
-    quic_unprotect,
+    quic_unprotect_at,
     stateless_hello,
 )
 from netobs.functions.text import UNSAFE, entropy, find_ci, sanitize, until_nul
@@ -193,7 +193,10 @@ def rec_http(payloads: DataFrame) -> DataFrame:
 
 
 def _tls_columns(rows: DataFrame, record: str) -> DataFrame:
-    parsed = stage(rows, {"_h": tls_client_hello(F.col(record))}).where(F.col("_h").isNotNull())
+    return _hello_columns(stage(rows, {"_h": tls_client_hello(F.col(record))}).where(F.col("_h").isNotNull()))
+
+
+def _hello_columns(parsed: DataFrame) -> DataFrame:
     return parsed.withColumns(
         {
             "sni": F.col("_h.sni"),
@@ -206,32 +209,55 @@ def _tls_columns(rows: DataFrame, record: str) -> DataFrame:
     )
 
 
+def _hello_payload() -> Column:
+    """A TCP payload that begins a ClientHello."""
+    p = F.col("payload")
+    return (F.col("dport") == 443) & (F.length(p) > 44) & (u8(p, 0) == 22) & (u8(p, 5) == 1)
+
+
 def rec_tls(payloads: DataFrame) -> DataFrame:
     """Client fingerprints from TCP port 443 (QUIC adds its own)."""
-    p = F.col("payload")
-    rows = payloads.where(
-        (F.col("dport") == 443) & (F.length(p) > 44) & (u8(p, 0) == 22) & (u8(p, 5) == 1)
-    )
-    return _record(_tls_columns(rows, "payload"), "TLS")
+    return _record(_tls_columns(payloads.where(_hello_payload()), "payload"), "TLS")
+
+
+def hello_sources(packets: DataFrame, vector: Column) -> DataFrame:
+    """TCP payloads that begin a ClientHello (``vector`` NULL) and long QUIC datagrams, decoded in one pass."""
+    tcp = F.col("proto") == d.TCP
+    rows = stage(d.tcp_and_udp(packets), {"vector": F.when(~tcp, vector)})
+    gram = (F.col("vector") == "QUIC") & (F.length("payload") >= MIN_DATAGRAM)
+    return with_sender(rows.where(F.when(tcp, _hello_payload()).otherwise(gram)))
+
+
+def rec_all_tls(sources: DataFrame) -> DataFrame:
+    """Client fingerprints of ``hello_sources``, of datagrams that carry a hello alone."""
+    rows = with_initials(sources, also=F.col("vector").isNull())
+    tls = F.when(F.col("vector").isNull(), F.col("payload")).otherwise(stateless_hello(F.col("initials")))
+    return rec_quic_tls(stage(rows, {"tls": tls}))
 
 
 # -- QUIC -----------------------------------------------------------------------
 
 
-def with_initials(df: DataFrame, payload: str = "payload", out: str = "initials", decrypt: bool = True) -> DataFrame:
+def with_initials(
+    df: DataFrame, payload: str = "payload", out: str = "initials", decrypt: bool = True, also: Column | None = None
+) -> DataFrame:
     """Add the Initial packets of each datagram that has some.
 
     ``out``: ``ARRAY<STRUCT<off, dcid, u, plain>>``; ``plain`` is NULL when the
-    packet does not verify, and missing without ``decrypt``.
+    packet does not verify, and missing without ``decrypt``. Rows with ``also``
+    are no datagrams and stay, without Initials.
     """
     b = F.col(payload)
-    found = stage(df, {"_init": quic_initials(b)}).where(F.size("_init") > 0)
+    if also is None:
+        found = stage(df, {"_init": quic_initials(b)}).where(F.size("_init") > 0)
+    else:
+        found = stage(df, {"_init": quic_initials(F.when(~also, b))}).where(also | (F.size("_init") > 0))
     opened = F.transform(
         "_init",
         lambda i: F.struct(
             i["off"].alias("off"),
             i["dcid"].alias("dcid"),
-            quic_unprotect(take(b, i["off"], i["span"]), i["dcid"], i["pn_off"]).alias("u"),
+            quic_unprotect_at(b, i).alias("u"),
         ),
     )
     if not decrypt:
@@ -267,6 +293,11 @@ def rec_quic_tls(hellos: DataFrame) -> DataFrame:
     return _record(_tls_columns(rows, "tls"), "TLS")
 
 
+def rec_parsed_tls(parsed: DataFrame) -> DataFrame:
+    """TLS records of parsed hellos (``_h``)."""
+    return _record(_hello_columns(parsed), "TLS")
+
+
 def quic_failure_gate(
     failures: DataFrame, successes: DataFrame, keys: list[str], ttl: int = QUIC_SUCCESS_TTL
 ) -> DataFrame:

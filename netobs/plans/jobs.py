@@ -28,11 +28,11 @@ from netobs.operators.flows import app_flow_budget
 from netobs.operators.handshake import tcp_handshake
 from netobs.operators.inspect import inspect_packets
 from netobs.operators.owner import arp_claims, ndp_claims, owner_asof
-from netobs.operators.reassembly import hello_records, quic_reassemble, stateful_packets
+from netobs.operators.reassembly import AT, OPENED, hello_records, opened_initials, quic_reassemble, stateful_packets
 from netobs.operators.vectors import Selection, vectors
 from netobs.plans.rows import APP, ARP, CONTROL, EVENT, FLOW, LLDP, MESSAGE, NDP, PAYLOAD, QUIC, extracted, finished
 from netobs.plans.slices import first_rows
-from netobs.plans.stage import discard, shared, work_folder
+from netobs.plans.stage import discard, shared, stage, work_folder
 from netobs.schemas import record_columns
 from netobs.sources.frames import select_ifaces
 from netobs.sources.sensor import check_sensor, sensor_context
@@ -164,7 +164,7 @@ def telemetry(
             pay = r.flow_payloads(seg, sel.groups, opts.flow_budget)
             if "h" in sel.groups:
                 out["HTTP"] = r.flagged(r.rec_http(pay), claims)
-            if "t" in sel.groups:
+            if "t" in sel.groups and opts.flow_budget is not None:
                 out["TLS"] = r.flagged(r.rec_tls(pay), claims)
 
     if sel.groups & set("dnmqt"):
@@ -190,7 +190,11 @@ def telemetry(
         if "t" in sel.groups:
             quic_tls, quic = quic_tables(grams("QUIC"), sel.quic_stateful)
             out["QUIC"] = r.flagged(quic, claims)
-            out["TLS"] = out["TLS"].unionByName(r.flagged(quic_tls, claims))
+            if "TLS" in out:
+                out["TLS"] = out["TLS"].unionByName(r.flagged(quic_tls, claims))
+            else:  # without a budget nothing but the packets decides, so TCP and QUIC are read together
+                sources = r.hello_sources(whole(of(CONTROL, APP, "QUIC")), udp_vector(sel.groups))
+                out["TLS"] = r.flagged(all_tls(sources, sel.quic_stateful), claims)
 
     if raw:
         return out
@@ -322,18 +326,44 @@ def found_hellos(udp: DataFrame, stateful: bool) -> DataFrame:
     return done.unionByName(bad)
 
 
+def all_tls(sources: DataFrame, stateful: bool) -> DataFrame:
+    """TLS records of ``hello_sources``."""
+    if not stateful:
+        return r.rec_all_tls(sources)
+    opened = opened_initials(r.with_initials(sources, decrypt=False, also=F.col("vector").isNull()), outer=True)
+    # A hello of TCP is read before the shuffle, so that no payload travels.
+    tcp = F.col("part").isNull()
+    opened = stage(opened, {"_h": F.when(tcp, r.tls_client_hello(F.col("payload")))}).where(~tcp | F.col("_h").isNotNull())
+    slim = _slim(sources)
+    moved = shared(opened.select(*slim, *OPENED, "_h"), AT)
+    tcp_rows = moved.where(tcp).select(*slim, "_h")
+    done = _spanning(moved.where(~tcp).drop("_h"), slim)
+    quic_rows = stage(done, {"_h": r.tls_client_hello(F.col("tls"))}).where(F.col("_h").isNotNull()).select(*slim, "_h")
+    return r.rec_parsed_tls(tcp_rows.unionByName(quic_rows))
+
+
+def _slim(rows: DataFrame) -> list[str]:
+    return ["ts", "seq", *r._own(rows), "iface", "vlan", "routed", r.SENDER, "device_mac", "src_ip", "dst_ip", "dport"]
+
+
+def _spanning(opened: DataFrame, slim: list[str]) -> DataFrame:
+    """Datagrams that complete a hello, with ``tls``; ``opened`` are spread by ``AT``."""
+    own = r._own(opened)
+    parts = stateful_packets(opened).where(F.col("frags").isNotNull()).select(*slim, AT, "dcid", "part", "frags")
+    done = hello_records(quic_reassemble(parts, [AT, *own, "dcid"]))
+    return first_rows(done, [*own, "ts", "seq"], ["part"]).select(*slim, "tls")
+
+
 def spanning_hellos(udp: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Datagrams that complete a hello, and those with a packet that does not verify."""
-    grams = r.quic_datagrams(udp)
-    own = ["sensor_name"] if "sensor_name" in udp.columns else []
-    slim = ["ts", "seq", *own, "iface", "vlan", "routed", r.SENDER, "device_mac", "src_ip", "dst_ip", "dport"]
-    parts = shared(stateful_packets(grams).select(*slim, "dcid", "part", "frags"), *own, "dcid", "ts")
-    done = hello_records(quic_reassemble(parts.where(F.col("frags").isNotNull()), [*own, "dcid"]))
-    done = first_rows(done, [*own, "ts", "seq"], ["part"])
+    own, slim = r._own(udp), _slim(udp)
+    opened = opened_initials(r.with_initials(r.long_datagrams(udp), decrypt=False))
+    moved = shared(opened.select(*slim, *OPENED), AT)
+    done = _spanning(moved, slim)
     # one failure per datagram, and none when the datagram completed a hello
-    failed = parts.where(F.col("frags").isNull()).select(*slim).dropDuplicates([*own, "ts", "seq"])
+    failed = stateful_packets(moved).where(F.col("frags").isNull()).select(*slim).dropDuplicates([*own, "ts", "seq"])
     bad = failed.join(done.select(*own, "ts", "seq"), [*own, "ts", "seq"], "left_anti")
-    return done.select(*slim, "tls"), bad.withColumn("tls", F.lit(None).cast("binary"))
+    return done, bad.withColumn("tls", F.lit(None).cast("binary"))
 
 
 def wire_lines(tables: dict[str, DataFrame], sensor: bool = False) -> DataFrame:

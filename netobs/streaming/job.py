@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from netobs.functions.quic import as_tls_record, crypto_fragments, quic_open_any
+from netobs.functions.quic import as_tls_record
 from netobs.operators import records as r
 from netobs.operators.dedup import REFRESH_FLOORS, refresh_ttl
 from netobs.operators.dnslat import DNS_TIMEOUT
 from netobs.operators.flows import FLOW_BUDGET, FLOW_IDLE
 from netobs.operators.handshake import SYN_TTL
 from netobs.operators.owner import OWNER_TTL
-from netobs.operators.reassembly import SESSION_IDLE
+from netobs.operators.reassembly import SESSION_IDLE, opened_initials
 from netobs.plans.jobs import Options, packets, with_route
 from netobs.plans.rows import DNS, FLOW, QUIC, TCP, extracted, finished
 from netobs.plans.stage import stage
@@ -45,16 +45,11 @@ def _initials(udp: DataFrame) -> DataFrame:
     """One row per Initial packet with the number it verifies under and its fragments."""
     own = r._own(udp)
     slim = ["ts", "seq", *own, "iface", "vlan", "routed", r.SENDER, "device_mac", "src_ip", "dst_ip", "dport"]
-    grams = r.with_initials(r.long_datagrams(udp), decrypt=False)
-    rows = grams.select(*slim, F.posexplode("initials").alias("part", "_i"))
-    rows = stage(rows, {"_u": F.col("_i.u"), "dcid": F.hex(F.col("_i.dcid")), "_hit": F.when(F.col("_i.u").isNotNull(), quic_open_any(F.col("_i.u")))}, drop=("_i",))
-    return stage(
-        rows,
-        {
-            "_pn": F.coalesce(F.col("_u.pn").cast("bigint"), F.lit(0).cast("bigint")), "_size": F.coalesce(F.col("_u.pn_len"), F.lit(1)),
-            "_full": F.coalesce(F.col("_hit.full"), F.lit(-1).cast("bigint")), "frags": crypto_fragments(F.col("_hit.plain")),
-        },
-        drop=("_u", "_hit"),
+    rows = opened_initials(r.with_initials(r.long_datagrams(udp), decrypt=False))
+    none = F.lit(0).cast("bigint")
+    return rows.select(
+        *slim, "part", F.hex("dcid").alias("dcid"), F.coalesce("_pn", none).alias("_pn"), F.coalesce("_size", F.lit(1)).alias("_size"),
+        F.coalesce("_full", none - 1).alias("_full"), F.col("_frags").alias("frags"),
     )
 
 
