@@ -123,7 +123,7 @@ def cat(*parts: Hex) -> Column:
 
 def size(h: Hex) -> Column:
     c = F.lit(h) if isinstance(h, str) else h
-    return F.floor(F.length(c) / 2).cast("int")
+    return F.shiftright(F.octet_length(c), 1)  # digits are one byte each, so they need not be counted
 
 
 def text_hex(text: Column | str) -> Column:
@@ -137,8 +137,7 @@ def mac_hex(mac: str = "mac") -> Column:
 
 def ip_hex(ip: Column | str) -> Column:
     c = F.lit(ip) if isinstance(ip, str) else ip
-    parts = F.split(c, "\\.")
-    return cat(*[hx(parts[i].cast("int"), 1) for i in range(4)])
+    return let(F.split(c, "\\."), lambda parts: cat(*[hx(parts[i].cast("int"), 1) for i in range(4)]))
 
 
 def once(h: Hex, f) -> Column:

@@ -13,7 +13,7 @@ EXT_ARRAY = "array<struct<t:int,off:int,len:int>>"
 
 def is_grease(v: Column) -> Column:
     """Reserved noise value: both bytes equal and ending in ``A``."""
-    return (F.shiftright(v, 8) == bits(v, 255)) & (bits(v, 15) == 10)
+    return (bits(v, 15) == 10) & (F.shiftright(v, 8) == bits(v, 255))
 
 
 def tls_version(v: Column) -> Column:
@@ -71,6 +71,12 @@ def tls_client_hello(b: Column) -> Column:
     Ciphers and extension ids exclude noise values; ids also exclude the name
     and protocol extensions, which the fingerprint encodes elsewhere.
     """
+    # Bound, as every reference to a column of a row copies the record.
+    is_hello = (F.length(b) >= 44) & (u8(b, 0) == 22) & (u8(b, 5) == 1)
+    return F.when(is_hello, let(b, _client_hello))
+
+
+def _client_hello(b: Column) -> Column:
     n = F.length(b)
     empty = F.array().cast(EXT_ARRAY)
 
@@ -93,10 +99,17 @@ def tls_client_hello(b: Column) -> Column:
 
         def with_ext(exts):
             fit = F.filter(exts, lambda e: e["off"] + e["len"] <= end)
+            named = F.struct(
+                F.filter(fit, lambda e: (e["t"] == 0) & (e["len"] >= 5)).alias("sni"),
+                F.filter(fit, lambda e: (e["t"] == 16) & (e["len"] >= 3)).alias("alpn"),
+                F.filter(fit, lambda e: (e["t"] == 43) & (e["len"] >= 3)).alias("versions"),
+            )
+            return let(named, lambda of: fields(exts, of["sni"], of["alpn"], of["versions"]))
+
+        def fields(exts, sni_ext, alpn_ext, version_ext):
             ids = F.filter(
                 F.transform(exts, lambda e: e["t"]), lambda t: (t != 0) & (t != 16) & ~is_grease(t)
             )
-            sni_ext = F.filter(fit, lambda e: (e["t"] == 0) & (e["len"] >= 5))
             names = F.transform(
                 F.filter(
                     sni_ext,
@@ -106,7 +119,6 @@ def tls_client_hello(b: Column) -> Column:
                 ),
                 lambda e: sanitize(take(b, e["off"] + 5, u16(b, e["off"] + 3))),
             )
-            alpn_ext = F.filter(fit, lambda e: (e["t"] == 16) & (e["len"] >= 3))
             protos = F.transform(
                 F.filter(
                     alpn_ext,
@@ -117,7 +129,7 @@ def tls_client_hello(b: Column) -> Column:
                 lambda e: sanitize(take(b, e["off"] + 3, u8(b, e["off"] + 2))),
             )
             offered = F.transform(
-                F.filter(fit, lambda e: (e["t"] == 43) & (e["len"] >= 3)),
+                version_ext,
                 lambda e: F.array_max(
                     F.filter(
                         _u16_list(
@@ -145,8 +157,7 @@ def tls_client_hello(b: Column) -> Column:
 
         return let(F.coalesce(_extensions(b, start, end), empty), with_ext)
 
-    is_hello = (n >= 44) & (u8(b, 0) == 22) & (u8(b, 5) == 1)
-    return F.when(is_hello, let(as_col(44) + u8(b, 43), lambda p: F.when(p < n + 1, at_ciphers(p))))
+    return let(as_col(44) + u8(b, 43), lambda p: F.when(p < n + 1, at_ciphers(p)))
 
 
 def hex_list(ids: Column) -> Column:
