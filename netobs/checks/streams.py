@@ -19,18 +19,20 @@ from netobs.checks.wirechecks import ACTIVITY_SQL
 from netobs.checks.recordchecks import MIXED_SQL, REASSEMBLED_SQL, SPLIT_SQL, far_frames, mixed_frames
 from netobs.operators.vectors import vectors
 from netobs.plans.jobs import Options
-from netobs.plans.stage import materialize, work_folder
+from netobs.plans.stage import discard, move, work_folder
 from netobs.schemas import record_columns
 from netobs.sources.wire import parse_wire, to_typed
 from netobs.streaming import keyed
-from netobs.streaming.job import packet_lines, store_packets, stored_packets
+from netobs.streaming.job import discard_packets, packet_lines, store_packets, stored_packets
 
 PARTS = 3
 JITTER = 5  # seconds that a row may come after newer ones; the operators allow ten
 DAY = "INTERVAL 1 DAY"
 
 
-def through_stream(spark: SparkSession, op: Callable[..., DataFrame], *tables: DataFrame, store: Options | None = None) -> DataFrame:
+def through_stream(
+    spark: SparkSession, op: Callable[..., DataFrame], *tables: DataFrame, store: Options | None = None, span: DataFrame | None = None
+) -> DataFrame:
     """Rows of ``op`` over the tables (with ``ts``), each read as a stream in parts.
 
     The parts are cut by time, each row up to some seconds late, so that newer
@@ -38,31 +40,44 @@ def through_stream(spark: SparkSession, op: Callable[..., DataFrame], *tables: D
     first watermark stands, so the rows run a day later and come back. A row long
     after all others, in a last part, moves the watermark past them; it stays
     unjudged itself. With ``store`` the table is one of frames, and ``op`` takes
-    the packets that a query before it stores.
+    the packets that a query before it stores. ``span`` are slim rows over about
+    the same time, where the first table itself is costly to make.
+
+    The tables are made and written once, by part; a part is moved to the stream,
+    not copied, and goes when the stream has read it.
     """
     folder = work_folder(spark)
-    # Stored, so that frames are built once and not for every part.
-    tables = tuple(materialize(t.withColumn("ts", F.col("ts") + F.expr(DAY))) for t in tables)
-    low, high = tables[0].agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    low, high = (tables[0] if span is None else span).agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     width = max(1, (high - low) // PARTS + 1)
     late = F.pmod(F.xxhash64("seq"), F.lit(JITTER * 1_000_000)) if "seq" in tables[0].columns else F.lit(0)
     part = F.floor((F.unix_micros("ts") + late - low) / width)
     part = F.least(F.greatest(part, F.lit(0)), F.lit(PARTS - 1))
+    for i, table in enumerate(tables):
+        table.withColumn("p", part.cast("int")).withColumn("ts", F.col("ts") + F.expr(DAY)).write.partitionBy("p").parquet(f"{folder}/made{i}")
+    made = [spark.read.schema(table.schema).parquet(f"{folder}/made{i}") for i, table in enumerate(tables)]
+    high = made[0].agg(F.max(F.unix_micros("ts"))).first()[0]
+    for i, table in enumerate(made):
+        last = table.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 3650 DAYS"))
+        last.coalesce(1).write.parquet(f"{folder}/made{i}/p={PARTS}")
     out = None
     for n in range(PARTS + 1):
-        for i, table in enumerate(tables):
-            rows = table.where(part == n) if n < PARTS else table.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 3650 DAYS"))
-            rows.write.mode("append").parquet(f"{folder}/in{i}")
-        sources = [spark.readStream.schema(table.schema).parquet(f"{folder}/in{i}") for i, table in enumerate(tables)]
+        for i in range(len(tables)):
+            move(spark, f"{folder}/made{i}/p={n}", f"{folder}/in{i}/p{n}")
+        sources = [spark.readStream.schema(table.schema).parquet(f"{folder}/in{i}/p*") for i, table in enumerate(tables)]
         if store is not None:
             store_packets(sources[0], store, folder).awaitTermination()
+            discard(spark, f"{folder}/in0/p{n}")
             sources = [stored_packets(sources[0], store, folder)] if out is None else []
         if out is None:
             out = op(*sources)
         run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         run.trigger(availableNow=True).start().awaitTermination()
+        for i in range(len(tables)):
+            discard(spark, f"{folder}/in{i}/p{n}")
+        if store is not None:
+            discard_packets(spark, folder)
     done = spark.read.schema(out.schema).parquet(f"{folder}/out").withColumn("ts", F.col("ts") - F.expr(DAY))
-    return done.where(F.unix_micros("ts") <= high)
+    return done.where(F.unix_micros(F.col("ts") + F.expr(DAY)) <= high)
 
 
 @query("stream_dedup_sliding", SLIDING_SQL, PULSE)
@@ -170,7 +185,7 @@ def _device_activity(spark, sf):
 def _tls_quic_stateful(spark, sf):
     """Hellos over two datagrams whose numbers lie beyond what their one byte can hold."""
     opts = Options(selection=vectors("T", "v", quic_stateful=True), dedup_ttl=0)
-    lines = through_stream(spark, lambda packets: packet_lines(packets, opts), far_frames(spark, sf), store=opts)
+    lines = through_stream(spark, lambda packets: packet_lines(packets, opts), far_frames(spark, sf), store=opts, span=g.pulse(spark, sf))
     rows = to_typed(parse_wire(lines.select("seq", "line")), "TLS").withColumn("routed", F.col("routed").cast("int"))
     return rows.select(F.floor(F.col("seq") / 2).alias("seq"), "mac", *record_columns("TLS"), "routed")
 
@@ -179,4 +194,4 @@ def _tls_quic_stateful(spark, sf):
 def _job_all(spark, sf):
     """Every record group, extended, without suppression, from a stream of frames with restarts."""
     opts = Options(selection=vectors("A", extended=True, quic_stateful=True))
-    return through_stream(spark, lambda packets: packet_lines(packets, opts), mixed_frames(spark, sf), store=opts).select("seq", "line")
+    return through_stream(spark, lambda packets: packet_lines(packets, opts), mixed_frames(spark, sf), store=opts, span=g.pulse(spark, sf)).select("seq", "line")

@@ -112,7 +112,8 @@ def with_route(pk: DataFrame, opts: Options) -> DataFrame:
             F.when(l3 == d.ETH_ARP, F.lit(ARP)).when(l3 == d.ETH_LLDP, F.lit(LLDP))
             .when(ip & (proto == d.ICMPV6), F.lit(NDP)).otherwise(route)
         )
-    return rows.withColumn("route", route).drop("sport", "dport").where(F.col("route").isNotNull())
+    # ``l4`` is cut out by now; the frame around it would be stored a second time.
+    return rows.withColumn("route", route).drop("sport", "dport", "data").where(F.col("route").isNotNull())
 
 
 def telemetry(

@@ -67,6 +67,16 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Give a table, or a part of one, another place; a part that no row fell into has none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(path), hadoop.Path(to)
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    if files.exists(source) and not files.rename(source, target):
+        raise OSError(f"cannot move {path} to {to}")
+
+
 def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

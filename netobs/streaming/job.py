@@ -17,7 +17,7 @@ the batch job over the same frames.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -153,6 +153,19 @@ def stored_packets(frames: DataFrame, opts: Options, folder: str, **options: str
     return frames.sparkSession.readStream.schema(shape).options(**options).parquet(f"{folder}/packets")
 
 
+def discard_packets(spark: SparkSession, folder: str) -> None:
+    """Remove the stored packets, of which a query that has ended has read all; the log of what was stored stays.
+
+    A query that goes on from its checkpoint knows what it has read and does not
+    look for it again. Not for packets that a running query may still read.
+    """
+    packets = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/packets")
+    files = packets.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(packets):
+        if status.getPath().getName().startswith("route="):
+            files.delete(status.getPath(), True)
+
+
 def stream_job(frames: DataFrame, opts: Options, sinks: list[Sink], folder: str, delay: str = DELAY, **trigger) -> list[StreamingQuery]:
     """A whole stream: frames to wire lines in every sink. The queries that store packets and that make lines.
 
