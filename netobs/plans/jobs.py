@@ -336,7 +336,7 @@ def all_tls(sources: DataFrame, stateful: bool) -> DataFrame:
     tcp = F.col("part").isNull()
     opened = stage(opened, {"_h": F.when(tcp, r.tls_client_hello(F.col("payload")))}).where(~tcp | F.col("_h").isNotNull())
     slim = _slim(sources)
-    moved = shared(opened.select(*slim, *OPENED, "_h"), AT)
+    moved = shared(opened.select(*slim, *OPENED, "_h"), AT, plain=(AT,))
     tcp_rows = moved.where(tcp).select(*slim, "_h")
     done = _spanning(moved.where(~tcp).drop("_h"), slim)
     quic_rows = stage(done, {"_h": r.tls_client_hello(F.col("tls"))}).where(F.col("_h").isNotNull()).select(*slim, "_h")
@@ -359,7 +359,7 @@ def spanning_hellos(udp: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Datagrams that complete a hello, and those with a packet that does not verify."""
     own, slim = r._own(udp), _slim(udp)
     opened = opened_initials(r.with_initials(r.long_datagrams(udp), decrypt=False))
-    moved = shared(opened.select(*slim, *OPENED), AT)
+    moved = shared(opened.select(*slim, *OPENED), AT, plain=(AT,))
     done = _spanning(moved, slim)
     # one failure per datagram, and none when the datagram completed a hello
     failed = stateful_packets(moved).where(F.col("frags").isNull()).select(*slim).dropDuplicates([*own, "ts", "seq"])

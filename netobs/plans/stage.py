@@ -33,16 +33,16 @@ def stage(
     )
 
 
-def shared(df: DataFrame, *keys: str | Column) -> DataFrame:
+def shared(df: DataFrame, *keys: str | Column, plain: tuple[str, ...] = ()) -> DataFrame:
     """One exchange that several branches of a plan read.
 
     The columns come out of a generator, so no filter of a branch moves below
     the exchange; the branches then have the same child and Spark reuses it.
-    What is upstream, decoding for instance, runs once.  Columns named as keys
-    stay as they are, so that windows over them need no other exchange; branches
-    do not filter by them.
+    What is upstream, decoding for instance, runs once.  ``plain`` keys stay as
+    they are, so that windows over them need no other exchange; no branch may
+    filter by them.
     """
-    return stage(df.repartition(*keys), {c: F.col(c) for c in df.columns if c not in keys}).select(*df.columns)
+    return stage(df.repartition(*keys), {c: F.col(c) for c in df.columns if c not in plain}).select(*df.columns)
 
 
 def work_folder(spark: SparkSession) -> str:
